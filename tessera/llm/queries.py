@@ -1,10 +1,15 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tessera.llm import bpe, quality_rules, sharding
+from tessera.llm import bpe, decontaminate, minhash, quality_rules, secrets, sentence_dedup, sharding, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1,
     "op3_bpe": bpe.op3,
     "op4_sharding": sharding.op4,
+    "op6_minhash_dedup": minhash.op6,
     "op7_quality_rules": quality_rules.op7,
+    "op8_secret_scans": secrets.op8,
+    "op9_decontamination": decontaminate.op9,
+    "op10_sentence_dedup": sentence_dedup.op10,
 }
-ORACLES = {"op7_quality_rules": quality_rules.OP7_SQL}
+ORACLES = {"op7_quality_rules": quality_rules.OP7_SQL, "op9_decontamination": decontaminate.OP9_SQL}
