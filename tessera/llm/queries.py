@@ -1,11 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tessera.llm import bpe, decontaminate, minhash, quality_rules, secrets, sentence_dedup, sharding, suffix_dedup
+from tessera.llm import bpe, decontaminate, minhash, quality_model, quality_rules, secrets, sentence_dedup, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_bpe": bpe.op3,
     "op4_sharding": sharding.op4,
+    "op5_quality_model": quality_model.op5,
     "op6_minhash_dedup": minhash.op6,
     "op7_quality_rules": quality_rules.op7,
     "op8_secret_scans": secrets.op8,
