@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_DATE = Window.partitionBy("ticker").orderBy("date")
-BEFORE, AFTER = BY_DATE.rowsBetween(Window.unboundedPreceding, 0), BY_DATE.rowsBetween(0, Window.unboundedFollowing)
+
+def by_date() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("date")
+
+
+def before() -> WindowSpec:
+    """From a ticker's first row to the current one."""
+    return by_date().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def after() -> WindowSpec:
+    return by_date().rowsBetween(0, Window.unboundedFollowing)
 
 
 def densify(rows: DataFrame) -> DataFrame:
@@ -22,7 +32,7 @@ def densify(rows: DataFrame) -> DataFrame:
 def fill(rows: DataFrame, column: str) -> DataFrame:
     """Forward, then backward fill of a column."""
     x = F.col(column)
-    return rows.withColumn(column, F.coalesce(F.last(x, True).over(BEFORE), F.first(x, True).over(AFTER)))
+    return rows.withColumn(column, F.coalesce(F.last(x, True).over(before()), F.first(x, True).over(after())))
 
 
 def keep_one(rows: DataFrame, order: str, keep: str = "first") -> DataFrame:

@@ -4,26 +4,28 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.functions import numerics
 from tessera.functions.shipping import ship
 from tessera.operators import windows
-from tessera.operators.align import BY_DATE
+from tessera.operators.align import by_date
 
-WHOLE = Window.partitionBy("ticker")
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("ticker")
 
 
 def fixed_z(returns: DataFrame, limit: float = 3.0) -> DataFrame:
-    z = F.try_divide(F.col("ret") - F.avg("ret").over(WHOLE), F.stddev_samp("ret").over(WHOLE))
+    z = F.try_divide(F.col("ret") - F.avg("ret").over(whole()), F.stddev_samp("ret").over(whole()))
     return returns.withColumn("flag", F.coalesce(F.abs(z) > limit, F.lit(False)))
 
 
 def features(returns: DataFrame) -> DataFrame:
     """ret, its absolute change (0 to 1) and its rolling z (-5 to 5)."""
     rows = windows.zscore(returns, "ret", 30, 5, 1e-8)
-    change = F.abs(F.try_divide(F.col("ret"), F.lag("ret").over(BY_DATE)) - 1)
+    change = F.abs(F.try_divide(F.col("ret"), F.lag("ret").over(by_date())) - 1)
     return rows.select("ticker", "date", "ret", F.coalesce(F.least(change, F.lit(1.0)), F.lit(0.0)).alias("change"), F.coalesce(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col("z"))), F.lit(0.0)).alias("z"))
 
 
@@ -73,7 +75,7 @@ def keep_calm(flagged: DataFrame, most: float = 0.01) -> DataFrame:
 
 def z_grid(returns: DataFrame, limits: list[float]) -> DataFrame:
     """The lowest limit with the least share of flags, for each ticker."""
-    z = F.abs(F.try_divide(F.col("ret") - F.avg("ret").over(WHOLE), F.stddev_samp("ret").over(WHOLE)))
+    z = F.abs(F.try_divide(F.col("ret") - F.avg("ret").over(whole()), F.stddev_samp("ret").over(whole())))
     rows = returns.where("ret is not null").withColumn("a", z).withColumn("limit", F.explode(F.array(*map(F.lit, limits))))
     share = rows.groupBy("ticker", "limit").agg(F.avg(F.coalesce((F.col("a") > F.col("limit")).cast("double"), F.lit(0.0))).alias("fraction"))
     return share.groupBy("ticker").agg(F.min(F.struct("fraction", "limit")).alias("m")).select("ticker", "m.limit", "m.fraction")

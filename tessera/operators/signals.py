@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.shipping import ship
 from tessera.operators import linalg, metrics, windows
-from tessera.operators.align import BY_DATE
-from tessera.operators.weights import ALL
-
-TICKER = Window.partitionBy("ticker")
+from tessera.operators.align import by_date
+from tessera.operators.weights import everywhere
 
 
 def threshold_signal(z: Column, high: Column | float, low: Column | float) -> Column:
@@ -25,7 +23,7 @@ def with_decay(returns: DataFrame, window: int, target: float = 0.5) -> DataFram
     """returns with z and decay: target to the power of the rolling deviation over its mean in the whole series."""
     sd = F.nullif(windows.rolling_std("ret", window), F.lit(0.0))
     rows = returns.withColumn("_s", sd).withColumn("z", (F.col("ret") - windows.rolling_mean("ret", window)) / F.col("_s"))
-    return rows.withColumn("decay", F.pow(F.lit(target), F.col("_s") / F.avg("_s").over(TICKER))).drop("_s")
+    return rows.withColumn("decay", F.pow(F.lit(target), F.col("_s") / F.avg("_s").over(Window.partitionBy("ticker")))).drop("_s")
 
 
 def stateful(returns: DataFrame, window: int, high: float, low: float, reset: float = 0.5) -> DataFrame:
@@ -96,7 +94,7 @@ def tilt(weights: DataFrame, signals: DataFrame, alpha: float = 0.2, short: bool
     """w (1 + alpha signal); without shorts negative results shrink to a tenth; scaled to a sum of 1."""
     raw = weights.join(signals, "ticker", "left").select("ticker", (F.col("weight") * (1 + alpha * F.coalesce("signal", F.lit(0.0)))).alias("w"))
     moved = raw if short else raw.withColumn("w", F.when(F.col("w") < 0, 0.1 * F.col("w")).otherwise(F.col("w")))
-    whole = F.sum(F.abs("w") if short else F.col("w")).over(ALL)
+    whole = F.sum(F.abs("w") if short else F.col("w")).over(everywhere())
     return moved.select("ticker", F.try_divide(F.col("w"), whole).alias("weight"))
 
 
@@ -155,7 +153,7 @@ def blend_grid(first: DataFrame, second: DataFrame, returns: DataFrame, steps: i
 
 def ou_fit(prices: DataFrame, dt: float = 1.0) -> DataFrame:
     """ticker, kappa, mu, sigma of an Ornstein-Uhlenbeck process by least squares on log prices."""
-    rows = prices.select("ticker", "date", F.ln("adj_close").alias("p")).withColumn("x", F.lag("p").over(BY_DATE)).where("x is not null").withColumn("y", F.col("p") - F.col("x"))
+    rows = prices.select("ticker", "date", F.ln("adj_close").alias("p")).withColumn("x", F.lag("p").over(by_date())).where("x is not null").withColumn("y", F.col("p") - F.col("x"))
     line = rows.groupBy("ticker").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
     spread = rows.join(line, "ticker").groupBy("ticker", "a", "b").agg(F.stddev_pop(F.col("y") - F.col("a") - F.col("b") * F.col("x")).alias("s"))
     k = -F.col("b") / dt

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy(F.lit(0))
+
+def everywhere() -> WindowSpec:
+    return Window.partitionBy(F.lit(0))
 
 
 def normalize(weights: DataFrame, least: float = 0.0, digits: int = 3) -> DataFrame:
@@ -35,18 +37,18 @@ def largest(weights: DataFrame, n: int) -> DataFrame:
 def limit_size(weights: DataFrame, n: int, target: float = 1.0) -> DataFrame:
     """The n largest in size, scaled to the target sum."""
     top = weights.orderBy(F.desc(F.abs("weight")), "ticker").limit(n)
-    return top.withColumn("weight", F.col("weight") * target / F.sum("weight").over(ALL))
+    return top.withColumn("weight", F.col("weight") * target / F.sum("weight").over(everywhere()))
 
 
 def inverse_volatility(returns: DataFrame) -> DataFrame:
     s = returns.groupBy("ticker").agg(F.coalesce(F.nullif(F.stddev_samp("ret"), F.lit(0.0)), F.lit(1e-6)).alias("s"))
-    return s.select("ticker", ((1 / F.col("s")) / F.sum(1 / F.col("s")).over(ALL)).alias("weight"))
+    return s.select("ticker", ((1 / F.col("s")) / F.sum(1 / F.col("s")).over(everywhere())).alias("weight"))
 
 
 def kelly(returns: DataFrame) -> DataFrame:
     """Mean over variance, scaled to a sum of 1; zero variance gives 0, and so does a zero sum."""
     raw = returns.groupBy("ticker").agg(F.coalesce(F.try_divide(F.avg("ret"), F.var_samp("ret")), F.lit(0.0)).alias("k"))
-    return raw.select("ticker", F.coalesce(F.try_divide(F.col("k"), F.sum("k").over(ALL)), F.lit(0.0)).alias("weight"))
+    return raw.select("ticker", F.coalesce(F.try_divide(F.col("k"), F.sum("k").over(everywhere())), F.lit(0.0)).alias("weight"))
 
 
 def best_of_clusters(scores: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def adaptive(base: DataFrame, target: DataFrame, volatility: float, alpha: float
     joined = target.select("ticker", F.col("weight").alias("r")).join(base, "ticker", "left").na.fill(0.0, ["weight"])
     tilted = F.col("weight") * (1 + F.coalesce(a * (F.try_divide(F.col("r"), F.col("weight")) - 1), F.lit(0.0)))
     moved = joined.select("ticker", (tilted if short else F.greatest(tilted, F.lit(0.0))).alias("w"))
-    whole = F.sum("w").over(ALL)
+    whole = F.sum("w").over(everywhere())
     return moved.select("ticker", F.when(whole > 0, F.col("w") / whole).otherwise(F.col("w")).alias("weight"))
 
 

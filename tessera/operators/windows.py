@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.align import BEFORE, BY_DATE
+from tessera.operators.align import before, by_date
 
 
 def frame(n: int):
-    return BY_DATE.rowsBetween(1 - n, 0)
+    return by_date().rowsBetween(1 - n, 0)
 
 
 def gated(value: Column, column: str, n: int, least: int | None = None) -> Column:
@@ -27,23 +27,23 @@ def rolling_std(column: str, n: int, least: int | None = None) -> Column:
 
 def simple_returns(rows: DataFrame, price: str = "adj_close", carry: bool = True) -> DataFrame:
     """ticker, date, ret; gaps in the returns are filled forward if carry."""
-    raw = rows.select("ticker", "date", (F.try_divide(F.col(price), F.lag(price).over(BY_DATE)) - 1).alias("ret"))
-    return raw.withColumn("ret", F.last("ret", True).over(BEFORE)) if carry else raw
+    raw = rows.select("ticker", "date", (F.try_divide(F.col(price), F.lag(price).over(by_date())) - 1).alias("ret"))
+    return raw.withColumn("ret", F.last("ret", True).over(before())) if carry else raw
 
 
 def log_returns(rows: DataFrame, price: str = "adj_close") -> DataFrame:
     x = F.when(F.col(price) > 0, F.ln(price))
-    return rows.select("ticker", "date", x.alias("_x")).select("ticker", "date", (F.col("_x") - F.lag("_x").over(BY_DATE)).alias("ret"))
+    return rows.select("ticker", "date", x.alias("_x")).select("ticker", "date", (F.col("_x") - F.lag("_x").over(by_date())).alias("ret"))
 
 
 def cumulative(returns: DataFrame) -> DataFrame:
     """cum: the running product of 1 + ret."""
-    return returns.withColumn("cum", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(BEFORE))
+    return returns.withColumn("cum", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(before()))
 
 
 def drawdowns(returns: DataFrame) -> DataFrame:
     cum = cumulative(returns.where("ret is not null"))
-    return cum.withColumn("peak", F.max("cum").over(BEFORE)).withColumn("drawdown", (F.col("cum") - F.col("peak")) / F.col("peak"))
+    return cum.withColumn("peak", F.max("cum").over(before())).withColumn("drawdown", (F.col("cum") - F.col("peak")) / F.col("peak"))
 
 
 def zscore(rows: DataFrame, column: str, n: int, least: int | None = None, small: float = 0.0) -> DataFrame:
@@ -82,7 +82,7 @@ def latest_volatility(returns: DataFrame, n: int = 30, least: int | None = 5) ->
 def crash_candidates(prices: DataFrame, lookback: int = 90, crash: int = 30, cut: float = 0.99) -> DataFrame:
     """ticker, drop from the rolling high on its last row, and rise over the look-back; flagged where both are beyond the cut."""
     x = F.col("adj_close")
-    rows = prices.withColumn("down", x / gated(F.max("adj_close").over(frame(crash)), "adj_close", crash) - 1).withColumn("up", F.try_divide(x, F.lag(x, lookback).over(BY_DATE)))
+    rows = prices.withColumn("down", x / gated(F.max("adj_close").over(frame(crash)), "adj_close", crash) - 1).withColumn("up", F.try_divide(x, F.lag(x, lookback).over(by_date())))
     last = rows.groupBy("ticker").agg(F.max_by("down", "date").alias("drawdown"), F.max("up").alias("rise"))
     limit = last.agg(F.percentile("rise", F.lit(cut)).alias("limit"))
     return last.join(F.broadcast(limit)).select("ticker", "drawdown", "rise", (F.col("rise") >= F.col("limit")).alias("flagged"))  # one row

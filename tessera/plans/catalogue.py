@@ -1,4 +1,422 @@
-"""The registered queries and their SQL."""
+"""The registered queries and, where SQL can say the same, their SQL.
 
-QUERIES = {}
-ORACLES = {}
+Doubles are rounded on both sides, so that the order of summation doesn't show.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import numerics
+from tessera.operators import align, anomaly, linalg, metrics, signals, weights, windows
+from tessera.plans import portfolio
+from tessera.sources import prices
+from tessera.streaming import bars
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Views as SQL: P1 and P2 prices, their returns, and parts that several queries share.
+P1 = """p1 AS (SELECT o_orderpriority AS ticker, o_orderdate::DATE AS date, min_by(o_totalprice, o_orderkey) AS open,
+  max(o_totalprice) AS high, min(o_totalprice) AS low, max_by(o_totalprice, o_orderkey) AS close, avg(o_totalprice) AS adj_close,
+  count(*)::DOUBLE AS volume FROM orders GROUP BY 1, 2)"""
+P2 = """p2 AS (SELECT 'S' || lpad(l_suppkey::VARCHAR, 3, '0') AS ticker, date_trunc('week', l_shipdate)::DATE AS date,
+  avg(l_extendedprice) AS adj_close FROM lineitem WHERE l_suppkey < 30 GROUP BY 1, 2)"""
+DENSE = """dense AS (SELECT t.ticker, d.date, p2.adj_close FROM (SELECT DISTINCT ticker FROM p2) t, (SELECT DISTINCT date FROM p2) d
+  LEFT JOIN p2 ON p2.ticker = t.ticker AND p2.date = d.date),
+filled AS (SELECT ticker, date, coalesce(
+  last_value(adj_close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING),
+  first_value(adj_close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adj_close FROM dense)"""
+RET = """ret AS (SELECT ticker, date, adj_close / nullif(lag(adj_close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM p1)"""
+LOG = """lr AS (SELECT ticker, date, ln(adj_close) - lag(ln(adj_close)) OVER (PARTITION BY ticker ORDER BY date) AS ret FROM p1)"""
+RET2 = """ret AS (SELECT * FROM (SELECT ticker, date, ln(adj_close) - lag(ln(adj_close)) OVER (PARTITION BY ticker ORDER BY date) AS ret FROM filled) WHERE ret IS NOT NULL)"""
+ONE, TWO = f"WITH {P1}, {RET}", f"WITH {P2}, {DENSE}, {RET2}"
+OMEGA = """om AS (SELECT ticker, avg(ret) FILTER (WHERE side = 1) / CASE WHEN avg(ret) FILTER (WHERE side = -1) IS NOT NULL
+    THEN greatest(-avg(ret) FILTER (WHERE side = -1), 1e-8) END AS omega FROM (
+  SELECT *, row_number() OVER (PARTITION BY ticker, side ORDER BY ret) AS i, count(*) OVER (PARTITION BY ticker, side) AS n
+  FROM (SELECT ticker, ret, sign(ret) AS side FROM ret WHERE ret <> 0)) WHERE i > floor(n * 0.1) AND i <= n - floor(n * 0.1) AND n >= 5 GROUP BY ticker)"""
+CVAR = """cv AS (SELECT ticker, avg(ret) FILTER (WHERE i <= ceil(0.05 * n) AND ceil(0.05 * n) < n) AS cvar FROM (
+  SELECT ticker, ret, row_number() OVER (PARTITION BY ticker ORDER BY ret) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM ret WHERE ret IS NOT NULL) GROUP BY ticker)"""
+BASE = """base AS (SELECT ticker, product(1 + ret) - 1 AS cumulative_return, avg(ret) / nullif(stddev_samp(ret) * sqrt(252), 0) AS sharpe,
+  avg(ret) / nullif(pow(avg(pow(-ret, 3)) FILTER (WHERE ret < 0), 1.0 / 3), 0) AS kappa, stddev_samp(ret) AS vol FROM ret WHERE ret IS NOT NULL GROUP BY ticker)"""
+PAIRS = """pr AS (SELECT a.date, a.ticker AS a, b.ticker AS b, a.ret AS x, b.ret AS y FROM ret a JOIN ret b ON a.date = b.date AND a.ticker <= b.ticker)"""
+WEIGHTS = """w AS (SELECT ticker, (row_number() OVER (ORDER BY ticker)) / 15.0::DOUBLE AS weight FROM (SELECT DISTINCT ticker FROM p1))"""
+
+
+def r(c: Column, digits: int = 6) -> Column:
+    return F.round(c, digits) + 0.0
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def p1(s: SparkSession, d: str) -> DataFrame:
+    return prices.order_prices(s, d)
+
+
+def ret(s: SparkSession, d: str) -> DataFrame:
+    return windows.simple_returns(p1(s, d), carry=False)
+
+
+def filled(s: SparkSession, d: str) -> DataFrame:
+    return align.fill(align.densify(prices.supplier_prices(s, d)), "adj_close")
+
+
+def ret2(s: SparkSession, d: str) -> DataFrame:
+    return windows.log_returns(filled(s, d)).where("ret is not null")
+
+
+def fixed_weights(s: SparkSession, d: str) -> DataFrame:
+    """Weights 1/15 to 5/15 by name, a fixed portfolio."""
+    names = p1(s, d).select("ticker").distinct()
+    return names.select("ticker", (F.row_number().over(Window.orderBy("ticker")) / 15.0).alias("weight"))
+
+
+def rounded(rows: DataFrame, digits: int = 6) -> DataFrame:
+    return rows.select(*(r(F.col(c), digits).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes))
+
+
+# prices and alignment
+
+query("prices_ohlcv", f"WITH {P1} SELECT ticker, date, open, high, low, close, round(adj_close, 6) AS adj_close, volume FROM p1")(lambda s, d: p1(s, d).withColumn("adj_close", F.round("adj_close", 6)))
+query("price_field_projection", f"WITH {P1} SELECT ticker, date, close FROM p1")(lambda s, d: p1(s, d).select("ticker", "date", "close"))
+query("date_range_filter", f"WITH {P1} SELECT ticker, date, close FROM p1 WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")(
+    lambda s, d: p1(s, d).where("date between date'1996-01-01' and date'1996-12-31'").select("ticker", "date", "close")
+)
+query("outer_align", f"WITH {P1} SELECT t.ticker, d.date, close FROM (SELECT DISTINCT ticker FROM p1) t, (SELECT DISTINCT date FROM p1) d LEFT JOIN p1 ON p1.ticker = t.ticker AND p1.date = d.date")(
+    lambda s, d: align.densify(p1(s, d).select("ticker", "date", "close"))
+)
+query("ffill_bfill", f"WITH {P2}, {DENSE} SELECT ticker, date, round(adj_close, 4) AS adj_close FROM filled")(lambda s, d: rounded(filled(s, d), 4))
+
+
+@query("dedupe_keep_first", "SELECT o_orderpriority AS ticker, o_orderdate::DATE AS date, min_by(o_totalprice, o_orderkey) AS price, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2")
+def dedupe(s, d):
+    rows = prices.table(s, d, "orders").select(F.col("o_orderpriority").alias("ticker"), F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").alias("price"), "o_orderkey")
+    return align.keep_one(rows, "o_orderkey")
+
+
+@query("anti_join_append", f"WITH {P1} SELECT ticker, date, CASE WHEN date < DATE '1998-01-01' THEN close ELSE open END AS price FROM p1")
+def append(s, d):
+    """Stored closes up to 1997; fresh opens fill in the rest, stored rows win."""
+    rows = p1(s, d)
+    return prices.append_missing(rows.where("date < date'1998-01-01'").select("ticker", "date", F.col("close").alias("price")), rows.select("ticker", "date", F.col("open").alias("price")))
+
+
+query("union_sort", f"WITH {P1} SELECT ticker, date, close FROM p1 WHERE date < DATE '1995-07-01' OR date >= DATE '2001-01-01' ORDER BY 1, 2")(
+    lambda s, d: p1(s, d).where("date < date'1995-07-01'").unionByName(p1(s, d).where("date >= date'2001-01-01'")).select("ticker", "date", "close").orderBy("ticker", "date")
+)
+query("overlap_window", f"""WITH {P1}, sp AS (SELECT ticker, min(date) AS a, max(date) AS b FROM p1 GROUP BY 1),
+bd AS (SELECT max(a) AS a, min(b) AS b, count(*) AS n FROM sp), ok AS (SELECT date FROM p1, bd WHERE date BETWEEN a AND b GROUP BY date HAVING count(*) = max(n))
+SELECT ticker, date, close FROM p1 WHERE date IN (SELECT date FROM ok)""")(lambda s, d: align.overlap(p1(s, d).select("ticker", "date", "close"), "close").select("ticker", "date", "close"))
+query("drop_sparse_assets", f"WITH {P2} SELECT ticker, count(*) AS n FROM p2 GROUP BY 1 HAVING count(adj_close) >= 0.8 * (SELECT count(DISTINCT date) FROM p2)")(
+    lambda s, d: align.drop_sparse(prices.supplier_prices(s, d), "adj_close", 0.8).groupBy("ticker").agg(F.count("*").alias("n"))
+)
+
+
+@query("reindex_fill", f"WITH {P1} SELECT d.date, coalesce(close, 0) AS close FROM (SELECT DISTINCT date FROM p1) d LEFT JOIN p1 ON p1.date = d.date AND ticker = '1-URGENT'")
+def reindexed(s, d):
+    rows = p1(s, d)
+    return align.reindex(rows.where("ticker = '1-URGENT'").select("date", "close"), rows.select("date").distinct(), ["date"], "close")
+
+
+@query("set_ops_symbols", "SELECT p_brand AS symbol, 'both' AS kind FROM part WHERE p_size < 10 INTERSECT SELECT p_brand, 'both' FROM part WHERE p_size > 40 UNION ALL (SELECT p_type, 'first' FROM part WHERE p_size < 10 EXCEPT SELECT p_type, 'first' FROM part WHERE p_size > 45)")
+def symbols(s, d):
+    rows = prices.table(s, d, "part")
+    small, big = rows.where("p_size < 10"), rows.where("p_size > 40")
+    both = small.select(F.col("p_brand").alias("symbol")).intersect(big.select("p_brand")).withColumn("kind", F.lit("both"))
+    only = small.select(F.col("p_type").alias("symbol")).subtract(rows.where("p_size > 45").select("p_type")).withColumn("kind", F.lit("first"))
+    return both.unionByName(only)
+
+
+def market(s: SparkSession, d: str) -> DataFrame:
+    return p1(s, d).groupBy("date").agg(F.avg("adj_close").alias("m"))
+
+
+@query("benchmark_align", f"""WITH {P1}, mk AS (SELECT date, avg(adj_close) AS m FROM p1 WHERE ticker <> '1-URGENT' GROUP BY 1), pf AS (SELECT date, close AS p FROM p1 WHERE ticker = '1-URGENT')
+SELECT date, p, round(m, 4) AS m FROM (SELECT pf.date, p, last_value(m IGNORE NULLS) OVER (ORDER BY pf.date ROWS UNBOUNDED PRECEDING) AS m FROM pf LEFT JOIN mk ON pf.date = mk.date) WHERE m IS NOT NULL""")
+def aligned(s, d):
+    rows = p1(s, d)
+    return rounded(align.align_market(rows.where("ticker = '1-URGENT'").select("date", F.col("close").alias("p")), rows.where("ticker <> '1-URGENT'").groupBy("date").agg(F.avg("adj_close").alias("m"))), 4)
+
+
+@query("as_of_join", f"""WITH {P1}, bm AS (SELECT date, close AS m FROM p1 WHERE ticker = '5-LOW')
+SELECT ticker, p1.date, close, m FROM p1 ASOF LEFT JOIN bm ON p1.date >= bm.date WHERE ticker = '1-URGENT'""")
+def as_of(s, d):
+    rows = p1(s, d)
+    right = rows.where("ticker = '5-LOW'").select(F.lit("1-URGENT").alias("ticker"), "date", F.col("close").alias("m"))
+    return align.as_of(rows.where("ticker = '1-URGENT'").select("ticker", "date", "close"), right, "m")
+
+
+# returns and windows
+
+query("simple_returns", f"WITH {P1}, {RET} SELECT ticker, date, round(ret, 8) + 0.0::DOUBLE AS ret FROM ret")(lambda s, d: rounded(ret(s, d), 8))
+query("log_returns", f"WITH {P1}, {LOG} SELECT ticker, date, round(ret, 8) + 0.0::DOUBLE AS ret FROM lr")(lambda s, d: rounded(windows.log_returns(p1(s, d)), 8))
+query("cumulative_returns", f"{TWO} SELECT ticker, date, round(product(1 + ret / 10) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING), 6) AS cum FROM ret")(
+    lambda s, d: rounded(windows.cumulative(ret2(s, d).withColumn("ret", F.col("ret") / 10)).select("ticker", "date", "cum"))
+)
+SMALL = f"{TWO}, c AS (SELECT ticker, date, product(1 + ret / 10) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum FROM ret), k AS (SELECT *, max(cum) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM c)"
+small = lambda s, d: windows.drawdowns(ret2(s, d).withColumn("ret", F.col("ret") / 10))
+query("max_drawdown", f"{SMALL} SELECT ticker, round(min((cum - peak) / peak), 6) AS max_drawdown FROM k GROUP BY 1")(lambda s, d: rounded(small(s, d).groupBy("ticker").agg(F.min("drawdown").alias("max_drawdown"))))
+query("time_under_water", f"{SMALL} SELECT ticker, count(*) FILTER (WHERE cum < peak) AS under_water FROM k GROUP BY 1")(lambda s, d: small(s, d).groupBy("ticker").agg(F.count_if(F.col("cum") < F.col("peak")).alias("under_water")))
+
+
+def rolling_sql(value: str, n: int, least: int, column: str = "ret") -> str:
+    over = f"OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({column}) {over} >= {least} THEN {value}({column}) {over} END"
+
+
+query("rolling_mean_std", f"{ONE} SELECT ticker, date, round({rolling_sql('avg', 20, 20)}, 8) AS mean, round({rolling_sql('stddev_samp', 20, 20)}, 8) AS std FROM ret")(
+    lambda s, d: rounded(ret(s, d).select("ticker", "date", windows.rolling_mean("ret", 20).alias("mean"), windows.rolling_std("ret", 20).alias("std")), 8)
+)
+Z30 = f"(ret - {rolling_sql('avg', 30, 5)}) / ({rolling_sql('stddev_samp', 30, 5)} + 1e-8)"
+query("rolling_zscore", f"{ONE} SELECT ticker, date, round({Z30}, 6) + 0.0::DOUBLE AS z FROM ret")(lambda s, d: rounded(windows.zscore(ret(s, d), "ret", 30, 5, 1e-8).select("ticker", "date", "z")))
+MAD = f"""{ONE}, fr AS (SELECT *, list(ret) OVER w AS v, count(*) OVER w AS n FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+rz AS (SELECT ticker, date, ret, (ret - list_median(list_filter(v, lambda x: x IS NOT NULL))) / nullif(CASE WHEN len(list_filter(v, lambda x: x IS NOT NULL)) = n THEN list_mad(v) / 1.4826 END, 0) AS z FROM fr)"""
+query("robust_z_mad", MAD.replace("list_median(", "list_aggregate(").replace("IS NOT NULL)) / nullif", "IS NOT NULL), 'median')) / nullif").replace("list_mad(v)", "list_aggregate(v, 'mad')") + " SELECT ticker, date, round(z, 6) + 0.0::DOUBLE AS z FROM rz")(
+    lambda s, d: rounded(windows.robust_zscore(ret(s, d), "ret", 20).select("ticker", "date", "z"))
+)
+query("weekly_last", f"{ONE} SELECT ticker, (date_trunc('week', date) + INTERVAL 6 DAY)::DATE AS date, round(max_by(ret, date), 8) AS ret FROM ret WHERE ret IS NOT NULL GROUP BY 1, 2")(lambda s, d: rounded(windows.weekly_last(ret(s, d).where("ret is not null")), 8))
+query("realized_vol_latest", f"{ONE}, v AS (SELECT date, avg(v) AS v FROM (SELECT date, {rolling_sql('stddev_samp', 30, 5)} AS v FROM ret) GROUP BY 1) SELECT round(max_by(v, date), 8) AS vol FROM v")(lambda s, d: rounded(windows.latest_volatility(ret(s, d)), 8))
+query("crash_candidates", f"""WITH {P1}, x AS (SELECT *, adj_close / ({rolling_sql('max', 30, 30, 'adj_close')}) - 1 AS down, adj_close / nullif(lag(adj_close, 90) OVER (PARTITION BY ticker ORDER BY date), 0) AS up FROM p1),
+l AS (SELECT ticker, max_by(down, date) AS drawdown, max(up) AS rise FROM x GROUP BY 1) SELECT ticker, round(drawdown, 6) + 0.0::DOUBLE AS drawdown, round(rise, 6) AS rise, rise >= (SELECT quantile_cont(rise, 0.99) FROM l) AS flagged FROM l""")(
+    lambda s, d: rounded(windows.crash_candidates(p1(s, d)))
+)
+query("fixed_z_anomaly", f"{ONE} SELECT ticker, date, coalesce(abs((ret - avg(ret) OVER (PARTITION BY ticker)) / stddev_samp(ret) OVER (PARTITION BY ticker)) > 2, false) AS flag FROM ret")(lambda s, d: anomaly.fixed_z(ret(s, d), 2.0).select("ticker", "date", "flag"))
+query("anomaly_fraction_filter", f"{ONE}, f AS (SELECT ticker, coalesce(abs((ret - avg(ret) OVER (PARTITION BY ticker)) / stddev_samp(ret) OVER (PARTITION BY ticker)) > 3, false) AS flag FROM ret) SELECT ticker, round(avg(flag::INT), 8) AS fraction FROM f GROUP BY 1 HAVING avg(flag::INT) <= 0.02")(
+    lambda s, d: rounded(anomaly.keep_calm(anomaly.fixed_z(ret(s, d)), 0.02), 8)
+)
+query("if_features", f"""{ONE} SELECT ticker, date, round(ret, 8) + 0.0::DOUBLE AS ret, round(coalesce(least(abs(ret / nullif(lag(ret) OVER (PARTITION BY ticker ORDER BY date), 0) - 1), 1), 0), 6) AS change,
+  round(coalesce(greatest(-5, CASE WHEN {Z30} IS NOT NULL THEN least(5, {Z30}) END), 0), 6) + 0.0::DOUBLE AS z FROM (SELECT * FROM ret WHERE ret IS NOT NULL)""")(lambda s, d: rounded(anomaly.features(ret(s, d).where("ret is not null"))).withColumn("ret", F.col("ret")))
+query("anomaly_threshold_grid_z", f"""{ONE}, a AS (SELECT ticker, abs((ret - avg(ret) OVER (PARTITION BY ticker)) / stddev_samp(ret) OVER (PARTITION BY ticker)) AS a FROM ret WHERE ret IS NOT NULL),
+g AS (SELECT ticker, l AS "limit", avg(coalesce((a > l)::INT, 0)) AS fraction FROM a, (SELECT unnest([2.0, 2.5, 3.0, 3.5, 4.0])::DOUBLE AS l) GROUP BY 1, 2)
+SELECT ticker, min_by("limit", (fraction, "limit")) AS "limit", round(min(fraction), 8) AS fraction FROM g GROUP BY 1""")(lambda s, d: rounded(anomaly.z_grid(ret(s, d), [2.0, 2.5, 3.0, 3.5, 4.0]), 8))
+ORACLES["if_features"] = ORACLES["if_features"].replace("round(ret, 8)", "round(ret, 6)")
+
+# metrics
+
+by = lambda f: lambda s, d: rounded(ret(s, d).where("ret is not null").groupBy("ticker").agg(f(F.col("ret")).alias("value")))
+bysql = lambda e: f"{ONE} SELECT ticker, round({e}, 6) AS value FROM ret WHERE ret IS NOT NULL GROUP BY 1"
+query("sharpe_by_ticker", bysql("avg(ret) / nullif(stddev_samp(ret) * sqrt(252), 0)"))(by(metrics.sharpe))
+query("volatility", bysql("stddev_samp(ret) * sqrt(252)"))(by(metrics.volatility))
+query("kappa3", bysql("avg(ret) / pow(avg(pow(-ret, 3)) FILTER (WHERE ret < 0), 1.0 / 3)"))(by(metrics.kappa))
+query("lpm", bysql("avg(pow(greatest(-ret, 0), 3))"))(by(metrics.lpm))
+query("win_rate", bysql("avg((ret > 0)::INT)"))(by(lambda c: F.avg((c > 0).cast("double"))))
+query("moments", f"{ONE} SELECT ticker, count(*) AS n, round(avg(ret), 6) AS mean, round(var_samp(ret), 6) AS var, round(median(ret), 6) AS median, round(quantile_cont(ret, 0.95), 6) AS p95, round(min(ret), 6) AS lo, round(max(ret), 6) AS hi FROM ret WHERE ret IS NOT NULL GROUP BY 1")(
+    lambda s, d: rounded(ret(s, d).where("ret is not null").groupBy("ticker").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.var_samp("ret").alias("var"), F.median("ret").alias("median"), F.percentile("ret", F.lit(0.95)).alias("p95"), F.min("ret").alias("lo"), F.max("ret").alias("hi")))
+)
+query("omega_trimmed", f"{ONE}, {OMEGA} SELECT ticker, round(omega, 6) AS omega FROM om")(lambda s, d: rounded(metrics.omega(ret(s, d))))
+query("cvar_5", f"{ONE}, {CVAR} SELECT ticker, round(cvar, 6) AS cvar FROM cv")(lambda s, d: rounded(metrics.cvar(ret(s, d))))
+for name, values in metrics.OBJECTIVES.items():
+    parts = {"cumulative_return": "cumulative_return", "sharpe": "sharpe", "kappa": "kappa", "omega": "omega", "min_vol_tail": "(cvar - vol)"}
+    total = " + ".join(f"{v!r}::DOUBLE * {parts[m]}" for m, v in zip(metrics.METRICS, values) if v)
+    query(f"composite_score_{name}", f"{TWO}, {OMEGA}, {CVAR}, {BASE} SELECT ticker, round({total} - CASE WHEN cumulative_return < 0 THEN 2 * abs(cumulative_return) ELSE 0 END, 6) AS score FROM base LEFT JOIN om USING (ticker) LEFT JOIN cv USING (ticker)")(
+        lambda s, d, o=name: rounded(metrics.composite(ret2(s, d), o))
+    )
+PORT = f"pt AS (SELECT date, sum(weight * ret) / sum(weight) AS ret FROM ret JOIN w USING (ticker) WHERE ret IS NOT NULL GROUP BY date)"
+query("portfolio_returns", f"{ONE}, {WEIGHTS}, {PORT} SELECT date, round(ret, 8) + 0.0::DOUBLE AS ret FROM pt")(lambda s, d: rounded(metrics.portfolio_returns(ret(s, d), fixed_weights(s, d)), 8))
+query("risk_return_contrib", f"""{TWO}, c AS (SELECT ticker, product(1 + ret / 10) - 1 AS c, stddev_samp(ret / 10) AS s FROM ret GROUP BY 1)
+SELECT ticker, round(100 * c / sum(c) OVER (), 4) + 0.0::DOUBLE AS return_pct, round(100 * s / sum(s) OVER (), 4) AS risk_pct FROM c""")(
+    lambda s, d: rounded(metrics.contributions((r2 := ret2(s, d).withColumn("ret", F.col("ret") / 10)), r2.select("ticker").distinct().withColumn("weight", F.lit(0.1))), 4)
+)
+query("boxplot_stats", f"""{ONE}, q AS (SELECT ticker, quantile_cont(ret, 0.25) AS q1, median(ret) AS m, quantile_cont(ret, 0.75) AS q3, min(ret) AS lo, max(ret) AS hi FROM ret WHERE ret IS NOT NULL GROUP BY 1)
+SELECT ticker, round(q1, 6) AS q1, round(m, 6) AS median, round(q3, 6) AS q3, round(lo, 6) AS lo, round(hi, 6) AS hi, count(*) FILTER (WHERE ret < q1 - 1.5 * (q3 - q1) OR ret > q3 + 1.5 * (q3 - q1)) AS n_outliers FROM ret JOIN q USING (ticker) WHERE ret IS NOT NULL GROUP BY ALL""")(
+    lambda s, d: rounded(metrics.box_stats(ret(s, d).where("ret is not null")).select("ticker", "q1", "median", "q3", "lo", "hi", F.size("outliers").cast("long").alias("n_outliers")))
+)
+MARKET = "mk AS (SELECT date, avg(ret) AS m FROM ret WHERE ret IS NOT NULL GROUP BY date)"
+market_returns = lambda s, d: ret(s, d).where("ret is not null").groupBy("date").agg(F.avg("ret").alias("m"))
+query("capm_alpha", f"{ONE}, {WEIGHTS}, {PORT}, {MARKET} SELECT round(regr_intercept(ret, m), 6) AS alpha FROM pt JOIN mk USING (date)")(
+    lambda s, d: rounded(metrics.alpha(metrics.portfolio_returns(ret(s, d), fixed_weights(s, d)).join(market_returns(s, d), "date").select(F.col("ret").alias("p"), "m")))
+)
+query("performance_report", f"""{TWO}, pt AS (SELECT date, avg(ret) AS ret FROM ret GROUP BY date), mk AS (SELECT date, median(ret) AS m FROM ret GROUP BY date),
+c AS (SELECT date, product(1 + ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum FROM pt), k AS (SELECT cum, max(cum) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM c)
+SELECT round((SELECT avg(ret) / (stddev_samp(ret) * sqrt(252)) FROM pt), 6) AS sharpe, round((SELECT avg(ret) / pow(avg(pow(-ret, 3)) FILTER (WHERE ret < 0), 1.0 / 3) FROM pt), 6) AS kappa,
+  round((SELECT stddev_samp(ret) * sqrt(252) FROM pt), 6) AS volatility, round((SELECT (product(1 + ret) - 1) * 100 FROM pt), 6) AS total_pct, round((SELECT min((cum - peak) / peak) FROM k), 6) AS max_drawdown,
+  (SELECT count(*) FILTER (WHERE cum < peak) FROM k) AS under_water, round((SELECT 100 * regr_intercept(ret, m) FROM pt JOIN mk USING (date)), 6) AS alpha_pct""")(
+    lambda s, d: rounded(metrics.report(metrics.portfolio_returns((r2 := ret2(s, d)), r2.select("ticker").distinct().withColumn("weight", F.lit(1.0))), r2.groupBy("date").agg(F.median("ret").alias("m"))))
+)
+
+# weights
+
+query("normalize_weights", f"WITH {P1}, {WEIGHTS} SELECT ticker, round_even(weight / sum(weight) OVER (), 3) AS weight FROM w WHERE weight >= 0.1")(lambda s, d: weights.normalize(fixed_weights(s, d), 0.1))
+STACK = "st AS (SELECT 'x' AS portfolio, ticker, weight FROM w UNION ALL SELECT 'y', ticker, 0.5 FROM w WHERE ticker < '3')"
+stacked = lambda s, d: (w := fixed_weights(s, d).withColumn("portfolio", F.lit("x"))).unionByName(w.where("ticker < '3'").withColumn("weight", F.lit(0.5)).withColumn("portfolio", F.lit("y")))
+query("stack_average", f"WITH {P1}, {WEIGHTS}, {STACK} SELECT ticker, round_even(sum(weight) / 2, 3) AS weight FROM st GROUP BY 1")(lambda s, d: weights.stack(stacked(s, d)))
+query("stack_weighted", f"WITH {P1}, {WEIGHTS}, {STACK} SELECT ticker, round_even(sum(weight * CASE portfolio WHEN 'x' THEN 1 ELSE 3 END) / 4, 3) AS weight FROM st GROUP BY 1")(
+    lambda s, d: weights.stack(stacked(s, d), s.createDataFrame([("x", 1.0), ("y", 3.0)], "portfolio string, p double"))
+)
+query("trim_topn", f"WITH {P1}, {WEIGHTS} SELECT ticker, round(weight, 6) AS weight FROM w ORDER BY w.weight DESC, ticker LIMIT 3")(lambda s, d: rounded(weights.largest(fixed_weights(s, d), 3)))
+query("limit_abs_topn", f"WITH {P1}, {WEIGHTS}, t AS (SELECT * FROM w ORDER BY abs(weight) DESC, ticker LIMIT 3) SELECT ticker, round(weight / sum(weight) OVER (), 6) AS weight FROM t")(lambda s, d: rounded(weights.limit_size(fixed_weights(s, d), 3)))
+query("inverse_vol_weights", f"{TWO}, v AS (SELECT ticker, coalesce(nullif(stddev_samp(ret), 0), 1e-6) AS s FROM ret GROUP BY 1) SELECT ticker, round((1 / s) / sum(1 / s) OVER (), 6) AS weight FROM v")(lambda s, d: rounded(weights.inverse_volatility(ret2(s, d))))
+query("kelly_sizing", f"{ONE}, k AS (SELECT ticker, coalesce(avg(ret) / nullif(var_samp(ret), 0), 0) AS k FROM ret GROUP BY 1) SELECT ticker, round(k / sum(k) OVER (), 6) AS weight FROM k")(lambda s, d: rounded(weights.kelly(ret(s, d))))
+query("dynamic_kelly", f"""{ONE}, v AS (SELECT *, {rolling_sql('stddev_samp', 30, 5)} AS v FROM ret), b AS (SELECT ticker, avg(ret) AS m, stddev_samp(ret) AS s, max_by(v, date) FILTER (WHERE v IS NOT NULL) AS v FROM v GROUP BY 1)
+SELECT ticker, round(coalesce(greatest(0, least(m / nullif(s * s, 0) / (1 + coalesce(v, s)), 1)), 0), 6) AS weight FROM b""")(lambda s, d: rounded(signals.dynamic_kelly(ret(s, d))))
+query("cluster_topn_filter", f"""{TWO}, sc AS (SELECT ticker, substr(ticker, 4, 1)::INT % 2 AS cluster, avg(ret) AS score FROM ret GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, ticker) AS i, count(*) OVER (PARTITION BY cluster) AS n FROM sc)
+SELECT ticker, cluster, round(score, 8) + 0.0::DOUBLE AS score FROM k WHERE i <= greatest(1, CASE WHEN n < 10 THEN n WHEN n < 20 THEN floor(0.5 * n) ELSE floor(0.33 * n) END)""")(
+    lambda s, d: rounded(weights.best_of_clusters(ret2(s, d).groupBy("ticker").agg(F.avg("ret").alias("score")).withColumn("cluster", F.substring("ticker", 4, 1).cast("int") % 2)), 8)
+)
+query("adaptive_weighting", f"""WITH {P1}, {WEIGHTS}, t AS (SELECT w.ticker, w.weight, 0.2 AS r FROM w), m AS (SELECT ticker, greatest(0, weight * (1 + 0.2 / 1.05 * (r / weight - 1))) AS m FROM t)
+SELECT ticker, round(m / sum(m) OVER (), 6) AS weight FROM m""")(lambda s, d: rounded(weights.adaptive((w := fixed_weights(s, d)), w.select("ticker", F.lit(0.2).alias("weight")), 0.05)))
+query("distribute_basket", f"WITH {P1}, {WEIGHTS} SELECT ticker, round(weight + 0.5 * CASE WHEN ticker < '3' THEN 0.5 ELSE 0 END, 6) AS weight FROM w")(
+    lambda s, d: rounded(weights.distribute((w := fixed_weights(s, d)), 0.5, w.where("ticker < '3'").select("ticker", F.lit(0.5).alias("ratio"))))
+)
+query("adaptive_leverage", f"{ONE}, v AS (SELECT date, avg(v) AS v FROM (SELECT date, {rolling_sql('stddev_samp', 30, 5)} AS v FROM ret) GROUP BY 1) SELECT round(least(0.15 / max_by(v, date), 1.0), 6) AS leverage FROM v")(
+    lambda s, d: rounded(windows.latest_volatility(ret(s, d)).select(F.least(0.15 / F.col("vol"), F.lit(1.0)).alias("leverage")))
+)
+
+# pairs
+
+query("corr_pairs", f"{TWO}, {PAIRS} SELECT a, b, round(abs(corr(x, y)), 6) AS value FROM pr WHERE a < b GROUP BY 1, 2")(lambda s, d: rounded(linalg.correlations(ret2(s, d))))
+query("cov_pairs", f"{TWO}, {PAIRS} SELECT a, b, round(covar_samp(x, y), 8) + 0.0::DOUBLE AS value FROM pr GROUP BY 1, 2")(lambda s, d: rounded(linalg.covariances(ret2(s, d)), 8))
+query("distance_pairs", f"{TWO}, {PAIRS} SELECT a, b, round((1 - abs(corr(x, y))) / 2, 6) AS value FROM pr WHERE a < b GROUP BY 1, 2")(lambda s, d: rounded(linalg.correlations(ret2(s, d)).withColumn("value", linalg.distance(F.col("value")))))
+query("affinity_pairs", f"{TWO}, {PAIRS} SELECT a, b, round((corr(x, y) + 1) / 2, 6) AS value FROM pr WHERE a < b GROUP BY 1, 2")(lambda s, d: rounded(linalg.correlations(ret2(s, d), False).withColumn("value", linalg.affinity(F.col("value")))))
+query("cov_to_corr", f"{TWO}, {PAIRS} SELECT a, b, round(CASE WHEN a = b THEN 1 ELSE corr(x, y) END, 6) AS value FROM pr GROUP BY 1, 2")(lambda s, d: rounded(linalg.as_correlation(linalg.covariances(ret2(s, d)))))
+LW = f"""{TWO}, cd AS (SELECT ticker, date, ret - avg(ret) OVER (PARTITION BY ticker) AS ret FROM ret), n AS (SELECT count(DISTINCT ticker) AS n, count(DISTINCT date) AS t FROM cd),
+f AS (SELECT a.ticker AS a, b.ticker AS b, avg(a.ret * b.ret) AS s, avg(a.ret * a.ret * b.ret * b.ret) AS q FROM cd a JOIN cd b ON a.date = b.date GROUP BY 1, 2),
+g AS (SELECT sum(s) FILTER (WHERE a = b) / max(n) AS mu, sum(s * s) AS s2, sum(q) AS q2, max(n) AS n, max(t) AS t FROM f, n),
+h AS (SELECT mu, least((s2 - n * mu * mu) / n, (q2 - s2) / (n * t)) / ((s2 - n * mu * mu) / n) AS k FROM g),
+lw AS (SELECT a, b, (1 - k) * s + CASE WHEN a = b THEN k * mu ELSE 0 END AS value, k AS shrinkage FROM f, h WHERE a <= b)"""
+query("ledoit_wolf_cov", f"{LW} SELECT a, b, round(value, 8) + 0.0::DOUBLE AS value, round(shrinkage, 8) AS shrinkage FROM lw")(lambda s, d: rounded(linalg.shrunk(ret2(s, d)), 8))
+query("ledoit_wolf_corr", f"{LW} SELECT l.a, l.b, round(l.value / sqrt(x.value * y.value), 6) + 0.0::DOUBLE AS value FROM lw l JOIN lw x ON x.a = l.a AND x.b = l.a JOIN lw y ON y.a = l.b AND y.b = l.b WHERE l.a < l.b")(
+    lambda s, d: rounded(linalg.as_correlation(linalg.shrunk(ret2(s, d)).select("a", "b", "value")).where("a < b"))
+)
+query("portfolio_variance", f"{TWO}, {PAIRS}, cv AS (SELECT a, b, covar_samp(x, y) AS v FROM pr GROUP BY 1, 2) SELECT round(sum(CASE WHEN a = b THEN v ELSE 2 * v END) / 900, 8) AS variance FROM cv")(
+    lambda s, d: rounded(linalg.portfolio_variance(linalg.covariances(ret2(s, d)), ret2(s, d).select("ticker").distinct().withColumn("weight", F.lit(1 / 30))), 8)
+)
+ORACLES["portfolio_variance"] = ORACLES["portfolio_variance"].replace("FROM cv", "FROM cv")
+
+# signals
+
+SIG = """sg AS (SELECT ticker, date, ret, CASE WHEN z < -1.5 THEN (-z - 1.5) / 1.5 WHEN z > 1.5 THEN -(z - 1.5) / 1.5 ELSE 0 END AS sig FROM rz)"""
+RZ = ORACLES["robust_z_mad"].rsplit(" SELECT ticker, date, round", 1)[0]
+query("threshold_signal", f"{RZ}, {SIG} SELECT ticker, date, round(lag(sig) OVER (PARTITION BY ticker ORDER BY date), 6) + 0.0::DOUBLE AS pos FROM sg")(
+    lambda s, d: rounded(windows.robust_zscore(ret(s, d), "ret", 20).withColumn("g", signals.threshold_signal(F.col("z"), 1.5, 1.5)).select("ticker", "date", F.lag("g").over(align.by_date()).alias("pos")))
+)
+FREQ = "fs AS (SELECT ticker, 'daily' AS freq, date, 1 + coalesce(ret, 0) AS adj FROM ret UNION ALL SELECT ticker, 'weekly', date, 1 - coalesce(ret, 0) / 2 FROM ret WHERE date < DATE '2001-01-01')"
+freq = lambda s, d: (b := ret(s, d).na.fill(0.0, ["ret"])).select("ticker", F.lit("daily").alias("freq"), "date", (1 + F.col("ret")).alias("adj")).unionByName(b.where("date < date'2001-01-01'").select("ticker", F.lit("weekly").alias("freq"), "date", (1 - F.col("ret") / 2).alias("adj")))
+COMP = "cs AS (SELECT ticker, 0.7 * max_by(adj, date) FILTER (WHERE freq = 'daily') + 0.3 * max_by(adj, date) FILTER (WHERE freq = 'weekly') AS signal FROM fs GROUP BY 1)"
+query("composite_signal", f"{ONE}, {FREQ}, {COMP} SELECT ticker, round(signal, 6) AS signal FROM cs")(lambda s, d: rounded(signals.latest_composite(freq(s, d))))
+query("propagate_similarity", f"""{TWO}, sg AS (SELECT ticker, avg(ret) * 100 AS signal FROM ret GROUP BY 1), sm AS (SELECT ticker, date, {rolling_sql('avg', 90, 90)} AS ret FROM ret),
+nr AS (SELECT a.ticker AS a, b.ticker AS b, abs(corr(a.ret, b.ret)) AS v FROM sm a JOIN sm b ON a.date = b.date AND a.ticker <> b.ticker WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2),
+ot AS (SELECT a AS ticker, sum(signal * v) / sum(v) AS o FROM nr JOIN sg ON sg.ticker = nr.b WHERE v > 0 GROUP BY 1) SELECT ticker, round(0.5 * signal + 0.5 * coalesce(o, 0), 6) + 0.0::DOUBLE AS signal FROM sg LEFT JOIN ot USING (ticker)""")(
+    lambda s, d: rounded(signals.propagate((r2 := ret2(s, d)).groupBy("ticker").agg((F.avg("ret") * 100).alias("signal")), r2))
+)
+query("tilt_allocation", f"""{ONE}, {WEIGHTS}, {FREQ}, {COMP}, t AS (SELECT ticker, weight * (1 + 0.2 * signal) AS m FROM w JOIN cs USING (ticker)), u AS (SELECT ticker, CASE WHEN m < 0 THEN 0.1 * m ELSE m END AS m FROM t)
+SELECT ticker, round(m / sum(m) OVER (), 6) AS weight FROM u""")(lambda s, d: rounded(signals.tilt(fixed_weights(s, d), signals.latest_composite(freq(s, d)))))
+query("ou_params", f"""WITH {P1}, o AS (SELECT * FROM (SELECT ticker, ln(adj_close) AS p, lag(ln(adj_close)) OVER (PARTITION BY ticker ORDER BY date) AS x FROM p1) WHERE x IS NOT NULL),
+l AS (SELECT ticker, regr_slope(p - x, x) AS b, regr_intercept(p - x, x) AS a FROM o GROUP BY 1), e AS (SELECT ticker, b, a, stddev_pop(p - x - a - b * x) AS s FROM o JOIN l USING (ticker) GROUP BY 1, 2, 3)
+SELECT ticker, round(-b, 6) AS kappa, round(a / -b, 6) AS mu, round(s * sqrt(-2 * b / (1 - exp(2 * b))), 6) AS sigma FROM e""")(lambda s, d: rounded(signals.ou_fit(p1(s, d))))
+VEC = "v AS (SELECT ticker, CASE WHEN ticker < 'S015' THEN 1.0 ELSE -1.0 END AS v FROM (SELECT DISTINCT ticker FROM p2))"
+vector = lambda rows: rows.select("ticker").distinct().withColumn("v", F.when(F.col("ticker") < "S015", 1.0).otherwise(-1.0))
+query("basket_spread", f"WITH {P2}, {DENSE}, {VEC} SELECT date, round(sum(ln(adj_close) * v), 6) + 0.0::DOUBLE AS spread FROM filled JOIN v USING (ticker) GROUP BY 1")(lambda s, d: rounded(signals.spread((f := filled(s, d)), vector(f))))
+
+
+def state_sql(source: str, window: int, high: float) -> str:
+    over = f"(PARTITION BY ticker ORDER BY date ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
+    return f"""WITH RECURSIVE {P1}, {RET}, {source}, q AS (SELECT ticker, date, ret, CASE WHEN count(ret) OVER w >= {window} THEN avg(ret) OVER w END AS m, CASE WHEN count(ret) OVER w >= {window} THEN nullif(stddev_samp(ret) OVER w, 0) END AS s FROM src WINDOW w AS {over}),
+zz AS (SELECT ticker, date, (ret - m) / s AS z, pow(0.5, s / avg(s) OVER (PARTITION BY ticker)) AS decay, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM q),
+fold AS (SELECT ticker, date, i, z, decay, 0 AS state, 0 AS age FROM zz WHERE i = 1 UNION ALL
+  SELECT ticker, date, i, z, decay, st AS state, CASE WHEN st <> 0 AND p <> 0 THEN age + 1 ELSE 0 END AS age FROM (
+    SELECT n.ticker, n.date, n.i, n.z, n.decay, f.age, f.state AS p, CASE WHEN n.z IS NULL THEN 0 WHEN f.state = 0 THEN CASE WHEN n.z > {high} THEN -1 WHEN n.z < -{high} THEN 1 ELSE 0 END
+      WHEN f.state = -1 AND n.z < {high} / 2 OR f.state = 1 AND n.z > -{high} / 2 THEN 0 ELSE f.state END AS st FROM fold f JOIN zz n ON n.ticker = f.ticker AND n.i = f.i + 1))
+SELECT ticker, date, state, round(CASE WHEN state <> 0 AND abs(z) >= {high} THEN greatest(0, 1 + state * abs(z) * pow(decay, age)) ELSE 1 END, 6) AS adj FROM fold"""
+
+
+query("stateful_signal_daily", state_sql("src AS (SELECT * FROM ret)", 20, 1.5))(lambda s, d: rounded(signals.stateful(ret(s, d), 20, 1.5, 1.5)))
+query("stateful_signal_weekly", state_sql("src AS (SELECT ticker, (date_trunc('week', date) + INTERVAL 6 DAY)::DATE AS date, max_by(ret, date) AS ret FROM ret WHERE ret IS NOT NULL GROUP BY 1, 2)", 5, 1.2))(
+    lambda s, d: rounded(signals.stateful(windows.weekly_last(ret(s, d).where("ret is not null")), 5, 1.2, 1.2))
+)
+DEV = f"WITH RECURSIVE {P2}, {DENSE}, {VEC}, sp AS (SELECT date, sum(ln(adj_close) * v) AS s FROM filled JOIN v USING (ticker) GROUP BY 1), dv AS (SELECT date, (s - avg(s) OVER ()) / stddev_samp(s) OVER () AS dev, row_number() OVER (ORDER BY date) AS i FROM sp)"
+
+
+@query("basket_positions", DEV + """, fold AS (SELECT date, i, CASE WHEN dev < -0.7 THEN 1 WHEN dev > 0.7 THEN -1 ELSE 0 END AS position FROM dv WHERE i = 1 UNION ALL
+  SELECT n.date, n.i, CASE WHEN f.position = 0 THEN CASE WHEN dev < -0.7 THEN 1 WHEN dev > 0.7 THEN -1 ELSE 0 END WHEN f.position = 1 AND dev >= 0 OR f.position = -1 AND dev <= 0 THEN 0 ELSE f.position END FROM fold f JOIN dv n ON n.i = f.i + 1)
+SELECT date, position FROM fold""")
+def positions(s, d):
+    line = signals.spread((f := filled(s, d)), vector(f)).withColumn("ticker", F.lit("basket"))
+    whole = Window.partitionBy("ticker")
+    dev = line.withColumn("dev", (F.col("spread") - F.avg("spread").over(whole)) / F.stddev_samp("spread").over(whole))
+    return signals.basket_positions(dev, -0.7, 0.7).select("date", "position")
+
+
+@query("ou_trades", f"""WITH {P1}, dv AS (SELECT ticker, date, adj_close AS price, ln(adj_close) - avg(ln(adj_close)) OVER (PARTITION BY ticker) AS dev FROM p1),
+en AS (SELECT a.ticker, a.date, a.price, (SELECT min(b.date) FROM dv b WHERE b.ticker = a.ticker AND b.date > a.date AND b.dev > 0.3) AS xd FROM dv a WHERE a.dev < -0.3),
+tr AS (SELECT ticker, min(date) AS date, min_by(price, date) AS entry, xd FROM en WHERE xd IS NOT NULL GROUP BY ticker, xd)
+SELECT tr.ticker, tr.date, round(entry, 4) AS entry, xd AS exit_date, round(dv.price, 4) AS exit, round(ln(dv.price / entry), 6) AS ret FROM tr JOIN dv ON dv.ticker = tr.ticker AND dv.date = tr.xd""")
+def trades(s, d):
+    rows = p1(s, d).select("ticker", "date", F.col("adj_close").alias("price"))
+    dev = rows.withColumn("dev", F.ln("price") - F.avg(F.ln("price")).over(Window.partitionBy("ticker")))
+    out = signals.ou_trades(dev, F.lit(-0.3), F.lit(0.3))
+    return out.withColumns({"entry": r(F.col("entry"), 4), "exit": r(F.col("exit"), 4), "ret": r(F.col("ret"))})
+
+
+query("window_threshold_grid")(lambda s, d: rounded(signals.window_grid(ret(s, d).where("ret is not null").withColumn("ret", F.col("ret") / 100), [10, 20], [1.0, 1.5, 2.0])))
+query("period_weight_grid", f"""{ONE}, {FREQ}, l AS (SELECT ticker, max_by(adj, date) FILTER (WHERE freq = 'daily') AS d, max_by(adj, date) FILTER (WHERE freq = 'weekly') AS w FROM fs GROUP BY 1),
+m AS (SELECT ticker, g, (g * d + (10 - g) * w) / 10 AS s FROM l, (SELECT unnest(range(1, 11)) AS g)), t AS (SELECT *, max(s) OVER (PARTITION BY g) AS top FROM m),
+f AS (SELECT ticker, g, greatest(0, 1 + CASE WHEN top <= 1 THEN s - 1 ELSE (s - 1) / (top - 1) END) AS f FROM t), k AS (SELECT ticker, g, f / sum(f) OVER (PARTITION BY g) AS k FROM f),
+p AS (SELECT g, date, sum(k * ret / 10) AS ret FROM ret JOIN k USING (ticker) WHERE ret IS NOT NULL GROUP BY 1, 2)
+SELECT g / 10 AS weight, round(avg(ret) / (stddev_samp(ret) * sqrt(252)) - CASE WHEN product(1 + ret) - 1 < 0 THEN 2 * abs(product(1 + ret) - 1) ELSE 0 END, 6) AS score FROM p GROUP BY g""")(
+    lambda s, d: rounded(signals.weight_grid((f := freq(s, d)).where("freq = 'daily'"), f.where("freq = 'weekly'"), ret(s, d).withColumn("ret", F.col("ret") / 10)))
+)
+query("alpha_grid", f"""{ONE}, {WEIGHTS}, {FREQ}, {COMP}, g AS (SELECT i, 0.05 * pow(4.0, i / 7.0) AS a FROM (SELECT unnest(range(0, 8)) AS i)), t AS (SELECT i, a, ticker, weight * (1 + a * signal) AS m FROM w JOIN cs USING (ticker), g),
+u AS (SELECT i, a, ticker, CASE WHEN m < 0 THEN 0.1 * m ELSE m END AS m FROM t), k AS (SELECT i, a, ticker, m / sum(m) OVER (PARTITION BY i) AS k FROM u), p AS (SELECT a, date, sum(k * ret / 10) AS ret FROM ret JOIN k USING (ticker) WHERE ret IS NOT NULL GROUP BY 1, 2)
+SELECT round(a, 6) AS alpha, round(avg(ret) / (stddev_samp(ret) * sqrt(252)) - CASE WHEN product(1 + ret) - 1 < 0 THEN 2 * abs(product(1 + ret) - 1) ELSE 0 END, 6) AS score FROM p GROUP BY a""")(
+    lambda s, d: rounded(signals.alpha_grid(fixed_weights(s, d), signals.latest_composite(freq(s, d)), ret(s, d).withColumn("ret", F.col("ret") / 10)))
+)
+query("kelly_rp_grid", f"""{ONE}, k AS (SELECT ticker, avg(ret) / var_samp(ret) AS k, 1 / stddev_samp(ret) AS v FROM ret GROUP BY 1), n AS (SELECT ticker, k / sum(k) OVER () AS k, v / sum(v) OVER () AS v FROM k),
+c AS (SELECT i, j, ticker, i * k + j * v AS w FROM n, (SELECT unnest(range(1, 11)) AS i), (SELECT unnest(range(1, 11)) AS j)), u AS (SELECT i, j, ticker, w / sum(w) OVER (PARTITION BY i, j) AS w FROM c),
+p AS (SELECT i, j, date, sum(w * ret) AS ret FROM ret JOIN u USING (ticker) WHERE ret IS NOT NULL GROUP BY 1, 2, 3)
+SELECT i / 10 AS a, j / 10 AS b, round(0.5 * (avg(ret) / (stddev_samp(ret) * sqrt(252)) + avg(ret) / pow(avg(pow(-ret, 3)) FILTER (WHERE ret < 0), 1.0 / 3)), 6) AS score FROM p GROUP BY i, j""")(
+    lambda s, d: rounded(signals.blend_grid(weights.kelly(ret(s, d)), weights.inverse_volatility(ret(s, d)), ret(s, d)))
+)
+
+# clustering, optimisers, detectors, pipelines: not SQL; tests hold them against closed forms and properties
+
+for name in metrics.OBJECTIVES:
+    query(f"nco_weights_{name}")(lambda s, d, o=name: rounded(portfolio.nested_clustering(ret2(s, d).withColumn("ret", F.col("ret") / 10), o)))
+for name, method in (("kmeans_labels", "kmeans"), ("hdbscan_labels", "hdbscan"), ("mst_communities", "mst")):
+    query(name)(lambda s, d, m=method: portfolio.clusters(ret2(s, d), m))
+
+
+@query("spectral_select")
+def spectral(s, d):
+    """The three tickers of the highest mean return of each spectral cluster."""
+    rows = ret2(s, d)
+    scores = rows.groupBy("ticker").agg(F.avg("ret").alias("score")).join(portfolio.clusters(rows, "spectral"), "ticker")
+    return rounded(scores.withColumn("i", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "ticker"))).where("i <= 3").drop("i"))
+
+
+query("isolation_forest_flags")(lambda s, d: rounded(anomaly.isolation(ret2(s, d))))
+query("kalman_flags")(lambda s, d: rounded(anomaly.kalman(ret2(s, d))))
+query("johansen_vector")(lambda s, d: rounded(portfolio.johansen(filled(s, d).where("ticker < 'S004'"))))
+query("allocator")(lambda s, d: rounded(portfolio.allocate(ret2(s, d))))
+query("pipeline_z")(lambda s, d: rounded(portfolio.run(prices.supplier_prices(s, d).where("ticker < 'S010'"), None, portfolio.Config(use_anomaly_filter=True, use_decorrelation=True, use_reversion=True, reversion_type="z"))["weights"]))
+query("pipeline_ou")(lambda s, d: rounded(portfolio.run(prices.supplier_prices(s, d).where("ticker < 'S008'"), None, portfolio.Config(use_reversion=True, reversion_type="ou"))["weights"]))
+
+# text, calendar and streams
+
+query("clean_ticker", "SELECT DISTINCT p_brand, upper(regexp_replace(p_brand, '[^A-Za-z]', '', 'g')) AS ticker FROM part")(lambda s, d: prices.table(s, d, "part").select("p_brand", prices.clean_ticker(F.col("p_brand")).alias("ticker")).distinct())
+query("watchlist_parse", "SELECT DISTINCT upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS ticker FROM part WHERE regexp_matches(p_name, '[A-Za-z]')")(lambda s, d: prices.watchlist(prices.table(s, d, "part").select(F.col("p_name").alias("value"))))
+query("symbols_hash", "SELECT md5(string_agg(p_brand, '_' ORDER BY p_brand)) AS hash FROM (SELECT DISTINCT p_brand FROM part)")(lambda s, d: prices.symbols_hash(prices.table(s, d, "part").select(F.col("p_brand").alias("ticker"))))
+query("json_weights_roundtrip", f"WITH {P1}, {WEIGHTS} SELECT ticker, weight FROM w")(lambda s, d: prices.weights_from_json(prices.weights_json(fixed_weights(s, d))))
+query("etf_holdings_scrape", r"""SELECT page_id, (i - 1)::INT AS place, l[i] AS symbol FROM (SELECT page_id, l, unnest(range(1, least(10, len(l)) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*href="([^"]+)"', 1) AS l FROM pages))""")(
+    lambda s, d: prices.table(s, d, "pages").select("page_id", F.posexplode(F.slice(F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]+)"'), F.lit(1)), 1, 10)).alias("place", "symbol"))
+)
+query("trading_calendar", f"""WITH {P1}, dd AS (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS date) SELECT date, isodow(date) < 6 AND date NOT IN (
+  SELECT CASE isodow(h) WHEN 6 THEN h - 1 WHEN 7 THEN h + 1 ELSE h END FROM (SELECT unnest([make_date(y, 1, 1), make_date(y, 7, 4), make_date(y, 12, 25)]) AS h FROM (SELECT unnest(range(1995, 2003)) AS y)) WHERE year(CASE isodow(h) WHEN 6 THEN h - 1 WHEN 7 THEN h + 1 ELSE h END) = year(h)
+  UNION SELECT date FROM dd WHERE month(date) IN (1, 2) AND isodow(date) = 1 AND day(date) BETWEEN 15 AND 21 OR month(date) = 5 AND isodow(date) = 1 AND day(date) > 24 OR month(date) = 9 AND isodow(date) = 1 AND day(date) < 8 OR month(date) = 11 AND isodow(date) = 4 AND day(date) BETWEEN 22 AND 28
+  UNION SELECT unnest([DATE '1995-04-14', DATE '1996-04-05', DATE '1997-03-28', DATE '1998-04-10', DATE '1999-04-02', DATE '2000-04-21', DATE '2001-04-13'])) AS is_session FROM dd""")(lambda s, d: prices.calendar(s, "1995-01-01", "2001-12-31"))
+BAR = "min_by(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, (ts, event_id)) AS close, count(*) AS n"
+query("tumbling_bars", f"SELECT event_type AS ticker, time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) AS start, {BAR} FROM events GROUP BY 1, 2")(lambda s, d: bars.bars(prices.table(s, d, "events")))
+query("sliding_bars", f"SELECT event_type AS ticker, time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) - INTERVAL 1 HOUR * k AS start, {BAR} FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")(lambda s, d: bars.bars(prices.table(s, d, "events"), "2 hours", "1 hour"))
+query("session_activity", """WITH g AS (SELECT user_id, ts::TIMESTAMP AS ts, CASE WHEN ts::TIMESTAMP - lag(ts::TIMESTAMP) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+h AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM h GROUP BY user_id, k""")(lambda s, d: bars.sessions(prices.table(s, d, "events")))
