@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.functions.shipping import ship
 from tessera.llm import bpe, common, decontaminate, minhash, quality_rules, secrets
 
 
@@ -17,6 +18,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    ship(spark)
     return minhash.keep(docs)
 
 
@@ -32,6 +34,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and the digests of ids and of the decoded text."""
+    ship(spark)
     return bpe.encode(docs, bpe.default_tokenizer(), digest=True)
 
 

@@ -63,6 +63,15 @@ def drop_staged() -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is among ids (one column); nulls are equal, and no column name clashes."""
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    gone = ids.select(F.col(ids.columns[0]).alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, and nothing else."""
     return F.translate(text, UPPER, LOWER)

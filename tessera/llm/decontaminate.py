@@ -4,8 +4,8 @@ Every window of 13 consecutive words of a benchmark item (the whole item, if sho
 the documents. The index holds postings (term, document, position), and only of the terms that are
 needed: for each window its two rarest terms, by counts over all documents. A posting of a pivot
 term at item place q lies on the diagonal (position - q); a pair of document and item is a candidate
-where, on one diagonal, both pivots of a window meet. Candidates are then compared word by word
-along the diagonal, and runs of a window's length or longer are exact matches.
+where, on one diagonal, both pivots of a window meet. The document's words beside the item are then
+compared one by one along the diagonal, and runs of a window's length or longer are exact matches.
 
 The table of pivot terms grows with the benchmark. It is left to Spark to broadcast it when it is
 small; otherwise the same join runs as a shuffle of thin postings (term, document, position).
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, lower_ascii, stage, variant
+from tessera.llm.common import documents, lower_ascii, stage, variant, without
 
 #: What separates words, the words of a window, and the share of hit words that contaminates.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -73,9 +73,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     here = per_doc.select(F.col("_d").alias("_pd"), F.col("_v").alias("_pv"), "tries")
     raw = docs.select(F.col("doc_id").alias("_d"), variant(F.col(text)).alias("_v"), F.col(text).alias("_text"))
     rows = raw.join(here, F.col("_d").eqNullSafe(F.col("_pd")) & (F.col("_v") == F.col("_pv"))).dropDuplicates(["_d", "_v"])
-    tried = rows.select("_d", "_v", words(F.col("_text")).alias("w"), F.explode("tries").alias("t")).select("_d", "_v", "w", "t.*")
+    beside = F.transform("tries", lambda t: t.withField("dw", F.transform(F.sequence(F.lit(0), F.size(t["iw"]) - 1), lambda q: F.get("w", q + t["diag"]))))
+    tried = rows.select("_d", "_v", words(F.col("_text")).alias("w"), "tries").select("_d", "_v", F.inline(beside))
     places = F.sequence(F.lit(-1), F.size("iw"))
-    breaks = F.filter(places, lambda q: (q < 0) | (q >= F.size("iw")) | ~F.coalesce(F.get("w", q + F.col("diag")) == F.get("iw", q), F.lit(False)))
+    breaks = F.filter(places, lambda q: (q < 0) | (q >= F.size("iw")) | ~F.coalesce(F.get("dw", q) == F.get("iw", q), F.lit(False)))
     gaps = tried.withColumn("_b", breaks)
     runs = F.transform("_b", lambda b, i: F.struct((b + 1 + F.col("diag")).alias("start"), (F.get("_b", i + 1) + F.col("diag")).alias("end")))
     kept = F.filter(runs, lambda r: r["end"] - r["start"] >= F.col("len"))
@@ -100,8 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that aren't contaminated."""
-    judged = contamination(docs, benchmark, text).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(judged, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, contamination(docs, benchmark, text).where("contaminated").select("doc_id"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

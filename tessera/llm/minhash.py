@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, stage, utf8
+from tessera.llm.common import documents, stage, utf8, without
 from tessera.llm.components import components
 from tessera.llm.repeats import NO_DOC
 from tessera.llm.rolling import BASES, Ranges, U, mix
@@ -202,8 +202,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are the first of their component, with their own columns."""
-    gone = near_duplicates(docs, text).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, near_duplicates(docs, text).where(~F.col("kept")).select("doc_id"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,10 +164,11 @@ def scan(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", fdr: float = FDR) -> DataFrame:
     """docs, each reported span replaced by mark (overlapping ones by one); n_chars, if there, follows the text."""
-    rows = stage(scanned(docs, text), "secrets-docs")
+    inner = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    rows = stage(scanned(inner, "_text").drop("_text"), "secrets-docs")
     spanned = with_spans(rows, limits(rows.select(F.inline("_tokens")), fdr))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    body = F.col(text)
+    body = F.col("_row")[text]
 
     def cut(state: Column, s: Column) -> Column:
         inside = s["start"] < state["at"]
@@ -175,10 +176,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", fdr: flo
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], piece, F.lit(mark))).alias("out"))
 
     clean = F.aggregate("_spans", begin, cut, lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body))))
-    out = spanned.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(body))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    now = F.when(F.size("_spans") > 0, clean).otherwise(body)
+    changed = {text: now} | ({"n_chars": F.length(now).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return spanned.select(*(changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
