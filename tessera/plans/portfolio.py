@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numerics
 from tessera.functions.shipping import ship
+from tessera.functions.staging import staged
 from tessera.operators import align, anomaly, linalg, metrics, signals, weights, windows
 
 #: The most tickers whose pairs are brought to the driver.
@@ -114,14 +115,14 @@ def nested_clustering(returns: DataFrame, objective: str, max_weight: float = 1.
     """Optimal weights within clusters (a task for each), then between the clusters' portfolios; small weights are dropped."""
     spark = returns.sparkSession
     ship(spark)
-    clean = align.drop_sparse(returns, "ret")
+    clean = staged(align.drop_sparse(returns, "ret"))
     labels = clusters(clean, "kmeans")
 
     def inside(part: pd.DataFrame) -> pd.DataFrame:
         wide = part.pivot_table(index="date", columns="ticker", values="ret").fillna(0.0).sort_index(axis=1)
         return pd.DataFrame({"cluster": int(part["cluster"].iloc[0]), "ticker": wide.columns, "weight": solved(wide.to_numpy(float), objective, max_weight, short)})
 
-    within = clean.join(labels, "ticker").groupBy("cluster").applyInPandas(inside, "cluster int, ticker string, weight double").cache()
+    within = staged(clean.join(labels, "ticker").groupBy("cluster").applyInPandas(inside, "cluster int, ticker string, weight double"))
     reduced = clean.where("ret is not null").join(within, "ticker").groupBy("date", "cluster").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
     wide = reduced.groupBy("date").pivot("cluster", [r[0] for r in labels.select("cluster").distinct().orderBy("cluster").collect()]).agg(F.first("ret"))
     table = wide.toPandas().sort_values("date").drop(columns="date").fillna(0.0)  # a column for each of at most ten clusters
@@ -173,7 +174,7 @@ def basket(prices: DataFrame) -> DataFrame:
 
 def allocate(returns: DataFrame) -> DataFrame:
     """The best blend of Kelly and inverse-volatility weights on a grid, with leverage up to 1 for a risk of 15 %."""
-    k, r = weights.kelly(returns), weights.inverse_volatility(returns)
+    k, r = staged(weights.kelly(returns)), staged(weights.inverse_volatility(returns))
     top = signals.blend_grid(k, r, returns).orderBy(F.desc_nulls_last("score"), "a", "b").first()
     a, b = (top["a"], top["b"]) if top else (0.0, 1.0)
     mixed = k.join(r.withColumnRenamed("weight", "w2"), "ticker").select("ticker", ((a * F.col("weight") + b * F.col("w2")) / (a + b)).alias("weight"))
@@ -184,12 +185,12 @@ def allocate(returns: DataFrame) -> DataFrame:
 def z_overlay(base: DataFrame, returns: DataFrame, objective: str = "sharpe") -> DataFrame:
     """base tilted by mean-reversion signals of every ticker, spread within the portfolio by similarity."""
     best = lambda rows, sizes: signals.window_grid(rows, sizes, [1.0, 1.5, 2.0, 2.5], objective).orderBy(F.desc_nulls_last("score"), "window", "z").first()
-    weekly = windows.weekly_last(returns.where("ret is not null"))
+    weekly = staged(windows.weekly_last(returns.where("ret is not null")))
     d, w = best(returns, [10, 20]), best(weekly, [5, 10])
-    daily_s, weekly_s = signals.stateful(returns, d["window"], d["z"], d["z"]), signals.stateful(weekly, w["window"], w["z"], w["z"])
+    daily_s, weekly_s = staged(signals.stateful(returns, d["window"], d["z"], d["z"])), staged(signals.stateful(weekly, w["window"], w["z"], w["z"]))
     share = signals.weight_grid(daily_s, weekly_s, returns, objective=objective).orderBy(F.desc_nulls_last("score"), "weight").first()["weight"]
     both = daily_s.withColumn("freq", F.lit("daily")).unionByName(weekly_s.withColumn("freq", F.lit("weekly")))
-    spread = signals.propagate(signals.latest_composite(both, share), returns)
+    spread = staged(signals.propagate(signals.latest_composite(both, share), returns))
     alpha = signals.alpha_grid(base, spread, returns, objective=objective).orderBy(F.desc_nulls_last("score"), "alpha").first()["alpha"]
     vol = windows.latest_volatility(returns, 30, None).first()["vol"] or 0.0
     return weights.normalize(signals.tilt(base, spread, alpha / (1 + vol)))
@@ -203,7 +204,7 @@ def ou_overlay(base: DataFrame, prices: DataFrame, returns: DataFrame) -> DataFr
     dates = returns.select("ticker", "date")
     single = dates.join(trades, ["ticker", "date"], "left").na.fill(0.0, ["ret"])
     group = basket(prices).select(F.lit("basket").alias("ticker"), "date", "ret")
-    spread = allocate(single.unionByName(group)).cache()
+    spread = staged(allocate(staged(single.unionByName(group))))
     share = spread.where("ticker = 'basket'").first()
     hedge = johansen(prices).select("ticker", F.col("v").alias("ratio"))
     target = weights.distribute(spread.where("ticker <> 'basket'"), share["weight"] if share else 0.0, hedge)
@@ -213,30 +214,30 @@ def ou_overlay(base: DataFrame, prices: DataFrame, returns: DataFrame) -> DataFr
 
 def run(prices: DataFrame, market: DataFrame | None = None, config: Config = Config()) -> dict[str, DataFrame]:
     """Prices (ticker, date, adj_close) to weights, report, contributions, box statistics and plot rows."""
-    filled = align.fill(align.densify(prices.select("ticker", "date", "adj_close")), "adj_close").cache()
-    returns = windows.simple_returns(filled).where("ret is not null").cache()
+    filled = staged(align.fill(align.densify(prices.select("ticker", "date", "adj_close")), "adj_close"))
+    returns = staged(windows.simple_returns(filled).where("ret is not null"))
     kept = returns.select("ticker").distinct()
     if config.use_anomaly_filter:
-        calm = anomaly.keep_calm(anomaly.flags(returns)).select("ticker").cache()
+        calm = staged(anomaly.keep_calm(anomaly.flags(returns)).select("ticker"))
         kept = calm if not calm.isEmpty() else kept
     if config.use_decorrelation:
         inside = returns.join(kept, "ticker", "left_semi")
-        few = decorrelated(inside, clusters(inside), config.objective).select("ticker").cache()
+        few = staged(decorrelated(inside, clusters(inside), config.objective).select("ticker"))
         kept = few if not few.isEmpty() else kept
-    logs = windows.log_returns(filled.join(kept, "ticker", "left_semi"))
+    logs = staged(windows.log_returns(filled.join(kept, "ticker", "left_semi")))
     last = logs.agg(F.max("date")).first()[0]
     portfolios = None
     for years, models in config.models:
         part = logs.where(F.col("date") >= F.date_sub(F.lit(last), round(365 * years)))
         for model in models:
             w = weights.limit_size(weights.normalize(optimise(model, part, config), config.min_weight), config.max_size)
-            named = w.withColumn("portfolio", F.lit(f"{model}{years}"))
+            named = staged(w.withColumn("portfolio", F.lit(f"{model}{years}")))
             portfolios = named if portfolios is None else portfolios.unionByName(named)
-    base = weights.normalize(weights.stack(portfolios), config.min_weight).cache()
+    base = staged(weights.normalize(weights.stack(portfolios), config.min_weight))
     held, chosen = logs.join(base, "ticker", "left_semi"), filled.join(base, "ticker", "left_semi")
     if config.use_reversion:
         final = z_overlay(base, returns.join(base, "ticker", "left_semi"), config.objective) if config.reversion_type == "z" else ou_overlay(base, chosen, held)
-        final = final.cache()
+        final = staged(final)
     else:
         final = base
     own = metrics.portfolio_returns(held, final)
