@@ -24,7 +24,7 @@ P1 = """p1 AS (SELECT o_orderpriority AS ticker, o_orderdate::DATE AS date, min_
   max(o_totalprice) AS high, min(o_totalprice) AS low, max_by(o_totalprice, o_orderkey) AS close, avg(o_totalprice) AS adj_close,
   count(*)::DOUBLE AS volume FROM orders GROUP BY 1, 2)"""
 P2 = """p2 AS (SELECT 'S' || lpad(l_suppkey::VARCHAR, 3, '0') AS ticker, date_trunc('week', l_shipdate)::DATE AS date,
-  avg(l_extendedprice) AS adj_close FROM lineitem WHERE l_suppkey < 30 GROUP BY 1, 2)"""
+  avg(l_extendedprice) AS adj_close FROM lineitem GROUP BY 1, 2)"""
 DENSE = """dense AS (SELECT t.ticker, d.date, p2.adj_close FROM (SELECT DISTINCT ticker FROM p2) t, (SELECT DISTINCT date FROM p2) d
   LEFT JOIN p2 ON p2.ticker = t.ticker AND p2.date = d.date),
 filled AS (SELECT ticker, date, coalesce(
@@ -181,8 +181,9 @@ query("rolling_mean_std", f"{ONE} SELECT ticker, date, round({rolling_sql('avg',
 Z30 = f"(ret - {rolling_sql('avg', 30, 5)}) / ({rolling_sql('stddev_samp', 30, 5)} + 1e-8)"
 query("rolling_zscore", f"{ONE} SELECT ticker, date, round({Z30}, 6) + 0.0::DOUBLE AS z FROM ret")(lambda s, d: rounded(windows.zscore(ret(s, d), "ret", 30, 5, 1e-8).select("ticker", "date", "z")))
 MAD = f"""{ONE}, fr AS (SELECT *, list(ret) OVER w AS v, count(*) OVER w AS n FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-rz AS (SELECT ticker, date, ret, (ret - list_median(list_filter(v, lambda x: x IS NOT NULL))) / nullif(CASE WHEN len(list_filter(v, lambda x: x IS NOT NULL)) = n THEN list_mad(v) / 1.4826 END, 0) AS z FROM fr)"""
-query("robust_z_mad", MAD.replace("list_median(", "list_aggregate(").replace("IS NOT NULL)) / nullif", "IS NOT NULL), 'median')) / nullif").replace("list_mad(v)", "list_aggregate(v, 'mad')") + " SELECT ticker, date, round(z, 6) + 0.0::DOUBLE AS z FROM rz")(
+rz AS (SELECT ticker, date, ret, (ret - list_aggregate(list_filter(v, lambda x: x IS NOT NULL), 'median'))
+  / nullif(CASE WHEN len(list_filter(v, lambda x: x IS NOT NULL)) = n THEN list_aggregate(v, 'mad') / 1.4826 END, 0) AS z FROM fr)"""
+query("robust_z_mad", MAD + " SELECT ticker, date, round(z, 6) + 0.0::DOUBLE AS z FROM rz")(
     lambda s, d: rounded(windows.robust_zscore(ret(s, d), "ret", 20).select("ticker", "date", "z"))
 )
 query("weekly_last", f"{ONE} SELECT ticker, (date_trunc('week', date) + INTERVAL 6 DAY)::DATE AS date, round(max_by(ret, date), 8) AS ret FROM ret WHERE ret IS NOT NULL GROUP BY 1, 2")(lambda s, d: rounded(windows.weekly_last(ret(s, d).where("ret is not null")), 8))
@@ -397,10 +398,10 @@ def spectral(s, d):
 
 query("isolation_forest_flags")(lambda s, d: rounded(anomaly.isolation(ret2(s, d))))
 query("kalman_flags")(lambda s, d: rounded(anomaly.kalman(ret2(s, d))))
-query("johansen_vector")(lambda s, d: rounded(portfolio.johansen(filled(s, d).where("ticker < 'S004'"))))
+query("johansen_vector")(lambda s, d: rounded(portfolio.johansen(align.fill(align.densify(p1(s, d).select("ticker", "date", "adj_close")), "adj_close"))))
 query("allocator")(lambda s, d: rounded(portfolio.allocate(ret2(s, d))))
-query("pipeline_z")(lambda s, d: rounded(portfolio.run(prices.supplier_prices(s, d).where("ticker < 'S010'"), None, portfolio.Config(use_anomaly_filter=True, use_decorrelation=True, use_reversion=True, reversion_type="z"))["weights"]))
-query("pipeline_ou")(lambda s, d: rounded(portfolio.run(prices.supplier_prices(s, d).where("ticker < 'S008'"), None, portfolio.Config(use_reversion=True, reversion_type="ou"))["weights"]))
+query("pipeline_z")(lambda s, d: rounded(portfolio.run(p1(s, d), None, portfolio.Config(use_anomaly_filter=True, use_decorrelation=True, use_reversion=True, reversion_type="z"))["weights"]))
+query("pipeline_ou")(lambda s, d: rounded(portfolio.run(p1(s, d), None, portfolio.Config(use_reversion=True, reversion_type="ou"))["weights"]))
 
 # text, calendar and streams
 

@@ -26,11 +26,10 @@ def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(table(spark, sf_dir, "orders"), F.col("o_orderpriority"), F.to_date("o_orderdate"), "o_totalprice", "o_orderkey")
 
 
-def supplier_prices(spark: SparkSession, sf_dir: str, suppliers: int = 30) -> DataFrame:
-    """Weekly adj_close (mean extended price) of the first suppliers; weeks are labelled by their Monday."""
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_suppkey") < suppliers)
+def supplier_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly adj_close (mean extended price) of every supplier; weeks are labelled by their Monday."""
     week = F.to_date(F.date_trunc("week", "l_shipdate"))
-    return rows.groupBy(F.format_string("S%03d", "l_suppkey").alias("ticker"), week.alias("date")).agg(F.avg("l_extendedprice").alias("adj_close"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.format_string("S%03d", "l_suppkey").alias("ticker"), week.alias("date")).agg(F.avg("l_extendedprice").alias("adj_close"))
 
 
 def read_store(spark: SparkSession, path: str, tickers: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
