@@ -26,7 +26,8 @@ def features(returns: DataFrame) -> DataFrame:
     """ret, its absolute change (0 to 1) and its rolling z (-5 to 5)."""
     rows = windows.zscore(returns, "ret", 30, 5, 1e-8)
     change = F.abs(F.try_divide(F.col("ret"), F.lag("ret").over(by_date())) - 1)
-    return rows.select("ticker", "date", "ret", F.coalesce(F.least(change, F.lit(1.0)), F.lit(0.0)).alias("change"), F.coalesce(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col("z"))), F.lit(0.0)).alias("z"))
+    within = lambda c, low, high: F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c))).otherwise(0.0)  # noqa: E731  null is 0
+    return rows.select("ticker", "date", "ret", within(change, 0.0, 1.0).alias("change"), within(F.col("z"), -5.0, 5.0).alias("z"))
 
 
 def by_ticker(rows: DataFrame, detect) -> DataFrame:

@@ -196,8 +196,8 @@ query("fixed_z_anomaly", f"{ONE} SELECT ticker, date, coalesce(abs((ret - avg(re
 query("anomaly_fraction_filter", f"{ONE}, f AS (SELECT ticker, coalesce(abs((ret - avg(ret) OVER (PARTITION BY ticker)) / stddev_samp(ret) OVER (PARTITION BY ticker)) > 3, false) AS flag FROM ret) SELECT ticker, round(avg(flag::INT), 8) AS fraction FROM f GROUP BY 1 HAVING avg(flag::INT) <= 0.02")(
     lambda s, d: rounded(anomaly.keep_calm(anomaly.fixed_z(ret(s, d)), 0.02), 8)
 )
-query("if_features", f"""{ONE} SELECT ticker, date, round(ret, 8) + 0.0::DOUBLE AS ret, round(coalesce(least(abs(ret / nullif(lag(ret) OVER (PARTITION BY ticker ORDER BY date), 0) - 1), 1), 0), 6) AS change,
-  round(coalesce(greatest(-5, CASE WHEN {Z30} IS NOT NULL THEN least(5, {Z30}) END), 0), 6) + 0.0::DOUBLE AS z FROM (SELECT * FROM ret WHERE ret IS NOT NULL)""")(lambda s, d: rounded(anomaly.features(ret(s, d).where("ret is not null"))).withColumn("ret", F.col("ret")))
+query("if_features", f"""{ONE} SELECT ticker, date, round(ret, 8) + 0.0::DOUBLE AS ret, round(CASE WHEN lag(ret) OVER (PARTITION BY ticker ORDER BY date) <> 0 THEN least(abs(ret / lag(ret) OVER (PARTITION BY ticker ORDER BY date) - 1), 1) ELSE 0 END, 6) AS change,
+  round(CASE WHEN {Z30} IS NOT NULL THEN greatest(-5, least(5, {Z30})) ELSE 0 END, 6) + 0.0::DOUBLE AS z FROM (SELECT * FROM ret WHERE ret IS NOT NULL)""")(lambda s, d: rounded(anomaly.features(ret(s, d).where("ret is not null"))).withColumn("ret", F.col("ret")))
 query("anomaly_threshold_grid_z", f"""{ONE}, a AS (SELECT ticker, abs((ret - avg(ret) OVER (PARTITION BY ticker)) / stddev_samp(ret) OVER (PARTITION BY ticker)) AS a FROM ret WHERE ret IS NOT NULL),
 g AS (SELECT ticker, l AS "limit", avg(coalesce((a > l)::INT, 0)) AS fraction FROM a, (SELECT unnest([2.0, 2.5, 3.0, 3.5, 4.0])::DOUBLE AS l) GROUP BY 1, 2)
 SELECT ticker, min_by("limit", (fraction, "limit")) AS "limit", round(min(fraction), 8) AS fraction FROM g GROUP BY 1""")(lambda s, d: rounded(anomaly.z_grid(ret(s, d), [2.0, 2.5, 3.0, 3.5, 4.0]), 8))
