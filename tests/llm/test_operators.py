@@ -224,7 +224,8 @@ def test_pipeline_matches_plain_versions(spark, sf, rows, items):
 def test_pipeline_stages_keep_columns_that_clash(spark):
     import corpus_pipeline
 
-    df = frame(spark, [*ODD, (None, PASSAGE + "and a little more than that was said by nobody")])
+    clean = [(i, f"number {i} says that {PASSAGE}") for i in range(100, 140)]  # so that no host is rejected as a whole
+    df = frame(spark, [*ODD, *clean, (None, PASSAGE + "and a little more than that was said by nobody")])
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     for out in (quality_rules.keep(df), minhash.keep(df), decontaminate.clean(df, bench), secrets.redact(df)):
         assert out.columns == df.columns and out.select("_d", "_gone").distinct().collect() == [(1, 2.5)]
