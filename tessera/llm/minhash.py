@@ -1,4 +1,6 @@
-"""MinHash near-dedup: documents whose sets of word shingles have a Jaccard similarity of PERCENT or more.
+"""MinHash near-dedup: documents whose sets of word shingles have a Jaccard similarity of percent or more.
+
+The operator alone links at PERCENT, the corpus stage keep() at STAGE_PERCENT.
 
 Every set gets ROWS * BANDS universal-hash minima; bands of ROWS minima put likely pairs into
 buckets. Equal sets are first reduced to one. In each bucket every member is compared with the
@@ -8,7 +10,8 @@ into components by alternating large-star and small-star.
 A bucket that then still holds several components may hide links between other members. Its members
 are gathered, with those of all buckets they share, and compared across components in blocks: by
 size and signature, then on full sets; only links leave a block. So no bucket is capped. A link of
-similarity 0.85 is missed if no band agrees, with probability (1 - 0.85**5)**32 = 7e-9.
+similarity 0.85 is missed if no band agrees, with probability (1 - 0.85**5)**32 = 7e-9, one of 0.80
+with 3e-6.
 
 Words are runs of characters other than ASCII white space, with A-Z in lower case. A text of fewer
 words than a shingle is one shingle; null and empty texts have none and are linked with nothing.
@@ -34,9 +37,7 @@ from tessera.llm.rolling import BASES, Ranges, U, mix
 from tessera.llm.sentence_dedup import chunks, is_white
 
 #: Production parameters.
-SHINGLE, PERCENT, ROWS, BANDS = 5, 85, 5, 32
-#: Least agreement of signatures of a pair that is compared on full sets: six standard errors below PERCENT.
-MIN_AGREEMENT = 0.68
+SHINGLE, PERCENT, STAGE_PERCENT, ROWS, BANDS = 5, 85, 80, 5, 32
 #: Bytes of text that are hashed at a time; members of a block; rows of small groups in one task's group.
 CHUNK, BLOCK, GROUP_ROWS = 1 << 18, 1024, 4000
 
@@ -104,28 +105,42 @@ def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
 
-def linked(a: bytes, b: bytes) -> bool:
+def min_agreement(percent: int) -> float:
+    """Least agreement of signatures of a pair that is compared on full sets: six standard errors below percent."""
+    p = percent / 100
+    return p - 6 * (p * (1 - p) / (ROWS * BANDS)) ** 0.5
+
+
+def linked(a: bytes, b: bytes, percent: int) -> bool:
     x, y = np.frombuffer(a, U), np.frombuffer(b, U)
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, sig, sig) to the (u, v) whose signatures agree well enough."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array((x == y).mean(1) >= MIN_AGREEMENT))
+def agree(percent: int):
+    """Arrow batches of (u, v, sig, sig) to the (u, v) whose signatures agree well enough."""
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array((x == y).mean(1) >= min_agreement(percent)))
 
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, set, set) to the (u, v) that are linked."""
-    for batch in batches:
-        ok = [linked(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+    return of
+
+
+def verify(percent: int):
+    """Arrow batches of (u, v, set, set) to the (u, v) that are linked."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [linked(a, b, percent) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return of
 
 
-def across(rows: pd.DataFrame) -> pd.DataFrame:
+def across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between components in the blocks of one group: rows(cc, lo, hi, block, id, comp, n, sig, set)."""
     found = []
     for (_, lo, hi), part in rows.groupby(["cc", "lo", "hi"], sort=False):
@@ -134,12 +149,12 @@ def across(rows: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1)
         sets, comp = part["set"].to_list(), part["comp"].to_numpy().copy()
         for i in np.flatnonzero(block == lo):
-            other = (comp != comp[i]) & (block == hi) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
+            other = (comp != comp[i]) & (block == hi) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             if lo == hi:
                 other[: i + 1] = False
             where = np.flatnonzero(other)
-            for j in where[(sig[where] == sig[i]).mean(1) >= MIN_AGREEMENT]:
-                if comp[j] != comp[i] and linked(sets[i], sets[j]):
+            for j in where[(sig[where] == sig[i]).mean(1) >= min_agreement(percent)]:
+                if comp[j] != comp[i] and linked(sets[i], sets[j], percent):
                     found.append((ids[i], ids[j]))
                     comp[comp == comp[j]] = comp[i]
     return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
@@ -149,19 +164,19 @@ def pick(table: DataFrame, key: str, **columns: str) -> DataFrame:
     return table.select(F.col("id").alias(key), *(F.col(c).alias(as_) for as_, c in columns.items()))
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """docs(id, text) and reps(id, n, bands, sig), one row for each set, to links (u, v) that give its components."""
     buckets = reps.select("id", F.posexplode("bands").alias("b", "key"))
     shared = stage(buckets.groupBy("b", "key").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1"), "buckets")
     members = stage(buckets.join(shared, ["b", "key"]), "members")
     stars = members.where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct()
     sized = stars.join(pick(reps, "u", nu="n", su="sig"), "u").join(pick(reps, "v", nv="n", sv="sig"), "v")
-    fits = 100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")
-    likely = stage(sized.where(fits).select("u", "v", "su", "sv").mapInArrow(agree, "u long, v long"), "likely")
+    fits = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
+    likely = stage(sized.where(fits).select("u", "v", "su", "sv").mapInArrow(agree(percent), "u long, v long"), "likely")
     involved = members.select("id").distinct()
     sets = stage(docs.join(involved, "id").dropDuplicates(["id"]).select("id", "text").mapInArrow(with_sets, "id long, set binary"), "sets")
     full = likely.join(pick(sets, "u", x="set"), "u").join(pick(sets, "v", y="set"), "v").select("u", "v", "x", "y")
-    first = stage(full.mapInArrow(verify, "u long, v long"), "links")
+    first = stage(full.mapInArrow(verify(percent), "u long, v long"), "links")
     so_far = stage(components(first), "components")
     placed = members.where("m > 2").join(so_far, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     placed = stage(placed, "placed")
@@ -181,11 +196,11 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     )
     comps = open_.select("id", "comp").distinct()
     filled = keyed.join(comps, "id").join(reps.select("id", "n", "sig"), "id").join(sets, "id")
-    rest = filled.groupBy("g").applyInPandas(lambda rows: across(rows), "u long, v long")
+    rest = filled.groupBy("g").applyInPandas(lambda rows: across(rows, percent), "u long, v long")
     return first.unionByName(stage(rest, "links-across"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id and kept (it is the first of its component)."""
     nodes = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("id"), F.col(text).alias("text"))
     rows = stage(nodes.mapInArrow(signed, "id long, n long, f1 long, f2 long, bands array<long>, sig binary"), "minhash")
@@ -194,15 +209,15 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     same = (F.col("id") == F.col("rep")) & (rows["f1"] == least["f1"]) & (rows["f2"] == least["f2"])
     reps = stage(some.join(least, same).select("id", "n", "bands", "sig").dropDuplicates(["id"]), "sets-once")
     copies = some.join(least, ["f1", "f2"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    found = components(links(nodes, reps).unionByName(copies))
+    found = components(links(nodes, reps, percent).unionByName(copies))
     out = rows.select("id", "n").join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     real = lambda c: F.when(F.col(c) != NO_DOC, F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", percent: int = STAGE_PERCENT) -> DataFrame:
     """The documents that are the first of their component, with their own columns."""
-    return without(docs, near_duplicates(docs, text).where(~F.col("kept")).select("doc_id"))
+    return without(docs, near_duplicates(docs, text, percent).where(~F.col("kept")).select("doc_id"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
