@@ -12,7 +12,8 @@ few suffixes need the deep passes:
 3. The first run of each, where its anchor has other runs too, is sorted by whole windows.
 
 Batches settle repeats inside themselves, so a passage in a third of all documents sends a row a
-batch. An anchor that has many different runs in one batch skips to the third pass at once.
+batch. An anchor that has many different runs in one batch skips to the third pass at once; a mark of it
+sends the runs that other batches hold there too.
 
 Null and empty texts have no bytes; texts shorter than a window keep all. A null doc_id comes before
 all others. Rows that agree in doc_id and text are one document and get the same result; different
@@ -38,7 +39,8 @@ from tessera.llm.rolling import BASES, Ranges, U, firsts, sliding_min
 WINDOW, GRAM = 100, 24
 #: Window starts that are hashed at a time, and the runs of one anchor in a batch from which it goes to the last pass.
 CHUNK, COMMON = 1 << 19, 16
-RUN, REPEAT, DEEP = 0, 1, 2
+#: MARK is of the same group as RUN, modulo 3.
+RUN, REPEAT, DEEP, MARK = 0, 1, 2, 3
 ROWS = "kind int, k1 long, k2 long, _d long, loc long"
 
 
@@ -72,7 +74,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> It
 
 
 def runs(window: int, gram: int):
-    """Arrow batches of (_d, _v, _text) to RUN, REPEAT and DEEP rows."""
+    """Arrow batches of (_d, _v, _text) to RUN, REPEAT, DEEP and MARK rows."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +95,8 @@ def runs(window: int, gram: int):
             deep = count[back] > COMMON
             if deep.any():
                 yield table(DEEP, body[deep], anchor[deep], doc[deep], loc[deep])
-                deep[np.unique(anchor, return_index=True)[1]] = False  # one row stands for them
+                mark = np.intersect1d(np.unique(anchor, return_index=True)[1], np.flatnonzero(deep))
+                yield table(MARK, anchor[mark], body[mark], doc[mark], loc[mark])
             if (~deep).any():
                 yield table(RUN, anchor[~deep], body[~deep], doc[~deep], loc[~deep])
 
@@ -148,13 +151,15 @@ def hash_at(data: np.ndarray, at: np.ndarray, size: int, base: int) -> np.ndarra
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """keyed docs to the places (_d, loc) of all windows that start earlier too; loc's length counts windows."""
     found = docs.mapInArrow(runs(window, gram), ROWS)
-    group = Window.partitionBy("kind", "k1")
+    group = Window.partitionBy("_g", "k1")
+    inside = Window.partitionBy("_g", "k1", "k2", "kind").orderBy("_d", "loc")
     same = Window.partitionBy("kind", "k1", "k2").orderBy("_d", "loc")
     sorted_runs = (
-        found.withColumn("_n", F.count("*").over(group))
+        found.withColumn("_g", F.col("kind") % 3)
+        .withColumn("_n", F.count("*").over(group))
         .where((F.col("kind") != RUN) | (F.col("_n") > 1))
-        .withColumn("_r", F.rank().over(same))
-        .withColumn("_other", F.min("k2").over(group) != F.max("k2").over(group))
+        .withColumn("_r", F.rank().over(inside))
+        .withColumn("_other", (F.min("k2").over(group) != F.max("k2").over(group)) | (F.max("kind").over(group) == MARK))
     )
     again = (F.col("kind") == REPEAT) | (F.col("kind") == RUN) & (F.col("_r") > 1)
     deep = (F.col("kind") == DEEP) | (F.col("kind") == RUN) & F.col("_other")
