@@ -27,7 +27,7 @@ from tessera.llm.rolling import BASES, Ranges, firsts
 from tessera.llm.suffix_dedup import REPEAT, ROWS, RUN, table
 
 #: Production parameters: the words of a run of several sentences, and of a sentence that is a run by itself.
-MIN_WORDS, LONG_WORDS = 20, 40
+MIN_WORDS, LONG_WORDS = 20, 20
 #: Bytes of text that are hashed at a time; a longer text is taken alone.
 CHUNK = 1 << 20
 
