@@ -8,14 +8,17 @@ bucket's least member: sizes and signatures first, then the full sets. Verified
 into components by alternating large-star and small-star.
 
 A bucket that then still holds several components may hide links between other members. Its members
-are gathered, with those of all buckets they share, and compared across components in blocks: by
-size and signature, then on full sets; only links leave a block. So no bucket is capped. A link of
-similarity 0.85 is missed if no band agrees, with probability (1 - 0.85**5)**32 = 7e-9, one of 0.80
-with 3e-6.
-
-Words are runs of characters other than ASCII white space, with A-Z in lower case. A text of fewer
-words than a shingle is one shingle; null and empty texts have none and are linked with nothing.
-Rows that share a doc_id are one node: the links of each are its links, and each row is returned. A
+are compared across components by their rare shingles, without a cap: their shingles are ordered by
+how many of the members have them, rarest first, and two sets of similarity percent have one in
+common among the first n - ceil(percent * n / 100) + 1 of each; where it stands in both bounds what
+they share, so text that a whole family has makes no candidates. Signatures and full sets decide. A
+link of similarity 0.85 is missed if no band agrees, with probability (1 - 0.85**5)**32 = 7e-9, one
+of 0.80 with 3e-6.
+
+Words are runs of characters other than ASCII white space, with A-Z in lower case; they are hashed
+modulo the prime 2**61 - 1, and so are shingles of them. A text of fewer words than a shingle is one
+shingle; null and empty texts have none and are linked with nothing. Rows that share a doc_id are one
+node, all their different sets with it: the links of each are its links, and each row is returned. A
 null doc_id is a node too, before all others. An empty table gives an empty result; other columns
 are ignored.
 """
@@ -33,13 +36,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, stage, utf8, without
 from tessera.llm.components import components
 from tessera.llm.repeats import NO_DOC
-from tessera.llm.rolling import BASES, Ranges, U, mix
+from tessera.llm.rolling import Ranges, U, mix, sequences
 from tessera.llm.sentence_dedup import chunks, is_white
 
 #: Production parameters.
 SHINGLE, PERCENT, STAGE_PERCENT, ROWS, BANDS = 5, 85, 80, 5, 32
-#: Bytes of text that are hashed at a time; members of a block; rows of small groups in one task's group.
-CHUNK, BLOCK, GROUP_ROWS = 1 << 18, 1024, 4000
+#: Bytes of text that are hashed at a time; rows of a block, in which members that share a rare shingle are compared; rows of one task's small groups.
+CHUNK, BLOCK, GROUP_ROWS = 1 << 18, 1024, 4_000
 
 
 def hashes() -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +51,8 @@ def hashes() -> tuple[np.ndarray, np.ndarray]:
     return draw(), draw()
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct 64-bit shingle hashes of each text."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of texts laid end to end, and where each text's begin; by pieces of CHUNK bytes."""
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     solid = ~is_white(data)
     edge = np.zeros(len(data) + 1, bool)
@@ -58,22 +61,34 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     before[1:], after[:-1] = solid[:-1], solid[1:]
     starts = np.flatnonzero(solid & (~before | edge[:-1]))
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    ranges = Ranges(Ranges(data).of(starts, ends))
-    windows, bounds = ranges.fixed(SHINGLE), np.searchsorted(starts, offsets)
+    out = np.zeros(len(starts), U)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK, "right")))
+        base = starts[a]
+        out[a:b] = Ranges(data[base : ends[b - 1]]).of(starts[a:b] - base, ends[a:b] - base)
+        a = b
+    return out >> U(3), np.searchsorted(starts, offsets)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct 64-bit shingle hashes of each text."""
+    words, bounds = word_hashes(data, offsets)
+    windows, short = sequences(words, SHINGLE), {k: sequences(words, k) for k in range(1, SHINGLE)}
     out = []
-    for a, b in zip(bounds[:-1], bounds[1:]):
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a >= SHINGLE:
             out.append(np.unique(windows[a : b - SHINGLE + 1]))
         else:
-            out.append(ranges.of(np.array([a]), np.array([b])) if b > a else np.zeros(0, U))
+            out.append(mix(short[b - a][a : a + 1] + U(b - a)) if b > a else np.zeros(0, U))
     return out
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, n, f1, f2, bands, sig)."""
+    """(id, t, text) to (id, t, n, f1, f2, bands, sig)."""
     a, b = hashes()
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
+        data, offsets = utf8(batch.column(2))
         for lo, hi in chunks(offsets, CHUNK):
             sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             sizes = np.array([len(s) for s in sets])
@@ -84,25 +99,33 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, at = np.concatenate(sets), (np.cumsum(sizes) - sizes)[some]
                 for k in range(ROWS * BANDS):
                     minima[some, k] = np.minimum.reduceat(x * a[k] + b[k], at)
-                marks[0, some], marks[1, some] = np.add.reduceat(mix(x), at), np.add.reduceat(mix(x ^ U(BASES[1])), at)
-            keys = np.zeros((len(sets), BANDS), U)
+                marks[0, some], marks[1, some] = np.add.reduceat(mix(x), at), np.add.reduceat(mix(x ^ a[0]), at)
+            keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=U)), (len(sets), BANDS))
             for k in range(ROWS):
-                keys = mix(keys * U(BASES[0]) + minima[:, k::ROWS])
+                keys = mix(keys * a[0] + minima[:, k::ROWS])
             bands = pa.ListArray.from_arrays(np.arange(0, len(sets) * BANDS + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64).ravel()))
             sig = [row.tobytes() for row in (minima >> U(40)).astype(np.uint8)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), *(pa.array(m.view(np.int64)) for m in marks), bands, pa.array(sig, pa.binary())],
-                names=["id", "n", "f1", "f2", "bands", "sig"],
+                [*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(sizes, pa.int64()), *(pa.array(m.view(np.int64)) for m in marks), bands, pa.array(sig, pa.binary())],
+                names=["id", "t", "n", "f1", "f2", "bands", "sig"],
             )
 
 
 def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, set)."""
+    """(sid, text) to (sid, set)."""
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         for lo, hi in chunks(offsets, CHUNK):
             sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "set"])
+
+
+def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, set) to (sid, token), a row for each shingle."""
+    for batch in batches:
+        for sid, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            tokens = np.frombuffer(s, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), sid)), pa.array(tokens)], names=["sid", "token"])
 
 
 def min_agreement(percent: int) -> float:
@@ -141,76 +164,105 @@ def verify(percent: int):
 
 
 def across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between components in the blocks of one group: rows(cc, lo, hi, block, id, comp, n, sig, set)."""
-    found = []
-    for (_, lo, hi), part in rows.groupby(["cc", "lo", "hi"], sort=False):
-        part = part.drop_duplicates("id")
-        ids, n, block = part["id"].to_numpy(), part["n"].to_numpy(), part["block"].to_numpy()
-        sig = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1)
-        sets, comp = part["set"].to_list(), part["comp"].to_numpy().copy()
-        for i in np.flatnonzero(block == lo):
-            other = (comp != comp[i]) & (block == hi) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            if lo == hi:
-                other[: i + 1] = False
-            where = np.flatnonzero(other)
-            for j in where[(sig[where] == sig[i]).mean(1) >= min_agreement(percent)]:
-                if comp[j] != comp[i] and linked(sets[i], sets[j], percent):
-                    found.append((ids[i], ids[j]))
-                    comp[comp == comp[j]] = comp[i]
-    return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+    """Pairs of different components in blocks: rows(token, lo, hi, block, sid, comp, n, pos, sig) that have a token at pos of n.
+
+    The first token that a pair shares bounds what it shares: no more than stands behind pos in either.
+    A pair whose bound at this token is too low isn't linked, or has shared an earlier one. Signatures
+    that agree too little end the rest.
+    """
+    rows = rows.sort_values(["token", "lo", "hi"], kind="stable")
+    token, lo, hi, block, sid, comp, n, pos = (rows[c].to_numpy() for c in ("token", "lo", "hi", "block", "sid", "comp", "n", "pos"))
+    fresh = np.append(True, (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+    group, left, at, found = np.cumsum(fresh), n - pos, np.arange(len(rows)), []
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+    step = 0
+    while len(at := at[at + step + 1 < len(rows)]):
+        step += 1
+        at = at[group[at] == group[at + step]]
+        most = np.minimum(left[at], left[at + step])
+        ok = (comp[at] != comp[at + step]) & ((lo[at] == hi[at]) | (block[at] != block[at + step])) & (100 * most >= percent * (n[at] + n[at + step] - most))
+        near = at[ok]
+        near = near[(sig[near] == sig[near + step]).mean(1) >= min_agreement(percent)]
+        a, b = sid[near], sid[near + step]
+        found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], 1))
+    return pd.DataFrame(np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64), columns=["u", "v"])
 
 
 def pick(table: DataFrame, key: str, **columns: str) -> DataFrame:
-    return table.select(F.col("id").alias(key), *(F.col(c).alias(as_) for as_, c in columns.items()))
+    return table.select(F.col("sid").alias(key), *(F.col(c).alias(as_) for as_, c in columns.items()))
 
 
-def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """docs(id, text) and reps(id, n, bands, sig), one row for each set, to links (u, v) that give its components."""
-    buckets = reps.select("id", F.posexplode("bands").alias("b", "key"))
-    shared = stage(buckets.groupBy("b", "key").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1"), "buckets")
-    members = stage(buckets.join(shared, ["b", "key"]), "members")
-    stars = members.where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct()
-    sized = stars.join(pick(reps, "u", nu="n", su="sig"), "u").join(pick(reps, "v", nv="n", sv="sig"), "v")
+def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(u, v), those that are linked: sizes and signatures first, then full sets."""
+    sized = pairs.join(pick(reps, "u", nu="n", su="sig"), "u").join(pick(reps, "v", nv="n", sv="sig"), "v")
     fits = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
     likely = stage(sized.where(fits).select("u", "v", "su", "sv").mapInArrow(agree(percent), "u long, v long"), "likely")
-    involved = members.select("id").distinct()
-    sets = stage(docs.join(involved, "id").dropDuplicates(["id"]).select("id", "text").mapInArrow(with_sets, "id long, set binary"), "sets")
     full = likely.join(pick(sets, "u", x="set"), "u").join(pick(sets, "v", y="set"), "v").select("u", "v", "x", "y")
-    first = stage(full.mapInArrow(verify(percent), "u long, v long"), "links")
-    so_far = stage(components(first), "components")
-    placed = members.where("m > 2").join(so_far, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    placed = stage(placed, "placed")
-    mixed = stage(placed.groupBy("b", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("b", "key"), "mixed")
-    if mixed.isEmpty():
-        return first
-    open_ = stage(placed.join(mixed, ["b", "key"]).select("id", "lead", "comp").distinct(), "open")
-    groups = stage(components(open_.select(F.col("id").alias("u"), F.col("lead").alias("v"))), "groups")
-    sizes = stage(groups.groupBy(F.col("component").alias("cc")).agg(F.count("*").alias("m")), "sizes")
-    spread = max(1, groups.count() // GROUP_ROWS)
+    return stage(full.mapInArrow(verify(percent), "u long, v long"), "links")
+
+
+def rare_pairs(open_: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """open_(sid, comp) to the pairs (u, v) of different components that may be linked, by prefixes of their rarest shingles."""
+    tokens = sets.join(open_.select("sid"), "sid").select("sid", "set").mapInArrow(spread, "sid long, token long")
+    seen = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")  # the others are rarest, and in one set only
+    mine = tokens.join(seen, "token").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    sized = mine.join(reps.select("sid", "n"), "sid").join(open_, "sid")
+    first = (F.col("n") - F.size("shared")).cast("int")
+    placed = F.transform("shared", lambda x, i: F.struct(x["token"].alias("token"), (first + i).alias("pos")))
+    prefix = F.filter(placed, lambda x: x["pos"] < F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
+    rows = stage(sized.select("sid", "comp", "n", F.inline(prefix)), "prefixes")
+    groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
     nb = F.ceil(F.col("m") / BLOCK).cast("int")
-    here = groups.join(sizes, F.col("component") == F.col("cc")).withColumn("nb", nb).withColumn("block", F.expr("pmod(hash(id), nb)"))
+    here = rows.join(groups.select("token", nb.alias("nb")), "token").withColumn("block", F.expr("pmod(hash(sid), nb)"))
     paired = here.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    keyed = paired.select(
-        "cc", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id",
-        F.when(F.col("nb") == 1, F.pmod(F.hash("cc"), F.lit(spread)).cast("long")).otherwise(F.xxhash64("cc", F.least("block", "other"), F.greatest("block", "other"))).alias("g"),
-    )
-    comps = open_.select("id", "comp").distinct()
-    filled = keyed.join(comps, "id").join(reps.select("id", "n", "sig"), "id").join(sets, "id")
-    rest = filled.groupBy("g").applyInPandas(lambda rows: across(rows, percent), "u long, v long")
-    return first.unionByName(stage(rest, "links-across"))
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    parts = max(1, rows.count() // GROUP_ROWS)
+    g = F.when(F.col("nb") == 1, F.pmod(F.hash("token"), F.lit(parts)).cast("long")).otherwise(F.xxhash64("token", lo, hi))
+    keyed = paired.select(g.alias("g"), "token", lo.alias("lo"), hi.alias("hi"), "block", "sid", "comp", "n", "pos").join(reps.select("sid", "sig"), "sid")
+    return keyed.groupBy("g").applyInPandas(lambda part: across(part, percent), "u long, v long").distinct()
+
+
+def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """docs(id, t, text) and reps(sid, id, t, n, bands, sig), one row for each set, to links (u, v) that give its components."""
+    buckets = reps.select("sid", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("sid").alias("lead"), F.count("*").alias("m")).where("m > 1")
+    members = stage(buckets.join(shared, "key"), "members")
+    stars = members.where("sid <> lead").select(F.col("sid").alias("u"), F.col("lead").alias("v")).distinct()
+    involved = reps.join(members.select("sid").distinct(), "sid").select("sid", "id", "t")
+    texts = docs.join(involved, ["id", "t"]).dropDuplicates(["id", "t"]).select("sid", "text")
+    sets = stage(texts.mapInArrow(with_sets, "sid long, set binary"), "sets")
+    first = confirmed(stars, reps, sets, percent)
+    so_far = stage(components(first), "components").withColumnRenamed("id", "sid")
+    placed = stage(members.where("m > 2").join(so_far, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("comp")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    open_ = stage(placed.join(mixed, "key").select("sid", "comp").distinct(), "open")
+    rest = confirmed(rare_pairs(open_, sets, reps, percent), reps, sets, percent)
+    return so_far.select(F.col("sid").alias("u"), F.col("component").alias("v")).unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id and kept (it is the first of its component)."""
-    nodes = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("id"), F.col(text).alias("text"))
-    rows = stage(nodes.mapInArrow(signed, "id long, n long, f1 long, f2 long, bands array<long>, sig binary"), "minhash")
+    body = F.col(text)
+    nodes = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("id"), F.xxhash64(body).alias("t"), body.alias("text"))
+    rows = stage(nodes.mapInArrow(signed, "id long, t long, n long, f1 long, f2 long, bands array<long>, sig binary"), "minhash")
     some = rows.where("n > 0")
-    least = stage(some.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "equal-sets")
-    same = (F.col("id") == F.col("rep")) & (rows["f1"] == least["f1"]) & (rows["f2"] == least["f2"])
-    reps = stage(some.join(least, same).select("id", "n", "bands", "sig").dropDuplicates(["id"]), "sets-once")
-    copies = some.join(least, ["f1", "f2"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    found = components(links(nodes, reps, percent).unionByName(copies))
-    out = rows.select("id", "n").join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
+    once = some.groupBy("f1", "f2").agg(F.min(F.struct("id", "t")).alias("x"), F.first(F.struct("n", "bands", "sig")).alias("y"))
+    reps = stage(once.select(F.monotonically_increasing_id().alias("sid"), "f1", "f2", "x.*", "y.*"), "sets-once")
+    by_set = reps.select("sid", F.col("id").alias("lead"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
+    on = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))
+    empty = rows.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("sid"), F.col("id").alias("lead"))
+    placed = stage(some.join(by_set, on).select("id", "n", "sid", "lead").unionByName(empty), "documents")
+    # Rows of one doc_id with several sets, or with one and none: their sets are linked.
+    several = placed.groupBy("id").agg(F.min("sid").alias("own"), F.max("sid").alias("last"), F.count("sid").alias("k"), F.count("*").alias("m"))
+    several = stage(several.where("own <> last or k > 0 and k < m").select("id", "own"), "repeated-ids")
+    together = placed.join(several, "id").where("sid <> own").select(F.col("sid").alias("u"), F.col("own").alias("v"))
+    found = components(links(nodes, reps, percent).unionByName(together)).withColumnRenamed("id", "sid")
+    least = found.join(reps.select("sid", "id"), "sid").groupBy("component").agg(F.min("id").alias("label"))
+    labels = found.join(least, "component").select(F.col("sid").alias("of"), "label")
+    owned = placed.join(several.select(F.col("id").alias("_id"), "own"), F.col("id") == F.col("_id"), "left").withColumn("sid", F.coalesce("sid", "own"))
+    lead = F.coalesce("label", "own_lead", "lead")
+    own_lead = reps.select(F.col("sid").alias("_own"), F.col("id").alias("own_lead")).join(several.select(F.col("own").alias("_own")).distinct(), "_own")
+    out = owned.join(labels, F.col("sid") == F.col("of"), "left").join(own_lead, F.col("own") == F.col("_own"), "left").withColumn("component_id", lead)
     real = lambda c: F.when(F.col(c) != NO_DOC, F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
 

@@ -1,7 +1,8 @@
 """Rolling hashes of byte ranges, for whole Arrow batches at a time.
 
-A range's hash is a polynomial of its bytes modulo 2**64, from prefix sums, then mixed; it does not
-depend on where the range stands, and any range costs the same.
+A range's hash is a polynomial of its bytes modulo the prime 2**61 - 1, from prefix sums, then mixed;
+it does not depend on where the range stands, and any range costs the same. Two different ranges of n
+bytes agree with a probability of n / 2**61 at most, whatever their bytes; with two bases, of its square.
 """
 
 from __future__ import annotations
@@ -9,8 +10,12 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-#: Odd bases; two of them give 128 bits.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+PRIME = U((1 << 61) - 1)
+#: Drawn once; two of them give 122 bits.
+BASES = (0x0E3779B97F4A7C15, 0x02B2AE3D27D4EB4F)
+#: Bytes whose sums are taken at once, so that they stay below 2**64.
+BLOCK = 1 << 20
+LOW31, LOW30 = U((1 << 31) - 1), U((1 << 30) - 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -24,13 +29,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & PRIME) + (x >> U(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """a * b modulo the prime, of factors below it, by halves of 30 and 31 bits."""
+    ah, al, bh, bl = a >> U(31), a & LOW31, b >> U(31), b & LOW31
+    cross = al * bh + ah * bl
+    return reduced(U(2) * (ah * bh) + (cross >> U(30)) + ((cross & LOW30) << U(31)) + al * bl)
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of base and of its inverse, n of each at least."""
     if base not in _powers or len(_powers[base][0]) < n:
-        inverse, size = pow(base, -1, 1 << 64), 1 << max(16, (n - 1).bit_length())
-        ups, downs = np.full(size, base, U), np.full(size, inverse, U)
-        ups[0] = downs[0] = 1
-        _powers[base] = np.cumprod(ups), np.cumprod(downs)
+        size, made = 1 << max(16, (n - 1).bit_length()), []
+        for b in (base, pow(base, -1, int(PRIME))):
+            ups = np.ones(1, U)
+            while len(ups) < size:
+                ups = np.concatenate([ups, times(ups, U(pow(b, len(ups), int(PRIME))))])
+            made.append(ups)
+        _powers[base] = made[0], made[1]
     return _powers[base]
 
 
@@ -40,15 +61,33 @@ class Ranges:
     def __init__(self, data: np.ndarray, base: int = BASES[0]):
         up, self.down = powers(base, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=self.sums[1:])
+        for a in range(0, len(data), BLOCK):
+            x, y = data[a : a + BLOCK].astype(U) + U(1), up[a : a + BLOCK][: len(data) - a]
+            low, high = np.cumsum(x * (y & LOW31)), np.cumsum(x * (y >> U(31)))
+            self.sums[a + 1 : a + 1 + len(x)] = reduced(low + (high >> U(30)) + ((high & LOW30) << U(31)) + self.sums[a])
+
+    def between(self, starts, ends, down) -> np.ndarray:
+        x = self.sums[ends] + PRIME - self.sums[starts]
+        return mix(times(np.where(x >= PRIME, x - PRIME, x), down))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        return self.between(starts, ends, self.down[starts])
 
     def fixed(self, size: int) -> np.ndarray:
         """The hash of every range of so many bytes."""
         n = len(self.sums) - size
-        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U)
+        return self.between(slice(0, n), slice(size, None), self.down[:n]) if n > 0 else np.zeros(0, U)
+
+
+def sequences(values: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every run of so many values below the prime."""
+    n = len(values) - size + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    total = values[:n]
+    for k in range(1, size):
+        total = reduced(times(total, U(BASES[1])) + values[k : n + k])
+    return mix(total)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
