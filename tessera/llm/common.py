@@ -63,13 +63,14 @@ def drop_staged() -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is among ids (one column); nulls are equal, and no column name clashes."""
+def without(docs: DataFrame, gone: DataFrame, *more: Column) -> DataFrame:
+    """docs less the rows whose doc_id (and values of more) are among the columns of gone; nulls are equal, and no column name clashes."""
     name = "_gone"
-    while name in docs.columns:
+    while any(c.startswith(name) for c in docs.columns):
         name += "_"
-    gone = ids.select(F.col(ids.columns[0]).alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    rows = gone.toDF(*(f"{name}{i}" for i in range(1 + len(more)))).distinct()
+    same = [x.eqNullSafe(F.col(f"{name}{i}")) for i, x in enumerate([F.col("doc_id"), *more])]
+    return docs.join(rows, same, "left_anti")
 
 
 def lower_ascii(text: Column) -> Column:
@@ -84,8 +85,8 @@ def white_words(text: Column) -> Column:
 
 
 def variant(text: Column) -> Column:
-    """25 bits of a text's hash: with doc_id, the key of a row whose doc_id may be repeated."""
-    return F.shiftrightunsigned(F.xxhash64(text), 39)
+    """A 64-bit hash of a text: with doc_id, the key of a row whose doc_id may be repeated."""
+    return F.xxhash64(text)
 
 
 def held_out(doc_id: Column) -> Column:

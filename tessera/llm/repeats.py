@@ -1,7 +1,8 @@
 """Shared by the substring operators: which rows of a key come first, and cutting spans out of texts.
 
-An occurrence is (k1, k2, doc, loc): 128 bits of content, the document and a packed place. Loc holds
-25 bits that tell apart texts under one doc_id, then the start in bytes (31 bits), then a length.
+An occurrence is (k1, k2, doc, variant, loc): two hashes of content, the document, a 64-bit hash that
+tells apart texts under one doc_id, and a packed place. Loc holds the start in bytes, then an inner
+offset and a length of 7 bits each.
 Occurrences are thinned where they are made: of equal keys in one batch only the first goes on and
 the others are known to be repeats. A key then has one row a batch at most, however common it is.
 """
@@ -18,16 +19,18 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import utf8, variant
 
-LEN_BITS, START_BITS = 7, 31
+PART_BITS = 7
 NO_DOC = -(1 << 63)
 
 
-def pack(variants: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    return (variants.astype(np.int64) << (LEN_BITS + START_BITS)) | (starts.astype(np.int64) << LEN_BITS) | lengths.astype(np.int64)
+def pack(starts: np.ndarray, lengths: np.ndarray, inner: np.ndarray | int = 0) -> np.ndarray:
+    return (starts.astype(np.int64) << (2 * PART_BITS)) | (np.int64(inner) << PART_BITS if isinstance(inner, int) else inner.astype(np.int64) << PART_BITS) | lengths.astype(np.int64)
 
 
 def unpack(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return loc >> (LEN_BITS + START_BITS), (loc >> LEN_BITS) & ((1 << START_BITS) - 1), loc & ((1 << LEN_BITS) - 1)
+    """Starts, lengths and inner offsets."""
+    least = (1 << PART_BITS) - 1
+    return loc >> (2 * PART_BITS), loc & least, (loc >> PART_BITS) & least
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -36,15 +39,9 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("_d"), variant(body).alias("_v"), body.alias("_text"))
 
 
-def grouped(places: DataFrame) -> DataFrame:
-    """places(_d, loc) to (_gd, _gv, locs), one row for each document."""
-    shift = LEN_BITS + START_BITS
-    return places.groupBy(F.col("_d").alias("_gd"), F.shiftright("loc", shift).alias("_gv")).agg(F.collect_set("loc").alias("locs"))
-
-
 def with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """keyed docs with locs, the places of each document (null: none)."""
-    found = grouped(places)
+    """keyed docs with locs, the places(_d, _v, loc) of each document (null: none); a document's are at most a few for each of its bytes."""
+    found = places.groupBy(F.col("_d").alias("_gd"), F.col("_v").alias("_gv")).agg(F.collect_set("loc").alias("locs"))
     return docs.join(found, (F.col("_d") == F.col("_gd")) & (F.col("_v") == F.col("_gv")), how).drop("_gd", "_gv")
 
 
@@ -74,7 +71,7 @@ def cut(docs: DataFrame, places: DataFrame, ranges: Callable, texts: bool = Fals
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             locs, row = flat(batch.column(2))
-            _, starts, lengths = unpack(locs)
+            starts, lengths, _ = unpack(locs)
             bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
             out: list[list] = [[] for _ in fields]
             for i, doc in enumerate(batch.column(0).to_pylist()):

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SENTENCE_END = re.compile(r"""\n|[.!?,;:]["')\]}]{0,2}(?=[ \t\n\x0b\x0c\r])|[\u3002\uff01\uff1f\uff1b\uff0c\u2026\u061f\u06d4\u061b\u0964\u0965\u1362\u104b]""")
 DOWN = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -45,10 +46,13 @@ def sentence_dedup(rows, min_words, long_words):
     for doc_id, text in rows:
         body = (text or "").encode()
         spans, at = [], 0
-        for stop in [*(m.end() for m in re.finditer(rb"\n|[.!?](?=[ \t\n\x0b\x0c\r])", body)), len(body)]:
-            part = body[at:stop]
-            if words := re.findall(rb"[^\x20\x09-\x0D]+", part):
-                spans.append((at + re.search(rb"[^\x20\x09-\x0D]", part).start(), at + len(part.rstrip(b" \t\n\x0b\x0c\r")), len(words)))
+        for stop in [*sorted({m.end() for m in SENTENCE_END.finditer(text or "")}), len(text or "")]:
+            part = (text or "")[at:stop]
+            if words := WORD.findall(part):
+                a = at + WORD.search(part).start()
+                b = at + len(part.rstrip(" \t\n\x0b\x0c\r"))
+                wide = sum("\u3000" <= c <= "\udfff" for c in part)
+                spans.append((len((text or "")[:a].encode()), len((text or "")[:b].encode()), len(words) + wide // 2))
             at = stop
         texts[doc_id] = (body, spans)
         found = set()
