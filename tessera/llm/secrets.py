@@ -6,18 +6,18 @@ base64) and three tests ask whether it could be drawn evenly from it: chi-square
 the exact mean and variance for short strings, a runs test above and below the middle of the
 alphabet, and serial correlation. The least of the three p-values, Bonferroni corrected, is the
 token's. Over the whole table, and for each alphabet and band of lengths, the share of p-values
-that even draws would have gives the false-discovery rate of each limit; a token is reported when
-it reaches the lowest limit that keeps the rate at FDR or less.
+that even draws would have gives the false-discovery rate of each limit, in steps of 1 / STEPS; a token
+is reported when it reaches the lowest limit from LEAST_P on that keeps the rate at FDR or less.
 
-Null and empty texts have no spans. Spans are in code points, the end exclusive. Reported tokens
-don't overlap base spans. Repeated rows each get their result; an empty table gives an empty one.
+Every match is a row, and places are running sums over the rows of a document, so the work grows with
+the text, however many matches it has. Null and empty texts have no spans. Spans are in code points, the
+end exclusive. Reported tokens don't overlap base spans. Repeated rows each get their result; an empty
+table gives an empty one. Redaction holds one document's characters at a time as an array.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, stage
@@ -36,26 +36,22 @@ ALPHABETS = {
     "base36": (DIGITS + LOWER, "^([0-9a-z]+|[0-9A-Z]+)$"),
     "base64": (LOWER.upper() + LOWER + DIGITS + "+/", "^[A-Za-z0-9+/_-]+=*$"),
 }
-FDR, LIMITS, EVEN_ABOVE = 0.05, (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5), 0.5
+FDR, LEAST_P, EVEN_ABOVE, STEPS = 0.05, 0.01, 0.5, 1000
 #: Bands of lengths are powers of two, from 2**4 to 2**MAX_BAND and longer.
 MAX_BAND = 10
 
 
-def occurrences(text: Column, pattern: str, kind: int, letters: int = 0, group: int = 0) -> Column:
-    """Array of (start, kind, end, token) of a pattern's leftmost matches whose group has so many letters."""
+def occurrences(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
+    """Array of (kind, i, gap, hit, sized, token) of a pattern's leftmost matches: letters since the last one, of it, and of its group."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    step = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>").alias("out"))
+    sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    whole = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("hit"), sized.alias("sized")), lambda x: x["hit"].isNotNull())
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("token"))
-        grown = F.when(F.length(x["sized"]) >= letters, F.array_append(state["out"], span)).otherwise(state["out"])
-        return F.struct(end.alias("at"), grown.alias("out"))
+    def row(x: Column, i: Column) -> Column:
+        token = x["hit"] if kind == len(KINDS) - 1 else F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["sized"]).alias("sized"), token.alias("token"))
 
-    rows = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("hit"), sized.alias("sized")), lambda x: x["hit"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(rows, step, add, lambda s: s["out"])).otherwise(step["out"])
+    return F.when(text.rlike(pattern), F.transform(whole, row)).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,hit:int,sized:int,token:string>>"))
 
 
 def upper_tail(z: Column) -> Column:
@@ -97,50 +93,46 @@ def battery(v: Column, a: Column) -> Column:
     return F.least(F.lit(1.0), 3 * least)
 
 
-def overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
-
-
-def scanned(docs: DataFrame, text: str) -> DataFrame:
-    """docs with _base (array of spans) and _tokens (array of start, end, enc, band, p), before any limit."""
+def numbered(docs: DataFrame, text: str) -> DataFrame:
+    """_id, _row (a struct of docs' columns) and _found (the matches of all patterns), staged: ids stay as they are."""
     body = F.coalesce(F.col(text), F.lit(""))
-    spans = F.concat(occurrences(body, ASSIGN, 0, ASSIGN_LETTERS, 2), occurrences(body, ACCESS, 1), occurrences(body, HEX, 2))
-    found = docs.withColumn("_base", F.array_sort(spans)).withColumn("_hits", occurrences(body, TOKEN, 3))
-    free = found.withColumn("_free", F.filter("_hits", lambda s: ~overlaps(s, F.col("_base"))))
-    encoded = free.withColumn("_coded", F.transform("_free", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), coded(s["token"]).alias("t"))))
-    band = lambda t: F.least(F.lit(MAX_BAND), F.floor(F.log2(F.size(t["v"]).cast("double"))).cast("int"))
-    usable = F.filter("_coded", lambda s: s["t"].isNotNull() & (F.size(s["t"]["v"]) > 2))
-    judged = F.transform(
-        usable,
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["t"]["enc"].alias("enc"), band(s["t"]).alias("band"), battery(s["t"]["v"], s["t"]["a"]).alias("p")),
-    )
-    return encoded.withColumn("_tokens", judged).drop("_hits", "_free", "_coded")
-
-
-def limits(tokens: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], float]:
-    """tokens(enc, band, p) to the lowest p that is reported, by alphabet and band; at most 4 x MAX_BAND entries."""
-    even = lambda t: (1 - t / 3) ** 3  # noqa: E731  the share of even draws whose p is over t
-    counts = tokens.groupBy("enc", "band").agg(
-        F.count_if(F.col("p") > EVEN_ABOVE).alias("even"), *(F.count_if(F.col("p") >= t).alias(f"n{k}") for k, t in enumerate(LIMITS))
-    )
-    out = {}
-    for row in counts.collect():
-        draws = row["even"] / even(EVEN_ABOVE)
-        for k, t in enumerate(LIMITS):
-            if (n := row[f"n{k}"]) and 1 - draws * even(t) / n <= fdr:
-                out[row["enc"], row["band"]] = t
-                break
-    return out
-
-
-def with_spans(rows: DataFrame, found: dict[tuple[int, int], float]) -> DataFrame:
-    """rows of scanned() with _spans: the base spans and the reported tokens, by start, then kind."""
-    least = F.lit(math.inf)
-    key = lambda s: s["enc"] * (MAX_BAND + 1) + s["band"]
-    table = F.create_map(*(F.lit(x) for (enc, band), t in found.items() for x in (enc * (MAX_BAND + 1) + band, t))) if found else None
-    hot = F.filter("_tokens", lambda s: s["p"] >= F.coalesce(table[key(s)], least)) if table is not None else F.filter("_tokens", lambda s: F.lit(False))
-    plain = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["kind"] if kind is None else F.lit(kind)).alias("kind"), s["end"].alias("end")))
-    return rows.withColumn("_spans", F.array_sort(F.concat(plain(F.col("_base"), None), plain(hot, 3))))
+    found = F.concat(occurrences(body, ASSIGN, 0, 2), occurrences(body, ACCESS, 1), occurrences(body, HEX, 2), occurrences(body, TOKEN, 3))
+    return docs.select(F.monotonically_increasing_id().alias("_id"), F.struct("*").alias("_row"), found.alias("_found"))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """rows(_id, _found) to (_id, kind, start, end), and enc, band and p of tokens off all base spans; before any limit."""
+    every = rows.where(F.size("_found") > 0).select("_id", F.inline("_found")).repartition("_id")
+    ahead = Window.partitionBy("_id", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = every.withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(ahead).cast("int")).withColumn("start", F.col("end") - F.col("hit"))
+    base = F.col("kind") < len(KINDS) - 1
+    whole = placed.where((F.col("kind") != 0) | (F.col("sized") >= ASSIGN_LETTERS))
+    # By where base spans start and tokens end, a token overlaps a base span if the furthest end so far is behind its start.
+    so_far = Window.partitionBy("_id").orderBy(F.when(base, F.col("start")).otherwise(F.col("end")), F.when(base, 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max(F.when(base, F.col("end"))).over(so_far), F.lit(0))
+    free = whole.withColumn("reached", reached).where(base | (F.col("reached") <= F.col("start"))).withColumn("t", coded(F.col("token")))
+    usable = free.where(base | F.col("t").isNotNull() & (F.size("t.v") > 2))
+    band = F.least(F.lit(MAX_BAND), F.floor(F.log2(F.size("t.v").cast("double"))).cast("int"))
+    return usable.select("_id", "kind", "start", "end", "t.enc", F.when(~base, band).alias("band"), F.when(~base, battery(F.col("t.v"), F.col("t.a"))).alias("p"))
+
+
+def limits(tokens: DataFrame, fdr: float = FDR) -> DataFrame:
+    """tokens(enc, band, p) to the lowest step of p that is reported, by alphabet and band; at most 4 x MAX_BAND rows."""
+    even = lambda t: F.pow(1 - t / 3, F.lit(3.0))  # noqa: E731  the share of even draws whose p is over t
+    counts = tokens.groupBy("enc", "band", F.floor(F.col("p") * STEPS).alias("step")).agg(F.count("*").alias("n"))
+    group = Window.partitionBy("enc", "band")
+    up = F.sum("n").over(group.orderBy(F.desc("step")))
+    draws = F.sum(F.when(F.col("step") >= EVEN_ABOVE * STEPS, F.col("n")).otherwise(0)).over(group) / even(F.lit(EVEN_ABOVE))
+    kept = counts.withColumn("rate", 1 - draws * even(F.col("step") / STEPS) / up).where((F.col("rate") <= fdr) & (F.col("step") >= LEAST_P * STEPS))
+    return kept.groupBy("enc", "band").agg(F.min("step").alias("least"))
+
+
+def reported(spans: DataFrame, fdr: float) -> DataFrame:
+    """judged() rows to the base spans and the reported tokens: _id, kind, start, end."""
+    tokens = spans.where("p is not null")
+    least = limits(tokens, fdr).select(F.col("enc").alias("_enc"), F.col("band").alias("_band"), "least")
+    table = spans.join(F.broadcast(least), (F.col("enc") == F.col("_enc")) & (F.col("band") == F.col("_band")), "left")  # 4 x MAX_BAND rows at most
+    return table.where(F.col("p").isNull() | (F.floor(F.col("p") * STEPS) >= F.col("least"))).select("_id", "kind", "start", "end")
 
 
 def listed(spans: Column) -> Column:
@@ -151,34 +143,37 @@ def listed(spans: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document."""
-    thin = stage(scanned(docs.select("doc_id", F.col(text).alias("_text")), "_text").select("doc_id", "_base", "_tokens"), "secrets")
-    found = limits(thin.select(F.inline("_tokens")), fdr)
-    count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
-    return with_spans(thin, found).select(
-        "doc_id",
-        *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])),
-        F.sha2(listed(F.col("_base")), 256).alias("base_sha256"),
-        listed(F.col("_spans")).alias("spans"),
-    )
+    rows = stage(numbered(docs.select("doc_id", F.col(text).alias("_text")), "_text").withColumn("_row", F.struct("_row.doc_id")), "secrets")
+    spans = stage(judged(rows), "secret-spans")
+    every = F.array_sort(F.collect_list(F.struct("start", "kind", "end")))
+    found = reported(spans, fdr).groupBy("_id").agg(every.alias("_spans"))
+    whole = rows.select("_id", "_row.doc_id").join(found, "_id", "left")
+    span = "array<struct<start:int,kind:int,end:int>>"
+    spanned = whole.select("doc_id", F.coalesce("_spans", F.array().cast(span)).alias("_spans"))
+    base = F.filter("_spans", lambda s: s["kind"] < len(KINDS) - 1)
+    count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
+    return spanned.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", fdr: float = FDR) -> DataFrame:
     """docs, each reported span replaced by mark (overlapping ones by one); n_chars, if there, follows the text."""
-    inner = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
-    rows = stage(scanned(inner, "_text").drop("_text"), "secrets-docs")
-    spanned = with_spans(rows, limits(rows.select(F.inline("_tokens")), fdr))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    body = F.col("_row")[text]
-
-    def cut(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
-        piece = F.substring(body, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], piece, F.lit(mark))).alias("out"))
-
-    clean = F.aggregate("_spans", begin, cut, lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body))))
-    now = F.when(F.size("_spans") > 0, clean).otherwise(body)
-    changed = {text: now} | ({"n_chars": F.length(now).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return spanned.select(*(changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
+    rows = stage(numbered(docs, text), "secrets-docs")
+    spans = reported(stage(judged(rows.select("_id", "_found")), "secret-spans"), fdr)
+    in_order = Window.partitionBy("_id").orderBy("start", "end")
+    before = F.coalesce(F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = spans.withColumn("fresh", (F.col("start") >= before).cast("int")).withColumn("run", F.sum("fresh").over(in_order))
+    merged = runs.groupBy("_id", "run").agg(F.min("start").alias("a"), F.max("end").alias("b"))
+    cuts = merged.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_cuts"))
+    body, chars = F.col("_row")[text], F.regexp_extract_all(F.col("_row")[text], F.lit("(?s)."), F.lit(0))
+    spanned = rows.join(cuts, "_id", "left").withColumn("_chars", F.when(F.col("_cuts").isNotNull(), chars))
+    begin = lambda i: F.coalesce(F.get("_cuts", i - 1)["b"], F.lit(0))
+    pieces = F.transform("_cuts", lambda c, i: F.array_join(F.slice("_chars", begin(i) + 1, c["a"] - begin(i)), ""))
+    last = F.col("_cuts")[F.size("_cuts") - 1]["b"]
+    rest = F.array_join(F.slice("_chars", last + 1, F.greatest(F.lit(0), F.size("_chars") - last)), "")
+    now = F.when(F.col("_cuts").isNotNull(), F.array_join(F.concat(pieces, F.array(rest)), mark)).otherwise(body)
+    done = spanned.withColumn("_now", now)
+    changed = {text: F.col("_now")} | ({"n_chars": F.length("_now").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return done.select(*(changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
