@@ -26,6 +26,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -164,17 +165,18 @@ def verify(percent: int):
 
 
 def across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of different components in blocks: rows(token, lo, hi, block, sid, comp, n, pos, sig) that have a token at pos of n.
+    """Pairs of different components in blocks: rows(token, lo, hi, block, sid, comp, n, pos, sig, prefix) that have a token at pos of n.
 
     The first token that a pair shares bounds what it shares: no more than stands behind pos in either.
     A pair whose bound at this token is too low isn't linked, or has shared an earlier one. Signatures
-    that agree too little end the rest.
+    that agree too little end the rest, and a pair counts under the first token of its prefixes only.
     """
     rows = rows.sort_values(["token", "lo", "hi"], kind="stable")
     token, lo, hi, block, sid, comp, n, pos = (rows[c].to_numpy() for c in ("token", "lo", "hi", "block", "sid", "comp", "n", "pos"))
     fresh = np.append(True, (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
     group, left, at, found = np.cumsum(fresh), n - pos, np.arange(len(rows)), []
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+    sig, prefix = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1), rows["prefix"].to_list()
+    inside = lru_cache(maxsize=None)(lambda i: frozenset(prefix[i]))
     step = 0
     while len(at := at[at + step + 1 < len(rows)]):
         step += 1
@@ -183,9 +185,10 @@ def across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         ok = (comp[at] != comp[at + step]) & ((lo[at] == hi[at]) | (block[at] != block[at + step])) & (100 * most >= percent * (n[at] + n[at + step] - most))
         near = at[ok]
         near = near[(sig[near] == sig[near + step]).mean(1) >= min_agreement(percent)]
+        near = near[np.array([next(x for x in prefix[i] if x in inside(i + step)) == token[i] for i in near.tolist()], bool)]
         a, b = sid[near], sid[near + step]
         found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], 1))
-    return pd.DataFrame(np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64), columns=["u", "v"])
+    return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["u", "v"])
 
 
 def pick(table: DataFrame, key: str, **columns: str) -> DataFrame:
@@ -210,16 +213,18 @@ def rare_pairs(open_: DataFrame, sets: DataFrame, reps: DataFrame, percent: int)
     first = (F.col("n") - F.size("shared")).cast("int")
     placed = F.transform("shared", lambda x, i: F.struct(x["token"].alias("token"), (first + i).alias("pos")))
     prefix = F.filter(placed, lambda x: x["pos"] < F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
-    rows = stage(sized.select("sid", "comp", "n", F.inline(prefix)), "prefixes")
+    held = stage(sized.select("sid", "comp", "n", prefix.alias("prefix")), "prefixes")
+    rows = held.select("sid", "comp", "n", F.inline("prefix"))
     groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
     nb = F.ceil(F.col("m") / BLOCK).cast("int")
     here = rows.join(groups.select("token", nb.alias("nb")), "token").withColumn("block", F.expr("pmod(hash(sid), nb)"))
     paired = here.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    parts = max(1, rows.count() // GROUP_ROWS)
+    parts = max(1, held.agg(F.sum(F.size("prefix"))).first()[0] or 0) // GROUP_ROWS + 1
     g = F.when(F.col("nb") == 1, F.pmod(F.hash("token"), F.lit(parts)).cast("long")).otherwise(F.xxhash64("token", lo, hi))
-    keyed = paired.select(g.alias("g"), "token", lo.alias("lo"), hi.alias("hi"), "block", "sid", "comp", "n", "pos").join(reps.select("sid", "sig"), "sid")
-    return keyed.groupBy("g").applyInPandas(lambda part: across(part, percent), "u long, v long").distinct()
+    keyed = paired.select(g.alias("g"), "token", lo.alias("lo"), hi.alias("hi"), "block", "sid", "comp", "n", "pos")
+    beside = held.select("sid", F.col("prefix.token").alias("prefix")).join(reps.select("sid", "sig"), "sid")
+    return keyed.join(beside, "sid").groupBy("g").applyInPandas(lambda part: across(part, percent), "u long, v long")
 
 
 def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
