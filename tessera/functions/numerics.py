@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 
 
@@ -42,6 +44,8 @@ def objective(name: str, mu: np.ndarray, cov: np.ndarray, x: np.ndarray, order:
         "aggro": lambda w: -(growth(w) + sharpe(w) + kappa(w)) / 3,
         "yolo": lambda w: -(growth(w) + sharpe(w)) / 2,
     }
+    if name not in known:
+        warnings.warn(f"unknown objective {name}; the Sharpe ratio is taken", stacklevel=2)
     return known.get(name, known["sharpe"])
 
 
@@ -104,7 +108,7 @@ def kmeans(x: np.ndarray, k: int, seed: int = 42, tries: int = 10) -> np.ndarray
             centres.append(x[made.choice(len(x), p=d / d.sum()) if d.sum() else made.integers(len(x))])
         c = np.array(centres)
         for _ in range(100):
-            d = ((x[:, None] - c) ** 2).sum(2)
+            d = np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T, 0)
             labels = d.argmin(1)
             new = np.array([x[labels == i].mean(0) if (labels == i).any() else c[i] for i in range(k)])
             if np.allclose(new, c):
@@ -119,7 +123,8 @@ def kmeans_by_silhouette(d: np.ndarray, most: int = 10) -> np.ndarray:
     tried = [kmeans(d, k) for k in range(2, min(most, len(d) - 1) + 1)]
     if not tried:
         return np.zeros(len(d), int)
-    rows = np.sqrt(((d[:, None] - d) ** 2).sum(2))
+    squares = (d * d).sum(1)
+    rows = np.sqrt(np.maximum(squares[:, None] + squares - 2 * d @ d.T, 0))
     return max(tried, key=lambda labels: silhouette(rows, labels))
 
 

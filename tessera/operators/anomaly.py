@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numerics
 from tessera.functions.shipping import ship
-from tessera.operators import windows
+from tessera.operators import metrics, windows
 from tessera.operators.align import by_date
 
 
@@ -41,26 +41,84 @@ def by_ticker(rows: DataFrame, detect) -> DataFrame:
     return rows.groupBy("ticker").applyInPandas(run, "ticker string, date date, ret double, flag boolean")
 
 
+def forest_scores(part: pd.DataFrame) -> np.ndarray:
+    x = part[["ret", "change", "z"]].to_numpy(float)
+    sd = x.std(0)
+    return numerics.isolation_scores((x - x.mean(0)) / np.where(sd > 0, sd, 1))
+
+
+def forest_flags(score: np.ndarray, limit: float, deviation: float) -> np.ndarray:
+    """Scores far below the median; a tenth of the rows if that finds few in a volatile series."""
+    flags = score < np.median(score) - max(limit, 0.1) * score.std()
+    return score < np.quantile(score, 0.1) if flags.mean() < 0.05 and deviation > 0.05 else flags
+
+
 def isolation(returns: DataFrame, limit: float = 1.5) -> DataFrame:
-    def detect(part: pd.DataFrame) -> np.ndarray:
-        x = part[["ret", "change", "z"]].to_numpy(float)
-        sd = x.std(0)
-        score = numerics.isolation_scores((x - x.mean(0)) / np.where(sd > 0, sd, 1))
-        flags = score < np.median(score) - max(limit, 0.1) * score.std()
-        if flags.mean() < 0.05 and x[:, 0].std() > 0.05:
-            flags = score < np.quantile(score, 0.1)
-        return flags
+    return by_ticker(features(returns.where("ret is not null")), lambda part: forest_flags(forest_scores(part), limit, part["ret"].to_numpy(float).std()))
+
 
-    return by_ticker(features(returns.where("ret is not null")), detect)
+def kalman_ratios(part: pd.DataFrame) -> np.ndarray:
+    """Residuals in rolling deviations of 30 rows."""
+    resid = pd.Series(numerics.kalman_residuals(part["ret"].to_numpy(float)))
+    sd = resid.rolling(30, min_periods=10).std()
+    return (resid.abs() / sd.fillna(sd.mean())).fillna(0.0).to_numpy()
 
 
 def kalman(returns: DataFrame, limit: float = 7.0) -> DataFrame:
-    def detect(part: pd.DataFrame) -> np.ndarray:
-        resid = pd.Series(numerics.kalman_residuals(part["ret"].to_numpy(float)))
-        sd = resid.rolling(30, min_periods=10).std()
-        return (resid.abs() > limit * sd.fillna(sd.mean())).to_numpy()
+    return by_ticker(returns.where("ret is not null"), lambda part: kalman_ratios(part) > limit)
 
-    return by_ticker(returns.where("ret is not null"), detect)
+
+#: The limits that the threshold study tries, by detector.
+STUDY = {"forest": (5.0, 8.0), "kalman": (5.0, 12.0), "z": (3.0, 10.0)}
+
+
+def threshold_study(returns: DataFrame, method: str) -> DataFrame:
+    """ticker, limit and fraction: the lowest limit, in steps of 0.1, with the least share of flags; a detector runs once for all limits."""
+    low, high = STUDY[method]
+    limits = [round(low + 0.1 * k, 1) for k in range(round((high - low) * 10) + 1)]
+    if method == "z":
+        return z_grid(returns, limits)
+    ship(returns.sparkSession)
+    rows = returns.where("ret is not null")
+
+    def tried(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("date")
+        if method == "kalman":
+            ratio = kalman_ratios(part)
+            shares = [(ratio > x).mean() for x in limits]
+        else:
+            score, sd = forest_scores(part), part["ret"].to_numpy(float).std()
+            shares = [forest_flags(score, x, sd).mean() for x in limits]
+        k = int(np.argmin(shares))
+        return pd.DataFrame({"ticker": [part["ticker"].iloc[0]], "limit": [limits[k]], "fraction": [float(shares[k])]})
+
+    return (features(rows) if method == "forest" else rows).groupBy("ticker").applyInPandas(tried, "ticker string, limit double, fraction double")
+
+
+def study_score(flagged: DataFrame, kappa_weight: float = 0.8, stability: float = 0.2) -> DataFrame:
+    """flagged(ticker, date, ret, flag) to the score of a detector's limit: kappa, less what is volatile, extreme or flagged, over volatility by its median."""
+    rows = windows.zscore(flagged, "ret", 30, 5, 1e-8).withColumn("v", windows.rolling_std("ret", 30, 5))
+    moved = rows.withColumn("change", F.abs(F.try_divide(F.col("ret"), F.lag("ret").over(by_date())) - 1))
+    far = lambda c: F.percentile(c, F.lit(0.95))
+    found = moved.groupBy("ticker").agg(
+        F.coalesce(metrics.kappa(F.col("ret")), F.lit(0.0)).alias("k"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("v"), F.median("v").alias("m"),
+        F.coalesce(far("change"), F.lit(0.0)).alias("c"), F.coalesce(far(F.abs(F.coalesce("z", F.lit(0.0)))), F.lit(0.0)).alias("z"), F.avg(F.col("flag").cast("double")).alias("fraction"),
+    )
+    middle = F.when(F.coalesce("m", F.lit(0.0)) == 0, 1.0).otherwise(F.col("m"))
+    total = kappa_weight * F.col("k") - stability * 0.05 * F.col("v") - 0.5 * F.col("c") - 1.5 * F.col("z") - 10 * F.col("fraction")
+    return found.select("ticker", "fraction", (total / (F.col("v") / middle + 1e-8)).alias("score"))
+
+
+def spread_outlier(spread: DataFrame, contamination: float = 0.05) -> DataFrame:
+    """spread(ticker, date, spread) to ticker and outlier: whether the last value is among the share with the lowest forest scores; one row alone isn't."""
+    ship(spread.sparkSession)
+
+    def last(part: pd.DataFrame) -> pd.DataFrame:
+        x = part.sort_values("date")["spread"].dropna().to_numpy(float)
+        score = numerics.isolation_scores(x[:, None]) if len(x) > 1 else np.zeros(1)
+        return pd.DataFrame({"ticker": [part["ticker"].iloc[0]], "outlier": [bool(len(x) > 1 and score[-1] < np.quantile(score, contamination))]})
+
+    return spread.groupBy("ticker").applyInPandas(last, "ticker string, outlier boolean")
 
 
 def flags(returns: DataFrame) -> DataFrame:

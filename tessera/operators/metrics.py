@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.staging import staged
 from tessera.operators.windows import drawdowns
 
 DAYS = 252
@@ -71,7 +72,9 @@ def composite(returns: DataFrame, objective: str, risk_free: float = 0.0) -> Dat
     base = returns.where("ret is not null").groupBy("ticker").agg(
         (F.product(1 + x) - 1).alias("cumulative_return"), sharpe(x, risk_free).alias("sharpe"), kappa(x).alias("kappa"), F.stddev_samp(x).alias("vol")
     )
-    joined = base.join(omega(returns), "ticker", "left").join(cvar(returns), "ticker", "left").withColumn("min_vol_tail", F.col("cvar") - F.col("vol"))
+    joined = base.join(omega(returns), "ticker", "left") if weights["omega"] else base
+    if weights["min_vol_tail"]:
+        joined = joined.join(cvar(returns), "ticker", "left").withColumn("min_vol_tail", F.col("cvar") - F.col("vol"))
     total = F.lit(0.0)
     for name, w in weights.items():
         if w:
@@ -108,11 +111,15 @@ def alpha(portfolio: DataFrame, risk_free: float = 0.0) -> DataFrame:
     return portfolio.agg(F.coalesce(F.regr_intercept(F.col("p") - risk_free, F.col("m") - risk_free), F.lit(0.0)).alias("alpha"))
 
 
-def report(portfolio: DataFrame, market: DataFrame) -> DataFrame:
-    """portfolio(date, ret) and market(date, m) to one row of Sharpe, kappa, volatility, drawdown, time under water, alpha and total."""
+def report(portfolio: DataFrame, market: DataFrame, risk_free: float = 0.0) -> DataFrame:
+    """portfolio(date, ret) and market(date, m) to one row of Sharpe, kappa, volatility, drawdown, time under water, alpha and total.
+
+    The portfolio, a row for each date, is computed once.
+    """
+    portfolio = staged(portfolio.select("date", "ret"))
     one = portfolio.withColumn("ticker", F.lit("portfolio"))
     x = F.col("ret")
-    first = one.agg(sharpe(x).alias("sharpe"), kappa(x).alias("kappa"), volatility(x).alias("volatility"), ((F.product(1 + x) - 1) * 100).alias("total_pct"))
+    first = one.agg(sharpe(x, risk_free).alias("sharpe"), kappa(x).alias("kappa"), volatility(x).alias("volatility"), ((F.product(1 + x) - 1) * 100).alias("total_pct"))
     deep = drawdowns(one).agg(F.min("drawdown").alias("max_drawdown"), F.count_if(F.col("cum") < F.col("peak")).alias("under_water"))
     aligned = portfolio.join(market, "date").select(F.col("ret").alias("p"), "m")
-    return first.join(deep).join(alpha(aligned).select((100 * F.col("alpha")).alias("alpha_pct")))  # three single rows
+    return first.join(deep).join(alpha(aligned, risk_free).select((100 * F.col("alpha")).alias("alpha_pct")))  # three single rows

@@ -31,11 +31,27 @@ def stateful(returns: DataFrame, window: int, high: float, low: float, reset: fl
 
     The walk of one ticker is sequential; tickers are spread over tasks.
     """
-    ship(returns.sparkSession)
+    rows = with_decay(returns, window).select("ticker", "date", "z", "decay", F.lit(float(high)).alias("high"), F.lit(float(low)).alias("low"))
+    return walked(rows, reset)
+
+
+def stateful_by(returns: DataFrame, params: DataFrame, sizes: list[int], reset: float = 0.5) -> DataFrame:
+    """stateful() with params(ticker, window, low, high), a row for each ticker; sizes are all windows that occur."""
+    rows = returns.join(params, "ticker")
+    parts = [with_decay(rows.where(F.col("window") == n), n).select("ticker", "date", "z", "decay", "high", "low") for n in sizes]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return walked(whole, reset)
+
+
+def walked(rows: DataFrame, reset: float) -> DataFrame:
+    """rows(ticker, date, z, decay, high, low) to ticker, date, state and adj."""
+    ship(rows.sparkSession)
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("date")
-        z, decay = rows["z"].to_numpy(float), rows["decay"].to_numpy(float)
+        z, decay, high, low = (*(rows[c].to_numpy(float) for c in ("z", "decay")), float(rows["high"].iloc[0]), float(rows["low"].iloc[0]))
         state, adj, now, age = np.zeros(len(z), int), np.ones(len(z)), 0, 0
         for i in range(1, len(z)):
             if np.isnan(z[i]):
@@ -52,16 +68,17 @@ def stateful(returns: DataFrame, window: int, high: float, low: float, reset: fl
                 adj[i] = max(0.0, 1 + now * abs(z[i]) * decay[i] ** age)
         return pd.DataFrame({"ticker": rows["ticker"], "date": rows["date"], "state": state, "adj": adj})
 
-    rows = with_decay(returns, window).select("ticker", "date", "z", "decay")
     return rows.groupBy("ticker").applyInPandas(walk, "ticker string, date date, state int, adj double")
 
 
-def basket_positions(spread: DataFrame, stop: float, take: float) -> DataFrame:
+def basket_positions(spread: DataFrame, stop: Column | float, take: Column | float) -> DataFrame:
     """spread(ticker, date, dev) to positions: long below stop until 0, short above take until 0; a row that leaves doesn't enter."""
     ship(spread.sparkSession)
+    limits = {"_stop": stop if isinstance(stop, Column) else F.lit(float(stop)), "_take": take if isinstance(take, Column) else F.lit(float(take))}
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows, now, out = rows.sort_values("date"), 0, []
+        stop, take = float(rows["_stop"].iloc[0]), float(rows["_take"].iloc[0])
         for d in rows["dev"].to_numpy(float):
             if now == 0:
                 now = 1 if d < stop else -1 if d > take else 0
@@ -70,21 +87,31 @@ def basket_positions(spread: DataFrame, stop: float, take: float) -> DataFrame:
             out.append(now)
         return pd.DataFrame({"ticker": rows["ticker"], "date": rows["date"], "position": out})
 
-    return spread.groupBy("ticker").applyInPandas(walk, "ticker string, date date, position int")
+    thin = spread.withColumns(limits).select("ticker", "date", "dev", *limits)
+    return thin.groupBy("ticker").applyInPandas(walk, "ticker string, date date, position int")
 
 
-def latest_composite(signals: DataFrame, daily_weight: float = 0.7) -> DataFrame:
-    """signals(ticker, freq, date, adj) to the weighted sum of the latest daily and weekly values."""
-    w = min(1.0, max(0.0, daily_weight))
-    last = signals.groupBy("ticker", "freq").agg(F.max_by("adj", "date").alias("adj"))
+def latest_composite(signals: DataFrame, daily_weight: float = 0.7, shares: DataFrame | None = None) -> DataFrame:
+    """signals(ticker, freq, date, adj) to the weighted sum of the latest daily and weekly values; shares(ticker, share) are daily weights of their own."""
+    w = F.lit(min(1.0, max(0.0, daily_weight)))
+    if shares is not None:
+        signals = signals.join(shares, "ticker", "left")
+        w = F.coalesce(F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("share")))), w)
+    last = signals.groupBy("ticker", "freq").agg(F.max_by("adj", "date").alias("adj"), *([F.max("share").alias("share")] if shares is not None else []))
     part = lambda freq: F.coalesce(F.max(F.when(F.col("freq") == freq, F.col("adj"))), F.lit(0.0))
     return last.groupBy("ticker").agg((w * part("daily") + (1 - w) * part("weekly")).alias("signal"))
 
 
-def propagate(signals: DataFrame, returns: DataFrame, dampening: float = 0.5, window: int = 90) -> DataFrame:
-    """Half the own signal and half the mean of the others, weighted by the positive correlation of rolling mean returns."""
+def propagate(signals: DataFrame, returns: DataFrame, dampening: float = 0.5, window: int = 90, clusters: DataFrame | None = None) -> DataFrame:
+    """Half the own signal and half the mean of the others, weighted by the positive correlation of rolling mean returns.
+
+    With clusters(ticker, cluster) the others are those of a ticker's own cluster.
+    """
     smooth = returns.withColumn("ret", windows.rolling_mean("ret", window))
     near = linalg.correlations(smooth).where("value > 0")
+    if clusters is not None:
+        of = lambda name: clusters.select(F.col("ticker").alias(name), F.col("cluster").alias(f"_{name}"))
+        near = near.join(of("a"), "a").join(of("b"), "b").where("_a = _b").select("a", "b", "value")
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "value"))
     others = both.join(signals.toDF("b", "s"), "b").groupBy(F.col("a").alias("ticker")).agg((F.sum(F.col("s") * F.col("value")) / F.sum("value")).alias("other"))
     return signals.join(others, "ticker", "left").select("ticker", ((1 - dampening) * F.col("signal") + dampening * F.coalesce("other", F.lit(0.0))).alias("signal"))
@@ -98,36 +125,80 @@ def tilt(weights: DataFrame, signals: DataFrame, alpha: float = 0.2, short: bool
     return moved.select("ticker", F.try_divide(F.col("w"), whole).alias("weight"))
 
 
-def window_grid(returns: DataFrame, window_sizes: list[int], limits: list[float], objective: str = "sharpe") -> DataFrame:
-    """window, z and score of every pair: the score of the threshold strategy with positions of the day before."""
-    found = None
+def scored(rows: DataFrame, keys: list[str], objective: str) -> DataFrame:
+    """rows(keys, date, ret) to keys and the composite score of each."""
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.select(*keys).dtypes)
+    named = rows.select(F.to_json(F.struct(*keys)).alias("ticker"), "date", "ret")
+    return metrics.composite(named, objective).select(F.from_json("ticker", kinds).alias("k"), "score").select("k.*", "score")
+
+
+def window_grid(returns: DataFrame, window_sizes: list[int], limits: list[float], objective: str = "sharpe", by: tuple[str, ...] = ()) -> DataFrame:
+    """window, low, high and score of every cell, for each group of the columns by: the threshold strategy with positions of the day before.
+
+    low and high are the limits of buying and selling. A position depends on one of them only, so each limit's
+    daily return is summed once, and cells are put together from daily rows.
+    """
+    each = F.array(*map(F.lit, limits))
+    found, by = None, list(by)
     for n in window_sizes:
-        scored = windows.robust_zscore(returns, "ret", n).withColumn("limit", F.explode(F.array(*map(F.lit, limits))))
-        order = Window.partitionBy("ticker", "limit").orderBy("date")
-        placed = scored.withColumn("p", F.lag(threshold_signal(F.col("z"), F.col("limit"), F.col("limit"))).over(order))
-        daily = placed.groupBy("limit", "date").agg(F.sum(F.coalesce(F.col("p") * F.col("ret"), F.lit(0.0))).alias("ret"))
-        rows = daily.withColumn("ticker", F.col("limit").cast("string"))
-        score = metrics.composite(rows, objective).select(F.lit(n).alias("window"), F.col("ticker").cast("double").alias("z"), "score")
-        found = score if found is None else found.unionByName(score)
-    return found
-
-
-def weight_grid(daily: DataFrame, weekly: DataFrame, returns: DataFrame, steps: int = 10, objective: str = "sharpe") -> DataFrame:
-    """weight and score for daily weights 1/steps to 1, of an equal-weight base tilted by the latest signals."""
+        z = F.lag("z").over(by_date())
+        marked = windows.robust_zscore(returns, "ret", n).withColumn("before", z).withColumn("limit", F.explode(each))
+        gain = lambda p: F.sum(F.coalesce(p * F.col("ret"), F.lit(0.0)))
+        none = F.lit(0.0)
+        bought = F.when(F.col("before") < -F.col("limit"), (-F.col("before") - F.col("limit")) / F.col("limit")).otherwise(none)
+        sold = F.when(F.col("before") > F.col("limit"), -(F.col("before") - F.col("limit")) / F.col("limit")).otherwise(none)
+        daily = marked.groupBy(*by, "date", "limit").agg(gain(bought).alias("b"), gain(sold).alias("s"))
+        lines = daily.groupBy(*by, "date").agg(F.collect_list(F.struct("limit", "b", "s")).alias("x"))  # a row for each limit
+        cells = lines.select(*by, "date", F.explode("x").alias("lo"), "x").select(*by, "date", "lo", F.explode("x").alias("hi"))
+        rows = cells.select(*by, F.lit(n).alias("window"), F.col("lo.limit").alias("low"), F.col("hi.limit").alias("high"), "date", (F.col("lo.b") + F.col("hi.s")).alias("ret"))
+        found = rows if found is None else found.unionByName(rows)
+    return scored(found, [*by, "window", "low", "high"], objective)
+
+
+def best(grid: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """The cell with the highest score of each group; of equal ones the first by keys."""
+    known = grid.where("score is not null and not isnan(score)")
+    order = F.struct((-F.col("score")).alias("s"), *keys)
+    return known.groupBy(*by).agg(F.min(order).alias("m")).select(*by, *(f"m.{k}" for k in keys), (-F.col("m.s")).alias("score"))
+
+
+def weight_grid(daily: DataFrame, weekly: DataFrame, returns: DataFrame, steps: int = 10, objective: str = "sharpe", by: tuple[str, ...] = ()) -> DataFrame:
+    """weight and score for daily weights 1/steps to 1, of an equal-weight base tilted by the latest signals; for each group of the columns by of returns."""
     latest = lambda s, name: s.groupBy("ticker").agg(F.max_by("adj", "date").alias(name))
-    both = latest(daily, "d").join(latest(weekly, "w"), "ticker").withColumn("g", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    rows, by = returns.where("ret is not null"), list(by)
+    groups = rows.select(*by, "ticker").distinct()
+    both = latest(daily, "d").join(latest(weekly, "w"), "ticker").join(groups, "ticker").withColumn("g", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     mixed = both.withColumn("s", (F.col("g") * F.col("d") + (steps - F.col("g")) * F.col("w")) / steps)
-    group = Window.partitionBy("g")
+    group = Window.partitionBy(*by, "g")
     top = F.max("s").over(group)
     factor = F.greatest(F.lit(0.0), 1 + F.when(top <= 1, F.col("s") - 1).otherwise((F.col("s") - 1) / (top - 1)))
     weights = mixed.withColumn("f", factor).withColumn("weight", F.try_divide(F.col("f"), F.sum("f").over(group)))
-    joined = returns.where("ret is not null").join(weights.select("g", "ticker", "weight"), "ticker")
-    rows = joined.groupBy("g", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret")).withColumn("ticker", F.col("g").cast("string"))
-    return metrics.composite(rows, objective).select((F.col("ticker").cast("int") / steps).alias("weight"), "score")
+    joined = rows.join(weights.select("g", "ticker", "weight"), "ticker")
+    line = joined.groupBy(*by, "g", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
+    return scored(line, [*by, "g"], objective).select(*by, (F.col("g") / steps).alias("weight"), "score")
+
+
+def own_clusters(labels: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """labels(ticker, cluster) to (ticker, cluster as text): known clusters win, a noise ticker (-1) is a cluster of its own."""
+    cluster = F.col("cluster")
+    if known is not None:
+        labels = labels.join(known.select("ticker", F.col("cluster").alias("_known")), "ticker", "left")
+        cluster = F.coalesce("_known", "cluster")
+    return labels.select("ticker", F.when(cluster == -1, F.col("ticker")).otherwise(cluster.cast("string")).alias("cluster"))
+
+
+def cluster_parameters(params: DataFrame) -> DataFrame:
+    """params(ticker, cluster, ...) to one row for each cluster: its sorted tickers and the parameters of the first."""
+    rest = [c for c in params.columns if c not in ("ticker", "cluster")]
+    return params.groupBy("cluster").agg(F.array_sort(F.collect_list("ticker")).alias("tickers"), *(F.min_by(c, "ticker").alias(c) for c in rest))
 
 
 def alpha_grid(weights: DataFrame, signals: DataFrame, returns: DataFrame, low: float = 0.05, high: float = 0.2, steps: int = 8, objective: str = "sharpe") -> DataFrame:
-    """alpha and score on a geometric grid; signals are those of the whole sample, so the tilt is constant in time."""
+    """alpha and score on a geometric grid.
+
+    Signals are those of the whole sample, so a tilt that is worked out again at every rebalance, each 30 rows,
+    comes out the same, and one for all dates says as much.
+    """
     grid = [low * (high / low) ** (k / (steps - 1)) for k in range(steps)]
     both = weights.join(signals, "ticker", "left").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     a = F.get(F.array(*map(F.lit, grid)), F.col("g"))
@@ -135,8 +206,8 @@ def alpha_grid(weights: DataFrame, signals: DataFrame, returns: DataFrame, low:
     moved = both.withColumn("w", F.when(raw < 0, 0.1 * raw).otherwise(raw))
     scaled = moved.withColumn("w", F.try_divide(F.col("w"), F.sum("w").over(Window.partitionBy("g"))))
     joined = returns.where("ret is not null").join(scaled.select("g", "ticker", "w"), "ticker")
-    rows = joined.groupBy("g", "date").agg(F.sum(F.col("w") * F.col("ret")).alias("ret")).withColumn("ticker", F.col("g").cast("string"))
-    return metrics.composite(rows, objective).select(F.get(F.array(*map(F.lit, grid)), F.col("ticker").cast("int")).alias("alpha"), "score")
+    rows = joined.groupBy("g", "date").agg(F.sum(F.col("w") * F.col("ret")).alias("ret"))
+    return scored(rows, ["g"], objective).select(F.get(F.array(*map(F.lit, grid)), F.col("g")).alias("alpha"), "score")
 
 
 def blend_grid(first: DataFrame, second: DataFrame, returns: DataFrame, steps: int = 10) -> DataFrame:
@@ -171,6 +242,55 @@ def ou_trades(rows: DataFrame, stop: Column, take: Column) -> DataFrame:
     return first.select("ticker", F.col("e.date").alias("date"), F.col("e.price").alias("entry"), "exit_date", "exit", F.ln(F.col("exit") / F.col("e.price")).alias("ret"))
 
 
+def trade_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """trades(keys, ret) to trades, sharpe, win_rate, kappa and score (their product, with the log of 1 + trades)."""
+    x = F.col("ret")
+    found = trades.groupBy(*keys).agg(F.count("*").alias("trades"), metrics.sharpe(x).alias("sharpe"), F.avg((x > 0).cast("double")).alias("win_rate"), metrics.kappa(x).alias("kappa"))
+    return found.withColumn("score", F.col("sharpe") * F.col("win_rate") * F.ln(F.col("trades") + 1.0) * F.col("kappa"))
+
+
+def bound_cells(steps: int) -> Column:
+    """Array of (stop, take) in deviations: -2 to 0, and 0 to 2, steps of each."""
+    ends = [2 * k / steps for k in range(steps + 1)]
+    return F.array(*(F.struct(F.lit(-a).alias("stop"), F.lit(b).alias("take")) for a in ends for b in ends))
+
+
+def ou_bounds(rows: DataFrame, steps: int = 8) -> DataFrame:
+    """rows(ticker, date, price, dev, sigma) to the best stop and take of each ticker, with trades and score.
+
+    Every cell of a grid of -2 sigma to 0 by 0 to 2 sigma is traded; a cell without a score counts as 0, and of
+    equal cells the one nearest to 0 wins. Tickers without a trade in any cell get the outermost bounds.
+    """
+    cells = rows.withColumn("c", F.explode(bound_cells(steps)))
+    keyed = cells.select(F.to_json(F.struct("ticker", "c.stop", "c.take")).alias("ticker"), "date", "price", "dev", (F.col("c.stop") * F.col("sigma")).alias("stop"), (F.col("c.take") * F.col("sigma")).alias("take"))
+    trades = ou_trades(keyed, F.col("stop"), F.col("take")).select(F.from_json("ticker", "ticker string, stop double, take double").alias("k"), "ret").select("k.*", "ret")
+    scores = trade_metrics(trades, ["ticker", "stop", "take"]).withColumn("score", F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)))
+    top = scores.groupBy("ticker").agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("stop")).alias("stop"), "take", "trades")).alias("m"))
+    sized = rows.groupBy("ticker").agg(F.max("sigma").alias("sigma")).join(top, "ticker", "left")
+    bound = lambda c, default: F.coalesce(c, F.lit(default)) * F.col("sigma")
+    return sized.select("ticker", bound(-F.col("m.stop"), -2.0).alias("stop"), bound(F.col("m.take"), 2.0).alias("take"), F.coalesce("m.trades", F.lit(0)).alias("trades"), F.coalesce(-F.col("m.s"), F.lit(0.0)).alias("score"))
+
+
+def basket_returns(held: DataFrame, *keys: str) -> DataFrame:
+    """held(keys, ticker, date, spread, position) with ret: the position of the day before times the relative change of the spread."""
+    order = Window.partitionBy(*keys, "ticker").orderBy("date")
+    last = F.lag("spread").over(order)
+    return held.withColumn("ret", F.lag("position").over(order) * (F.try_divide(F.col("spread"), last) - 1))
+
+
+def basket_grid(spread: DataFrame, steps: int = 8) -> DataFrame:
+    """spread(date, spread) to stop, take (in units of the spread), trades, sharpe, kappa, win_rate and avg_ret of every cell of a grid of two deviations either side."""
+    line = Window.partitionBy(F.lit(0))  # one series, of as many rows as there are dates
+    rows = spread.withColumn("dev", F.col("spread") - F.avg("spread").over(line)).withColumn("sd", F.stddev_samp("spread").over(line))
+    cells = rows.withColumn("c", F.explode(bound_cells(steps))).withColumn("stop", F.col("c.stop") * F.col("sd")).withColumn("take", F.col("c.take") * F.col("sd"))
+    keyed = cells.select(F.to_json(F.struct("stop", "take")).alias("ticker"), "date", "spread", "dev", "stop", "take")
+    held = basket_returns(keyed.join(basket_positions(keyed, F.col("stop"), F.col("take")), ["ticker", "date"]))
+    x = F.col("ret")
+    return held.groupBy("stop", "take").agg(
+        F.count_if(F.col("position") != 0).alias("trades"), metrics.sharpe(x).alias("sharpe"), metrics.kappa(x).alias("kappa"), F.avg((x > 0).cast("double")).alias("win_rate"), F.avg(x).alias("avg_ret")
+    )
+
+
 def spread(prices: DataFrame, vector: DataFrame) -> DataFrame:
     """date, spread: the sum of log price times the vector(ticker, v)."""
     return prices.join(vector, "ticker").groupBy("date").agg(F.sum(F.ln("adj_close") * F.col("v")).alias("spread"))

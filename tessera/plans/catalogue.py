@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import numerics
+from tessera.functions.staging import staged
 from tessera.operators import align, anomaly, linalg, metrics, signals, weights, windows
 from tessera.plans import portfolio
 from tessera.sources import prices
@@ -69,7 +69,7 @@ def ret(s: SparkSession, d: str) -> DataFrame:
 
 
 def filled(s: SparkSession, d: str) -> DataFrame:
-    return align.fill(align.densify(prices.supplier_prices(s, d)), "adj_close")
+    return align.fill(align.densify(staged(prices.supplier_prices(s, d))), "adj_close")
 
 
 def ret2(s: SparkSession, d: str) -> DataFrame:
@@ -293,7 +293,14 @@ query("ledoit_wolf_corr", f"{LW} SELECT l.a, l.b, round(l.value / sqrt(x.value *
 query("portfolio_variance", f"{TWO}, {PAIRS}, cv AS (SELECT a, b, covar_samp(x, y) AS v FROM pr GROUP BY 1, 2) SELECT round(sum(CASE WHEN a = b THEN v ELSE 2 * v END) / 900, 8) AS variance FROM cv")(
     lambda s, d: rounded(linalg.portfolio_variance(linalg.covariances(ret2(s, d)), ret2(s, d).select("ticker").distinct().withColumn("weight", F.lit(1 / 30))), 8)
 )
-ORACLES["portfolio_variance"] = ORACLES["portfolio_variance"].replace("FROM cv", "FROM cv")
+query("corr_matrix_switch", f"""{LW}, small AS (SELECT a, b, abs(corr(x, y)) AS value FROM ({PAIRS.split("pr AS (", 1)[1][:-1]}) WHERE a < b GROUP BY 1, 2),
+big AS (SELECT l.a, l.b, l.value / sqrt(x.value * y.value) AS value FROM lw l JOIN lw x ON x.a = l.a AND x.b = l.a JOIN lw y ON y.a = l.b AND y.b = l.b WHERE l.a < l.b)
+SELECT a, b, round(value, 6) + 0.0::DOUBLE AS value FROM big WHERE (SELECT count(DISTINCT ticker) FROM ret) > 50 UNION ALL SELECT a, b, round(value, 6) + 0.0::DOUBLE FROM small WHERE (SELECT count(DISTINCT ticker) FROM ret) <= 50""")(
+    lambda s, d: rounded(linalg.correlation_matrix(staged(ret2(s, d))))
+)
+query("distance_rescaled", f"{TWO}, {PAIRS}, dd AS (SELECT a, b, (1 - abs(corr(x, y))) / 2 AS v FROM pr WHERE a < b GROUP BY 1, 2), ends AS (SELECT least(min(v), 0.5) AS lo, greatest(max(v), 0.5) AS hi FROM dd) SELECT a, b, round((v - lo) / (hi - lo), 6) + 0.0::DOUBLE AS value FROM dd, ends")(
+    lambda s, d: rounded(linalg.distances(staged(linalg.correlations(ret2(s, d))), True))
+)
 
 # signals
 
@@ -360,7 +367,84 @@ def trades(s, d):
     return out.withColumns({"entry": r(F.col("entry"), 4), "exit": r(F.col("exit"), 4), "ret": r(F.col("ret"))})
 
 
-query("window_threshold_grid")(lambda s, d: rounded(signals.window_grid(ret(s, d).where("ret is not null").withColumn("ret", F.col("ret") / 100), [10, 20], [1.0, 1.5, 2.0])))
+SCORE = "avg(ret) / (stddev_samp(ret) * sqrt(252)) - CASE WHEN product(1 + ret) - 1 < 0 THEN 2 * abs(product(1 + ret) - 1) ELSE 0 END"
+LIMIT_LIST = f"[{', '.join(map(str, portfolio.LIMITS))}]::DOUBLE[]"
+
+
+def grid_sql(sizes: list[int], by: str) -> str:
+    """Scores of every (window, low, high), by groups of tickers: an expression over ticker."""
+    parts = []
+    for n in sizes:
+        w = f"OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        parts.append(f"""SELECT {n} AS "window", ticker, date, ret, lag((ret - list_aggregate(list_filter(v, lambda x: x IS NOT NULL), 'median'))
+  / nullif(CASE WHEN len(list_filter(v, lambda x: x IS NOT NULL)) = n THEN list_aggregate(v, 'mad') / 1.4826 END, 0)) OVER (PARTITION BY ticker ORDER BY date) AS z
+  FROM (SELECT ticker, date, ret, list(ret) {w} AS v, count(*) {w} AS n FROM src)""")
+    return f"""src AS (SELECT ticker, date, ret / 100 AS ret FROM ret WHERE ret IS NOT NULL), zz AS ({" UNION ALL ".join(parts)}),
+dy AS (SELECT {by} AS grp, "window", l, date, sum(coalesce(CASE WHEN z < -l THEN (-z - l) / l ELSE 0 END * ret, 0)) AS b, sum(coalesce(CASE WHEN z > l THEN -(z - l) / l ELSE 0 END * ret, 0)) AS s
+  FROM zz, (SELECT unnest({LIMIT_LIST}) AS l) GROUP BY 1, 2, 3, 4),
+cl AS (SELECT x.grp, x."window", x.l AS low, y.l AS high, x.date, x.b + y.s AS ret FROM dy x JOIN dy y ON x.grp IS NOT DISTINCT FROM y.grp AND x."window" = y."window" AND x.date = y.date)"""
+
+
+def hundredth(s, d):
+    return ret(s, d).where("ret is not null").withColumn("ret", F.col("ret") / 100)
+
+
+query("window_threshold_grid", f'{ONE}, {grid_sql(portfolio.DAILY, "0")} SELECT "window", low, high, round({SCORE}, 5) + 0.0::DOUBLE AS score FROM cl GROUP BY "window", low, high')(
+    lambda s, d: rounded(signals.window_grid(hundredth(s, d), portfolio.DAILY, portfolio.LIMITS), 5)
+)
+
+
+@query("cluster_window_grid", f"""{ONE}, {grid_sql([5, 10], "CASE WHEN ticker < '3' THEN 'a' ELSE 'b' END")} SELECT grp AS cluster, "window", low, high, round({SCORE}, 5) + 0.0::DOUBLE AS score FROM cl GROUP BY grp, "window", low, high""")
+def cluster_grid(s, d):
+    rows = hundredth(s, d).withColumn("cluster", F.when(F.col("ticker") < "3", "a").otherwise("b"))
+    return rounded(signals.window_grid(rows, [5, 10], portfolio.LIMITS, by=("cluster",)), 5)
+
+
+LABELS = "lb AS (SELECT ticker, CASE WHEN ticker < '2' THEN -1 WHEN ticker < '4' THEN 0 ELSE 1 END AS cluster FROM (SELECT DISTINCT ticker FROM p1))"
+labels = lambda s, d: p1(s, d).select("ticker").distinct().withColumn("cluster", F.when(F.col("ticker") < "2", -1).when(F.col("ticker") < "4", 0).otherwise(1))
+query("own_clusters", f"WITH {P1}, {LABELS} SELECT ticker, CASE WHEN ticker = '5-LOW' THEN '7' WHEN cluster = -1 THEN ticker ELSE cluster::VARCHAR END AS cluster FROM lb")(
+    lambda s, d: signals.own_clusters((l := labels(s, d)), l.where("ticker = '5-LOW'").select("ticker", F.lit(7).alias("cluster")))
+)
+query("cluster_parameters", f"WITH {P1}, {LABELS} SELECT cluster, array_to_string(list_sort(list(ticker)), ',') AS tickers, min(length(ticker))::INT AS n FROM (SELECT ticker, cluster, first_value(ticker) OVER (PARTITION BY cluster ORDER BY ticker) AS f FROM lb) GROUP BY cluster, f".replace("min(length(ticker))::INT AS n", "length(f)::INT AS n"))(
+    lambda s, d: signals.cluster_parameters(labels(s, d).withColumn("n", F.length("ticker"))).withColumn("tickers", F.array_join("tickers", ","))
+)
+query("propagate_in_clusters", f"""{TWO}, sg AS (SELECT ticker, avg(ret) * 100 AS signal FROM ret GROUP BY 1), sm AS (SELECT ticker, date, {rolling_sql('avg', 90, 90)} AS ret FROM ret),
+nr AS (SELECT a.ticker AS a, b.ticker AS b, abs(corr(a.ret, b.ret)) AS v FROM sm a JOIN sm b ON a.date = b.date AND a.ticker <> b.ticker AND right(a.ticker, 1) = right(b.ticker, 1) WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2),
+ot AS (SELECT a AS ticker, sum(signal * v) / sum(v) AS o FROM nr JOIN sg ON sg.ticker = nr.b WHERE v > 0 GROUP BY 1) SELECT ticker, round(0.5 * signal + 0.5 * coalesce(o, 0), 6) + 0.0::DOUBLE AS signal FROM sg LEFT JOIN ot USING (ticker)""")(
+    lambda s, d: rounded(signals.propagate((r2 := ret2(s, d)).groupBy("ticker").agg((F.avg("ret") * 100).alias("signal")), r2, clusters=r2.select("ticker", F.right(F.col("ticker"), F.lit(1)).alias("cluster")).distinct()))
+)
+TRADES = f"""WITH {P1}, dv AS (SELECT ticker, date, adj_close AS price, ln(adj_close) - avg(ln(adj_close)) OVER (PARTITION BY ticker) AS dev, stddev_samp(ln(adj_close)) OVER (PARTITION BY ticker) AS sigma FROM p1),
+gr AS (SELECT -2 * i / 4.0::DOUBLE AS stop, 2 * j / 4.0::DOUBLE AS take FROM (SELECT unnest(range(0, 5)) AS i), (SELECT unnest(range(0, 5)) AS j)),
+cl AS (SELECT *, CASE WHEN dev < stop * sigma THEN 1 ELSE 0 END AS buy, CASE WHEN dev > take * sigma THEN 1 ELSE 0 END AS sell FROM dv, gr),
+nx AS (SELECT *, min(CASE WHEN sell = 1 THEN date END) OVER (PARTITION BY ticker, stop, take ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS xd FROM cl),
+tr AS (SELECT ticker, stop, take, xd, min_by(price, date) AS entry FROM nx WHERE buy = 1 AND xd IS NOT NULL GROUP BY 1, 2, 3, 4),
+tt AS (SELECT tr.ticker, stop, take, ln(dv.price / entry) AS ret FROM tr JOIN dv ON dv.ticker = tr.ticker AND dv.date = xd),
+mt AS (SELECT ticker, stop, take, count(*) AS trades, avg(ret) / nullif(stddev_samp(ret) * sqrt(252), 0) AS sharpe, avg((ret > 0)::INT) AS win_rate,
+  avg(ret) / nullif(pow(avg(pow(-ret, 3)) FILTER (WHERE ret < 0), 1.0 / 3), 0) AS kappa FROM tt GROUP BY 1, 2, 3)"""
+deviations = lambda s, d: p1(s, d).select("ticker", "date", F.col("adj_close").alias("price")).withColumn("dev", F.ln("price") - F.avg(F.ln("price")).over(Window.partitionBy("ticker"))).withColumn("sigma", F.stddev_samp(F.ln("price")).over(Window.partitionBy("ticker")))
+query("ou_bounds", f"""{TRADES}, sc AS (SELECT *, coalesce(sharpe * win_rate * ln(trades + 1) * kappa, 0) AS score FROM mt), bs AS (SELECT ticker, min_by(stop, (-score, -stop, take)) AS stop, min_by(take, (-score, -stop, take)) AS take, min_by(trades, (-score, -stop, take)) AS trades, max(score) AS score FROM sc GROUP BY 1)
+SELECT DISTINCT dv.ticker, round(coalesce(stop, -2) * sigma, 6) + 0.0::DOUBLE AS stop, round(coalesce(take, 2) * sigma, 6) + 0.0::DOUBLE AS take, coalesce(trades, 0) AS trades, round(coalesce(score, 0), 6) + 0.0::DOUBLE AS score FROM (SELECT ticker, max(sigma) AS sigma FROM dv GROUP BY 1) dv LEFT JOIN bs USING (ticker)""")(
+    lambda s, d: rounded(signals.ou_bounds(deviations(s, d), 4))
+)
+
+
+@query("ou_trade_metrics", f"{TRADES} SELECT ticker, trades, round(sharpe, 6) AS sharpe, round(win_rate, 6) AS win_rate, round(kappa, 6) AS kappa, round(sharpe * win_rate * ln(trades + 1) * kappa, 6) AS score FROM mt WHERE stop = -0.5 AND take = 0.5")
+def trade_rows(s, d):
+    trades = signals.ou_trades(deviations(s, d).withColumn("stop", -0.5 * F.col("sigma")).withColumn("take", 0.5 * F.col("sigma")), F.col("stop"), F.col("take"))
+    return rounded(signals.trade_metrics(trades, ["ticker"]))
+
+
+query("basket_grid", f"""WITH RECURSIVE {P2}, {DENSE}, {VEC}, sp AS (SELECT date, sum(ln(adj_close) * v) + 1000 AS s FROM filled JOIN v USING (ticker) GROUP BY 1), sd AS (SELECT stddev_samp(s) AS sd FROM sp),
+dv AS (SELECT date, s, s - avg(s) OVER () AS dev, row_number() OVER (ORDER BY date) AS i FROM sp), gr AS (SELECT -2 * i / 2.0::DOUBLE * sd AS stop, 2 * j / 2.0::DOUBLE * sd AS take FROM sd, (SELECT unnest(range(0, 3)) AS i), (SELECT unnest(range(0, 3)) AS j)),
+fold AS (SELECT stop, take, date, s, i, CASE WHEN dev < stop THEN 1 WHEN dev > take THEN -1 ELSE 0 END AS p FROM dv, gr WHERE i = 1 UNION ALL
+  SELECT f.stop, f.take, n.date, n.s, n.i, CASE WHEN f.p = 0 THEN CASE WHEN dev < f.stop THEN 1 WHEN dev > f.take THEN -1 ELSE 0 END WHEN f.p = 1 AND dev >= 0 OR f.p = -1 AND dev <= 0 THEN 0 ELSE f.p END FROM fold f JOIN dv n ON n.i = f.i + 1),
+rt AS (SELECT stop, take, p, lag(p) OVER w * (s / nullif(lag(s) OVER w, 0) - 1) AS ret FROM fold WINDOW w AS (PARTITION BY stop, take ORDER BY date))
+SELECT round(stop, 6) + 0.0::DOUBLE AS stop, round(take, 6) + 0.0::DOUBLE AS take, count(*) FILTER (WHERE p <> 0) AS trades, round(avg(ret) / nullif(stddev_samp(ret) * sqrt(252), 0), 5) + 0.0::DOUBLE AS sharpe, round(avg(ret) / nullif(pow(avg(pow(-ret, 3)) FILTER (WHERE ret < 0), 1.0 / 3), 0), 5) + 0.0::DOUBLE AS kappa,
+  round(avg((ret > 0)::INT), 6) AS win_rate, round(avg(ret), 8) + 0.0::DOUBLE AS avg_ret FROM rt GROUP BY stop, take""")(
+    lambda s, d: signals.basket_grid(signals.spread((f := filled(s, d)), vector(f)).withColumn("spread", F.col("spread") + 1000), 2).select(
+        r(F.col("stop")).alias("stop"), r(F.col("take")).alias("take"), "trades", r(F.col("sharpe"), 5).alias("sharpe"), r(F.col("kappa"), 5).alias("kappa"), r(F.col("win_rate")).alias("win_rate"), r(F.col("avg_ret"), 8).alias("avg_ret")
+    )
+)
 query("period_weight_grid", f"""{ONE}, {FREQ}, l AS (SELECT ticker, max_by(adj, date) FILTER (WHERE freq = 'daily') AS d, max_by(adj, date) FILTER (WHERE freq = 'weekly') AS w FROM fs GROUP BY 1),
 m AS (SELECT ticker, g, (g * d + (10 - g) * w) / 10 AS s FROM l, (SELECT unnest(range(1, 11)) AS g)), t AS (SELECT *, max(s) OVER (PARTITION BY g) AS top FROM m),
 f AS (SELECT ticker, g, greatest(0, 1 + CASE WHEN top <= 1 THEN s - 1 ELSE (s - 1) / (top - 1) END) AS f FROM t), k AS (SELECT ticker, g, f / sum(f) OVER (PARTITION BY g) AS k FROM f),
@@ -400,8 +484,8 @@ query("isolation_forest_flags")(lambda s, d: rounded(anomaly.isolation(ret2(s, d
 query("kalman_flags")(lambda s, d: rounded(anomaly.kalman(ret2(s, d))))
 query("johansen_vector")(lambda s, d: rounded(portfolio.johansen(align.fill(align.densify(p1(s, d).select("ticker", "date", "adj_close")), "adj_close"))))
 query("allocator")(lambda s, d: rounded(portfolio.allocate(ret2(s, d))))
-query("pipeline_z")(lambda s, d: rounded(portfolio.run(p1(s, d), None, portfolio.Config(use_anomaly_filter=True, use_decorrelation=True, use_reversion=True, reversion_type="z"))["weights"]))
-query("pipeline_ou")(lambda s, d: rounded(portfolio.run(p1(s, d), None, portfolio.Config(use_reversion=True, reversion_type="ou"))["weights"]))
+query("pipeline_z")(lambda s, d: rounded(portfolio.run(prices.supplier_prices(s, d), None, portfolio.Config(use_anomaly_filter=True, use_decorrelation=True, use_reversion=True, reversion_type="z"))["weights"]))
+query("pipeline_ou")(lambda s, d: rounded(portfolio.run(prices.supplier_prices(s, d), None, portfolio.Config(use_reversion=True, reversion_type="ou"))["weights"]))
 
 # text, calendar and streams
 
@@ -409,9 +493,66 @@ query("clean_ticker", "SELECT DISTINCT p_brand, upper(regexp_replace(p_brand, '[
 query("watchlist_parse", "SELECT DISTINCT upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS ticker FROM part WHERE regexp_matches(p_name, '[A-Za-z]')")(lambda s, d: prices.watchlist(prices.table(s, d, "part").select(F.col("p_name").alias("value"))))
 query("symbols_hash", "SELECT md5(string_agg(p_brand, '_' ORDER BY p_brand)) AS hash FROM (SELECT DISTINCT p_brand FROM part)")(lambda s, d: prices.symbols_hash(prices.table(s, d, "part").select(F.col("p_brand").alias("ticker"))))
 query("json_weights_roundtrip", f"WITH {P1}, {WEIGHTS} SELECT ticker, weight FROM w")(lambda s, d: prices.weights_from_json(prices.weights_json(fixed_weights(s, d))))
-query("etf_holdings_scrape", r"""SELECT page_id, (i - 1)::INT AS place, l[i] AS symbol FROM (SELECT page_id, l, unnest(range(1, least(10, len(l)) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*href="([^"]+)"', 1) AS l FROM pages))""")(
-    lambda s, d: prices.table(s, d, "pages").select("page_id", F.posexplode(F.slice(F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]+)"'), F.lit(1)), 1, 10)).alias("place", "symbol"))
+
+
+@query("etf_holdings_scrape", """SELECT p_type AS page_id, (i - 1)::INT AS place, symbol FROM (SELECT p_type, replace(p_brand, '#', '') AS symbol, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i FROM part) WHERE i <= 10""")
+def holdings(s, d):
+    """Pages with a holdings table for each type of part, its parts in order as rows."""
+    cell = F.concat(F.lit('<tr><td data-th="Symbol" class="x"> <a href="/q">'), F.replace(F.col("p_brand"), F.lit("#"), F.lit("")), F.lit("</a></td><td>1%</td></tr>"))
+    rows = prices.table(s, d, "part").groupBy(F.col("p_type").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", cell.alias("c")))).alias("x"))
+    return prices.etf_holdings(rows.select("page_id", F.concat(F.lit("<table><a href='/'>other</a>"), F.array_join(F.col("x.c"), "\n"), F.lit("</table>")).alias("html")))
+
+
+STORED = "st AS (SELECT ticker, date, close FROM p1 WHERE date BETWEEN DATE '1995-06-01' AND DATE '1999-12-31' AND ticker < '5')"
+stored = lambda s, d: p1(s, d).where("date between date'1995-06-01' and date'1999-12-31' and ticker < '5'").select("ticker", "date", "close")
+opens = lambda s, d: p1(s, d).select("ticker", "date", F.col("open").alias("close"))
+query("store_upsert", f"WITH {P1} SELECT ticker, date, CASE WHEN date BETWEEN DATE '1995-06-01' AND DATE '1999-12-31' AND ticker < '5' THEN close ELSE open END AS close FROM p1")(lambda s, d: prices.upsert(stored(s, d), opens(s, d)))
+query("store_upsert_forced", f"WITH {P1} SELECT ticker, date, open AS close FROM p1")(lambda s, d: prices.upsert(stored(s, d), opens(s, d), True))
+query("store_backfill", f"WITH {P1}, {STORED}, sp AS (SELECT ticker, min(date) AS a, max(date) AS b FROM st GROUP BY 1) SELECT * FROM st UNION ALL SELECT ticker, date, open FROM p1 LEFT JOIN sp USING (ticker) WHERE a IS NULL OR date < a OR date > b")(lambda s, d: prices.backfill(stored(s, d), opens(s, d)))
+query("bulk_load_missing", f"WITH {P1}, {STORED} SELECT DISTINCT ticker FROM p1 WHERE ticker NOT IN (SELECT ticker FROM st)")(lambda s, d: prices.not_stored(p1(s, d), stored(s, d)))
+query("missing_ranges", f"WITH {P1}, {STORED}, l AS (SELECT ticker, max(date) AS b FROM st GROUP BY 1) SELECT DISTINCT ticker, coalesce(b + 1, DATE '2002-01-01' - 1825) AS start, DATE '2002-01-01' AS \"end\" FROM p1 LEFT JOIN l USING (ticker)")(
+    lambda s, d: prices.missing_ranges(stored(s, d), p1(s, d).select("ticker").distinct(), "2002-01-01")
+)
+query("store_is_current", f"WITH {P1}, {STORED} SELECT ticker, max(date) >= DATE '1999-12-30' AS current FROM st GROUP BY 1")(lambda s, d: prices.is_current(stored(s, d), F.lit("1999-12-31 14:00:00").cast("timestamp")))
+query("after_close", "SELECT event_id, hour((ts::TIMESTAMP AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') >= 16 AS closed FROM events")(lambda s, d: prices.table(s, d, "events").select("event_id", prices.after_close(F.col("ts")).alias("closed")))
+query("parse_date", "SELECT o_orderkey, o_orderdate::DATE AS date, strftime(o_orderdate::DATE, '%d.%m.%Y') AS text FROM orders")(
+    lambda s, d: (t := prices.table(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("text"))).select("o_orderkey", prices.parse_date(F.col("text"), "dd.MM.yyyy").alias("date"), "text")
+)
+SESSIONS = "se AS (SELECT unnest(generate_series(DATE '1991-01-01', DATE '2003-12-31', INTERVAL 1 DAY))::DATE AS date), ss AS (SELECT date FROM se WHERE isodow(date) < 6 AND NOT (month(date) = 7 AND day(date) = 4))"
+
+
+def weekdays(s):
+    """A calendar of weekdays without the fourth of July."""
+    days = s.sql("SELECT explode(sequence(DATE'1991-01-01', DATE'2003-12-31')) AS date")
+    return days.withColumn("is_session", (F.weekday("date") < 5) & ~((F.month("date") == 7) & (F.dayofmonth("date") == 4)))
+
+
+for direction, sign, pick in (("forward", ">=", "min"), ("backward", "<=", "max")):
+    query(f"snap_{direction}", f"WITH {P1}, {SESSIONS}, dd AS (SELECT DISTINCT date FROM p1) SELECT date, (SELECT {pick}(ss.date) FROM ss WHERE ss.date {sign} dd.date) AS session FROM dd")(
+        lambda s, d, k=direction: prices.snap(p1(s, d).select("date").distinct(), weekdays(s), k)
+    )
+query("period_bounds", f"WITH {P1}, {SESSIONS}, dd AS (SELECT DISTINCT date FROM p1) SELECT date, (SELECT min(ss.date) FROM ss WHERE ss.date >= dd.date - 548) AS start, (SELECT max(ss.date) FROM ss WHERE ss.date <= dd.date) AS \"end\" FROM dd")(
+    lambda s, d: prices.period(p1(s, d).select("date").distinct(), weekdays(s), 1.5)
+)
+query("conform_vendor", f"WITH {P1} SELECT ticker, date, open, NULL::DOUBLE AS high, NULL::DOUBLE AS low, close, close AS adj_close, volume FROM p1")(
+    lambda s, d: prices.conform(p1(s, d).select("ticker", (F.unix_millis(F.col("date").cast("timestamp"))).alias("t"), F.col("open").alias("o"), F.lit(float("nan")).alias("h"), F.col("close").alias("Close"), F.col("volume").cast("string").alias("v")))
+)
+query("benchmark_named", f"WITH {P1} SELECT date, round(x / lag(x) OVER (ORDER BY date) - 1, 6) + 0.0::DOUBLE AS m FROM (SELECT date, CASE WHEN date < DATE '1997-01-01' THEN close ELSE adj_close END AS x FROM p1 WHERE ticker = '3-MEDIUM') QUALIFY m IS NOT NULL")(
+    lambda s, d: rounded(prices.benchmark(p1(s, d).withColumn("adj_close", F.when(F.col("date") >= F.lit("1997-01-01").cast("date"), F.col("adj_close"))), "3-MEDIUM"))
+)
+query("visible_prefix", f"WITH {P1}, dd AS (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM p1)) SELECT ticker, date, close FROM p1 JOIN dd USING (date) WHERE i <= floor(n * 0.1)")(
+    lambda s, d: portfolio.visible(p1(s, d).select("ticker", "date", "close"), 0.1)
+)
+query("anomaly_study_score", f"""{ONE}, f AS (SELECT ticker, date, ret, abs((ret - avg(ret) OVER (PARTITION BY ticker)) / stddev_samp(ret) OVER (PARTITION BY ticker)) > 2 AS flag FROM ret WHERE ret IS NOT NULL),
+q AS (SELECT ticker, flag, ret, {rolling_sql('avg', 30, 5)} AS m, {rolling_sql('stddev_samp', 30, 5)} AS v, abs(ret / nullif(lag(ret) OVER (PARTITION BY ticker ORDER BY date), 0) - 1) AS c FROM f),
+g AS (SELECT ticker, avg(flag::INT) AS fraction, coalesce(avg(ret) / nullif(pow(avg(pow(-ret, 3)) FILTER (WHERE ret < 0), 1.0 / 3), 0), 0) AS k, avg(v) AS v, median(v) AS m, quantile_cont(c, 0.95) AS c, quantile_cont(coalesce(abs((ret - m) / (v + 1e-8)), 0), 0.95) AS z FROM q GROUP BY 1)
+SELECT ticker, round(fraction, 6) AS fraction, round((0.8 * k - 0.2 * 0.05 * v - 0.5 * c - 1.5 * z - 10 * fraction) / (v / m + 1e-8), 5) AS score FROM g""")(
+    lambda s, d: (x := anomaly.study_score(anomaly.fixed_z(ret(s, d).where("ret is not null"), 2.0))).select("ticker", r(F.col("fraction")).alias("fraction"), r(F.col("score"), 5).alias("score"))
 )
+query("anomaly_study_kalman")(lambda s, d: rounded(anomaly.threshold_study(ret2(s, d), "kalman")))
+query("anomaly_study_forest")(lambda s, d: rounded(anomaly.threshold_study(ret2(s, d), "forest")))
+query("synthetic_returns")(lambda s, d: rounded(prices.synthetic(s)))
+query("spread_outlier")(lambda s, d: anomaly.spread_outlier(ret2(s, d).select("ticker", "date", F.col("ret").alias("spread"))))
 query("trading_calendar", f"""WITH {P1}, dd AS (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS date) SELECT date, isodow(date) < 6 AND date NOT IN (
   SELECT CASE isodow(h) WHEN 6 THEN h - 1 WHEN 7 THEN h + 1 ELSE h END FROM (SELECT unnest([make_date(y, 1, 1), make_date(y, 7, 4), make_date(y, 12, 25)]) AS h FROM (SELECT unnest(range(1995, 2003)) AS y)) WHERE year(CASE isodow(h) WHEN 6 THEN h - 1 WHEN 7 THEN h + 1 ELSE h END) = year(h)
   UNION SELECT date FROM dd WHERE month(date) IN (1, 2) AND isodow(date) = 1 AND day(date) BETWEEN 15 AND 21 OR month(date) = 5 AND isodow(date) = 1 AND day(date) > 24 OR month(date) = 9 AND isodow(date) = 1 AND day(date) < 8 OR month(date) = 11 AND isodow(date) = 4 AND day(date) BETWEEN 22 AND 28

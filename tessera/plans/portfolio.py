@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numerics
@@ -34,6 +34,7 @@ class Config:
     use_reversion: bool = False
     reversion_type: str = "ou"
     visible_pct: float = 1.0
+    benchmark: str | None = None
 
     @classmethod
     def from_dict(cls, given: dict) -> "Config":
@@ -49,13 +50,13 @@ def square(pairs: DataFrame, diagonal: float) -> tuple[list[str], np.ndarray]:
     n = pairs.select("a").union(pairs.select("b")).distinct().count()
     if n > MAX_TICKERS:
         raise ValueError(f"{n} tickers are too many for a matrix on the driver")
-    rows = pairs.select("a", "b", "value").collect()
-    names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
-    at, out = {t: i for i, t in enumerate(names)}, np.full((len(names), len(names)), np.nan)
+    rows = pairs.select("a", "b", "value").toArrow()  # at most MAX_TICKERS ** 2 / 2 rows, as columns
+    names, ends = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]).astype(str), return_inverse=True)
+    i, j = ends.reshape(2, -1)
+    out = np.full((len(names), len(names)), np.nan)
     np.fill_diagonal(out, diagonal)
-    for r in rows:
-        out[at[r["a"]], at[r["b"]]] = out[at[r["b"]], at[r["a"]]] = np.nan if r["value"] is None else r["value"]
-    return names, np.nan_to_num(out)
+    out[i, j] = out[j, i] = rows["value"].to_numpy()
+    return names.tolist(), np.nan_to_num(out)
 
 
 def labelled(spark: SparkSession, names: list[str], labels: np.ndarray) -> DataFrame:
@@ -64,14 +65,14 @@ def labelled(spark: SparkSession, names: list[str], labels: np.ndarray) -> DataF
 
 def clusters(returns: DataFrame, method: str = "hdbscan") -> DataFrame:
     """ticker, cluster by hdbscan, kmeans, mst or spectral on correlation distances."""
-    corr = linalg.correlations(returns, absolute=method == "hdbscan")
+    corr = staged(linalg.correlation_matrix(returns, absolute=method == "hdbscan"))
     spark = returns.sparkSession
     names, c = square(corr, 1.0)
     if not names:
         only = [r[0] for r in returns.select("ticker").distinct().collect()]
         return labelled(spark, only, np.zeros(len(only)))
     if method == "hdbscan":
-        return labelled(spark, names, hdbscan_study((1 - c) / 2))
+        return labelled(spark, names, hdbscan_study(spark, (1 - c) / 2))
     if method == "kmeans":
         return labelled(spark, names, numerics.kmeans_by_silhouette(np.sqrt((1 - c) / 2)))
     if method == "mst":
@@ -81,53 +82,77 @@ def clusters(returns: DataFrame, method: str = "hdbscan") -> DataFrame:
     raise ValueError(f"unknown method {method}")
 
 
-def hdbscan_study(d: np.ndarray) -> np.ndarray:
-    """The labels of the grid point with the best silhouette, less penalties for one large or for many clusters."""
-    best, n = (-np.inf, np.full(len(d), -1)), len(d)
+#: Values that the density study tries: the least and the greatest length at which clusters merge, and the scale of distances.
+EPSILONS, EPSILONS_MAX, ALPHAS = (0.15, 0.18, 0.21, 0.24, 0.27, 0.3), (0.3, 0.5, 0.75, 1.0), (0.1, 0.25, 0.5, 1.0, 1.5, 2.0)
+
+
+def density_score(d: np.ndarray, labels: np.ndarray) -> float:
+    """Silhouette of the clustered, less penalties for one large or for few clusters; -1 for fewer than two."""
+    inside = labels >= 0
+    k = len(np.unique(labels[inside]))
+    if k < 2:
+        return -1.0
+    most = np.bincount(labels[inside]).max() / len(d)
+    return numerics.silhouette(d[np.ix_(inside, inside)], labels[inside]) - 0.5 * max(0.0, most - 0.05) - 0.5 * max(0.0, np.ceil(np.sqrt(len(d))) - k)
+
+
+def hdbscan_study(spark: SparkSession, d: np.ndarray) -> np.ndarray:
+    """The labels of the grid point with the best density_score; a task for each point. Of equal points the first counts."""
+    ship(spark)
     np.fill_diagonal(d, 0)
-    for epsilon in (0.15, 0.2, 0.25, 0.3):
-        for alpha in (0.1, 0.5, 1.0, 2.0):
-            labels = numerics.hdbscan(d, 2, epsilon, alpha, 1.0)
-            inside = labels >= 0
-            k = len(np.unique(labels[inside]))
-            score = -1.0
-            if k >= 2:
-                most = np.bincount(labels[inside]).max() / n
-                score = numerics.silhouette(d[np.ix_(inside, inside)], labels[inside]) - 0.5 * max(0.0, most - 0.05) - 0.5 * max(0.0, np.ceil(np.sqrt(n)) - k)
-            if score > best[0]:
-                best = (score, labels)
-    return best[1]
-
-
-def decorrelated(returns: DataFrame, labels: DataFrame, objective: str = "sharpe") -> DataFrame:
-    """The best tickers of each cluster."""
-    return weights.best_of_clusters(metrics.composite(returns, objective).join(labels, "ticker"))
+    sent = spark.sparkContext.broadcast(d)  # MAX_TICKERS ** 2 doubles at most
+    points = [(e, m, a) for e in EPSILONS for m in EPSILONS_MAX for a in ALPHAS]
+    grid = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "i int, epsilon double, most double, alpha double")
+
+    def score(parts):
+        for part in parts:
+            found = [density_score(sent.value, numerics.hdbscan(sent.value, 2, e, a, m)) for e, m, a in zip(part["epsilon"], part["most"], part["alpha"])]
+            yield pd.DataFrame({"i": part["i"], "score": found})
+
+    top = grid.repartition(spark.sparkContext.defaultParallelism).mapInPandas(score, "i int, score double").orderBy(F.desc("score"), "i").first()
+    e, m, a = points[top["i"]]
+    return numerics.hdbscan(d, 2, e, a, m)
 
 
-def solved(x: np.ndarray, objective: str, max_weight: float, short: bool) -> np.ndarray:
-    if x.shape[1] == 1:
-        return np.ones(1)
-    cov = np.atleast_2d(np.cov(x, rowvar=False)) * metrics.DAYS
-    return numerics.best_weights(objective, x.mean(0) * metrics.DAYS, cov, x, max_weight, short)
+def decorrelated(returns: DataFrame, labels: DataFrame, objective: str = "sharpe", risk_free: float = 0.0) -> DataFrame:
+    """The best tickers of each cluster."""
+    return weights.best_of_clusters(metrics.composite(returns, objective, risk_free).join(labels, "ticker"))
 
 
 def nested_clustering(returns: DataFrame, objective: str, max_weight: float = 1.0, short: bool = False, floor: float = 0.01) -> DataFrame:
-    """Optimal weights within clusters (a task for each), then between the clusters' portfolios; small weights are dropped."""
+    """Optimal weights within clusters (a task for each), then between the clusters' portfolios; small weights are dropped.
+
+    Both steps use shrunk covariances and mean returns, by the year; the outer ones are those of the clusters' portfolios.
+    """
     spark = returns.sparkSession
     ship(spark)
     clean = staged(align.drop_sparse(returns, "ret"))
-    labels = clusters(clean, "kmeans")
+    cov = staged(linalg.shrunk(clean).select("a", "b", (F.col("value") * metrics.DAYS).alias("value")))
+    names, c = square(linalg.as_correlation(cov), 1.0)
+    labels = staged(labelled(spark, names, numerics.kmeans_by_silhouette(np.sqrt(np.maximum(0, 1 - c) / 2))) if names else clean.select("ticker", F.lit(0).alias("cluster")).distinct())
+    of = lambda name: labels.select(F.col("ticker").alias(name), F.col("cluster").alias(f"c{name}"))
+    placed = staged(cov.join(of("a"), "a").join(of("b"), "b"))
 
-    def inside(part: pd.DataFrame) -> pd.DataFrame:
+    def inside(key: tuple, part: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         wide = part.pivot_table(index="date", columns="ticker", values="ret").fillna(0.0).sort_index(axis=1)
-        return pd.DataFrame({"cluster": int(part["cluster"].iloc[0]), "ticker": wide.columns, "weight": solved(wide.to_numpy(float), objective, max_weight, short)})
-
-    within = staged(clean.join(labels, "ticker").groupBy("cluster").applyInPandas(inside, "cluster int, ticker string, weight double"))
-    reduced = clean.where("ret is not null").join(within, "ticker").groupBy("date", "cluster").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
-    wide = reduced.groupBy("date").pivot("cluster", [r[0] for r in labels.select("cluster").distinct().orderBy("cluster").collect()]).agg(F.first("ret"))
-    table = wide.toPandas().sort_values("date").drop(columns="date").fillna(0.0)  # a column for each of at most ten clusters
-    between = solved(table.to_numpy(float), objective, 1.0, short)
-    outer = spark.createDataFrame([(int(c), float(w)) for c, w in zip(table.columns, between)], "cluster int, w double")
+        m = pairs.pivot_table(index="a", columns="b", values="value").reindex(index=wide.columns, columns=wide.columns).to_numpy(float)
+        m = np.where(np.isnan(m), m.T, m)
+        w = np.ones(1) if len(m) == 1 else numerics.best_weights(objective, wide.to_numpy(float).mean(0) * metrics.DAYS, m, wide.to_numpy(float), max_weight, short)
+        return pd.DataFrame({"cluster": int(key[0]), "ticker": wide.columns, "weight": w})
+
+    own = placed.where("ca = cb").select(F.col("ca").alias("cluster"), "a", "b", "value")
+    rows = clean.where("ret is not null").join(labels, "ticker").select("cluster", "date", "ticker", "ret")
+    within = staged(rows.groupBy("cluster").cogroup(own.groupBy("cluster")).applyInPandas(inside, "cluster int, ticker string, weight double"))
+    weight = lambda name: within.select(F.col("ticker").alias(name), F.col("weight").alias(f"w{name}"))
+    both = placed.join(weight("a"), "a").join(weight("b"), "b").withColumn("v", F.col("wa") * F.col("wb") * F.col("value"))
+    sides = both.select("ca", "cb", "v").unionByName(both.where("a <> b").select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "v"))
+    between = sides.groupBy("ca", "cb").agg(F.sum("v").alias("v")).toPandas()  # at most ten clusters squared
+    reduced = rows.join(within.select("ticker", "weight"), "ticker").groupBy("date", "cluster").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
+    ids = sorted(between["ca"].unique().tolist())
+    wide = reduced.groupBy("date").pivot("cluster", ids).agg(F.first("ret")).toPandas().sort_values("date").drop(columns="date").fillna(0.0)  # a column for each cluster
+    x, m = wide.to_numpy(float), between.pivot(index="ca", columns="cb", values="v").to_numpy(float)
+    w = np.ones(1) if len(ids) == 1 else numerics.best_weights(objective, x.mean(0) * metrics.DAYS, m, x, max_weight, short)
+    outer = spark.createDataFrame([(int(i), float(v)) for i, v in zip(ids, w)], "cluster int, w double")
     return within.join(F.broadcast(outer), "cluster").select("ticker", (F.col("weight") * F.col("w")).alias("weight")).where(F.abs("weight") >= floor)
 
 
@@ -153,7 +178,7 @@ def johansen(prices: DataFrame) -> DataFrame:
     rows = rows.withColumn("l1", F.lag("level").over(align.by_date())).withColumn("l2", F.lag("level", 2).over(align.by_date())).where("l2 is not null")
     parts = rows.select("date", F.explode(F.array(*(F.struct(F.concat(F.lit(k), "ticker").alias("name"), c.alias("ret")) for k, c in (("d", F.col("level") - F.col("l1")), ("e", F.col("l1") - F.col("l2")), ("l", F.col("l1")))))).alias("r"))
     long = parts.select("date", F.col("r.name").alias("ticker"), F.col("r.ret").alias("ret"))
-    names, m = square(linalg.pairs(long, strict=False).groupBy("a", "b").agg(F.covar_pop("x", "y").alias("value")), 0.0)
+    names, m = square(linalg.covariances(long, sample=False), 0.0)
     at = lambda k: [i for i, t in enumerate(names) if t[0] == k]
     d, e, lag = at("d"), at("e"), at("l")
     inner = np.linalg.pinv(m[np.ix_(e, e)])
@@ -163,13 +188,15 @@ def johansen(prices: DataFrame) -> DataFrame:
 
 
 def basket(prices: DataFrame) -> DataFrame:
-    """date, ret and position of the cointegrated basket, traded between half a deviation either side of its mean."""
-    line = signals.spread(align.overlap(prices), johansen(prices)).withColumn("ticker", F.lit("basket"))
-    centre = line.agg(F.avg("spread").alias("m"), F.stddev_samp("spread").alias("s"))
-    dev = line.join(F.broadcast(centre)).select("ticker", "date", "spread", F.try_divide(F.col("spread") - F.col("m"), F.col("s")).alias("dev"))  # one row
-    held = signals.basket_positions(dev, -0.5, 0.5).join(dev.select("date", "spread"), "date")
-    change = F.try_divide(F.col("spread") - F.lag("spread").over(align.by_date()), F.abs(F.lag("spread").over(align.by_date())))
-    return held.select("date", "position", F.coalesce(F.lag("position").over(align.by_date()) * change, F.lit(0.0)).alias("ret"))
+    """date, ret and position of the cointegrated basket, traded between the bounds of the highest Sharpe ratio on the grid."""
+    line = staged(signals.spread(align.overlap(prices), johansen(prices)))
+    tried = signals.basket_grid(line).where("trades > 0 and sharpe is not null and not isnan(sharpe)")
+    top = tried.orderBy(F.desc("sharpe"), F.desc("stop"), "take").first()
+    stop, take = (top["stop"], top["take"]) if top else (-np.inf, np.inf)
+    rows = line.withColumn("ticker", F.lit("basket"))
+    dev = rows.withColumn("dev", F.col("spread") - F.avg("spread").over(Window.partitionBy("ticker")))
+    held = signals.basket_returns(signals.basket_positions(dev, stop, take).join(dev.select("ticker", "date", "spread"), ["ticker", "date"]))
+    return held.select("date", "position", F.coalesce("ret", F.lit(0.0)).alias("ret"))
 
 
 def allocate(returns: DataFrame) -> DataFrame:
@@ -182,25 +209,40 @@ def allocate(returns: DataFrame) -> DataFrame:
     return mixed.withColumn("weight", F.col("weight") * F.lit(min(0.15 / vol, 1.0) if vol else 1.0))
 
 
+#: What the reversion study tries: windows of days and of weeks, and limits of either side.
+DAILY, WEEKLY, LIMITS = [5, 10, 15, 20, 25, 30], [1, 5, 10, 15, 20, 25], [round(1 + 0.1 * k, 1) for k in range(21)]
+
+
+def reversion_parameters(returns: DataFrame, labels: DataFrame, sizes: list[int], objective: str) -> DataFrame:
+    """ticker, window, low and high: the best of the grid for the ticker's cluster; 20, 1.5 and 1.5 (or the first window) where none has a score."""
+    grid = signals.window_grid(returns.join(labels, "ticker"), sizes, LIMITS, objective, ("cluster",))
+    top = signals.best(grid, ["window", "low", "high"], ("cluster",)).drop("score")
+    given = {"window": F.lit(20 if 20 in sizes else sizes[0]), "low": F.lit(1.5), "high": F.lit(1.5)}
+    return staged(labels.join(top, "cluster", "left").select("ticker", *(F.coalesce(c, v).alias(c) for c, v in given.items())))
+
+
 def z_overlay(base: DataFrame, returns: DataFrame, objective: str = "sharpe") -> DataFrame:
-    """base tilted by mean-reversion signals of every ticker, spread within the portfolio by similarity."""
-    best = lambda rows, sizes: signals.window_grid(rows, sizes, [1.0, 1.5, 2.0, 2.5], objective).orderBy(F.desc_nulls_last("score"), "window", "z").first()
-    weekly = staged(windows.weekly_last(returns.where("ret is not null")))
-    d, w = best(returns, [10, 20]), best(weekly, [5, 10])
-    daily_s, weekly_s = staged(signals.stateful(returns, d["window"], d["z"], d["z"])), staged(signals.stateful(weekly, w["window"], w["z"], w["z"]))
-    share = signals.weight_grid(daily_s, weekly_s, returns, objective=objective).orderBy(F.desc_nulls_last("score"), "weight").first()["weight"]
+    """base tilted by mean-reversion signals of every ticker, with parameters of its cluster, spread within the cluster by similarity."""
+    labels = staged(signals.own_clusters(clusters(returns)))
+    whole = returns.where("ret is not null").select("ticker", "date", "ret")
+    weekly = staged(windows.weekly_last(whole))
+    daily_s, weekly_s = (staged(signals.stateful_by(rows, reversion_parameters(rows, labels, sizes, objective), sizes)) for rows, sizes in ((whole, DAILY), (weekly, WEEKLY)))
+    grid = signals.weight_grid(daily_s, weekly_s, whole.join(labels, "ticker"), objective=objective, by=("cluster",))
+    shares = labels.join(signals.best(grid, ["weight"], ("cluster",)), "cluster").select("ticker", F.col("weight").alias("share"))
     both = daily_s.withColumn("freq", F.lit("daily")).unionByName(weekly_s.withColumn("freq", F.lit("weekly")))
-    spread = staged(signals.propagate(signals.latest_composite(both, share), returns))
-    alpha = signals.alpha_grid(base, spread, returns, objective=objective).orderBy(F.desc_nulls_last("score"), "alpha").first()["alpha"]
+    spread = staged(signals.propagate(signals.latest_composite(both, shares=shares), whole, clusters=labels))
+    top = signals.best(signals.alpha_grid(base, spread, whole, objective=objective), ["alpha"]).first()
     vol = windows.latest_volatility(returns, 30, None).first()["vol"] or 0.0
-    return weights.normalize(signals.tilt(base, spread, alpha / (1 + vol)))
+    return weights.normalize(signals.tilt(base, spread, (top["alpha"] if top and top["alpha"] else 0.1) / (1 + vol)))
 
 
 def ou_overlay(base: DataFrame, prices: DataFrame, returns: DataFrame) -> DataFrame:
     """base moved towards the allocation over single-asset strategies and the basket, whose share goes to its hedge ratios."""
     fit = signals.ou_fit(prices)
     rows = prices.join(fit, "ticker").withColumn("price", F.col("adj_close")).withColumn("dev", F.ln("adj_close") - F.col("mu"))
-    trades = signals.ou_trades(rows.select("ticker", "date", "price", "dev", "sigma"), F.lit(-0.1), F.lit(0.1)).select("ticker", F.col("exit_date").alias("date"), "ret")
+    rows = staged(rows.select("ticker", "date", "price", "dev", "sigma"))
+    bounded = rows.join(signals.ou_bounds(rows).select("ticker", "stop", "take"), "ticker")
+    trades = signals.ou_trades(bounded, F.col("stop"), F.col("take")).select("ticker", F.col("exit_date").alias("date"), "ret")
     dates = returns.select("ticker", "date")
     single = dates.join(trades, ["ticker", "date"], "left").na.fill(0.0, ["ret"])
     group = basket(prices).select(F.lit("basket").alias("ticker"), "date", "ret")
@@ -212,9 +254,18 @@ def ou_overlay(base: DataFrame, prices: DataFrame, returns: DataFrame) -> DataFr
     return weights.normalize(weights.adaptive(base, target, vol))
 
 
+def visible(rows: DataFrame, share: float) -> DataFrame:
+    """The rows of the first floor(share * dates) dates."""
+    if share >= 1:
+        return rows
+    dates = rows.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date"))).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))  # a calendar
+    return rows.join(dates.where(F.col("_i") <= F.floor(share * F.col("_n"))).select("date"), "date", "left_semi")
+
+
 def run(prices: DataFrame, market: DataFrame | None = None, config: Config = Config()) -> dict[str, DataFrame]:
     """Prices (ticker, date, adj_close) to weights, report, contributions, box statistics and plot rows."""
-    filled = staged(align.fill(align.densify(prices.select("ticker", "date", "adj_close")), "adj_close"))
+    given = staged(visible(prices.select("ticker", "date", "adj_close"), config.visible_pct))
+    filled = staged(align.fill(align.densify(given), "adj_close"))
     returns = staged(windows.simple_returns(filled).where("ret is not null"))
     kept = returns.select("ticker").distinct()
     if config.use_anomaly_filter:
@@ -222,7 +273,7 @@ def run(prices: DataFrame, market: DataFrame | None = None, config: Config = Con
         kept = calm if not calm.isEmpty() else kept
     if config.use_decorrelation:
         inside = returns.join(kept, "ticker", "left_semi")
-        few = staged(decorrelated(inside, clusters(inside), config.objective).select("ticker"))
+        few = staged(decorrelated(inside, clusters(inside), config.objective, config.risk_free).select("ticker"))
         kept = few if not few.isEmpty() else kept
     logs = staged(windows.log_returns(filled.join(kept, "ticker", "left_semi")))
     last = logs.agg(F.max("date")).first()[0]
@@ -241,10 +292,13 @@ def run(prices: DataFrame, market: DataFrame | None = None, config: Config = Con
     else:
         final = base
     own = metrics.portfolio_returns(held, final)
+    if market is None and config.benchmark:
+        market = returns.where(F.col("ticker") == config.benchmark).select("date", F.col("ret").alias("m"))
+        market = None if market.isEmpty() else market
     market = market if market is not None else returns.groupBy("date").agg(F.avg("ret").alias("m"))
     line = windows.cumulative(own.withColumn("ticker", F.lit("SIM_PORT")).select("ticker", "date", "ret"))
     return {
-        "weights": final, "report": metrics.report(own, market), "contributions": metrics.contributions(held, final),
+        "weights": final, "report": metrics.report(own, market, config.risk_free), "contributions": metrics.contributions(held, final),
         "boxes": metrics.box_stats(held.where("ret is not null")), "cumulative": windows.cumulative(held).unionByName(line),
     }
 

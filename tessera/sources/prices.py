@@ -77,6 +77,76 @@ def append_missing(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.unionByName(fresh.join(stored.select("ticker", "date"), ["ticker", "date"], "left_anti").select(*stored.columns))
 
 
+def upsert(stored: DataFrame, fresh: DataFrame, forced: bool = False) -> DataFrame:
+    """stored with older and newer rows of fresh, one row for each (ticker, date), sorted in files by date.
+
+    Stored rows win; if forced, fresh ones do.
+    """
+    first, second = (fresh, stored) if forced else (stored, fresh)
+    return append_missing(first.select(*stored.columns), second.select(*stored.columns))
+
+
+def backfill(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """stored and the rows of fresh ahead of each ticker's first stored date or behind its last; tickers that aren't stored are taken whole."""
+    spans = stored.groupBy("ticker").agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
+    outside = fresh.join(spans, "ticker", "left").where("_a is null or date < _a or date > _b").select(*stored.columns)
+    return stored.unionByName(outside.dropDuplicates(["ticker", "date"]))
+
+
+def not_stored(symbols: DataFrame, stored: DataFrame, forced: bool = False) -> DataFrame:
+    """The tickers that a bulk load has to fetch: those without a stored row, or all if forced."""
+    wanted = symbols.select("ticker").distinct()
+    return wanted if forced else wanted.join(stored.select("ticker").distinct(), "ticker", "left_anti")
+
+
+def save_new(fresh: DataFrame, path: str, stored: DataFrame | None = None, forced: bool = False) -> None:
+    """Write the tickers of fresh that are not stored yet as new partitions; if forced, all of them, in place of theirs only."""
+    rows = fresh if stored is None or forced else fresh.join(not_stored(fresh, stored), "ticker", "left_semi")
+    rows.repartition("ticker", "date").sortWithinPartitions("ticker", "date").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("ticker").parquet(path)
+
+
+def parse_date(text: Column, pattern: str = "yyyy-MM-dd") -> Column:
+    """Text to a date, null if it isn't one; date_format() goes back."""
+    return F.to_date(F.try_to_timestamp(text, F.lit(pattern)))
+
+
+def after_close(at: Column, zone: str = "America/New_York", hour: int = 16) -> Column:
+    """Whether a UTC timestamp is at or after the close of the exchange's day."""
+    return F.hour(F.from_utc_timestamp(at, zone)) >= hour
+
+
+def is_current(stored: DataFrame, now: Column) -> DataFrame:
+    """ticker and current: whether its last row is of the exchange's last full day, so that nothing has to be fetched."""
+    local = F.to_date(F.from_utc_timestamp(now, "America/New_York"))
+    day = F.when(after_close(now), local).otherwise(F.date_sub(local, 1))
+    return stored.groupBy("ticker").agg(F.max("date").alias("last")).select("ticker", (F.col("last") >= day).alias("current"))
+
+
+def period(days: DataFrame, sessions: DataFrame, years: float) -> DataFrame:
+    """days(date) with start and end: the session at or after round(365 * years) days before it, and at or before it."""
+    begun = days.select(F.col("date").alias("_day"), F.date_sub("date", round(365 * years)).alias("date"))
+    starts = begun.join(snap(begun.select("date").distinct(), sessions, "forward"), "date").select(F.col("_day").alias("date"), F.col("session").alias("start"))
+    return starts.join(snap(days.select("date").distinct(), sessions, "backward").withColumnRenamed("session", "end"), "date")
+
+
+def benchmark(prices: DataFrame, ticker: str, column: str = "adj_close", otherwise: str = "close") -> DataFrame:
+    """date and m: the returns of one ticker's column, or of the other column where it has none; empty if the ticker is missing."""
+    rows = prices.where(F.col("ticker") == ticker)
+    value = F.coalesce(F.col(column), F.col(otherwise)) if otherwise in prices.columns else F.col(column)
+    return rows.select("date", (F.try_divide(value, F.lag(value).over(Window.partitionBy("ticker").orderBy("date"))) - 1).alias("m")).where("m is not null")
+
+
+def synthetic(spark: SparkSession, tickers: int = 50, days: int = 252, seed: int = 42, start: str = "2023-01-02", mean: float = 0.0005, deviation: float = 0.02) -> DataFrame:
+    """ticker, date, ret: seeded normal returns on so many business days."""
+    span = days * 7 // 5 + 7
+    dates = spark.range(span).select(F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")).alias("date")).where(F.weekday("date") < 5).orderBy("date").limit(days)
+    names = spark.range(tickers).select(F.format_string("T%04d", "id").alias("ticker"))
+    # Two even draws from hashes of the seed, the ticker and the date make a normal one: the same rows however they are split.
+    draw = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "ticker", "date"), F.lit((1 << 53) - 1)) + 0.5) / float((1 << 53) - 1)
+    normal = F.sqrt(-2 * F.ln(draw(1))) * F.cos(2 * F.pi() * draw(2))
+    return names.join(F.broadcast(dates)).select("ticker", "date", (mean + deviation * normal).alias("ret"))  # a calendar
+
+
 def missing_ranges(stored: DataFrame, symbols: DataFrame, today: str, years: int = 5) -> DataFrame:
     """ticker, start and end of what has to be fetched: from the day after the last stored date, else some years back."""
     last = stored.groupBy("ticker").agg(F.max("date").alias("last"))
@@ -119,12 +189,13 @@ def calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 
 def snap(days: DataFrame, sessions: DataFrame, direction: str) -> DataFrame:
-    """days(date) with session: the date itself, or the next (previous) session."""
+    """days(date) with session: the date itself, or the next (previous) session; null where there is none."""
     if direction not in ("forward", "backward"):
         raise ValueError(f"direction must be forward or backward, not {direction}")
-    both = days.select("date", F.lit(True).alias("asked"), F.lit(None).cast("date").alias("s")).unionByName(sessions.where("is_session").select("date", F.lit(False).alias("asked"), F.col("date").alias("s")))
-    order = Window.orderBy(F.col("date").asc() if direction == "backward" else F.col("date").desc(), "asked").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("session", F.last("s", ignorenulls=True).over(order)).where("asked").select("date", "session")
+    every = sessions.where("is_session").agg(F.array_sort(F.collect_set("date")).alias("_s"))  # one row: a calendar
+    near = F.filter("_s", lambda d: d >= F.col("date")) if direction == "forward" else F.filter("_s", lambda d: d <= F.col("date"))
+    ends = F.array_min(near) if direction == "forward" else F.array_max(near)
+    return days.select("date").join(F.broadcast(every)).select("date", ends.alias("session"))
 
 
 def etf_holdings(pages: DataFrame, top: int = 10) -> DataFrame:
