@@ -52,11 +52,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """stage(df), and then delete all other tables that were staged after the first since ones: df's inputs among them."""
+    out = stage(df, name)
+    drop_staged(since, len(_staged) - 1)
+    return out
+
+
+def staged_so_far() -> int:
+    return len(_staged)
+
+
 @atexit.register
-def drop_staged() -> None:
-    """Delete the staged tables of this process."""
-    while _staged:
-        spark, path = _staged.pop()
+def drop_staged(a: int = 0, b: int | None = None) -> None:
+    """Delete the staged tables of this process, or those from a to b."""
+    gone = _staged[a:b]
+    del _staged[a:b]
+    for spark, path in gone:
         with contextlib.suppress(Exception):  # the session may have ended
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)

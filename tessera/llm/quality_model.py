@@ -7,7 +7,8 @@ and score() turns these into one column expression.
 Fitting uses at most MAX_ROWS labelled rows outside the test fold, those with the least hash of the
 id; this bound is a parameter. All documents are scored on their whole text. Null and empty texts
 have zero in every statistic and get a score. With no labels, or labels of one kind, the score is
-the base rate. Rows that repeat are scored alike; other columns are ignored.
+the base rate. A null doc_id is not held out. Rows that repeat are scored alike; other columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,13 +35,13 @@ def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str
             "_w": white_words(body),
             "_l": F.split(body, "\n"),
             **{f"s_{name}": (F.length(body) - F.length(F.translate(body, marks, ""))) / chars for name, marks in MARKS.items()},
-            "s_words": F.log1p(F.size(white_words(body)).cast("double")),
             "_chars": chars,
         }
     )
     words, lines = F.greatest(F.lit(1), F.size("_w")), F.size("_l")
     rows = rows.withColumns(
         {
+            "s_words": F.log1p(F.size("_w").cast("double")),
             "s_distinct": F.size(F.array_distinct("_w")) / words,
             "s_letters": F.col("_chars") / words,
             "s_repeats": 1 - F.size(F.array_distinct("_l")) / lines,

@@ -1,9 +1,11 @@
 """Rule-based quality verdicts with a second look at hosts; DataFrame functions only.
 
 Every document gets its counts and a base verdict. Hosts (by default the column source) are then
-judged by the share of their documents that fail: the share is shrunk by a beta prior fitted to all
-hosts by the method of moments, so that small hosts lean on the rest, and a document of a host
-whose shrunk share is over the limit is rejected too.
+judged by the share of their documents that fail: the share is shrunk by a beta prior, so that small
+hosts lean on the rest, and a document of a host whose shrunk share is over the limit is rejected too.
+The prior is fitted to all hosts by moments that allow for their sizes and for chance: its mean is the
+share of all documents, and of the spread of hosts' shares only what drawing documents doesn't explain
+counts. Without such a rest, hosts have the mean; with no more than that, a host has its own share.
 
 Null and empty texts have no words and fail the base rules. A null host is a host of its own.
 Repeated rows count once each; an empty table gives an empty result; other columns are ignored.
@@ -21,8 +23,8 @@ SYMBOLS = "#*$%&|<>"
 #: Production parameters: least words, most repeated words in a hundred, most failures of a host.
 MIN_WORDS, MAX_REPEATED_PERCENT, MAX_HOST_FAILURES = 10, 20, 0.5
 WINDOW = 5
-#: The prior weighs as much as this many documents at most.
-MAX_PRIOR = 1000.0
+#: Rejected hosts that are broadcast; more are joined by a shuffle, in which a host with very many documents is split.
+BROADCAST_HOSTS = 500_000
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -66,18 +68,28 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 def rejected_hosts(judged: DataFrame, host: str, max_failures: float = MAX_HOST_FAILURES) -> DataFrame:
     """judged(host, base_failed) to one row (_host) for each host whose shrunk share of failures is over the limit."""
     hosts = judged.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("n"), F.count_if("base_failed").alias("k"))
-    rate = F.col("k") / F.col("n")
-    mean, spread = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # two numbers
-    if mean is None:
+    n, k = F.col("n"), F.col("k")
+    total = hosts.agg(F.sum("n").alias("N"), F.sum("k").alias("K"), F.count("*").alias("I"), F.sum(n * n).alias("Q"), F.sum(k * k / n).alias("S")).first()  # one row
+    if not total["N"]:
         return hosts.select("_host")
-    weight = min(MAX_PRIOR, max(1.0, mean * (1 - mean) / spread - 1)) if spread else MAX_PRIOR
-    return hosts.where((F.col("k") + mean * weight) / (F.col("n") + weight) > max_failures).select("_host")
+    mean = total["K"] / total["N"]
+    chance = mean * (1 - mean)
+    room = chance * (total["N"] - total["Q"] / total["N"] - (total["I"] - 1))
+    rho = (total["S"] - total["K"] * mean - chance * (total["I"] - 1)) / room if room > 0 else 0.0
+    shrunk = (k + mean * (1 / rho - 1)) / (n + (1 / rho - 1)) if 0 < rho < 1 else F.lit(mean) if rho <= 0 else k / n
+    return hosts.where(shrunk > max_failures).select("_host")
+
+
+def sized(hosts: DataFrame) -> DataFrame:
+    """Rejected hosts, staged, to be broadcast if they are few enough."""
+    kept = stage(hosts, "rejected-hosts")
+    return F.broadcast(kept) if kept.count() <= BROADCAST_HOSTS else kept
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", max_failures: float = MAX_HOST_FAILURES) -> DataFrame:
     """One row for each document: doc_id, host, the counts, base_failed, host_failed and kept."""
     thin = stage(measured(docs.select("doc_id", F.col(host).alias("_host"), F.col(text).alias("_text")), "_text").drop("_text"), "quality")
-    bad = rejected_hosts(thin, "_host", max_failures).select(F.col("_host").alias("_bad"), F.lit(True).alias("host_failed"))
+    bad = sized(rejected_hosts(thin, "_host", max_failures).select(F.col("_host").alias("_bad"), F.lit(True).alias("host_failed")))
     joined = thin.join(bad, F.col("_host").eqNullSafe(F.col("_bad")), "left").drop("_bad")
     hit = F.coalesce("host_failed", F.lit(False))
     return joined.withColumn("host_failed", hit).withColumn("kept", ~F.col("base_failed") & ~hit).withColumnRenamed("_host", "host")
@@ -87,7 +99,7 @@ def keep(docs: DataFrame, text: str = "text", host: str = "source", max_failures
     """The documents that pass, with their own columns only."""
     inner = docs.select(F.struct("*").alias("_row"), F.col(host).alias("_of"), F.col(text).alias("_text"))
     judged = stage(measured(inner, "_text").select("_row", "_of", "base_failed"), "quality-docs")
-    bad = rejected_hosts(judged, "_of", max_failures)
+    bad = sized(rejected_hosts(judged, "_of", max_failures))
     return judged.where(~F.col("base_failed")).join(bad, F.col("_of").eqNullSafe(F.col("_host")), "left_anti").select("_row.*")
 
 
@@ -115,10 +127,13 @@ repeats AS (
   FROM parts LEFT JOIN repeats USING (r)
 ), judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
 hosts AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS k FROM judged GROUP BY source),
+sums AS (SELECT sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, count(*) AS i, sum(n * n)::DOUBLE AS q, sum(k * k / n) AS s FROM hosts),
 prior AS (
-  SELECT m, CASE WHEN v > 0 THEN least(1000, greatest(1, m * (1 - m) / v - 1)) ELSE 1000 END AS s
-  FROM (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM hosts)
-), verdicts AS (SELECT source, (k + m * s) / (n + s) > 0.5 AS host_failed FROM hosts, prior)
+  SELECT m, CASE WHEN room > 0 THEN (s - k * m - c * (i - 1)) / room ELSE 0 END AS rho
+  FROM (SELECT *, c * (n - q / n - (i - 1)) AS room FROM (SELECT *, k / n AS m, k / n * (1 - k / n) AS c FROM sums))
+), verdicts AS (
+  SELECT source, CASE WHEN rho <= 0 THEN m WHEN rho >= 1 THEN k / n ELSE (k + m * (1 / rho - 1)) / (n + (1 / rho - 1)) END > 0.5 AS host_failed FROM hosts, prior
+)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT host_failed AS kept, host_failed
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9,
     "op10_sentence_dedup": sentence_dedup.op10,
 }
-ORACLES = {"op7_quality_rules": quality_rules.OP7_SQL, "op9_decontamination": decontaminate.OP9_SQL}
+ORACLES = {"op4_sharding": sharding.OP4_SQL, "op7_quality_rules": quality_rules.OP7_SQL, "op9_decontamination": decontaminate.OP9_SQL}

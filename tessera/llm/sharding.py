@@ -8,7 +8,7 @@ Both ranks come from counts of buckets of the sort key plus a row number within
 source and no sort goes through one task: a source is split into BUCKETS parts by its hash, and the
 fractional ranks are spread evenly by what they are.
 
-A null source is a source of its own; a null text has no bytes. Rows that agree in id and text are
+A null source is a source of its own; a null text has no bytes; a null doc_id is shuffled by the word null. Rows that agree in id and text are
 interchangeable; each gets a slot of its own. An empty table gives an empty result.
 """
 
@@ -63,3 +63,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+#: The checksum is worked out byte by byte, from a table of its 256 steps.
+OP4_SQL = r"""
+WITH bits AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)::BIGINT[]),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+), bytes AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents
+), sized AS (
+  SELECT doc_id, source, length(x) // 2 + 16 AS size,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(x, '..'),
+      lambda b: (16 * (strpos('0123456789ABCDEF', b[1]) - 1) + strpos('0123456789ABCDEF', b[2]) - 1)::BIGINT)),
+      lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) AS text_crc32,
+    substr(md5('tessera:' || coalesce(doc_id::VARCHAR, 'null')), 1, 16) AS h
+  FROM bytes, bits
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, text_crc32) - 1 + 0.5::DOUBLE)
+    / count(*) OVER (PARTITION BY source) AS f FROM sized
+), cut AS (
+  SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, h, doc_id NULLS FIRST, text_crc32) - 1 AS r, count(*) OVER () AS n FROM ranked
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (r * 40 // n)::INTEGER AS shard,
+  (r - ((r * 40 // n) * n + 39) // 40)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM cut
+"""

@@ -71,7 +71,7 @@ def thinned(k1, k2, doc, variant, loc) -> Iterator[tuple[int, np.ndarray, np.nda
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, start, windows, the anchor's place after it, anchor hash, hash of the run's bytes) of the runs of windows with one anchor, by chunks."""
-    n, ends = len(data), np.repeat(offsets[1:], np.diff(offsets))
+    n = len(data)
     for a in range(0, n, CHUNK):
         b = min(n, a + CHUNK + window - 1)
         if b - a < window:
@@ -80,7 +80,9 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> It
         place = np.arange(len(grams), dtype=U)
         anchors = (sliding_min((grams & ~U(2 * CHUNK - 1)) | place, window - gram + 1) & U(2 * CHUNK - 1)).astype(np.int64)
         starts = np.arange(len(anchors))
-        whole = starts + a + window <= ends[a : a + len(anchors)]
+        r0, r1 = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, a + len(anchors)))
+        ends = np.repeat(offsets[r0 + 1 : r1 + 1], np.diff(np.clip(offsets[r0 : r1 + 1], a, a + len(anchors))))
+        whole = starts + a + window <= ends
         head = whole.copy()
         head[1:] &= ~(whole[:-1] & (anchors[1:] == anchors[:-1]))
         first = np.flatnonzero(head)
