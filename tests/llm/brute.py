@@ -83,7 +83,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-def near_dedup(rows):
+def near_dedup(rows, percent=85):
     sets = {d: shingles(t) for d, t in rows}
     parent = {d: d for d in sets}
 
@@ -100,7 +100,7 @@ def near_dedup(rows):
                 shared[other, d] += 1
             by[x].append(d)
     for (a, b), n in shared.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             a, b = sorted((root(a), root(b)))
             parent[b] = a
     return [(d, len(s), root(d), root(d) == d) for d, s in sets.items()]
@@ -163,3 +163,33 @@ def auc(scores, labels):
         i = j
     good = sum(labels)
     return (sum(ranks[s] for s, y in pairs if y) - good * (good + 1) / 2) / (good * (len(pairs) - good))
+
+
+def distance(a, b):
+    """Edits between two words."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i] + row[1:], row
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+    return row[-1]
+
+
+def near_items(rows, bench, slop=2):
+    """doc_id to the number of items with a window whose words all stand within slop places of a diagonal, its rarest on it."""
+    docs = [(d, TERM.findall((t or "").translate(DOWN))) for d, t in rows]
+    df = Counter(w for _, words in docs for w in words)
+    out = {}
+    for d, words in docs:
+        at, hit = defaultdict(list), set()
+        for i, w in enumerate(words):
+            at[w].append(i)
+        for item, t in bench:
+            w = TERM.findall((t or "").translate(DOWN))
+            k = min(13, len(w))
+            for s in range(len(w) - k + 1) if w else ():
+                p = min(range(s, s + k), key=lambda q: (df[w[q]], q))
+                if any(all(any(abs(i - q - (x - p)) <= slop for i in at[w[q]]) for q in range(s, s + k)) for x in at[w[p]]):
+                    hit.add(item)
+        out[d] = len(hit)
+    return out
