@@ -51,7 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    """The last stage's rows; a stage's input and what it staged by the way are deleted when its output is written."""
+    docs, since = common.documents(spark, sf_dir), common.staged_so_far()
     for name, step in STAGES[:-1]:
-        docs = common.stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = common.settled(step(spark, docs, sf_dir), f"pipeline-{name}", since)
     return STAGES[-1][1](spark, docs, sf_dir)
