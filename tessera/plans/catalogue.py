@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import caching
 from tessera.functions.staging import staged
 from tessera.operators import align, anomaly, linalg, metrics, signals, weights, windows
 from tessera.plans import portfolio
@@ -549,6 +550,12 @@ g AS (SELECT ticker, avg(flag::INT) AS fraction, coalesce(avg(ret) / nullif(pow(
 SELECT ticker, round(fraction, 6) AS fraction, round((0.8 * k - 0.2 * 0.05 * v - 0.5 * c - 1.5 * z - 10 * fraction) / (v / m + 1e-8), 5) AS score FROM g""")(
     lambda s, d: (x := anomaly.study_score(anomaly.fixed_z(ret(s, d).where("ret is not null"), 2.0))).select("ticker", r(F.col("fraction")).alias("fraction"), r(F.col("score"), 5).alias("score"))
 )
+query("parameters_stale", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN true ELSE floor((epoch(TIMESTAMP '1998-08-01 00:00:00') - epoch(o_orderdate::TIMESTAMP)) / 86400) >= 180 END AS stale FROM orders")(
+    lambda s, d: prices.table(s, d, "orders").select("o_orderkey", caching.is_stale(F.when(F.col("o_orderkey") % 7 != 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).otherwise("soon"), F.lit("1998-08-01 00:00:00")).alias("stale"))
+)
+query("cache_fresh", f"WITH {P1}, c AS (SELECT ticker AS key, date, close AS weight FROM p1), l AS (SELECT *, max(date) OVER (PARTITION BY key) AS last FROM c WHERE key = '3-MEDIUM') SELECT weight FROM l WHERE date = last AND date > DATE '2001-01-01' - 1000")(
+    lambda s, d: caching.fresh(p1(s, d).select(F.col("ticker").alias("key"), F.col("close").alias("weight"), F.col("date").cast("timestamp").alias("saved_at")), "3-MEDIUM", F.lit("2001-01-01 00:00:00"), 24000.0).select("weight")
+)
 query("anomaly_study_kalman")(lambda s, d: rounded(anomaly.threshold_study(ret2(s, d), "kalman")))
 query("anomaly_study_forest")(lambda s, d: rounded(anomaly.threshold_study(ret2(s, d), "forest")))
 query("synthetic_returns")(lambda s, d: rounded(prices.synthetic(s)))

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import numerics
+from tessera.functions import caching, numerics
 from tessera.functions.shipping import ship
 from tessera.functions.staging import staged
 from tessera.operators import align, anomaly, linalg, metrics, signals, weights, windows
+from tessera.sources import prices as price_sources
 
 #: The most tickers whose pairs are brought to the driver.
 MAX_TICKERS = 2000
@@ -35,6 +36,7 @@ class Config:
     reversion_type: str = "ou"
     visible_pct: float = 1.0
     benchmark: str | None = None
+    cache_dir: str | None = None
 
     @classmethod
     def from_dict(cls, given: dict) -> "Config":
@@ -159,6 +161,21 @@ def nested_clustering(returns: DataFrame, objective: str, max_weight: float = 1.
 MODELS = {"nested_clustering": nested_clustering}
 
 
+def model(name: str):
+    """Register a function of (returns, objective, max_weight, short) as a model."""
+
+    def add(f):
+        MODELS[name] = f
+        return f
+
+    return add
+
+
+def kept_hash(rows: DataFrame) -> str:
+    """A short name of the tickers of rows."""
+    return price_sources.symbols_hash(rows.select("ticker").distinct()).first()["hash"]
+
+
 def optimise(model: str, returns: DataFrame, config: Config) -> DataFrame:
     if model not in MODELS:
         raise ValueError(f"unknown model {model}; there are {sorted(MODELS)}")
@@ -277,11 +294,13 @@ def run(prices: DataFrame, market: DataFrame | None = None, config: Config = Con
         kept = few if not few.isEmpty() else kept
     logs = staged(windows.log_returns(filled.join(kept, "ticker", "left_semi")))
     last = logs.agg(F.max("date")).first()[0]
-    portfolios = None
+    portfolios, base_columns = None, logs.select("ticker", F.col("ret").alias("weight"))
     for years, models in config.models:
         part = logs.where(F.col("date") >= F.date_sub(F.lit(last), round(365 * years)))
         for model in models:
-            w = weights.limit_size(weights.normalize(optimise(model, part, config), config.min_weight), config.max_size)
+            make = lambda m=model, p=part: weights.limit_size(weights.normalize(optimise(m, p, config), config.min_weight), config.max_size)
+            key = f"{model}-{years}-{config.objective}-{last}-{kept_hash(part)}" if config.cache_dir else ""
+            w = caching.remembered(config.cache_dir, key, make, base_columns) if config.cache_dir else make()
             named = staged(w.withColumn("portfolio", F.lit(f"{model}{years}")))
             portfolios = named if portfolios is None else portfolios.unionByName(named)
     base = staged(weights.normalize(weights.stack(portfolios), config.min_weight))

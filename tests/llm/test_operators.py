@@ -216,7 +216,7 @@ def test_empty_null_and_repeated_rows(spark, name):
 def test_proximity_matches(spark, sf, rows, items):
     got_ = {r["doc_id"]: r["n_near"] for r in QUERIES["op9_decontamination"](spark, sf).collect()}
     assert got_ == brute.near_items(rows, items)
-    text = "so they agreed there that the bridge should be repaired before winter rains came again soon"
+    text = "so they agreed there that the bridge should be repaired before the cold winter rains came again soon"
     swapped = "agreed that the bridge should repaired be before the winter rains came again"
     odd = [*ODD, (21, swapped), (22, text)]
     found = decontaminate.contamination(frame(spark, odd), spark.createDataFrame(BENCH, "item_id long, text string"))
@@ -268,7 +268,7 @@ def test_tokens_beside_base_spans(spark):
         spans = [s.split(":") for s in r["spans"].split(",") if s]
         base = [(int(a), int(b)) for k, a, b in spans if k != "random"]
         own = [(int(a), int(b)) for k, a, b in spans if k == "random"]
-        assert all(a in (4, 110) and len(t[a:b]) == 40 and " " not in t[a:b] for a, b in own) and base
+        assert all(a in (4, 107) and len(t[a:b]) == 40 and " " not in t[a:b] for a, b in own) and base
         assert not any(a < y and x < b for a, b in own for x, y in base)
 
 
