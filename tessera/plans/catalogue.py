@@ -485,8 +485,8 @@ query("isolation_forest_flags")(lambda s, d: rounded(anomaly.isolation(ret2(s, d
 query("kalman_flags")(lambda s, d: rounded(anomaly.kalman(ret2(s, d))))
 query("johansen_vector")(lambda s, d: rounded(portfolio.johansen(align.fill(align.densify(p1(s, d).select("ticker", "date", "adj_close")), "adj_close"))))
 query("allocator")(lambda s, d: rounded(portfolio.allocate(ret2(s, d))))
-query("pipeline_z")(lambda s, d: rounded(portfolio.run(prices.supplier_prices(s, d), None, portfolio.Config(use_anomaly_filter=True, use_decorrelation=True, use_reversion=True, reversion_type="z"))["weights"]))
-query("pipeline_ou")(lambda s, d: rounded(portfolio.run(prices.supplier_prices(s, d), None, portfolio.Config(use_reversion=True, reversion_type="ou"))["weights"]))
+query("pipeline_z")(lambda s, d: rounded(portfolio.run(prices.supplier_prices(s, d), None, portfolio.Config(max_weight=0.2, use_anomaly_filter=True, use_decorrelation=True, use_reversion=True, reversion_type="z"))["weights"]))
+query("pipeline_ou")(lambda s, d: rounded(portfolio.run(prices.supplier_prices(s, d), None, portfolio.Config(max_weight=0.2, use_reversion=True, reversion_type="ou"))["weights"]))
 
 # text, calendar and streams
 

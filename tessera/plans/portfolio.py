@@ -262,11 +262,14 @@ def ou_overlay(base: DataFrame, prices: DataFrame, returns: DataFrame) -> DataFr
     trades = signals.ou_trades(bounded, F.col("stop"), F.col("take")).select("ticker", F.col("exit_date").alias("date"), "ret")
     dates = returns.select("ticker", "date")
     single = dates.join(trades, ["ticker", "date"], "left").na.fill(0.0, ["ret"])
-    group = basket(prices).select(F.lit("basket").alias("ticker"), "date", "ret")
-    spread = staged(allocate(staged(single.unionByName(group))))
-    share = spread.where("ticker = 'basket'").first()
-    hedge = johansen(prices).select("ticker", F.col("v").alias("ratio"))
-    target = weights.distribute(spread.where("ticker <> 'basket'"), share["weight"] if share else 0.0, hedge)
+    if prices.select("ticker").distinct().count() < 2:  # nothing to hedge with
+        target = allocate(staged(single))
+    else:
+        group = basket(prices).select(F.lit("basket").alias("ticker"), "date", "ret")
+        spread = staged(allocate(staged(single.unionByName(group))))
+        share = spread.where("ticker = 'basket'").first()
+        hedge = johansen(prices).select("ticker", F.col("v").alias("ratio"))
+        target = weights.distribute(spread.where("ticker <> 'basket'"), share["weight"] if share else 0.0, hedge)
     vol = windows.latest_volatility(returns).first()["vol"] or 0.0
     return weights.normalize(weights.adaptive(base, target, vol))
 
