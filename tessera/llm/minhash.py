@@ -183,6 +183,7 @@ def across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         at = at[group[at] == group[at + step]]
         most = np.minimum(left[at], left[at + step])
         ok = (comp[at] != comp[at + step]) & ((lo[at] == hi[at]) | (block[at] != block[at + step])) & (100 * most >= percent * (n[at] + n[at + step] - most))
+        ok &= 100 * np.minimum(n[at], n[at + step]) >= percent * np.maximum(n[at], n[at + step])
         near = at[ok]
         near = near[(sig[near] == sig[near + step]).mean(1) >= min_agreement(percent)]
         near = near[np.array([next(x for x in prefix[i] if x in inside(i + step)) == token[i] for i in near.tolist()], bool)]
