@@ -127,9 +127,8 @@ def tilt(weights: DataFrame, signals: DataFrame, alpha: float = 0.2, short: bool
 
 def scored(rows: DataFrame, keys: list[str], objective: str) -> DataFrame:
     """rows(keys, date, ret) to keys and the composite score of each."""
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.select(*keys).dtypes)
-    named = rows.select(F.to_json(F.struct(*keys)).alias("ticker"), "date", "ret")
-    return metrics.composite(named, objective).select(F.from_json("ticker", kinds).alias("k"), "score").select("k.*", "score")
+    named = rows.select(F.struct(*keys).alias("ticker"), "date", "ret")
+    return metrics.composite(named, objective).select("ticker.*", "score")
 
 
 def window_grid(returns: DataFrame, window_sizes: list[int], limits: list[float], objective: str = "sharpe", by: tuple[str, ...] = ()) -> DataFrame:
@@ -262,8 +261,8 @@ def ou_bounds(rows: DataFrame, steps: int = 8) -> DataFrame:
     equal cells the one nearest to 0 wins. Tickers without a trade in any cell get the outermost bounds.
     """
     cells = rows.withColumn("c", F.explode(bound_cells(steps)))
-    keyed = cells.select(F.to_json(F.struct("ticker", "c.stop", "c.take")).alias("ticker"), "date", "price", "dev", (F.col("c.stop") * F.col("sigma")).alias("stop"), (F.col("c.take") * F.col("sigma")).alias("take"))
-    trades = ou_trades(keyed, F.col("stop"), F.col("take")).select(F.from_json("ticker", "ticker string, stop double, take double").alias("k"), "ret").select("k.*", "ret")
+    keyed = cells.select(F.struct("ticker", "c.stop", "c.take").alias("ticker"), "date", "price", "dev", (F.col("c.stop") * F.col("sigma")).alias("stop"), (F.col("c.take") * F.col("sigma")).alias("take"))
+    trades = ou_trades(keyed, F.col("stop"), F.col("take")).select("ticker.*", "ret")
     scores = trade_metrics(trades, ["ticker", "stop", "take"]).withColumn("score", F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)))
     top = scores.groupBy("ticker").agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("stop")).alias("stop"), "take", "trades")).alias("m"))
     sized = rows.groupBy("ticker").agg(F.max("sigma").alias("sigma")).join(top, "ticker", "left")
