@@ -25,6 +25,7 @@ are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -165,28 +166,41 @@ def verify(percent: int):
 
 
 def across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of different components in blocks: rows(token, lo, hi, block, sid, comp, n, pos, sig, prefix) that have a token at pos of n.
+    """Pairs of different components in blocks: rows(token, lo, hi, block, sid, comp, n, pos, sig, dfs, tokens, start) that have a token at pos of n.
 
     The first token that a pair shares bounds what it shares: no more than stands behind pos in either.
     A pair whose bound at this token is too low isn't linked, or has shared an earlier one. Signatures
-    that agree too little end the rest, and a pair counts under the first token of its prefixes only.
+    that agree too little end the rest. Then prefixes (dfs and tokens in order, from place start on) are
+    compared: up to where the shorter one ends, what they share is known, and behind it no more is shared
+    than either set has left. A pair counts under the first token of its prefixes only.
     """
     rows = rows.sort_values(["token", "lo", "hi"], kind="stable")
-    token, lo, hi, block, sid, comp, n, pos = (rows[c].to_numpy() for c in ("token", "lo", "hi", "block", "sid", "comp", "n", "pos"))
+    token, lo, hi, block, sid, comp, n, pos, start = (rows[c].to_numpy() for c in ("token", "lo", "hi", "block", "sid", "comp", "n", "pos", "start"))
     fresh = np.append(True, (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
     group, left, at, found = np.cumsum(fresh), n - pos, np.arange(len(rows)), []
-    sig, prefix = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1), rows["prefix"].to_list()
-    inside = lru_cache(maxsize=None)(lambda i: frozenset(prefix[i]))
+    sig, dfs, tokens = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1), rows["dfs"].to_list(), rows["tokens"].to_list()
+    prefix = lru_cache(maxsize=None)(lambda i: (x := [*zip(dfs[i].tolist(), tokens[i].tolist())], frozenset(x)))
+
+    def enough(most, i, j):
+        return 100 * most >= percent * (n[i] + n[j] - most)
+
+    def promising(i: int, j: int) -> bool:
+        (x, inside), (y, other) = prefix(i), prefix(j)
+        both = inside & other
+        if min(both)[1] != token[i]:
+            return False
+        end = min(x[-1], y[-1])
+        rest = min(n[i] - start[i] - bisect_right(x, end), n[j] - start[j] - bisect_right(y, end))
+        return enough(len(both) + rest, i, j)
+
     step = 0
     while len(at := at[at + step + 1 < len(rows)]):
         step += 1
         at = at[group[at] == group[at + step]]
-        most = np.minimum(left[at], left[at + step])
-        ok = (comp[at] != comp[at + step]) & ((lo[at] == hi[at]) | (block[at] != block[at + step])) & (100 * most >= percent * (n[at] + n[at + step] - most))
-        ok &= 100 * np.minimum(n[at], n[at + step]) >= percent * np.maximum(n[at], n[at + step])
+        ok = (comp[at] != comp[at + step]) & ((lo[at] == hi[at]) | (block[at] != block[at + step])) & enough(np.minimum(left[at], left[at + step]), at, at + step)
         near = at[ok]
         near = near[(sig[near] == sig[near + step]).mean(1) >= min_agreement(percent)]
-        near = near[np.array([next(x for x in prefix[i] if x in inside(i + step)) == token[i] for i in near.tolist()], bool)]
+        near = near[np.array([promising(i, i + step) for i in near.tolist()], bool)]
         a, b = sid[near], sid[near + step]
         found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], 1))
     return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["u", "v"])
@@ -212,10 +226,10 @@ def rare_pairs(open_: DataFrame, sets: DataFrame, reps: DataFrame, percent: int)
     mine = tokens.join(seen, "token").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     sized = mine.join(reps.select("sid", "n"), "sid").join(open_, "sid")
     first = (F.col("n") - F.size("shared")).cast("int")
-    placed = F.transform("shared", lambda x, i: F.struct(x["token"].alias("token"), (first + i).alias("pos")))
+    placed = F.transform("shared", lambda x, i: F.struct(x["df"].alias("df"), x["token"].alias("token"), (first + i).alias("pos")))
     prefix = F.filter(placed, lambda x: x["pos"] < F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
     held = stage(sized.select("sid", "comp", "n", prefix.alias("prefix")), "prefixes")
-    rows = held.select("sid", "comp", "n", F.inline("prefix"))
+    rows = held.select("sid", "comp", "n", F.inline("prefix")).drop("df")
     groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
     nb = F.ceil(F.col("m") / BLOCK).cast("int")
     here = rows.join(groups.select("token", nb.alias("nb")), "token").withColumn("block", F.expr("pmod(hash(sid), nb)"))
@@ -224,7 +238,7 @@ def rare_pairs(open_: DataFrame, sets: DataFrame, reps: DataFrame, percent: int)
     parts = max(1, held.agg(F.sum(F.size("prefix"))).first()[0] or 0) // GROUP_ROWS + 1
     g = F.when(F.col("nb") == 1, F.pmod(F.hash("token"), F.lit(parts)).cast("long")).otherwise(F.xxhash64("token", lo, hi))
     keyed = paired.select(g.alias("g"), "token", lo.alias("lo"), hi.alias("hi"), "block", "sid", "comp", "n", "pos")
-    beside = held.select("sid", F.col("prefix.token").alias("prefix")).join(reps.select("sid", "sig"), "sid")
+    beside = held.select("sid", F.col("prefix.df").alias("dfs"), F.col("prefix.token").alias("tokens"), F.get("prefix", F.lit(0))["pos"].alias("start")).join(reps.select("sid", "sig"), "sid")
     return keyed.join(beside, "sid").groupBy("g").applyInPandas(lambda part: across(part, percent), "u long, v long")
 
 
