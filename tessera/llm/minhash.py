@@ -4,7 +4,7 @@ The operator alone links at PERCENT, the corpus stage keep() at STAGE_PERCENT.
 
 Every set gets ROWS * BANDS universal-hash minima; bands of ROWS minima put likely pairs into
 buckets. Equal sets are first reduced to one. In each bucket every member is compared with the
-bucket's least member: sizes and signatures first, then the full sets. Verified links are joined
+bucket's first and last member: sizes and signatures first, then the full sets. Verified links are joined
 into components by alternating large-star and small-star.
 
 A bucket that then still holds several components may hide links between other members. Its members
@@ -210,12 +210,16 @@ def pick(table: DataFrame, key: str, **columns: str) -> DataFrame:
     return table.select(F.col("sid").alias(key), *(F.col(c).alias(as_) for as_, c in columns.items()))
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(u, v), those that are linked: sizes and signatures first, then full sets."""
+def likely_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(u, v), those whose sizes and signatures allow a link."""
     sized = pairs.join(pick(reps, "u", nu="n", su="sig"), "u").join(pick(reps, "v", nv="n", sv="sig"), "v")
     fits = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
-    likely = stage(sized.where(fits).select("u", "v", "su", "sv").mapInArrow(agree(percent), "u long, v long"), "likely")
-    full = likely.join(pick(sets, "u", x="set"), "u").join(pick(sets, "v", y="set"), "v").select("u", "v", "x", "y")
+    return stage(sized.where(fits).select("u", "v", "su", "sv").mapInArrow(agree(percent), "u long, v long"), "likely")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(u, v), those that are linked, by their full sets."""
+    full = pairs.join(pick(sets, "u", x="set"), "u").join(pick(sets, "v", y="set"), "v").select("u", "v", "x", "y")
     return stage(full.mapInArrow(verify(percent), "u long, v long"), "links")
 
 
@@ -245,18 +249,19 @@ def rare_pairs(open_: DataFrame, sets: DataFrame, reps: DataFrame, percent: int)
 def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """docs(id, t, text) and reps(sid, id, t, n, bands, sig), one row for each set, to links (u, v) that give its components."""
     buckets = reps.select("sid", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("sid").alias("lead"), F.count("*").alias("m")).where("m > 1")
+    shared = buckets.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("last"), F.count("*").alias("m")).where("m > 1")
     members = stage(buckets.join(shared, "key"), "members")
-    stars = members.where("sid <> lead").select(F.col("sid").alias("u"), F.col("lead").alias("v")).distinct()
+    ends = F.array(F.col("lead"), F.when(F.col("m") > 2, F.col("last")))
+    stars = members.select("sid", F.explode(ends).alias("end")).where("sid <> end").select(F.greatest("sid", "end").alias("u"), F.least("sid", "end").alias("v")).distinct()
     involved = reps.join(members.select("sid").distinct(), "sid").select("sid", "id", "t")
     texts = docs.join(involved, ["id", "t"]).dropDuplicates(["id", "t"]).select("sid", "text")
     sets = stage(texts.mapInArrow(with_sets, "sid long, set binary"), "sets")
-    first = confirmed(stars, reps, sets, percent)
+    first = confirmed(likely_pairs(stars, reps, percent), sets, percent)
     so_far = stage(components(first), "components").withColumnRenamed("id", "sid")
     placed = stage(members.where("m > 2").join(so_far, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("comp")), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
     open_ = stage(placed.join(mixed, "key").select("sid", "comp").distinct(), "open")
-    rest = confirmed(rare_pairs(open_, sets, reps, percent), reps, sets, percent)
+    rest = confirmed(rare_pairs(open_, sets, reps, percent), sets, percent)
     return so_far.select(F.col("sid").alias("u"), F.col("component").alias("v")).unionByName(rest)
 
 
