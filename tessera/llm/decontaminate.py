@@ -166,7 +166,7 @@ wanted AS (
   FROM (SELECT docs.*, k, unnest(range(1, len(w) - k + 2)) AS s FROM docs, (SELECT DISTINCT k FROM sized) AS ks WHERE len(w) >= k)
 ), found AS (SELECT r, item_id, s, tried.k AS k FROM tried JOIN wanted ON tried.k = wanted.k AND tried.win = wanted.win),
 hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + k)) AS p FROM found) GROUP BY r),
-ids AS (SELECT r, count(item_id) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+ids AS (SELECT r, count(item_id) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r),
 every AS (SELECT r, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM docs),
 df AS (SELECT term, count(*) AS df FROM every GROUP BY term),
 keyed AS (SELECT DISTINCT item_id, w, k FROM sized),
