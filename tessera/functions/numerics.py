@@ -77,133 +77,6 @@ def best_weights(name: str, mu: np.ndarray, cov: np.ndarray, x: np.ndarray, max_
     return best[1]
 
 
-def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
-    """Mean silhouette of labels under distances d."""
-    ids = np.unique(labels)
-    if len(ids) < 2:
-        return -1.0
-    member = (labels[:, None] == ids).astype(float)
-    sums, sizes = d @ member, member.sum(0)
-    own = member.argmax(1)
-    n = sizes[own]
-    a = sums[np.arange(len(d)), own] / np.maximum(n - 1, 1)
-    means = sums / sizes
-    means[np.arange(len(d)), own] = np.inf
-    b = means.min(1)
-    return float(np.where(n > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).mean())
-
-
-def canonical(labels: np.ndarray) -> np.ndarray:
-    """Labels renumbered by first appearance; -1 stays."""
-    seen: dict[int, int] = {}
-    return np.array([-1 if v < 0 else seen.setdefault(int(v), len(seen)) for v in labels])
-
-
-def kmeans(x: np.ndarray, k: int, seed: int = 42, tries: int = 10) -> np.ndarray:
-    made, best = np.random.default_rng(seed), (np.inf, np.zeros(len(x), int))
-    for _ in range(tries):
-        centres = [x[made.integers(len(x))]]
-        while len(centres) < k:
-            d = np.min([((x - c) ** 2).sum(1) for c in centres], 0)
-            centres.append(x[made.choice(len(x), p=d / d.sum()) if d.sum() else made.integers(len(x))])
-        c = np.array(centres)
-        for _ in range(100):
-            d = np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T, 0)
-            labels = d.argmin(1)
-            new = np.array([x[labels == i].mean(0) if (labels == i).any() else c[i] for i in range(k)])
-            if np.allclose(new, c):
-                break
-            c = new
-        best = min(best, (d.min(1).sum(), labels), key=lambda p: p[0])
-    return canonical(best[1])
-
-
-def kmeans_by_silhouette(d: np.ndarray, most: int = 10) -> np.ndarray:
-    """The best of 2 to most clusters of the rows of a distance matrix; one cluster if there are too few."""
-    tried = [kmeans(d, k) for k in range(2, min(most, len(d) - 1) + 1)]
-    if not tried:
-        return np.zeros(len(d), int)
-    squares = (d * d).sum(1)
-    rows = np.sqrt(np.maximum(squares[:, None] + squares - 2 * d @ d.T, 0))
-    return max(tried, key=lambda labels: silhouette(rows, labels))
-
-
-def spanning_tree(d: np.ndarray) -> list[tuple[float, int, int]]:
-    """Edges (length, a, b) of a minimum spanning tree, shortest first."""
-    n, near, to, out = len(d), d[0].copy(), np.zeros(len(d), int), []
-    inside = np.zeros(n, bool)
-    inside[0] = True
-    for _ in range(n - 1):
-        j = int(np.where(inside, np.inf, near).argmin())
-        out.append((float(near[j]), int(to[j]), j))
-        inside[j] = True
-        closer = d[j] < near
-        near[closer], to[closer] = d[j][closer], j
-    return sorted(out)
-
-
-def hdbscan(d: np.ndarray, least: int = 2, epsilon: float = 0.0, alpha: float = 1.0, epsilon_max: float = np.inf) -> np.ndarray:
-    """Leaf clusters of the density hierarchy over mutual reachability; -1 is noise."""
-    n = len(d)
-    if n < least:
-        return np.full(n, -1)
-    d = d.copy()
-    np.fill_diagonal(d, 0)
-    core = np.sort(d, 1)[:, min(least, n) - 1]
-    reach = np.maximum(np.maximum(core[:, None], core[None]), d / alpha)
-    group: dict[int, list[int]] = {i: [i] for i in range(n)}
-    of, leaves, birth = list(range(n)), {}, {}
-    for length, a, b in spanning_tree(reach):
-        x, y = of[a], of[b]
-        big = [g for g in (x, y) if len(group[g]) >= least]
-        merged = group[x] + group[y]
-        key = min(x, y)
-        below = [v for g in big for v in leaves.pop(g, [])]
-        if len(big) == 2 and length >= epsilon:
-            now = below
-        elif below and length >= epsilon:
-            now = below
-        else:
-            now = [merged] if len(merged) >= least and length <= epsilon_max else below
-        if not big and len(merged) >= least and length <= epsilon_max:
-            now = [merged]
-        group.pop(x), group.pop(y)
-        group[key], leaves[key], birth[key] = merged, now, length
-        for i in merged:
-            of[i] = key
-    labels = np.full(n, -1)
-    for k, leaf in enumerate(v for vs in leaves.values() for v in vs):
-        labels[leaf] = k
-    return canonical(labels)
-
-
-def communities(d: np.ndarray) -> np.ndarray:
-    """Greedy modularity on the minimum spanning tree, edges weighted by 1 - length."""
-    n, w = len(d), np.zeros((len(d), len(d)))
-    for length, a, b in spanning_tree(d):
-        w[a, b] = w[b, a] = max(1e-9, 1 - length)
-    degree, total, labels = w.sum(1), w.sum(), np.arange(n)
-    while True:
-        ids = np.unique(labels)
-        member = (labels[:, None] == ids).astype(float)
-        links, mass = member.T @ w @ member, member.T @ degree
-        gain = 2 * (links / total - np.outer(mass, mass) / total**2)
-        gain[(links == 0) | np.eye(len(ids), dtype=bool)] = -np.inf
-        if len(ids) < 2 or gain.max() <= 1e-12:
-            return canonical(labels)
-        i, j = np.unravel_index(gain.argmax(), gain.shape)
-        labels[labels == ids[j]] = ids[i]
-
-
-def spectral(affinity: np.ndarray, k: int) -> np.ndarray:
-    a = affinity.copy()
-    np.fill_diagonal(a, 0)
-    root = 1 / np.sqrt(np.maximum(a.sum(1), 1e-12))
-    _, vectors = np.linalg.eigh(root[:, None] * a * root)
-    top = vectors[:, -k:]
-    return kmeans(top / np.maximum(np.linalg.norm(top, axis=1, keepdims=True), 1e-12), k)
-
-
 def isolation_scores(x: np.ndarray, trees: int = 100, size: int = 256, seed: int = 42) -> np.ndarray:
     """0.5 less the usual score of an isolation forest: low values are isolated."""
     made, n = np.random.default_rng(seed), len(x)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import caching
 from tessera.functions.staging import staged
-from tessera.operators import align, anomaly, linalg, metrics, signals, weights, windows
+from tessera.operators import align, anomaly, graph, linalg, metrics, signals, weights, windows
 from tessera.plans import portfolio
 from tessera.sources import prices
 from tessera.streaming import bars
@@ -472,6 +472,28 @@ for name in metrics.OBJECTIVES:
 for name, method in (("kmeans_labels", "kmeans"), ("hdbscan_labels", "hdbscan"), ("mst_communities", "mst")):
     query(name)(lambda s, d, m=method: portfolio.clusters(ret2(s, d), m))
 
+APART = "WITH RECURSIVE " + TWO.removeprefix("WITH") + """, d AS MATERIALIZED (SELECT x.ticker AS a, y.ticker AS b, 1 - corr(x.ret, y.ret) AS value, (1 - abs(corr(x.ret, y.ret))) / 2 AS far
+  FROM ret x JOIN ret y ON x.date = y.date AND x.ticker < y.ticker GROUP BY 1, 2)"""
+
+
+def apart(s: SparkSession, d: str, absolute: bool) -> DataFrame:
+    """Distances of all pairs: 1 - c, or (1 - |c|) / 2."""
+    c = F.col("value")
+    return staged(linalg.correlations(ret2(s, d), absolute).select("a", "b", ((1 - c) / 2 if absolute else 1 - c).alias("value")))
+
+
+query("mst_edges", f"""{APART}, sides AS MATERIALIZED (SELECT a AS u, b AS v, {{'value': value, 'a': a, 'b': b}} AS e FROM d UNION ALL SELECT b, a, {{'value': value, 'a': a, 'b': b}} FROM d),
+t AS (SELECT [min(a)] AS seen, NULL::STRUCT(value DOUBLE, a VARCHAR, b VARCHAR) AS e FROM d UNION ALL
+  SELECT list_append(seen, v), e FROM (SELECT seen, arg_min(v, e) AS v, min(e) AS e FROM (SELECT t.seen, sides.v, sides.e FROM t, sides WHERE list_contains(t.seen, u) AND NOT list_contains(t.seen, v)) GROUP BY seen))
+SELECT e.a AS a, e.b AS b, round(e.value, 6) AS value FROM t WHERE e IS NOT NULL""")(lambda s, d: rounded(graph.spanning_tree(apart(s, d, False).withColumn("g", F.lit(""))).select("a", "b", "value")))
+query("density_leaves", f"""{APART}, near AS (SELECT a, b, far FROM d UNION ALL SELECT b, a, far FROM d), core AS (SELECT a AS t, min(far) AS c FROM near GROUP BY 1),
+reach AS MATERIALIZED (SELECT a, b, {{'value': greatest(far, x.c, y.c), 'a': least(a, b), 'b': greatest(a, b)}} AS e FROM near JOIN core x ON x.t = a JOIN core y ON y.t = b),
+linked AS (SELECT a AS u, a AS v FROM near UNION SELECT l.u, r.b FROM linked l JOIN reach r ON r.a = l.v AND r.e.value < 0.44),
+own AS (SELECT u, min(v) AS first, count(*) AS n FROM linked GROUP BY u),
+least AS (SELECT a, min(e) AS e FROM reach GROUP BY a),
+pairs AS (SELECT e FROM least GROUP BY e HAVING count(*) = 2 AND e.value BETWEEN 0.44 AND 0.5)
+SELECT u AS ticker, first AS cluster FROM own WHERE n > 1 UNION ALL SELECT least.a, e.a FROM least JOIN pairs USING (e)""")(lambda s, d: graph.density_clusters(apart(s, d, True), [(0.44, 0.5, 1.0)]).select("ticker", "cluster"))
+
 
 @query("spectral_select")
 def spectral(s, d):

@@ -12,13 +12,9 @@ from pyspark.sql import functions as F
 from tessera.functions import caching, numerics
 from tessera.functions.shipping import ship
 from tessera.functions.staging import staged
-from tessera.operators import align, anomaly, linalg, metrics, signals, weights, windows
+from tessera.operators import align, anomaly, graph, kmeans, linalg, metrics, signals, spectral, weights, windows
 from tessera.sources import prices as price_sources
 
-#: The most tickers whose pairs are brought to the driver.
-MAX_TICKERS = 2000
-
-
 @dataclass(frozen=True)
 class Config:
     """What a run does. models: years of history to the names of the optimisers."""
@@ -47,73 +43,47 @@ class Config:
         return cls(**known)
 
 
-def square(pairs: DataFrame, diagonal: float) -> tuple[list[str], np.ndarray]:
-    """Pairs (a, b, value) to tickers and a symmetric matrix."""
-    n = pairs.select("a").union(pairs.select("b")).distinct().count()
-    if n > MAX_TICKERS:
-        raise ValueError(f"{n} tickers are too many for a matrix on the driver")
-    rows = pairs.select("a", "b", "value").toArrow()  # at most MAX_TICKERS ** 2 / 2 rows, as columns
-    names, ends = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]).astype(str), return_inverse=True)
-    i, j = ends.reshape(2, -1)
-    out = np.full((len(names), len(names)), np.nan)
-    np.fill_diagonal(out, diagonal)
-    out[i, j] = out[j, i] = rows["value"].to_numpy()
-    return names.tolist(), np.nan_to_num(out)
-
-
-def labelled(spark: SparkSession, names: list[str], labels: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(t, int(c)) for t, c in zip(names, labels)], "ticker string, cluster int")
-
-
 def clusters(returns: DataFrame, method: str = "hdbscan") -> DataFrame:
-    """ticker, cluster by hdbscan, kmeans, mst or spectral on correlation distances."""
-    corr = staged(linalg.correlation_matrix(returns, absolute=method == "hdbscan"))
-    spark = returns.sparkSession
-    names, c = square(corr, 1.0)
-    if not names:
-        only = [r[0] for r in returns.select("ticker").distinct().collect()]
-        return labelled(spark, only, np.zeros(len(only)))
+    """ticker, cluster by hdbscan, kmeans, mst or spectral on correlation distances; one cluster if there are no pairs."""
+    if method not in ("hdbscan", "kmeans", "mst", "spectral"):
+        raise ValueError(f"unknown method {method}")
+    corr = staged(linalg.correlation_matrix(returns, absolute=method == "hdbscan").select("a", "b", F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)).alias("value")))
+    if corr.isEmpty():
+        return returns.select("ticker", F.lit(0).alias("cluster")).distinct()
+    c = F.col("value")
+    pairs = lambda value: staged(corr.select("a", "b", value.alias("value")))
     if method == "hdbscan":
-        return labelled(spark, names, hdbscan_study(spark, (1 - c) / 2))
+        return density_study(pairs((1 - c) / 2))
     if method == "kmeans":
-        return labelled(spark, names, numerics.kmeans_by_silhouette(np.sqrt((1 - c) / 2)))
+        return kmeans.clusters(kmeans.distance_rows(pairs(F.sqrt((1 - c) / 2))), KMEANS_SIZES)
     if method == "mst":
-        return labelled(spark, names, numerics.communities(1 - c))
-    if method == "spectral":
-        return labelled(spark, names, numerics.spectral((c + 1) / 2, max(2, int(np.ceil(0.1 * len(names))))))
-    raise ValueError(f"unknown method {method}")
+        tree = graph.spanning_tree(pairs(1 - c).withColumn("g", F.lit("")))
+        found = staged(graph.communities(tree).select(F.col("node").alias("ticker"), "comp"))
+        return with_numbers(found.withColumn("comp", F.min("ticker").over(Window.partitionBy("comp"))))
+    n = corr.select(F.explode(F.array("a", "b"))).distinct().count()
+    k = max(2, -(-n // 10))
+    return kmeans.clusters(spectral.embedding(pairs(linalg.affinity(c)), k), [k])
 
 
-#: Values that the density study tries: the least and the greatest length at which clusters merge, and the scale of distances.
-EPSILONS, EPSILONS_MAX, ALPHAS = (0.15, 0.18, 0.21, 0.24, 0.27, 0.3), (0.3, 0.5, 0.75, 1.0), (0.1, 0.25, 0.5, 1.0, 1.5, 2.0)
+def with_numbers(rows: DataFrame) -> DataFrame:
+    """rows(ticker, comp) to ticker, cluster: comps numbered in their order, null ones -1."""
+    names = graph.numbered(rows.where("comp is not null").select("comp").distinct(), "comp", "cluster")
+    return rows.join(names, "comp", "left").select("ticker", F.coalesce(F.col("cluster").cast("int"), F.lit(-1)).alias("cluster"))
 
 
-def density_score(d: np.ndarray, labels: np.ndarray) -> float:
-    """Silhouette of the clustered, less penalties for one large or for few clusters; -1 for fewer than two."""
-    inside = labels >= 0
-    k = len(np.unique(labels[inside]))
-    if k < 2:
-        return -1.0
-    most = np.bincount(labels[inside]).max() / len(d)
-    return numerics.silhouette(d[np.ix_(inside, inside)], labels[inside]) - 0.5 * max(0.0, most - 0.05) - 0.5 * max(0.0, np.ceil(np.sqrt(len(d))) - k)
+#: Values that the density study tries: the least and the greatest length at which clusters merge, and the scale of distances; the numbers of clusters that k-means tries.
+EPSILONS, EPSILONS_MAX, ALPHAS = (0.15, 0.18, 0.21, 0.24, 0.27, 0.3), (0.3, 0.5, 0.75, 1.0), (0.1, 0.25, 0.5, 1.0, 1.5, 2.0)
+KMEANS_SIZES = list(range(2, 11))
 
 
-def hdbscan_study(spark: SparkSession, d: np.ndarray) -> np.ndarray:
-    """The labels of the grid point with the best density_score; a task for each point. Of equal points the first counts."""
-    ship(spark)
-    np.fill_diagonal(d, 0)
-    sent = spark.sparkContext.broadcast(d)  # MAX_TICKERS ** 2 doubles at most
+def density_study(pairs: DataFrame) -> DataFrame:
+    """ticker, cluster (-1: noise) by the point of the grid with the best graph.density_scores(); of equal points the first counts."""
     points = [(e, m, a) for e in EPSILONS for m in EPSILONS_MAX for a in ALPHAS]
-    grid = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "i int, epsilon double, most double, alpha double")
-
-    def score(parts):
-        for part in parts:
-            found = [density_score(sent.value, numerics.hdbscan(sent.value, 2, e, a, m)) for e, m, a in zip(part["epsilon"], part["most"], part["alpha"])]
-            yield pd.DataFrame({"i": part["i"], "score": found})
-
-    top = grid.repartition(spark.sparkContext.defaultParallelism).mapInPandas(score, "i int, score double").orderBy(F.desc("score"), "i").first()
-    e, m, a = points[top["i"]]
-    return numerics.hdbscan(d, 2, e, a, m)
+    found = staged(graph.density_clusters(pairs, points))
+    top = graph.density_scores(pairs, found).where("score > -1").orderBy(F.desc("score"), "cell").first()
+    own = found.where(F.col("cell") == (top["cell"] if top else 0)).select("ticker", F.col("cluster").alias("comp"))
+    tickers = pairs.select(F.explode(F.array("a", "b")).alias("ticker")).distinct()
+    return with_numbers(staged(tickers.join(own, "ticker", "left")))
 
 
 def decorrelated(returns: DataFrame, labels: DataFrame, objective: str = "sharpe", risk_free: float = 0.0) -> DataFrame:
@@ -130,8 +100,9 @@ def nested_clustering(returns: DataFrame, objective: str, max_weight: float = 1.
     ship(spark)
     clean = staged(align.drop_sparse(returns, "ret"))
     cov = staged(linalg.shrunk(clean).select("a", "b", (F.col("value") * metrics.DAYS).alias("value")))
-    names, c = square(linalg.as_correlation(cov), 1.0)
-    labels = staged(labelled(spark, names, numerics.kmeans_by_silhouette(np.sqrt(np.maximum(0, 1 - c) / 2))) if names else clean.select("ticker", F.lit(0).alias("cluster")).distinct())
+    apart = F.sqrt(F.greatest(F.lit(0.0), 1 - F.coalesce("value", F.lit(0.0))) / 2)
+    pairs = staged(linalg.as_correlation(cov).where("a < b").select("a", "b", apart.alias("value")))
+    labels = staged(clean.select("ticker", F.lit(0).alias("cluster")).distinct() if pairs.isEmpty() else kmeans.clusters(kmeans.distance_rows(pairs), KMEANS_SIZES))
     of = lambda name: labels.select(F.col("ticker").alias(name), F.col("cluster").alias(f"c{name}"))
     placed = staged(cov.join(of("a"), "a").join(of("b"), "b"))
 
@@ -182,12 +153,28 @@ def optimise(model: str, returns: DataFrame, config: Config) -> DataFrame:
     return MODELS[model](returns, config.objective, config.max_weight, config.allow_short)
 
 
+#: The most series of a basket: three for each are in the moment matrix of its eigenproblem.
+MAX_BASKET = 600
+
+
+def square(pairs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Moments (a, b, value) of a basket to names and a symmetric matrix."""
+    rows = pairs.select("a", "b", "value").toArrow()  # (3 * MAX_BASKET) ** 2 / 2 rows at most, as columns
+    names, ends = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]).astype(str), return_inverse=True)
+    i, j = ends.reshape(2, -1)
+    out = np.full((len(names), len(names)), np.nan)
+    out[i, j] = out[j, i] = rows["value"].to_numpy()
+    return names.tolist(), np.nan_to_num(out)
+
+
 def johansen(prices: DataFrame) -> DataFrame:
     """ticker, v: the leading cointegration vector of log prices, one lagged difference; the moments are Spark sums."""
     whole = align.overlap(prices)
     n = whole.select("ticker").distinct().count()
     if n < 2:
         raise ValueError("cointegration needs two series or more")
+    if n > MAX_BASKET:
+        raise ValueError(f"{n} series are too many for a basket")
     if whole.where("adj_close <= 0").limit(1).count():
         raise ValueError("prices must be positive")
     x = F.ln("adj_close")
@@ -195,7 +182,7 @@ def johansen(prices: DataFrame) -> DataFrame:
     rows = rows.withColumn("l1", F.lag("level").over(align.by_date())).withColumn("l2", F.lag("level", 2).over(align.by_date())).where("l2 is not null")
     parts = rows.select("date", F.explode(F.array(*(F.struct(F.concat(F.lit(k), "ticker").alias("name"), c.alias("ret")) for k, c in (("d", F.col("level") - F.col("l1")), ("e", F.col("l1") - F.col("l2")), ("l", F.col("l1")))))).alias("r"))
     long = parts.select("date", F.col("r.name").alias("ticker"), F.col("r.ret").alias("ret"))
-    names, m = square(linalg.covariances(long, sample=False), 0.0)
+    names, m = square(linalg.covariances(long, sample=False))
     at = lambda k: [i for i, t in enumerate(names) if t[0] == k]
     d, e, lag = at("d"), at("e"), at("l")
     inner = np.linalg.pinv(m[np.ix_(e, e)])

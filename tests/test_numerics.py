@@ -45,60 +45,6 @@ def test_bounds_and_sums():
         numerics.objective("nonsense", x.mean(0), np.cov(x, rowvar=False), x)
 
 
-def test_spanning_tree_is_the_shortest_of_all():
-    d = np.random.default_rng(1).random((6, 6))
-    d = (d + d.T) / 2
-    edges = list(itertools.combinations(range(6), 2))
-
-    def connected(tree):
-        root = list(range(6))
-        for a, b in tree:
-            root = [root[a] if r == root[b] else r for r in root]
-        return len(set(root)) == 1
-
-    best = min(sum(d[e] for e in tree) for tree in itertools.combinations(edges, 5) if connected(tree))
-    assert sum(x for x, _, _ in numerics.spanning_tree(d)) == pytest.approx(best)
-
-
-def points(seed=2):
-    made = np.random.default_rng(seed)
-    return np.concatenate([made.normal(c, 0.1, (8, 2)) for c in ((0, 0), (5, 0), (0, 5))])
-
-
-def gaps(x):
-    return np.sqrt(((x[:, None] - x) ** 2).sum(2))
-
-
-def test_silhouette_equals_its_definition():
-    x, labels = points(), np.repeat([0, 1, 2], 8)
-    d, total = gaps(points()), []
-    for i in range(len(x)):
-        own = [d[i, j] for j in range(len(x)) if labels[j] == labels[i] and j != i]
-        others = [np.mean([d[i, j] for j in range(len(x)) if labels[j] == c]) for c in set(labels) - {labels[i]}]
-        total.append((min(others) - np.mean(own)) / max(min(others), np.mean(own)))
-    assert numerics.silhouette(d, labels) == pytest.approx(np.mean(total))
-
-
-def test_clusters_of_separate_points():
-    d, want = gaps(points()), np.repeat([0, 1, 2], 8)
-    assert (numerics.kmeans(points(), 3) == want).all()
-    assert (numerics.kmeans_by_silhouette(d) == want).all()
-    assert (numerics.spectral(np.exp(-d), 3) == want).all()
-
-
-def test_density_clusters_and_noise():
-    x = np.array([[0.0], [0.1], [0.2], [5.0], [5.1], [5.2], [50.0]])
-    labels = numerics.hdbscan(gaps(x), 2, epsilon=1.0, epsilon_max=10.0)
-    assert labels.tolist() == [0, 0, 0, 1, 1, 1, -1]
-
-
-def test_communities_of_two_groups():
-    d = np.full((6, 6), 0.95)
-    d[:3, :3] = d[3:, 3:] = 0.1
-    np.fill_diagonal(d, 0)
-    assert numerics.communities(d).tolist() == [0, 0, 0, 1, 1, 1]
-
-
 def test_forest_isolates_the_outlier():
     x = np.append(np.random.default_rng(3).normal(0, 1, 200), 15.0)[:, None]
     assert numerics.isolation_scores(x).argmin() == 200
