@@ -29,10 +29,10 @@ from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents
+from tessera.llm.common import documents, stage
 
-#: Texts that a task holds while it reduces copies.
-CHAIN_BYTES = 16 << 20
+#: Texts that a task holds while it reduces copies, and texts for each partition that they are routed to.
+CHAIN_BYTES, PART_BYTES = 16 << 20, 64 << 20
 #: More filters than this have too many orders to list.
 MAX_FILTERS = 7
 SYMBOLS = re.compile(rb"[#$%&*|]")
@@ -124,7 +124,8 @@ def masks(docs: DataFrame, filters: Mapping[str, Callable[[Text], bool]] = FILTE
     """(doc_id, part, mask, n): n documents that fail the filters of mask, its last bit for repeated texts."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col(by).cast("string"), F.col(text)).rdd
     keyed = rows.mapPartitions(lambda part: routed(part, filters))
-    parts = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(size // PART_BYTES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = keyed.repartitionAndSortWithinPartitions(parts, lambda key: key[0])
     return ordered.mapPartitions(lambda part: chained(part, 1 << len(filters)))
 
@@ -174,8 +175,9 @@ def audit(docs: DataFrame, labels: DataFrame, filters: Mapping[str, Callable[[Te
         raise ValueError(f"up to {MAX_FILTERS} filters with names of one letter")
     spark = docs.sparkSession
     thin = spark.createDataFrame(masks(docs, filters, by, text), "doc_id long, part string, mask int, n long", verifySchema=False)
-    known = labels.groupBy(F.col("doc_id").cast("long").alias("lid")).agg(
-        F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")
+    known = stage(
+        labels.groupBy(F.col("doc_id").cast("long").alias("lid")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")),
+        "audit-labels",
     )
     none = F.lit(0)
     joined = thin.join(known, F.col("doc_id") == F.col("lid"), "left").withColumns({"good": F.coalesce("good", none), "toxic": F.coalesce("toxic", none)})
