@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.shipping import ship
-from tessera.operators import linalg, metrics, windows
+from tessera.operators import linalg, metrics, scan, windows
 from tessera.operators.align import by_date
 from tessera.operators.weights import everywhere
 
@@ -27,10 +24,7 @@ def with_decay(returns: DataFrame, window: int, target: float = 0.5) -> DataFram
 
 
 def stateful(returns: DataFrame, window: int, high: float, low: float, reset: float = 0.5) -> DataFrame:
-    """ticker, date, state and adj: a position is taken beyond a limit, held while it fades, and left below half the limit.
-
-    The walk of one ticker is sequential; tickers are spread over tasks.
-    """
+    """ticker, date, state and adj: a position is taken beyond a limit, held while it fades, and left below half the limit."""
     rows = with_decay(returns, window).select("ticker", "date", "z", "decay", F.lit(float(high)).alias("high"), F.lit(float(low)).alias("low"))
     return walked(rows, reset)
 
@@ -46,49 +40,26 @@ def stateful_by(returns: DataFrame, params: DataFrame, sizes: list[int], reset:
 
 
 def walked(rows: DataFrame, reset: float) -> DataFrame:
-    """rows(ticker, date, z, decay, high, low) to ticker, date, state and adj."""
-    ship(rows.sparkSession)
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        z, decay, high, low = (*(rows[c].to_numpy(float) for c in ("z", "decay")), float(rows["high"].iloc[0]), float(rows["low"].iloc[0]))
-        state, adj, now, age = np.zeros(len(z), int), np.ones(len(z)), 0, 0
-        for i in range(1, len(z)):
-            if np.isnan(z[i]):
-                now = age = 0
-                continue
-            if now == 0:
-                now, age = (-1 if z[i] > high else 1 if z[i] < -low else 0), 0
-            else:
-                age += 1
-                if now == -1 and z[i] < high * reset or now == 1 and z[i] > -low * reset:
-                    now = age = 0
-            state[i] = now
-            if now and abs(z[i]) >= (high if now < 0 else low):
-                adj[i] = max(0.0, 1 + now * abs(z[i]) * decay[i] ** age)
-        return pd.DataFrame({"ticker": rows["ticker"], "date": rows["date"], "state": state, "adj": adj})
-
-    return rows.groupBy("ticker").applyInPandas(walk, "ticker string, date date, state int, adj double")
+    """rows(ticker, date, z, decay, high, low) to ticker, date, state and adj; the first row of a ticker only starts the walk."""
+    z, high, low = F.nanvl("z", F.lit(None).cast("double")), F.col("high"), F.col("low")
+    first = rows.groupBy("ticker").agg(F.min("date").alias("_first"))
+    none = z.isNull() | (F.col("date") == F.col("_first"))
+    enter = F.when(z > high, -1).when(z < -low, 1).otherwise(0)
+    step = F.when(none, scan.code(0, 0, 0)).otherwise(scan.code(F.when(z < high * reset, 0).otherwise(-1), enter, F.when(z > -low * reset, 0).otherwise(1)))
+    done = scan.run(rows.join(first, "ticker"), step)
+    state, size = F.col("state"), F.abs("z")
+    moved = F.greatest(F.lit(0.0), 1 + state * size * F.pow("decay", F.col("place") - F.col("entered")))
+    beyond = (state != 0) & (size >= F.when(state < 0, high).otherwise(low))
+    return done.select("ticker", "date", state.cast("int").alias("state"), F.when(beyond, moved).otherwise(F.lit(1.0)).alias("adj"))
 
 
 def basket_positions(spread: DataFrame, stop: Column | float, take: Column | float) -> DataFrame:
     """spread(ticker, date, dev) to positions: long below stop until 0, short above take until 0; a row that leaves doesn't enter."""
-    ship(spread.sparkSession)
-    limits = {"_stop": stop if isinstance(stop, Column) else F.lit(float(stop)), "_take": take if isinstance(take, Column) else F.lit(float(take))}
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, now, out = rows.sort_values("date"), 0, []
-        stop, take = float(rows["_stop"].iloc[0]), float(rows["_take"].iloc[0])
-        for d in rows["dev"].to_numpy(float):
-            if now == 0:
-                now = 1 if d < stop else -1 if d > take else 0
-            elif now == 1 and d >= 0 or now == -1 and d <= 0:
-                now = 0
-            out.append(now)
-        return pd.DataFrame({"ticker": rows["ticker"], "date": rows["date"], "position": out})
-
-    thin = spread.withColumns(limits).select("ticker", "date", "dev", *limits)
-    return thin.groupBy("ticker").applyInPandas(walk, "ticker string, date date, position int")
+    stop, take = (x if isinstance(x, Column) else F.lit(float(x)) for x in (stop, take))
+    dev = F.nanvl("dev", F.lit(None).cast("double"))
+    enter = F.when(dev < stop, 1).when(dev > take, -1).otherwise(0)
+    step = scan.code(F.when(dev <= 0, 0).otherwise(-1), enter, F.when(dev >= 0, 0).otherwise(1))
+    return scan.run(spread.select("ticker", "date", "dev", step.alias("_step")), F.col("_step")).select("ticker", "date", F.col("state").cast("int").alias("position"))
 
 
 def latest_composite(signals: DataFrame, daily_weight: float = 0.7, shares: DataFrame | None = None) -> DataFrame:
