@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import linalg, metrics, scan, windows
+from tessera.operators import linalg, metrics, order_statistics, scan, windows
 from tessera.operators.align import by_date
 from tessera.operators.weights import everywhere
 
@@ -112,7 +112,7 @@ def window_grid(returns: DataFrame, window_sizes: list[int], limits: list[float]
     found, by = None, list(by)
     for n in window_sizes:
         z = F.lag("z").over(by_date())
-        marked = windows.robust_zscore(returns, "ret", n).withColumn("before", z).withColumn("limit", F.explode(each))
+        marked = order_statistics.robust_zscore(returns, "ret", n).withColumn("before", z).withColumn("limit", F.explode(each))
         gain = lambda p: F.sum(F.coalesce(p * F.col("ret"), F.lit(0.0)))
         none = F.lit(0.0)
         bought = F.when(F.col("before") < -F.col("limit"), (-F.col("before") - F.col("limit")) / F.col("limit")).otherwise(none)

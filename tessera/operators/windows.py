@@ -52,21 +52,6 @@ def zscore(rows: DataFrame, column: str, n: int, least: int | None = None, small
     return rows.withColumn("z", F.try_divide(F.col(column) - rolling_mean(column, n, least), sd + small))
 
 
-def middle(values: Column) -> Column:
-    """The median of an array."""
-    n, x = F.size(values), F.array_sort(values)
-    return F.when(n > 0, (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2)
-
-
-def robust_zscore(rows: DataFrame, column: str, n: int, scale: float = 1.4826) -> DataFrame:
-    """z by rolling median and rolling median absolute deviation / scale; null where the frame has a null or no spread."""
-    framed = rows.withColumn("_v", F.collect_list(column).over(frame(n))).withColumn("_rows", F.count(F.lit(1)).over(frame(n)))
-    with_middle = framed.withColumn("_m", middle(F.col("_v")))
-    mad = middle(F.transform("_v", lambda x: F.abs(x - F.col("_m")))) / scale
-    z = F.try_divide(F.col(column) - F.col("_m"), F.nullif(F.when(F.size("_v") == F.col("_rows"), mad), F.lit(0.0)))
-    return with_middle.withColumn("z", z).drop("_v", "_rows", "_m")
-
-
 def weekly_last(returns: DataFrame) -> DataFrame:
     """The last value of each week, which is labelled by the Sunday that ends it."""
     week = F.next_day(F.date_sub("date", 1), "Sun")

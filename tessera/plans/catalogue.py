@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import caching
 from tessera.functions.staging import staged
-from tessera.operators import align, anomaly, graph, linalg, metrics, signals, weights, windows
+from tessera.operators import align, anomaly, graph, linalg, metrics, order_statistics, signals, weights, windows
 from tessera.plans import portfolio
 from tessera.sources import prices
 from tessera.streaming import bars
@@ -185,7 +185,7 @@ MAD = f"""{ONE}, fr AS (SELECT *, list(ret) OVER w AS v, count(*) OVER w AS n FR
 rz AS (SELECT ticker, date, ret, (ret - list_aggregate(list_filter(v, lambda x: x IS NOT NULL), 'median'))
   / nullif(CASE WHEN len(list_filter(v, lambda x: x IS NOT NULL)) = n THEN list_aggregate(v, 'mad') / 1.4826 END, 0) AS z FROM fr)"""
 query("robust_z_mad", MAD + " SELECT ticker, date, round(z, 6) + 0.0::DOUBLE AS z FROM rz")(
-    lambda s, d: rounded(windows.robust_zscore(ret(s, d), "ret", 20).select("ticker", "date", "z"))
+    lambda s, d: rounded(order_statistics.robust_zscore(ret(s, d), "ret", 20).select("ticker", "date", "z"))
 )
 query("weekly_last", f"{ONE} SELECT ticker, (date_trunc('week', date) + INTERVAL 6 DAY)::DATE AS date, round(max_by(ret, date), 8) AS ret FROM ret WHERE ret IS NOT NULL GROUP BY 1, 2")(lambda s, d: rounded(windows.weekly_last(ret(s, d).where("ret is not null")), 8))
 query("realized_vol_latest", f"{ONE}, v AS (SELECT date, avg(v) AS v FROM (SELECT date, {rolling_sql('stddev_samp', 30, 5)} AS v FROM ret) GROUP BY 1) SELECT round(max_by(v, date), 8) AS vol FROM v")(lambda s, d: rounded(windows.latest_volatility(ret(s, d)), 8))
@@ -308,7 +308,7 @@ query("distance_rescaled", f"{TWO}, {PAIRS}, dd AS (SELECT a, b, (1 - abs(corr(x
 SIG = """sg AS (SELECT ticker, date, ret, CASE WHEN z < -1.5 THEN (-z - 1.5) / 1.5 WHEN z > 1.5 THEN -(z - 1.5) / 1.5 ELSE 0 END AS sig FROM rz)"""
 RZ = ORACLES["robust_z_mad"].rsplit(" SELECT ticker, date, round", 1)[0]
 query("threshold_signal", f"{RZ}, {SIG} SELECT ticker, date, round(lag(sig) OVER (PARTITION BY ticker ORDER BY date), 6) + 0.0::DOUBLE AS pos FROM sg")(
-    lambda s, d: rounded(windows.robust_zscore(ret(s, d), "ret", 20).withColumn("g", signals.threshold_signal(F.col("z"), 1.5, 1.5)).select("ticker", "date", F.lag("g").over(align.by_date()).alias("pos")))
+    lambda s, d: rounded(order_statistics.robust_zscore(ret(s, d), "ret", 20).withColumn("g", signals.threshold_signal(F.col("z"), 1.5, 1.5)).select("ticker", "date", F.lag("g").over(align.by_date()).alias("pos")))
 )
 FREQ = "fs AS (SELECT ticker, 'daily' AS freq, date, 1 + coalesce(ret, 0) AS adj FROM ret UNION ALL SELECT ticker, 'weekly', date, 1 - coalesce(ret, 0) / 2 FROM ret WHERE date < DATE '2001-01-01')"
 freq = lambda s, d: (b := ret(s, d).na.fill(0.0, ["ret"])).select("ticker", F.lit("daily").alias("freq"), "date", (1 + F.col("ret")).alias("adj")).unionByName(b.where("date < date'2001-01-01'").select("ticker", F.lit("weekly").alias("freq"), "date", (1 - F.col("ret") / 2).alias("adj")))
