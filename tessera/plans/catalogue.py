@@ -5,16 +5,17 @@ Doubles are rounded on both sides, so that the order of summation doesn't show.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import caching
-from tessera.functions.staging import staged
+from tessera.functions.staging import shared_dir, staged
 from tessera.operators import align, anomaly, graph, linalg, metrics, order_statistics, signals, weights, windows
 from tessera.plans import portfolio
-from tessera.sources import prices
+from tessera.sources import prices, snapshots
 from tessera.streaming import bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -529,8 +530,23 @@ def holdings(s, d):
 STORED = "st AS (SELECT ticker, date, close FROM p1 WHERE date BETWEEN DATE '1995-06-01' AND DATE '1999-12-31' AND ticker < '5')"
 stored = lambda s, d: p1(s, d).where("date between date'1995-06-01' and date'1999-12-31' and ticker < '5'").select("ticker", "date", "close")
 opens = lambda s, d: p1(s, d).select("ticker", "date", F.col("open").alias("close"))
+
+
+def kept(s: SparkSession, d: str, version: int | None = None) -> DataFrame:
+    """A store of snapshots after a first write of closes, an upsert of opens and a backfill of highs, or after so many of these."""
+    path = f"{shared_dir(s)}/tessera/store-{uuid.uuid4().hex}"
+    rows = p1(s, d)
+    snapshots.upsert(s, path, stored(s, d), buckets=4)
+    snapshots.upsert(s, path, opens(s, d).where("date < date'1999-01-01'"), buckets=4)
+    snapshots.backfill(s, path, rows.select("ticker", "date", F.col("high").alias("close")), 4)
+    return snapshots.read(s, path, version)
+
+
+SECOND = f"""{P1}, {{0}}, b AS (SELECT * FROM st UNION ALL SELECT ticker, date, open FROM p1 WHERE date < DATE '1999-01-01' AND (ticker, date) NOT IN (SELECT (ticker, date) FROM st))"""
 query("store_upsert", f"WITH {P1} SELECT ticker, date, CASE WHEN date BETWEEN DATE '1995-06-01' AND DATE '1999-12-31' AND ticker < '5' THEN close ELSE open END AS close FROM p1")(lambda s, d: prices.upsert(stored(s, d), opens(s, d)))
 query("store_upsert_forced", f"WITH {P1} SELECT ticker, date, open AS close FROM p1")(lambda s, d: prices.upsert(stored(s, d), opens(s, d), True))
+query("store_snapshots", f"WITH {SECOND.format(STORED)}, sp AS (SELECT ticker, min(date) AS a, max(date) AS z FROM b GROUP BY 1) SELECT * FROM b UNION ALL SELECT ticker, date, high FROM p1 LEFT JOIN sp USING (ticker) WHERE a IS NULL OR date < a OR date > z")(kept)
+query("store_time_travel", f"WITH {SECOND.format(STORED)} SELECT * FROM b")(lambda s, d: kept(s, d, 2))
 query("store_backfill", f"WITH {P1}, {STORED}, sp AS (SELECT ticker, min(date) AS a, max(date) AS b FROM st GROUP BY 1) SELECT * FROM st UNION ALL SELECT ticker, date, open FROM p1 LEFT JOIN sp USING (ticker) WHERE a IS NULL OR date < a OR date > b")(lambda s, d: prices.backfill(stored(s, d), opens(s, d)))
 query("bulk_load_missing", f"WITH {P1}, {STORED} SELECT DISTINCT ticker FROM p1 WHERE ticker NOT IN (SELECT ticker FROM st)")(lambda s, d: prices.not_stored(p1(s, d), stored(s, d)))
 query("missing_ranges", f"WITH {P1}, {STORED}, l AS (SELECT ticker, max(date) AS b FROM st GROUP BY 1) SELECT DISTINCT ticker, coalesce(b + 1, DATE '2002-01-01' - 1825) AS start, DATE '2002-01-01' AS \"end\" FROM p1 LEFT JOIN l USING (ticker)")(
