@@ -52,10 +52,12 @@ def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """At most max_rows labelled documents outside the test fold, with the label as y; ids that are labelled twice are left out."""
+    """At most max_rows labelled documents outside the test fold, with the label as y; ids that are labelled twice are left out, of the rows of one id the one with the least hash stays."""
     once = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("y"), F.count("*").alias("_n")).where("_n = 1")
     chosen = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "y")
-    return docs.join(F.broadcast(chosen), "doc_id")  # max_rows bounds what is broadcast
+    rest = [c for c in docs.columns if c != "doc_id"]
+    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row"))  # max_rows bounds what is broadcast
+    return found.select("doc_id", "y", "_row.*")
 
 
 def rules(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[tuple[Condition, ...], float]]]:

@@ -1,12 +1,13 @@
 """Shards that all match the mixture of sources; DataFrame functions only.
 
 Within each source the rows are shuffled by a seeded hash and ranked; a row's fractional rank is
-(rank - 1/2) / rows of its source. All rows are sorted by fractional rank and cut into equal runs,
-so every shard holds its share of every source, and the counts of two shards differ by one at most.
+(rank from 0 + u) / rows of its source, with u from 0 to 1 out of the same hash. All rows are sorted by fractional rank and
+cut into equal runs, so every shard holds its share of every source, the rows of many small sources together are spread
+evenly too, and the counts of two shards differ by one at most.
 
 Both ranks come from counts of buckets of the sort key plus a row number within a bucket, so no
-source and no sort goes through one task: a source is split into BUCKETS parts by its hash, and the
-fractional ranks are spread evenly by what they are.
+source and no sort goes through one task: a source is split by its hash into as many buckets as the whole table needs for
+BUCKET_ROWS rows each, and the fractional ranks are spread evenly.
 
 A null source is a source of its own; a null text has no bytes; a null doc_id is shuffled by the word null. Rows that agree in id and text are
 interchangeable; each gets a slot of its own. An empty table gives an empty result.
@@ -19,8 +20,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, stage
 
-SHARDS, SEED, BUCKETS = 40, "tessera", 1024
+SHARDS, SEED = 40, "tessera"
+#: Buckets at least, and rows of one in the mean.
+BUCKETS, BUCKET_ROWS = 1024, 100_000
 ROW_OVERHEAD = 16
+#: Fractions are of 32 bits.
+UNIT = 1 << 32
 
 
 def below(rows: DataFrame, within: list[str], bucket: str, order: list[Column]) -> DataFrame:
@@ -48,11 +53,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, source: str =
         (F.octet_length(body) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.substring(digest, 1, 16).alias("h"),
+        (F.conv(F.substring(digest, 17, 8), 16, 10).cast("double") / UNIT).alias("u"),
     )
-    thin = stage(thin.withColumn("b", F.expr(f"cast(conv(substring(h, 1, 8), 16, 10) as long) * {BUCKETS} div 4294967296")), "shard-rows")
+    thin = stage(thin, "shard-rows")
+    buckets = max(BUCKETS, thin.count() // BUCKET_ROWS)
+    thin = thin.withColumn("b", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / UNIT * buckets))
     by_source = below(thin, ["source"], "b", [F.col("h"), F.col("doc_id"), F.col("text_crc32")])
-    ranked = stage(by_source.select("doc_id", "source", "size", "text_crc32", "h", ((F.col("_rank") + 0.5) / F.col("_of")).alias("f")), "shard-ranks")
-    cut = below(ranked.withColumn("b", F.floor(F.col("f") * BUCKETS)), [], "b", [F.col("f"), F.col("source"), F.col("h"), F.col("doc_id"), F.col("text_crc32")])
+    ranked = stage(by_source.select("doc_id", "source", "size", "text_crc32", "h", ((F.col("_rank") + F.col("u")) / F.col("_of")).alias("f")), "shard-ranks")
+    cut = below(ranked.withColumn("b", F.floor(F.col("f") * buckets)), [], "b", [F.col("f"), F.col("source"), F.col("h"), F.col("doc_id"), F.col("text_crc32")])
     return cut.withColumn("shard", F.expr(f"_rank * {shards} div _of").cast("int")).select(
         "doc_id", "source", "size", "text_crc32", "shard",
         (F.col("_rank") - F.expr(f"(shard * _of + {shards - 1}) div {shards}")).alias("slot"),
@@ -77,10 +85,10 @@ WITH bits AS (
     xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(x, '..'),
       lambda b: (16 * (strpos('0123456789ABCDEF', b[1]) - 1) + strpos('0123456789ABCDEF', b[2]) - 1)::BIGINT)),
       lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) AS text_crc32,
-    substr(md5('tessera:' || coalesce(doc_id::VARCHAR, 'null')), 1, 16) AS h
+    md5('tessera:' || coalesce(doc_id::VARCHAR, 'null')) AS m, substr(m, 1, 16) AS h, ('0x' || substr(m, 17, 8))::BIGINT / 4294967296::DOUBLE AS u
   FROM bytes, bits
 ), ranked AS (
-  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, text_crc32) - 1 + 0.5::DOUBLE)
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, text_crc32) - 1 + u)
     / count(*) OVER (PARTITION BY source) AS f FROM sized
 ), cut AS (
   SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, h, doc_id NULLS FIRST, text_crc32) - 1 AS r, count(*) OVER () AS n FROM ranked

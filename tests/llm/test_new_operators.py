@@ -191,3 +191,22 @@ def test_bounds_spare_distances(spark, monkeypatch):
     monkeypatch.setattr(centroids, "squares", lambda a, b: looked.append(len(a)) or plain(a, b))
     after = centroids.assigned(block, to)
     assert (after.at == np.repeat(np.arange(10), 50)).all() and sum(looked) < 500
+
+
+def test_small_sources_are_spread_over_all_shards(spark):
+    from tessera.llm import sharding
+
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 2 == 0, F.lit("big")).otherwise(F.col("id").cast("string")).alias("source"))
+    shares = sharding.shard(rows).groupBy("shard").agg(F.avg((F.col("source") == "big").cast("double")).alias("share"), F.count("*").alias("n")).collect()
+    assert len(shares) == 40 and all(r["n"] == 200 and abs(r["share"] - 0.5) < 0.1 for r in shares)
+    assert sum(abs(r["share"] - 0.5) for r in shares) / 40 < 0.05
+
+
+def test_the_sample_has_one_row_for_each_labelled_id(spark):
+    from tessera.llm import quality_model
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)] + [(1, f"other {k}") for k in range(300)] + [(None, "x")], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    found = quality_model.sample(docs, labels, "quality", 20).collect()
+    assert len(found) == 20 == len({r["doc_id"] for r in found})
+    assert sorted(found) == sorted(quality_model.sample(docs.repartition(3), labels, "quality", 20).collect())
