@@ -43,8 +43,8 @@ from tessera.llm.sentence_dedup import chunks, is_white
 
 #: Production parameters.
 SHINGLE, PERCENT, STAGE_PERCENT, ROWS, BANDS = 5, 85, 80, 5, 32
-#: Bytes of text that are hashed at a time; rows of a block, in which members that share a rare shingle are compared; rows of one task's small groups.
-CHUNK, BLOCK, GROUP_ROWS = 1 << 18, 1024, 4_000
+#: Bytes of text that are hashed at a time; rows of a block, in which members that share a rare shingle are compared; rows of one task's small groups; prefixes that a task holds as sets.
+CHUNK, BLOCK, GROUP_ROWS, PREFIXES = 1 << 18, 1024, 4_000, 4_096
 
 
 def hashes() -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +165,8 @@ def verify(percent: int):
     return of
 
 
-def across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of different components in blocks: rows(token, lo, hi, block, sid, comp, n, pos, sig, dfs, tokens, start) that have a token at pos of n.
+def across(rows: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of different components in blocks: rows(token, lo, hi, block, sid, comp, n, pos) that have a token at pos of n, and sets(sid_, sig_, dfs_, tokens_, start_), each once.
 
     The first token that a pair shares bounds what it shares: no more than stands behind pos in either.
     A pair whose bound at this token is too low isn't linked, or has shared an earlier one. Signatures
@@ -175,22 +175,24 @@ def across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     than either set has left. A pair counts under the first token of its prefixes only.
     """
     rows = rows.sort_values(["token", "lo", "hi"], kind="stable")
-    token, lo, hi, block, sid, comp, n, pos, start = (rows[c].to_numpy() for c in ("token", "lo", "hi", "block", "sid", "comp", "n", "pos", "start"))
+    token, lo, hi, block, sid, comp, n, pos = (rows[c].to_numpy() for c in ("token", "lo", "hi", "block", "sid", "comp", "n", "pos"))
+    sets = sets.sort_values("sid_")
+    own, start = np.searchsorted(sets["sid_"].to_numpy(), sid), sets["start_"].to_numpy()
     fresh = np.append(True, (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
     group, left, at, found = np.cumsum(fresh), n - pos, np.arange(len(rows)), []
-    sig, dfs, tokens = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1), rows["dfs"].to_list(), rows["tokens"].to_list()
-    prefix = lru_cache(maxsize=None)(lambda i: (x := [*zip(dfs[i].tolist(), tokens[i].tolist())], frozenset(x)))
+    sig, dfs, tokens = np.frombuffer(b"".join(sets["sig_"]), np.uint8).reshape(len(sets), -1), sets["dfs_"].to_list(), sets["tokens_"].to_list()
+    prefix = lru_cache(maxsize=PREFIXES)(lambda k: (x := [*zip(dfs[k].tolist(), tokens[k].tolist())], frozenset(x)))
 
     def enough(most, i, j):
         return 100 * most >= percent * (n[i] + n[j] - most)
 
     def promising(i: int, j: int) -> bool:
-        (x, inside), (y, other) = prefix(i), prefix(j)
+        (x, inside), (y, other) = prefix(own[i]), prefix(own[j])
         both = inside & other
         if min(both)[1] != token[i]:
             return False
         end = min(x[-1], y[-1])
-        rest = min(n[i] - start[i] - bisect_right(x, end), n[j] - start[j] - bisect_right(y, end))
+        rest = min(n[i] - start[own[i]] - bisect_right(x, end), n[j] - start[own[j]] - bisect_right(y, end))
         return enough(len(both) + rest, i, j)
 
     step = 0
@@ -199,7 +201,7 @@ def across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         at = at[group[at] == group[at + step]]
         ok = (comp[at] != comp[at + step]) & ((lo[at] == hi[at]) | (block[at] != block[at + step])) & enough(np.minimum(left[at], left[at + step]), at, at + step)
         near = at[ok]
-        near = near[(sig[near] == sig[near + step]).mean(1) >= min_agreement(percent)]
+        near = near[(sig[own[near]] == sig[own[near + step]]).mean(1) >= min_agreement(percent)]
         near = near[np.array([promising(i, i + step) for i in near.tolist()], bool)]
         a, b = sid[near], sid[near + step]
         found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], 1))
@@ -243,7 +245,9 @@ def rare_pairs(open_: DataFrame, sets: DataFrame, reps: DataFrame, percent: int)
     g = F.when(F.col("nb") == 1, F.pmod(F.hash("token"), F.lit(parts)).cast("long")).otherwise(F.xxhash64("token", lo, hi))
     keyed = paired.select(g.alias("g"), "token", lo.alias("lo"), hi.alias("hi"), "block", "sid", "comp", "n", "pos")
     beside = held.select("sid", F.col("prefix.df").alias("dfs"), F.col("prefix.token").alias("tokens"), F.get("prefix", F.lit(0))["pos"].alias("start")).join(reps.select("sid", "sig"), "sid")
-    return keyed.join(beside, "sid").groupBy("g").applyInPandas(lambda part: across(part, percent), "u long, v long")
+    once = keyed.select("g", "sid").distinct().join(beside, "sid")  # a set's prefix goes to each group once, not with each of its rows
+    once = once.select(F.col("g").alias("h"), *(F.col(c).alias(f"{c}_") for c in ("sid", "sig", "dfs", "tokens", "start")))
+    return keyed.groupBy("g").cogroup(once.groupBy("h")).applyInPandas(lambda rows, sets: across(rows, sets, percent), "u long, v long")
 
 
 def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:

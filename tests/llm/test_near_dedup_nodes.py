@@ -40,3 +40,14 @@ def test_a_family_that_shares_most_of_its_text(spark):
     df = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     done = {r["doc_id"]: r["component_id"] for r in df.collect()}
     assert done == {i: i if i < 10_000 else i - 10_000 for i, _ in rows}
+
+
+def test_long_near_copies_below_the_limit_are_told_apart(spark):
+    """Three texts of 20,000 words, each pair at about 0.78: a bucket of three components, compared by long prefixes."""
+    base = [f"w{i * 7919 % 1_000_003}" for i in range(20_000)]
+    docs = [(d, " ".join(f"x{d}" if i % 80 == 27 * d else w for i, w in enumerate(base))) for d in range(3)] + [(9, " ".join(base[:-1]))]
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in docs)}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    assert not near(0, 1) and not near(1, 2) and not near(0, 2) and all(near(d, 9) for d in range(3))
+    assert set(found.values()) == {0}
