@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import os
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,7 @@ from tessera.functions.shipping import ship
 from tessera.functions.staging import staged
 from tessera.operators import align, anomaly, graph, kmeans, linalg, metrics, signals, spectral, weights, windows
 from tessera.sources import prices as price_sources
+from tessera.sources import snapshots
 
 @dataclass(frozen=True)
 class Config:
@@ -33,6 +36,8 @@ class Config:
     visible_pct: float = 1.0
     benchmark: str | None = None
     cache_dir: str | None = None
+    data_dir: str | None = None
+    watchlists: tuple[str, ...] = ()
 
     @classmethod
     def from_dict(cls, given: dict) -> "Config":
@@ -42,6 +47,54 @@ class Config:
             known["models"] = tuple((float(y), tuple(m)) for y, m in known["models"].items())
         return cls(**known)
 
+    @classmethod
+    def from_yaml(cls, path: str) -> "Config":
+        """From a YAML (or JSON) file with the field names of FILE_FIELDS; its folders are made.
+
+        A kind of reversion counts only where reversion is used, a visible share only in test mode.
+        """
+        with open(path) as given:
+            text = given.read()
+        try:
+            import yaml
+
+            fields = yaml.safe_load(text) or {}
+        except ImportError:
+            fields = json.loads(text)
+        for name in ("data_dir", "input_files"):
+            if not fields.get(name):
+                raise ValueError(f"{path} has no {name}")
+        lists = fields.get("input_files_dir") or "watchlists"
+        for folder in (fields["data_dir"], lists):
+            os.makedirs(folder, exist_ok=True)
+        out = {ours: fields[theirs] for theirs, ours in FILE_FIELDS.items() if fields.get(theirs) is not None}
+        out["visible_pct"] = fields.get("test_data_visible_pct", 0.1) if fields.get("test_mode") else 1.0
+        out["reversion_type"] = out.get("reversion_type") or "ou"
+        return cls.from_dict(out | {"watchlists": tuple(f"{lists}/{x}" for x in fields["input_files"])})
+
+
+#: The names of fields in a configuration file, and ours.
+FILE_FIELDS = {
+    "data_dir": "data_dir", "models": "models", "min_weight": "min_weight", "max_weight": "max_weight", "portfolio_max_size": "max_size", "risk_free_rate": "risk_free",
+    "allow_short": "allow_short", "use_anomaly_filter": "use_anomaly_filter", "use_decorrelation": "use_decorrelation", "use_reversion": "use_reversion",
+    "reversion_type": "reversion_type", "optimization_objective": "objective",
+}
+
+
+def chosen(spark: SparkSession, config: Config, override: list[str] | None = None) -> DataFrame:
+    """The tickers of a run: those of override, which must be text, or of the configuration's watchlists."""
+    if override:
+        if not all(isinstance(x, str) for x in override):
+            raise ValueError("all symbols must be text")
+        return spark.createDataFrame([(x,) for x in override], "ticker string").distinct()
+    return price_sources.watchlist(spark.read.text(list(config.watchlists)))
+
+
+def holdings_match(held: DataFrame, wanted: DataFrame) -> bool:
+    """Whether two tables have the same tickers."""
+    apart = lambda a, b: a.select("ticker").join(b.select("ticker"), "ticker", "left_anti").isEmpty()
+    return apart(held, wanted) and apart(wanted, held)
+
 
 def clusters(returns: DataFrame, method: str = "hdbscan") -> DataFrame:
     """ticker, cluster by hdbscan, kmeans, mst or spectral on correlation distances; one cluster if there are no pairs."""
@@ -191,9 +244,9 @@ def johansen(prices: DataFrame) -> DataFrame:
     return prices.sparkSession.createDataFrame([(names[i][1:], float(a)) for i, a in zip(lag, v)], "ticker string, v double")
 
 
-def basket(prices: DataFrame) -> DataFrame:
-    """date, ret and position of the cointegrated basket, traded between the bounds of the highest Sharpe ratio on the grid."""
-    line = staged(signals.spread(align.overlap(prices), johansen(prices)))
+def basket(prices: DataFrame, vector: DataFrame | None = None) -> DataFrame:
+    """date, ret and position of the cointegrated basket (by vector, or by johansen()), traded between the bounds of the highest Sharpe ratio on the grid."""
+    line = staged(signals.spread(align.overlap(prices), johansen(prices) if vector is None else vector))
     tried = signals.basket_grid(line).where("trades > 0 and sharpe is not null and not isnan(sharpe)")
     top = tried.orderBy(F.desc("sharpe"), F.desc("stop"), "take").first()
     stop, take = (top["stop"], top["take"]) if top else (-np.inf, np.inf)
@@ -225,16 +278,54 @@ def reversion_parameters(returns: DataFrame, labels: DataFrame, sizes: list[int]
     return staged(labels.join(top, "cluster", "left").select("ticker", *(F.coalesce(c, v).alias(c) for c, v in given.items())))
 
 
-def z_overlay(base: DataFrame, returns: DataFrame, objective: str = "sharpe") -> DataFrame:
+#: Columns of a ticker's reversion parameters: the daily window and limits, the weekly ones, and the share of the daily signal.
+PARAMETERS = "window int, low double, high double, weekly_window int, weekly_low double, weekly_high double, share double"
+
+
+def both_signals(whole: DataFrame, weekly: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Daily and weekly signals with params(ticker, PARAMETERS)."""
+    late = params.select("ticker", F.col("weekly_window").alias("window"), F.col("weekly_low").alias("low"), F.col("weekly_high").alias("high"))
+    return staged(signals.stateful_by(whole, params.select("ticker", "window", "low", "high"), DAILY)), staged(signals.stateful_by(weekly, late, WEEKLY))
+
+
+def studied(whole: DataFrame, weekly: DataFrame, labels: DataFrame, objective: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The best parameters of each cluster of labels for its tickers (ticker, PARAMETERS), and the signals with them."""
+    late = reversion_parameters(weekly, labels, WEEKLY, objective).toDF("ticker", "weekly_window", "weekly_low", "weekly_high")
+    params = staged(reversion_parameters(whole, labels, DAILY, objective).join(late, "ticker"))
+    daily_s, weekly_s = both_signals(whole, weekly, params)
+    grid = signals.weight_grid(daily_s, weekly_s, whole.join(labels, "ticker"), objective=objective, by=("cluster",))
+    shares = labels.join(signals.best(grid, ["weight"], ("cluster",)), "cluster", "left").select("ticker", F.coalesce("weight", F.lit(0.7)).alias("share"))
+    return staged(params.join(shares, "ticker")), daily_s, weekly_s
+
+
+def known_parameters(whole: DataFrame, weekly: DataFrame, labels: DataFrame, objective: str, path: str) -> DataFrame:
+    """studied() parameters, but a cluster with a ticker whose parameters are in the cache at path, and not stale, has those; new ones are added to it."""
+    spark, now = whole.sparkSession, F.current_timestamp()
+    like = spark.createDataFrame([], f"ticker string, objective string, {PARAMETERS}, saved_at timestamp")
+    names = [f.split()[0] for f in PARAMETERS.split(", ")]
+    cached = snapshots.read(spark, path, like=like).where((F.col("objective") == objective) & ~caching.is_stale(F.col("saved_at").cast("string"), now))
+    first = labels.join(cached, "ticker").groupBy("cluster").agg(F.min_by(F.struct(*names), "ticker").alias("p"))
+    old = staged(labels.join(first, "cluster").select("ticker", "p.*"))
+    rest = staged(labels.join(old, "ticker", "left_anti"))
+    params = old if rest.isEmpty() else staged(old.unionByName(studied(whole.join(rest, "ticker", "left_semi"), weekly.join(rest, "ticker", "left_semi"), rest, objective)[0].select(*old.columns)))
+    fresh = params.join(cached, "ticker", "left_anti").withColumns({"objective": F.lit(objective), "saved_at": now}).select(*like.columns)
+    others = lambda stored, rows: stored.join(rows.select("ticker", "objective"), ["ticker", "objective"], "left_anti").select(*like.columns).unionByName(rows)
+    snapshots.commit(spark, path, fresh, others)
+    return params
+
+
+def z_overlay(base: DataFrame, returns: DataFrame, objective: str = "sharpe", cache_dir: str | None = None) -> DataFrame:
     """base tilted by mean-reversion signals of every ticker, with parameters of its cluster, spread within the cluster by similarity."""
     labels = staged(signals.own_clusters(clusters(returns)))
     whole = returns.where("ret is not null").select("ticker", "date", "ret")
     weekly = staged(windows.weekly_last(whole))
-    daily_s, weekly_s = (staged(signals.stateful_by(rows, reversion_parameters(rows, labels, sizes, objective), sizes)) for rows, sizes in ((whole, DAILY), (weekly, WEEKLY)))
-    grid = signals.weight_grid(daily_s, weekly_s, whole.join(labels, "ticker"), objective=objective, by=("cluster",))
-    shares = labels.join(signals.best(grid, ["weight"], ("cluster",)), "cluster").select("ticker", F.col("weight").alias("share"))
+    if cache_dir:
+        params = known_parameters(whole, weekly, labels, objective, f"{cache_dir}/parameters")
+        daily_s, weekly_s = both_signals(whole, weekly, params)
+    else:
+        params, daily_s, weekly_s = studied(whole, weekly, labels, objective)
     both = daily_s.withColumn("freq", F.lit("daily")).unionByName(weekly_s.withColumn("freq", F.lit("weekly")))
-    spread = staged(signals.propagate(signals.latest_composite(both, shares=shares), whole, clusters=labels))
+    spread = staged(signals.propagate(signals.latest_composite(both, shares=params.select("ticker", "share")), whole, clusters=labels))
     top = signals.best(signals.alpha_grid(base, spread, whole, objective=objective), ["alpha"]).first()
     vol = windows.latest_volatility(returns, 30, None).first()["vol"] or 0.0
     return weights.normalize(signals.tilt(base, spread, (top["alpha"] if top and top["alpha"] else 0.1) / (1 + vol)))
@@ -252,10 +343,11 @@ def ou_overlay(base: DataFrame, prices: DataFrame, returns: DataFrame) -> DataFr
     if prices.select("ticker").distinct().count() < 2:  # nothing to hedge with
         target = allocate(staged(single))
     else:
-        group = basket(prices).select(F.lit("basket").alias("ticker"), "date", "ret")
+        vector = staged(johansen(prices))
+        group = basket(prices, vector).select(F.lit("basket").alias("ticker"), "date", "ret")
         spread = staged(allocate(staged(single.unionByName(group))))
         share = spread.where("ticker = 'basket'").first()
-        hedge = johansen(prices).select("ticker", F.col("v").alias("ratio"))
+        hedge = vector.select("ticker", F.col("v").alias("ratio"))
         target = weights.distribute(spread.where("ticker <> 'basket'"), share["weight"] if share else 0.0, hedge)
     vol = windows.latest_volatility(returns).first()["vol"] or 0.0
     return weights.normalize(weights.adaptive(base, target, vol))
@@ -269,6 +361,12 @@ def visible(rows: DataFrame, share: float) -> DataFrame:
     return rows.join(dates.where(F.col("_i") <= F.floor(share * F.col("_n"))).select("date"), "date", "left_semi")
 
 
+def against(lines: DataFrame, own: DataFrame) -> DataFrame:
+    """Cumulative lines(ticker, date, ret, cum) and the portfolio's own, with ahead: how far each is ahead of it that day."""
+    of = own.select("date", F.col("cum").alias("_own"))
+    return lines.unionByName(own).join(of, "date", "left").withColumn("ahead", F.col("cum") - F.col("_own")).drop("_own")
+
+
 def run(prices: DataFrame, market: DataFrame | None = None, config: Config = Config()) -> dict[str, DataFrame]:
     """Prices (ticker, date, adj_close) to weights, report, contributions, box statistics and plot rows."""
     given = staged(visible(prices.select("ticker", "date", "adj_close"), config.visible_pct))
@@ -296,19 +394,19 @@ def run(prices: DataFrame, market: DataFrame | None = None, config: Config = Con
     base = staged(weights.normalize(weights.stack(portfolios), config.min_weight))
     held, chosen = logs.join(base, "ticker", "left_semi"), filled.join(base, "ticker", "left_semi")
     if config.use_reversion:
-        final = z_overlay(base, returns.join(base, "ticker", "left_semi"), config.objective) if config.reversion_type == "z" else ou_overlay(base, chosen, held)
+        final = z_overlay(base, returns.join(base, "ticker", "left_semi"), config.objective, config.cache_dir) if config.reversion_type == "z" else ou_overlay(base, chosen, held)
         final = staged(final)
     else:
         final = base
     own = metrics.portfolio_returns(held, final)
     if market is None and config.benchmark:
-        market = returns.where(F.col("ticker") == config.benchmark).select("date", F.col("ret").alias("m"))
+        market = price_sources.benchmark(visible(prices, config.visible_pct), config.benchmark)
         market = None if market.isEmpty() else market
     market = market if market is not None else returns.groupBy("date").agg(F.avg("ret").alias("m"))
     line = windows.cumulative(own.withColumn("ticker", F.lit("SIM_PORT")).select("ticker", "date", "ret"))
     return {
         "weights": final, "report": metrics.report(own, market, config.risk_free), "contributions": metrics.contributions(held, final),
-        "boxes": metrics.box_stats(held.where("ret is not null")), "cumulative": windows.cumulative(held).unionByName(line),
+        "boxes": metrics.box_stats(held.where("ret is not null")), "cumulative": against(windows.cumulative(held), line),
     }
 
 
@@ -316,11 +414,10 @@ def iterate(prices: DataFrame, config: Config = Config(), epochs: int = 1) -> di
     """Run again on the tickers that got a weight, until they stay the same or are few enough; filters work in the first run only."""
     out, names = {}, None
     for k in range(epochs):
-        rows = prices if names is None else prices.where(F.col("ticker").isin(sorted(names)))
-        plain = config if not k else Config(**{**config.__dict__, "use_anomaly_filter": False, "use_decorrelation": False})
-        out = run(rows, None, plain)
-        now = {r[0] for r in out["weights"].select("ticker").collect()}
-        if now == names or len(now) <= config.max_size:
+        rows = prices if names is None else prices.join(names, "ticker", "left_semi")
+        out = run(rows, None, replace(config, use_anomaly_filter=False, use_decorrelation=False) if k else config)
+        now = staged(out["weights"].select("ticker"))
+        if now.count() <= config.max_size or names is not None and holdings_match(now, names):
             break
         names = now
     return out

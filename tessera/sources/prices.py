@@ -72,6 +72,19 @@ def csv_prices(spark: SparkSession, path: str) -> DataFrame:
     return conform(named.withColumn("ticker", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)))
 
 
+def convert_csv(spark: SparkSession, path: str, out: str) -> None:
+    """csv_prices() as a Parquet store."""
+    write_store(csv_prices(spark, path), out)
+
+
+def export(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as CSV with a header; one with nested columns as JSON."""
+    for name, rows in tables.items():
+        nested = any(kind.startswith(("array", "map", "struct")) for _, kind in rows.dtypes)
+        writer = rows.write.mode("overwrite")
+        writer.json(f"{path}/{name}") if nested else writer.option("header", True).csv(f"{path}/{name}")
+
+
 def append_missing(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """stored and the rows of fresh whose (ticker, date) it lacks; stored rows win."""
     return stored.unionByName(fresh.join(stored.select("ticker", "date"), ["ticker", "date"], "left_anti").select(*stored.columns))
@@ -192,10 +205,16 @@ def snap(days: DataFrame, sessions: DataFrame, direction: str) -> DataFrame:
     """days(date) with session: the date itself, or the next (previous) session; null where there is none."""
     if direction not in ("forward", "backward"):
         raise ValueError(f"direction must be forward or backward, not {direction}")
-    every = sessions.where("is_session").agg(F.array_sort(F.collect_set("date")).alias("_s"))  # one row: a calendar
-    near = F.filter("_s", lambda d: d >= F.col("date")) if direction == "forward" else F.filter("_s", lambda d: d <= F.col("date"))
-    ends = F.array_min(near) if direction == "forward" else F.array_max(near)
-    return days.select("date").join(F.broadcast(every)).select("date", ends.alias("session"))
+    known = sessions.where("is_session").select(F.col("date").alias("session")).distinct()
+    line = Window.orderBy("session")  # a calendar
+    if direction == "forward":
+        reach = F.sequence(F.coalesce(F.date_add(F.lag("session").over(line), 1), "session"), "session")
+    else:
+        reach = F.sequence("session", F.coalesce(F.date_sub(F.lead("session").over(line), 1), "session"))
+    by_day = known.withColumn("reach", reach).select("session", F.explode("reach").alias("_day"))
+    ends = known.agg(F.min("session").alias("_a"), F.max("session").alias("_b"))
+    day = F.greatest("date", "_a") if direction == "forward" else F.least("date", "_b")
+    return days.select("date").join(F.broadcast(ends)).withColumn("_day", day).join(by_day, "_day", "left").select("date", "session")  # one row
 
 
 def etf_holdings(pages: DataFrame, top: int = 10) -> DataFrame:
@@ -216,5 +235,17 @@ def weights_json(weights: DataFrame) -> DataFrame:
     return weights.agg(F.to_json(F.map_from_entries(pairs)).alias("json"))
 
 
+def weights_table(spark: SparkSession, values: dict[str, float] | list[float], names: list[str] | None = None) -> DataFrame:
+    """ticker, weight from weights by name, or from a list with as many names; an error if their numbers differ or a name is missing or twice."""
+    pairs = list(values.items()) if isinstance(values, dict) else list(zip(names or [], values))
+    if not isinstance(values, dict) and len(names or []) != len(values):
+        raise ValueError(f"{len(values)} weights for {len(names or [])} names")
+    if any(not isinstance(t, str) or not t for t, _ in pairs) or len({t for t, _ in pairs}) < len(pairs):
+        raise ValueError("each weight needs a name of its own")
+    if isinstance(values, dict) and names is not None and set(values) != set(names):
+        raise ValueError(f"weights and names differ: {sorted(set(values) ^ set(names))}")
+    return spark.createDataFrame([(t, float(v)) for t, v in pairs], "ticker string, weight double")
+
+
 def weights_from_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.from_json("json", "map<string,double>")).alias("ticker", "weight"))

@@ -110,7 +110,8 @@ def commit(spark: SparkSession, path: str, fresh: DataFrame, merge: Callable[[Da
         stored = read(spark, path, version or None, touched, fresh)
         name = f"data/{uuid.uuid4().hex}"
         rows = merge(stored, fresh).withColumn("_bucket", bucket(buckets))
-        rows.repartition("_bucket").sortWithinPartitions("_bucket", "ticker", "date").write.partitionBy("_bucket").parquet(f"{path}/{name}")
+        order = ["_bucket", *(c for c in ("ticker", "date") if c in rows.columns)]
+        rows.repartition("_bucket").sortWithinPartitions(*order).write.partitionBy("_bucket").parquet(f"{path}/{name}")
         now = folders | {b: f"{name}/_bucket={b}" for b in touched}
         if claim(spark, path, version + 1, [{"version": version + 1, "bucket": b, "folder": folder} for b, folder in sorted(now.items())]):
             return version + 1

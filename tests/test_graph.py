@@ -97,3 +97,52 @@ def test_numbers_follow_the_order(spark):
     rows = spark.range(1000).select((F.col("id") * 37 % 1000).cast("string").alias("x")).repartition(7)
     got = [r["x"] for r in graph.numbered(rows, "x", "i").orderBy("i").collect()]
     assert got == sorted(got) and graph.numbered(rows, "x", "i").agg(F.min("i"), F.max("i")).first() == (0, 999)
+
+
+def gaps(x):
+    return np.sqrt(((x[:, None] - x) ** 2).sum(2))
+
+
+def test_spanning_tree_is_the_shortest_of_all(spark):
+    d = np.random.default_rng(1).random((6, 6))
+    d = (d + d.T) / 2
+    edges = list(itertools.combinations(range(6), 2))
+
+    def connected(tree):
+        root = list(range(6))
+        for a, b in tree:
+            root = [root[a] if r == root[b] else r for r in root]
+        return len(set(root)) == 1
+
+    best = min(sum(d[e] for e in tree) for tree in itertools.combinations(edges, 5) if connected(tree))
+    assert sum(x for x, _, _ in dense.spanning_tree(d)) == pytest.approx(best) == sum(x for x, _, _ in dense.kruskal(d))
+    assert graph.spanning_tree(pairs(spark, d).withColumn("g", F.lit(""))).agg(F.sum("value")).first()[0] == pytest.approx(best)
+
+
+def test_silhouette_equals_its_definition(spark):
+    made = np.random.default_rng(2)
+    x, labels, total = np.concatenate([made.normal(c, 0.1, (8, 2)) for c in ((0, 0), (5, 0), (0, 5))]), np.repeat([0, 1, 2], 8), []
+    d = gaps(x)
+    for i in range(len(x)):
+        own = [d[i, j] for j in range(len(x)) if labels[j] == labels[i] and j != i]
+        others = [np.mean([d[i, j] for j in range(len(x)) if labels[j] == c]) for c in set(labels) - {labels[i]}]
+        total.append((min(others) - np.mean(own)) / max(min(others), np.mean(own)))
+    assert dense.silhouette(d, labels) == pytest.approx(np.mean(total))
+    table = spark.createDataFrame([(0, NAMES[i], str(c)) for i, c in enumerate(labels)], "cell int, ticker string, cluster string")
+    assert [r["silhouette"] for r in graph.silhouettes(pairs(spark, d), table).orderBy("ticker").collect()] == pytest.approx(total)
+
+
+def test_density_clusters_and_noise(spark):
+    d = gaps(np.array([[0.0], [0.1], [0.2], [5.0], [5.1], [5.2], [50.0]]))
+    assert dense.hdbscan(d, 2, epsilon=1.0, epsilon_max=10.0).tolist() == [0, 0, 0, 1, 1, 1, -1]
+    assert labels_of(graph.density_clusters(pairs(spark, d), [(1.0, 10.0, 1.0)]).collect(), 7) == [0, 0, 0, 1, 1, 1, -1]
+
+
+def test_communities_of_two_groups(spark):
+    d = np.full((6, 6), 0.95)
+    d[:3, :3] = d[3:, 3:] = 0.1
+    near = graph.spanning_tree(pairs(spark, d).withColumn("g", F.lit(""))).withColumn("value", 1 - F.col("value"))
+    groups = {}
+    for r in graph.communities(near).collect():
+        groups.setdefault(r["comp"], set()).add(r["node"])
+    assert sorted(map(sorted, groups.values())) == [NAMES[:3], NAMES[3:6]]
