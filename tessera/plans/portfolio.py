@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import caching, numerics
 from tessera.functions.shipping import ship
 from tessera.functions.staging import staged
-from tessera.operators import align, anomaly, graph, kmeans, linalg, metrics, signals, spectral, weights, windows
+from tessera.operators import align, anomaly, graph, kmeans, linalg, metrics, omega, signals, spectral, weights, windows
 from tessera.sources import prices as price_sources
 from tessera.sources import snapshots
 
@@ -182,7 +182,12 @@ def nested_clustering(returns: DataFrame, objective: str, max_weight: float = 1.
     return within.join(F.broadcast(outer), "cluster").select("ticker", (F.col("weight") * F.col("w")).alias("weight")).where(F.abs("weight") >= floor)
 
 
-MODELS = {"nested_clustering": nested_clustering}
+def omega_program(returns: DataFrame, objective: str, max_weight: float = 1.0, short: bool = False, floor: float = 0.01) -> DataFrame:
+    """The weights of the greatest Omega ratio over all tickers, whatever the objective; small weights are dropped."""
+    return omega.best_weights(align.drop_sparse(returns, "ret"), max_weight).where(F.col("weight") >= floor).select("ticker", "weight")
+
+
+MODELS = {"nested_clustering": nested_clustering, "omega": omega_program}
 
 
 def model(name: str):
