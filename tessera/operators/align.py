@@ -15,10 +15,6 @@ def before() -> WindowSpec:
     return by_date().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def after() -> WindowSpec:
-    return by_date().rowsBetween(0, Window.unboundedFollowing)
-
-
 def densify(rows: DataFrame) -> DataFrame:
     """Every ticker on every date that any ticker has, nulls where it has none.
 
@@ -30,9 +26,9 @@ def densify(rows: DataFrame) -> DataFrame:
 
 
 def fill(rows: DataFrame, column: str) -> DataFrame:
-    """Forward, then backward fill of a column."""
-    x = F.col(column)
-    return rows.withColumn(column, F.coalesce(F.last(x, True).over(before()), F.first(x, True).over(after())))
+    """Forward, then backward fill of a column: behind a ticker's first value there is one before, ahead of it the first is the next."""
+    x, whole = F.col(column), by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.withColumn(column, F.coalesce(F.last(x, True).over(before()), F.first(x, True).over(whole)))
 
 
 def keep_one(rows: DataFrame, order: str, keep: str = "first") -> DataFrame:

@@ -245,7 +245,7 @@ c AS (SELECT date, product(1 + ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING
 SELECT round((SELECT avg(ret) / (stddev_samp(ret) * sqrt(252)) FROM pt), 6) AS sharpe, round((SELECT avg(ret) / pow(avg(pow(-ret, 3)) FILTER (WHERE ret < 0), 1.0 / 3) FROM pt), 6) AS kappa,
   round((SELECT stddev_samp(ret) * sqrt(252) FROM pt), 6) AS volatility, round((SELECT (product(1 + ret) - 1) * 100 FROM pt), 6) AS total_pct, round((SELECT min((cum - peak) / peak) FROM k), 6) AS max_drawdown,
   (SELECT count(*) FILTER (WHERE cum < peak) FROM k) AS under_water, round((SELECT 100 * regr_intercept(ret, m) FROM pt JOIN mk USING (date)), 6) AS alpha_pct""")(
-    lambda s, d: rounded(metrics.report(metrics.portfolio_returns((r2 := ret2(s, d)), r2.select("ticker").distinct().withColumn("weight", F.lit(1.0))), r2.groupBy("date").agg(F.median("ret").alias("m"))))
+    lambda s, d: rounded(metrics.report(metrics.portfolio_returns((r2 := staged(ret2(s, d))), r2.select("ticker").distinct().withColumn("weight", F.lit(1.0))), r2.groupBy("date").agg(F.median("ret").alias("m"))))
 )
 
 # weights
@@ -597,12 +597,28 @@ query("cache_fresh", f"WITH {P1}, c AS (SELECT ticker AS key, date, close AS wei
 )
 query("anomaly_study_kalman")(lambda s, d: rounded(anomaly.threshold_study(ret2(s, d), "kalman")))
 query("anomaly_study_forest")(lambda s, d: rounded(anomaly.threshold_study(ret2(s, d), "forest")))
-query("synthetic_returns")(lambda s, d: rounded(prices.synthetic(s)))
+
+
+def years_of(s: SparkSession, d: str) -> DataFrame:
+    """The calendar of the whole years that have prices."""
+    a, b = p1(s, d).agg(F.trunc(F.min("date"), "year"), F.date_sub(F.add_months(F.trunc(F.max("date"), "year"), 12), 1)).first()
+    return prices.calendar(s, str(a), str(b))
+
+
+@query("synthetic_returns")
+def synthetic(s, d):
+    """Drawn returns of every supplier on every business day that has orders."""
+    days = p1(s, d).select("date").distinct().where(F.weekday("date") < 5).agg(F.collect_set("date").alias("dates"))
+    names = prices.table(s, d, "supplier").select(F.format_string("S%03d", "s_suppkey").alias("ticker"))
+    return rounded(prices.drawn(names.join(F.broadcast(days)).select("ticker", F.explode("dates").alias("date"))))  # one row: a calendar
+
+
 query("spread_outlier")(lambda s, d: anomaly.spread_outlier(ret2(s, d).select("ticker", "date", F.col("ret").alias("spread"))))
-query("trading_calendar", f"""WITH {P1}, dd AS (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS date) SELECT date, isodow(date) < 6 AND date NOT IN (
+query("trading_calendar", f"""WITH {P1}, ends AS (SELECT date_trunc('year', min(date)) AS a, date_trunc('year', max(date)) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS b FROM p1),
+dd AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS date FROM ends) SELECT date, isodow(date) < 6 AND date NOT IN (
   SELECT CASE isodow(h) WHEN 6 THEN h - 1 WHEN 7 THEN h + 1 ELSE h END FROM (SELECT unnest([make_date(y, 1, 1), make_date(y, 7, 4), make_date(y, 12, 25)]) AS h FROM (SELECT unnest(range(1995, 2003)) AS y)) WHERE year(CASE isodow(h) WHEN 6 THEN h - 1 WHEN 7 THEN h + 1 ELSE h END) = year(h)
   UNION SELECT date FROM dd WHERE month(date) IN (1, 2) AND isodow(date) = 1 AND day(date) BETWEEN 15 AND 21 OR month(date) = 5 AND isodow(date) = 1 AND day(date) > 24 OR month(date) = 9 AND isodow(date) = 1 AND day(date) < 8 OR month(date) = 11 AND isodow(date) = 4 AND day(date) BETWEEN 22 AND 28
-  UNION SELECT unnest([DATE '1995-04-14', DATE '1996-04-05', DATE '1997-03-28', DATE '1998-04-10', DATE '1999-04-02', DATE '2000-04-21', DATE '2001-04-13'])) AS is_session FROM dd""")(lambda s, d: prices.calendar(s, "1995-01-01", "2001-12-31"))
+  UNION SELECT unnest([DATE '1995-04-14', DATE '1996-04-05', DATE '1997-03-28', DATE '1998-04-10', DATE '1999-04-02', DATE '2000-04-21', DATE '2001-04-13'])) AS is_session FROM dd""")(lambda s, d: years_of(s, d))
 BAR = "min_by(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, (ts, event_id)) AS close, count(*) AS n"
 query("tumbling_bars", f"SELECT event_type AS ticker, time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) AS start, {BAR} FROM events GROUP BY 1, 2")(lambda s, d: bars.bars(prices.table(s, d, "events")))
 query("sliding_bars", f"SELECT event_type AS ticker, time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) - INTERVAL 1 HOUR * k AS start, {BAR} FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")(lambda s, d: bars.bars(prices.table(s, d, "events"), "2 hours", "1 hour"))

@@ -154,10 +154,14 @@ def synthetic(spark: SparkSession, tickers: int = 50, days: int = 252, seed: int
     span = days * 7 // 5 + 7
     dates = spark.range(span).select(F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")).alias("date")).where(F.weekday("date") < 5).orderBy("date").limit(days)
     names = spark.range(tickers).select(F.format_string("T%04d", "id").alias("ticker"))
-    # Two even draws from hashes of the seed, the ticker and the date make a normal one: the same rows however they are split.
+    return drawn(names.join(F.broadcast(dates)), seed, mean, deviation)  # a calendar
+
+
+def drawn(grid: DataFrame, seed: int = 42, mean: float = 0.0005, deviation: float = 0.02) -> DataFrame:
+    """grid(ticker, date) with ret, seeded normal returns: two even draws from hashes of the seed, the ticker and the date make one, however the rows are split."""
     draw = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "ticker", "date"), F.lit((1 << 53) - 1)) + 0.5) / float((1 << 53) - 1)
     normal = F.sqrt(-2 * F.ln(draw(1))) * F.cos(2 * F.pi() * draw(2))
-    return names.join(F.broadcast(dates)).select("ticker", "date", (mean + deviation * normal).alias("ret"))  # a calendar
+    return grid.select("ticker", "date", (mean + deviation * normal).alias("ret"))
 
 
 def missing_ranges(stored: DataFrame, symbols: DataFrame, today: str, years: int = 5) -> DataFrame:
