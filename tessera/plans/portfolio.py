@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from dataclasses import dataclass, replace
@@ -129,12 +130,28 @@ EPSILONS, EPSILONS_MAX, ALPHAS = (0.15, 0.18, 0.21, 0.24, 0.27, 0.3), (0.3, 0.5,
 KMEANS_SIZES = list(range(2, 11))
 
 
-def density_study(pairs: DataFrame) -> DataFrame:
-    """ticker, cluster (-1: noise) by the point of the grid with the best graph.density_scores(); of equal points the first counts."""
-    points = [(e, m, a) for e in EPSILONS for m in EPSILONS_MAX for a in ALPHAS]
-    found = staged(graph.density_clusters(pairs, points))
-    top = graph.density_scores(pairs, found).where("score > -1").orderBy(F.desc("score"), "cell").first()
-    own = found.where(F.col("cell") == (top["cell"] if top else 0)).select("ticker", F.col("cluster").alias("comp"))
+#: Steps by which the study moves from its best point, once along each and all axes.
+NEARBY = (0.01, 0.1, 0.1)
+
+
+def density_study(pairs: DataFrame, epsilons=EPSILONS, mosts=EPSILONS_MAX, alphas=ALPHAS, nearby=NEARBY) -> DataFrame:
+    """ticker, cluster (-1: noise) by the point with the best graph.density_scores(), of a grid and then of the points around its best.
+
+    Points around it stay inside the grid's ranges and in steps of 0.01. Of equal points the first counts, those of the grid before others.
+    """
+    grid = [(e, m, a) for e in epsilons for m in mosts for a in alphas]
+    ends = [(min(x), max(x)) for x in (epsilons, mosts, alphas)]
+    tried: list[tuple[float, DataFrame | None]] = []
+    for _ in range(2):
+        found = staged(graph.density_clusters(pairs, grid))
+        top = graph.density_scores(pairs, found).where("score > -1").orderBy(F.desc("score"), "cell").first()
+        cell = top["cell"] if top else 0
+        tried.append((top["score"] if top else -1.0, found.where(F.col("cell") == cell).select("ticker", F.col("cluster").alias("comp"))))
+        near = [sorted({round(min(hi, max(lo, x + k * step)), 2) for k in (-1, 0, 1)}) for x, step, (lo, hi) in zip(grid[cell], nearby, ends)]
+        grid = [p for p in itertools.product(*near) if p not in grid] if top else []
+        if not grid:
+            break
+    own = max(tried, key=lambda x: x[0])[1]  # the first of equal ones
     tickers = pairs.select(F.explode(F.array("a", "b")).alias("ticker")).distinct()
     return with_numbers(staged(tickers.join(own, "ticker", "left")))
 

@@ -146,3 +146,18 @@ def test_communities_of_two_groups(spark):
     for r in graph.communities(near).collect():
         groups.setdefault(r["comp"], set()).add(r["node"])
     assert sorted(map(sorted, groups.values())) == [NAMES[:3], NAMES[3:6]]
+
+
+def test_study_takes_the_best_point_of_grid_and_neighbours(spark):
+    from tessera.plans import portfolio
+
+    d = distances(20, 3) / 2
+    epsilons, mosts, alphas, step = (0.05, 0.1), (0.3, 0.4), (0.5, 1.0), (0.01, 0.1, 0.1)
+    score = lambda p: dense.density_score(d, dense.hdbscan(d, 2, p[0], p[2], p[1]))
+    grid = list(itertools.product(epsilons, mosts, alphas))
+    top = max(grid, key=score)  # the first of equal ones
+    around = itertools.product(*([round(min(max(r), max(min(r), x + k * s)), 2) for k in (-1, 0, 1)] for x, s, r in zip(top, step, (epsilons, mosts, alphas))))
+    best = max([score(top), *map(score, around)])
+    found = portfolio.density_study(pairs(spark, d), epsilons, mosts, alphas, step)
+    labels = {r["ticker"]: r["cluster"] for r in found.collect()}
+    assert dense.density_score(d, np.array([labels[t] for t in NAMES[:20]])) == pytest.approx(best)
