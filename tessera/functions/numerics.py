@@ -135,3 +135,36 @@ def cointegration(s00: np.ndarray, s01: np.ndarray, s11: np.ndarray) -> tuple[np
     v = root.T @ vectors[:, -1]
     v = v / np.abs(v).sum()
     return values[::-1], v * np.sign(v[np.flatnonzero(np.abs(v) > 1e-12)[0]])
+
+
+def sharpe_program(mu: np.ndarray, cov: np.ndarray, max_weight: float = 1.0, steps: int = 100, least: float = 1e-12) -> np.ndarray:
+    """Weights from 0 to max_weight, of sum 1, with the greatest mu w / sqrt(w cov w), as a quadratic program; equal ones if no mean is positive.
+
+    With y scaled to mu y = 1 the variance is minimised under 0 <= y <= max_weight * sum(y), by an interior point method.
+    """
+    n = len(mu)
+    if not mu.max() > 0 or n * max_weight <= 1 + 1e-9:
+        return np.full(n, 1 / n)
+    scale, size = np.abs(mu).max(), np.trace(cov) / n
+    m, v = mu / scale, cov / size
+    border = max_weight * np.ones((n, n)) - np.eye(n)
+    y, lam = np.ones(n) / n, 0.0
+    s = border @ y
+    p, w = 1 / y, 1 / s
+    for _ in range(steps):
+        gap = (p @ y + w @ s) / (2 * n)
+        off, short = 2 * v @ y - p - border @ w - lam * m, 1 - m @ y
+        if gap < least and np.abs(off).max() < 1e-9 and abs(short) < 1e-9:
+            break
+        aim = 0.1 * gap
+        left = np.zeros((n + 1, n + 1))
+        left[:n, :n] = 2 * v + np.diag(p / y) + border @ np.diag(w / s) @ border
+        left[:n, n] = left[n, :n] = -m
+        step = np.linalg.solve(left, np.append(-off + (aim - p * y) / y + border @ ((aim - w * s) / s), -short))
+        dy, dlam = step[:n], step[n]
+        dp, ds = (aim - p * y - p * dy) / y, border @ dy
+        dw = (aim - w * s - w * ds) / s
+        falls = [(-x[d < 0] / d[d < 0]).min() for x, d in ((y, dy), (s, ds), (p, dp), (w, dw)) if (d < 0).any()]
+        t = min(1.0, 0.995 * min(falls, default=2.0))
+        y, s, p, w, lam = y + t * dy, s + t * ds, p + t * dp, w + t * dw, lam + t * dlam
+    return np.maximum(y, 0) / np.maximum(y, 0).sum()

@@ -204,7 +204,18 @@ def omega_program(returns: DataFrame, objective: str, max_weight: float = 1.0, s
     return omega.best_weights(align.drop_sparse(returns, "ret"), max_weight).where(F.col("weight") >= floor).select("ticker", "weight")
 
 
-MODELS = {"nested_clustering": nested_clustering, "omega": omega_program}
+def sharpe_program(returns: DataFrame, objective: str, max_weight: float = 1.0, short: bool = False, floor: float = 0.01) -> DataFrame:
+    """The weights of the greatest Sharpe ratio over all tickers by shrunk moments, whatever the objective; small weights are dropped."""
+    clean = staged(align.drop_sparse(returns, "ret"))
+    if clean.select("ticker").distinct().count() > omega.MAX_TICKERS:
+        raise ValueError(f"more than {omega.MAX_TICKERS} tickers")
+    names, cov = square(linalg.shrunk(clean).select("a", "b", (F.col("value") * metrics.DAYS).alias("value")))
+    means = {r["ticker"]: r["m"] for r in clean.groupBy("ticker").agg((F.avg("ret") * metrics.DAYS).alias("m")).collect()}  # omega.MAX_TICKERS at most
+    found = numerics.sharpe_program(np.array([means[t] for t in names]), cov, max(max_weight, 1 / len(names)))
+    return clean.sparkSession.createDataFrame([(t, float(w)) for t, w in zip(names, found) if w >= floor], "ticker string, weight double")
+
+
+MODELS = {"nested_clustering": nested_clustering, "omega": omega_program, "sharpe": sharpe_program}
 
 
 def model(name: str):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import string
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -171,10 +175,20 @@ def missing_ranges(stored: DataFrame, symbols: DataFrame, today: str, years: int
     return symbols.join(last, "ticker", "left").select("ticker", F.coalesce(F.date_add("last", 1), F.date_sub(end, 365 * years)).alias("start"), end.alias("end")).where("start <= end")
 
 
+def decomposed() -> dict[str, str]:
+    """Characters beyond ASCII to the ASCII letters of their compatibility decomposition."""
+    parts = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if x in string.ascii_letters) for c in [*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1F200)]}
+    return {c: letters for c, letters in parts.items() if letters}
+
+
 def clean_ticker(c: Column) -> Column:
-    """Letters only, in upper case; common accents are dropped first."""
-    plain = F.translate(c, "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy")
-    return F.upper(F.regexp_replace(plain, "[^A-Za-z]", ""))
+    """Letters only, in upper case; letters with marks, wide ones and ligatures become their plain letters first."""
+    known = decomposed()
+    single = {x: y for x, y in known.items() if len(y) == 1}
+    several = F.from_json(F.lit(json.dumps({x: y for x, y in known.items() if len(y) > 1})), "map<string,string>")
+    plain = F.translate(c, "".join(single), "".join(single.values()))
+    spelled = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(several, x), x)), "")
+    return F.upper(F.regexp_replace(F.when(c.rlike(r"[^\x00-\x7F]"), spelled).otherwise(c), "[^A-Za-z]", ""))
 
 
 def watchlist(lines: DataFrame) -> DataFrame:

@@ -35,6 +35,25 @@ def test_smallest_spread_is_inverse_to_variance_without_correlation():
     assert w == pytest.approx(np.array([4, 2, 1]) / 7, abs=2e-3)
 
 
+@pytest.mark.parametrize("cap", [1.0, 0.5, 1 / 3])
+def test_the_sharpe_program_is_as_good_as_a_fine_grid(cap):
+    x = series(k=3, seed=7)
+    mu, cov = x.mean(0) * 252, np.cov(x, rowvar=False) * 252
+    w, f = numerics.sharpe_program(mu, cov, cap), numerics.objective("sharpe", mu, cov, x)
+    assert w.sum() == pytest.approx(1) and w.min() >= 0 and w.max() <= cap + 1e-7
+    assert f(w) <= min(f(g) for g in simplex(3, 60) if g.max() <= cap + 1e-9) + 1e-9
+    assert f(w) <= f(numerics.best_weights("sharpe", mu, cov, x, cap)) + 1e-6
+
+
+def test_the_sharpe_program_without_binding_limits_has_a_closed_form():
+    made = np.random.default_rng(8)
+    a = made.normal(size=(20, 20))
+    cov = a @ a.T / 20 + np.eye(20)
+    w = made.random(20) + 0.5
+    assert numerics.sharpe_program(cov @ w, cov) == pytest.approx(w / w.sum(), abs=1e-7)
+    assert numerics.sharpe_program(-np.ones(4), np.eye(4)) == pytest.approx(np.full(4, 0.25))
+
+
 def test_bounds_and_sums():
     x = series()
     w = numerics.best_weights("sharpe", x.mean(0), np.cov(x, rowvar=False), x, max_weight=0.4)

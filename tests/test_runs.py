@@ -139,3 +139,26 @@ def test_parameters_are_studied_once(spark, market, tmp_path, monkeypatch):
     assert {whole[t] for t in ("T0", "T1", "T2", "T3")} == {t[1:] for t in first}
     stored = snapshots.read(spark, path)
     assert stored.count() == 8 and not list(itertools.filterfalse(lambda r: r["objective"] == "sharpe", stored.collect()))
+
+
+def test_tickers_are_spelled_in_plain_letters(spark):
+    import string
+    import unicodedata
+
+    given = ["brk.b", " é-ñ ", "ＡＢＣ", "ﬁx", "Ⅳ", "ĳ1", "日本", "", "ẞß", "𝐙z", "Å"]
+    letters = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if c in string.ascii_letters).upper()
+    rows = spark.createDataFrame([(x,) for x in given], "x string").select("x", prices.clean_ticker(F.col("x")).alias("t")).collect()
+    assert {r["x"]: r["t"] for r in rows} == {x: letters(x) for x in given}
+
+
+def test_nested_weights_sum_to_one_before_small_ones_go(spark, market):
+    from tessera.operators import windows
+
+    returns = windows.log_returns(market)
+    whole = portfolio.nested_clustering(returns, "sharpe", floor=0.0).collect()
+    assert len(whole) == 8 and sum(r["weight"] for r in whole) == pytest.approx(1, abs=1e-9)
+    kept = {r["ticker"] for r in portfolio.nested_clustering(returns, "sharpe").collect()}
+    assert kept == {r["ticker"] for r in whole if abs(r["weight"]) >= 0.01}
+    for model in ("omega", "sharpe"):
+        made = portfolio.MODELS[model](returns, "", 0.4, floor=0.0).collect()
+        assert sum(r["weight"] for r in made) == pytest.approx(1, abs=1e-9) and max(r["weight"] for r in made) <= 0.4 + 1e-6
