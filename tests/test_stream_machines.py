@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import signals
 from tessera.streaming import machines
 
+pytest.importorskip("google.protobuf")  # what Spark's Python workers speak with the state store
 DAY = dt.datetime(2020, 1, 1)
 
 
