@@ -473,7 +473,7 @@ for name in metrics.OBJECTIVES:
 query("omega_program")(lambda s, d: rounded(portfolio.omega.best_weights(ret2(s, d).withColumn("ret", F.col("ret") / 10), 0.2)))
 query("sharpe_program")(lambda s, d: rounded(portfolio.sharpe_program(ret2(s, d).withColumn("ret", F.col("ret") / 10), "sharpe", 0.2)))
 for name, method in (("kmeans_labels", "kmeans"), ("hdbscan_labels", "hdbscan"), ("mst_communities", "mst")):
-    query(name)(lambda s, d, m=method: portfolio.clusters(ret2(s, d), m))
+    query(name)(lambda s, d, m=method: portfolio.clusters(ret2(s, d), m, portfolio.NEARBY))
 
 APART = "WITH RECURSIVE " + TWO.removeprefix("WITH") + """, d AS MATERIALIZED (SELECT x.ticker AS a, y.ticker AS b, 1 - corr(x.ret, y.ret) AS value, (1 - abs(corr(x.ret, y.ret))) / 2 AS far
   FROM ret x JOIN ret y ON x.date = y.date AND x.ticker < y.ticker GROUP BY 1, 2)"""

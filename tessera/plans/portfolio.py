@@ -97,8 +97,8 @@ def holdings_match(held: DataFrame, wanted: DataFrame) -> bool:
     return apart(held, wanted) and apart(wanted, held)
 
 
-def clusters(returns: DataFrame, method: str = "hdbscan") -> DataFrame:
-    """ticker, cluster by hdbscan, kmeans, mst or spectral on correlation distances; one cluster if there are no pairs."""
+def clusters(returns: DataFrame, method: str = "hdbscan", nearby: tuple[float, float, float] | None = None) -> DataFrame:
+    """ticker, cluster by hdbscan, kmeans, mst or spectral on correlation distances; one cluster if there are no pairs. nearby: as in density_study()."""
     if method not in ("hdbscan", "kmeans", "mst", "spectral"):
         raise ValueError(f"unknown method {method}")
     corr = staged(linalg.correlation_matrix(returns, absolute=method == "hdbscan").select("a", "b", F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)).alias("value")))
@@ -107,7 +107,7 @@ def clusters(returns: DataFrame, method: str = "hdbscan") -> DataFrame:
     c = F.col("value")
     pairs = lambda value: staged(corr.select("a", "b", value.alias("value")))
     if method == "hdbscan":
-        return density_study(pairs((1 - c) / 2))
+        return density_study(pairs((1 - c) / 2), nearby=nearby)
     if method == "kmeans":
         return kmeans.clusters(kmeans.distance_rows(pairs(F.sqrt((1 - c) / 2))), KMEANS_SIZES)
     if method == "mst":
@@ -134,8 +134,8 @@ KMEANS_SIZES = list(range(2, 11))
 NEARBY = (0.01, 0.1, 0.1)
 
 
-def density_study(pairs: DataFrame, epsilons=EPSILONS, mosts=EPSILONS_MAX, alphas=ALPHAS, nearby=NEARBY) -> DataFrame:
-    """ticker, cluster (-1: noise) by the point with the best graph.density_scores(), of a grid and then of the points around its best.
+def density_study(pairs: DataFrame, epsilons=EPSILONS, mosts=EPSILONS_MAX, alphas=ALPHAS, nearby: tuple[float, float, float] | None = NEARBY) -> DataFrame:
+    """ticker, cluster (-1: noise) by the point with the best graph.density_scores(), of a grid and then, if nearby is given, of the points around its best.
 
     Points around it stay inside the grid's ranges and in steps of 0.01. Of equal points the first counts, those of the grid before others.
     """
@@ -147,6 +147,8 @@ def density_study(pairs: DataFrame, epsilons=EPSILONS, mosts=EPSILONS_MAX, alpha
         top = graph.density_scores(pairs, found).where("score > -1").orderBy(F.desc("score"), "cell").first()
         cell = top["cell"] if top else 0
         tried.append((top["score"] if top else -1.0, found.where(F.col("cell") == cell).select("ticker", F.col("cluster").alias("comp"))))
+        if nearby is None:
+            break
         near = [sorted({round(min(hi, max(lo, x + k * step)), 2) for k in (-1, 0, 1)}) for x, step, (lo, hi) in zip(grid[cell], nearby, ends)]
         grid = [p for p in itertools.product(*near) if p not in grid] if top else []
         if not grid:
