@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut at line breaks, after the stops of any script (ASCII ones and clause marks only before
-white space or a closing quote or bracket and white space); what stands between two cuts is called a
-sentence here. Every run of several consecutive sentences with MIN_WORDS words or more counts; as a
+A text is cut at line breaks and after the stops of any script; ASCII ones and clause marks count only
+before white space, with or without other ASCII punctuation between (quotes, brackets, markup). What
+stands between two cuts is called a sentence here. Every run of several consecutive sentences with MIN_WORDS words or more counts; as a
 longer run is covered by the shortest ones inside it, only these are hashed: from every sentence the
 shortest forwards and the shortest backwards. A sentence of LONG_WORDS or more is such a run by
 itself. The hashes are joined globally, and a sentence inside any run that isn't the first of its kind
@@ -19,6 +19,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ from tessera.llm.suffix_dedup import REPEAT, ROWS, RUN, table
 
 #: Production parameters: the words of a run of several sentences, and of a sentence that is a run by itself.
 MIN_WORDS, LONG_WORDS = 20, 20
-#: Marks that end a sentence before white space, what may close behind them, and stops that need no space (in UTF-8).
-MARKS, CLOSERS = b".!?,;:", b"\"')]}"
+#: Marks that end a sentence before white space, what may stand behind them, and stops that need no space (in UTF-8).
+MARKS, PUNCTUATION = b".!?,;:", string.punctuation.encode()
 STOPS = tuple(c.encode() for c in "\u3002\uff01\uff1f\uff1b\uff0c\u2026\u061f\u06d4\u061b\u0964\u0965\u1362\u104b")
 #: First bytes of characters of scripts without spaces: U+3000 to U+DFFF.
 WIDE = (0xE3, 0xED)
@@ -51,10 +52,10 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     white, n = is_white(data), len(data)
     begins = np.zeros(n, bool)
     begins[offsets[:-1][offsets[:-1] < n]] = True
-    closed = np.isin(data, np.frombuffer(MARKS, np.uint8))
-    closer = np.isin(data, np.frombuffer(CLOSERS, np.uint8))
-    for _ in range(2):  # a mark, then two closing characters at most
-        closed[1:] |= closer[1:] & closed[:-1] & ~begins[1:]
+    index = np.arange(n)
+    mark, punctuation = (np.isin(data, np.frombuffer(x, np.uint8)) for x in (MARKS, PUNCTUATION))
+    other = np.where(punctuation, np.where(begins, index - 1, -1), index)  # what a mark before it doesn't reach past
+    closed = np.maximum.accumulate(np.where(mark, index, -1)) > np.maximum.accumulate(other)
     breaks = begins.copy()
     breaks[1:] |= (data[:-1] == 10) | (white[1:] & closed[:-1])
     for stop in STOPS:

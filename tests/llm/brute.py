@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SENTENCE_END = re.compile(r"""\n|[.!?,;:]["')\]}]{0,2}(?=[ \t\n\x0b\x0c\r])|[\u3002\uff01\uff1f\uff1b\uff0c\u2026\u061f\u06d4\u061b\u0964\u0965\u1362\u104b]""")
+SENTENCE_END = re.compile(r"""\n|[.!?,;:][!-/:-@\[-`{-~]*(?=[ \t\n\x0b\x0c\r])|[\u3002\uff01\uff1f\uff1b\uff0c\u2026\u061f\u06d4\u061b\u0964\u0965\u1362\u104b]""")
 DOWN = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -40,8 +40,8 @@ def suffix_dedup(rows, window=100):
     return out
 
 
-def sentence_dedup(rows, min_words, long_words):
-    """rows: (doc_id, text) with distinct ids."""
+def sentence_dedup(rows, min_words, long_words, every=False):
+    """rows: (doc_id, text) with distinct ids; every: take all runs of several sentences, not only the shortest from each."""
     texts, runs = {}, defaultdict(list)
     for doc_id, text in rows:
         body = (text or "").encode()
@@ -64,7 +64,8 @@ def sentence_dedup(rows, min_words, long_words):
                     a, b = key(j)
                     if sum(s[2] for s in spans[a:b]) >= min_words:
                         found.add((a, b))
-                        break
+                        if not every:
+                            break
         for a, b in found:
             runs[tuple(body[s[0] : s[1]] for s in spans[a:b])].append((doc_id, a, b))
     gone = {doc_id: [False] * len(body) for doc_id, (body, _) in texts.items()}
