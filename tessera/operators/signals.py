@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import linalg, metrics, order_statistics, scan, windows
+from tessera.operators import linalg, metrics, order_statistics, scan, study, windows
 from tessera.operators.align import by_date
 from tessera.operators.weights import everywhere
 
@@ -225,20 +225,29 @@ def bound_cells(steps: int) -> Column:
     return F.array(*(F.struct(F.lit(-a).alias("stop"), F.lit(b).alias("take")) for a in ends for b in ends))
 
 
-def ou_bounds(rows: DataFrame, steps: int = 8) -> DataFrame:
+def bound_axes(steps: int) -> list[study.Axis]:
+    return [study.Axis("stop", -2.0, 0.0, 2 / steps), study.Axis("take", 0.0, 2.0, 2 / steps)]
+
+
+def bound_scores(rows: DataFrame) -> DataFrame:
+    """rows(ticker, date, price, dev, sigma, cells) to ticker, stop, take (in deviations), trades and score of the cells that traded; without a score 0."""
+    each = rows.withColumn("c", F.explode("cells"))
+    keyed = each.select(F.struct("ticker", "c.stop", "c.take").alias("ticker"), "date", "price", "dev", (F.col("c.stop") * F.col("sigma")).alias("stop"), (F.col("c.take") * F.col("sigma")).alias("take"))
+    trades = ou_trades(keyed, F.col("stop"), F.col("take")).select("ticker.*", "ret")
+    return trade_metrics(trades, ["ticker", "stop", "take"]).select("ticker", "stop", "take", "trades", F.coalesce(study.known(), F.lit(0.0)).alias("score"))
+
+
+def ou_bounds(rows: DataFrame, steps: int = 8, rounds: int = 0, shares: tuple[float, ...] = (1.0,)) -> DataFrame:
     """rows(ticker, date, price, dev, sigma) to the best stop and take of each ticker, with trades and score.
 
     Every cell of a grid of -2 sigma to 0 by 0 to 2 sigma is traded; a cell without a score counts as 0, and of
-    equal cells the one nearest to 0 wins. Tickers without a trade in any cell get the outermost bounds.
+    equal cells the one nearest to 0 wins. Tickers without a trade in any cell get the outermost bounds. rounds and shares
+    are those of study.search(): points between the grid's, and halving.
     """
-    cells = rows.withColumn("c", F.explode(bound_cells(steps)))
-    keyed = cells.select(F.struct("ticker", "c.stop", "c.take").alias("ticker"), "date", "price", "dev", (F.col("c.stop") * F.col("sigma")).alias("stop"), (F.col("c.take") * F.col("sigma")).alias("take"))
-    trades = ou_trades(keyed, F.col("stop"), F.col("take")).select("ticker.*", "ret")
-    scores = trade_metrics(trades, ["ticker", "stop", "take"]).withColumn("score", F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)))
-    top = scores.groupBy("ticker").agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("stop")).alias("stop"), "take", "trades")).alias("m"))
+    top = study.search(rows, ["ticker"], bound_cells(steps), bound_axes(steps), bound_scores, [-F.col("stop"), F.col("take")], shares, rounds=rounds)
     sized = rows.groupBy("ticker").agg(F.max("sigma").alias("sigma")).join(top, "ticker", "left")
     bound = lambda c, default: F.coalesce(c, F.lit(default)) * F.col("sigma")
-    return sized.select("ticker", bound(-F.col("m.stop"), -2.0).alias("stop"), bound(F.col("m.take"), 2.0).alias("take"), F.coalesce("m.trades", F.lit(0)).alias("trades"), F.coalesce(-F.col("m.s"), F.lit(0.0)).alias("score"))
+    return sized.select("ticker", bound("stop", -2.0).alias("stop"), bound("take", 2.0).alias("take"), F.coalesce("trades", F.lit(0)).alias("trades"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def basket_returns(held: DataFrame, *keys: str) -> DataFrame:
@@ -248,17 +257,40 @@ def basket_returns(held: DataFrame, *keys: str) -> DataFrame:
     return held.withColumn("ret", F.lag("position").over(order) * (F.try_divide(F.col("spread"), last) - 1))
 
 
-def basket_grid(spread: DataFrame, steps: int = 8) -> DataFrame:
-    """spread(date, spread) to stop, take (in units of the spread), trades, sharpe, kappa, win_rate and avg_ret of every cell of a grid of two deviations either side."""
-    line = Window.partitionBy(F.lit(0))  # one series, of as many rows as there are dates
-    rows = spread.withColumn("dev", F.col("spread") - F.avg("spread").over(line)).withColumn("sd", F.stddev_samp("spread").over(line))
-    cells = rows.withColumn("c", F.explode(bound_cells(steps))).withColumn("stop", F.col("c.stop") * F.col("sd")).withColumn("take", F.col("c.take") * F.col("sd"))
-    keyed = cells.select(F.to_json(F.struct("stop", "take")).alias("ticker"), "date", "spread", "dev", "stop", "take")
-    held = basket_returns(keyed.join(basket_positions(keyed, F.col("stop"), F.col("take")), ["ticker", "date"]))
+def basket_scores(rows: DataFrame) -> DataFrame:
+    """rows(date, spread, dev, sd, cells) to what every cell comes to: _stop and _take in deviations, stop and take in units of the spread, trades, sharpe, kappa, win_rate and avg_ret."""
+    cells = rows.withColumn("c", F.explode("cells")).withColumn("stop", F.col("c.stop") * F.col("sd")).withColumn("take", F.col("c.take") * F.col("sd"))
+    cell = F.struct("stop", "take", F.col("c.stop").alias("_stop"), F.col("c.take").alias("_take"))
+    keyed = cells.select(F.to_json(cell).alias("ticker"), cell.alias("cell"), "date", "spread", "dev", "stop", "take")
+    held = basket_returns(keyed.join(basket_positions(keyed, F.col("stop"), F.col("take")), ["ticker", "date"]), "cell")
     x = F.col("ret")
-    return held.groupBy("stop", "take").agg(
+    found = held.groupBy("cell").agg(
         F.count_if(F.col("position") != 0).alias("trades"), metrics.sharpe(x).alias("sharpe"), metrics.kappa(x).alias("kappa"), F.avg((x > 0).cast("double")).alias("win_rate"), F.avg(x).alias("avg_ret")
     )
+    return found.select("cell.*", *(c for c in found.columns if c != "cell"))
+
+
+def deviations(spread: DataFrame) -> DataFrame:
+    """spread(date, spread) with its deviation from the mean, dev, and the standard deviation, sd."""
+    line = Window.partitionBy(F.lit(0))  # one series, of as many rows as there are dates
+    return spread.withColumn("dev", F.col("spread") - F.avg("spread").over(line)).withColumn("sd", F.stddev_samp("spread").over(line))
+
+
+def basket_grid(spread: DataFrame, steps: int = 8) -> DataFrame:
+    """spread(date, spread) to stop, take (in units of the spread), trades, sharpe, kappa, win_rate and avg_ret of every cell of a grid of two deviations either side."""
+    return basket_scores(deviations(spread).withColumn("cells", bound_cells(steps))).drop("_stop", "_take")
+
+
+def basket_bounds(spread: DataFrame, steps: int = 8, rounds: int = 0, shares: tuple[float, ...] = (1.0,)) -> DataFrame:
+    """spread(date, spread) to stop, take, trades and sharpe of the cell that trades with the highest Sharpe ratio, the nearest to 0 of equal ones; rounds and shares are those of study.search()."""
+
+    def scores(rows: DataFrame) -> DataFrame:
+        found = basket_scores(rows).where("trades > 0 and sharpe is not null and not isnan(sharpe)")
+        return found.select(F.lit(0).alias("one"), F.col("_stop").alias("stop"), F.col("_take").alias("take"), F.col("stop").alias("low"), F.col("take").alias("high"), "trades", F.col("sharpe").alias("score"))
+
+    rows = deviations(spread).withColumn("one", F.lit(0))
+    best = study.search(rows, ["one"], bound_cells(steps), bound_axes(steps), scores, [-F.col("stop"), F.col("take")], shares, rounds=rounds)
+    return best.select(F.col("low").alias("stop"), F.col("high").alias("take"), "trades", F.col("score").alias("sharpe"))
 
 
 def spread(prices: DataFrame, vector: DataFrame) -> DataFrame:

@@ -279,11 +279,15 @@ def johansen(prices: DataFrame) -> DataFrame:
     return prices.sparkSession.createDataFrame([(names[i][1:], float(a)) for i, a in zip(lag, v)], "ticker string, v double")
 
 
+#: Rounds in which the study of a basket's bounds tries points between those of its grid, at half the distance each. (A
+#: single asset's trades enter under and leave over the mean, so none loses, and all scores are 0.)
+FINER = 2
+
+
 def basket(prices: DataFrame, vector: DataFrame | None = None) -> DataFrame:
-    """date, ret and position of the cointegrated basket (by vector, or by johansen()), traded between the bounds of the highest Sharpe ratio on the grid."""
+    """date, ret and position of the cointegrated basket (by vector, or by johansen()), traded between the bounds of the highest Sharpe ratio, of a grid and then of points between."""
     line = staged(signals.spread(align.overlap(prices), johansen(prices) if vector is None else vector))
-    tried = signals.basket_grid(line).where("trades > 0 and sharpe is not null and not isnan(sharpe)")
-    top = tried.orderBy(F.desc("sharpe"), F.desc("stop"), "take").first()
+    top = signals.basket_bounds(line, rounds=FINER).first()
     stop, take = (top["stop"], top["take"]) if top else (-np.inf, np.inf)
     rows = line.withColumn("ticker", F.lit("basket"))
     dev = rows.withColumn("dev", F.col("spread") - F.avg("spread").over(Window.partitionBy("ticker")))
