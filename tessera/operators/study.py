@@ -29,14 +29,23 @@ class Axis(NamedTuple):
     step: float
 
 
+#: Scores that agree to so many decimals are equal: cells with the same trades may be summed in another order.
+DECIMALS = 10
+
+
 def known(score: str = "score") -> Column:
     """The score, or null where it isn't a number."""
     return F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
 
 
+def rank() -> Column:
+    """What cells are ordered by: the highest score first, those without one last."""
+    return -F.coalesce(F.round(known(), DECIMALS), F.lit(float("-inf")))
+
+
 def top(scores: DataFrame, by: Sequence[str], prefer: Sequence[Column]) -> DataFrame:
     """The row of the highest score of each group; of equal ones the first by prefer; a cell without a score comes last."""
-    ranked = scores.withColumn("_s", -F.coalesce(known(), F.lit(float("-inf"))))
+    ranked = scores.withColumn("_s", rank())
     rest = [c for c in scores.columns if c not in by]
     found = ranked.groupBy(*by).agg(F.min(F.struct("_s", *(p.alias(f"_p{i}") for i, p in enumerate(prefer)), *rest)).alias("m"))
     return found.select(*by, *(F.col(f"m.{c}").alias(c) for c in rest))
@@ -52,8 +61,8 @@ def halved(cells: DataFrame, scores: DataFrame, by: Sequence[str], names: Sequen
     """cells(by, cells) with the best part of each group's cells, one at least; cells without a score come last, by prefer."""
     each = cells.select(*by, F.explode("cells").alias("_c")).select(*by, *(F.col(f"_c.{n}").alias(n) for n in names))
     on = [*by, *names]
-    joined = each.join(scores.select(*on, known().alias("_k")), on, "left")
-    order = F.struct((-F.coalesce("_k", F.lit(float("-inf")))).alias("s"), *(p.alias(f"p{i}") for i, p in enumerate(prefer)), F.struct(*names).alias("c"))
+    joined = each.join(scores.select(*on, rank().alias("_k")), on, "left")
+    order = F.struct(F.coalesce("_k", F.lit(float("inf"))).alias("s"), *(p.alias(f"p{i}") for i, p in enumerate(prefer)), F.struct(*names).alias("c"))
     sorted_ = joined.groupBy(*by).agg(F.array_sort(F.collect_list(order)).alias("a"))
     return sorted_.select(*by, F.expr(f"slice(a, 1, cast(greatest(1, ceil(size(a) * {keep!r}D)) AS int)).c").alias("cells"))
 

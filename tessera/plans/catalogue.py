@@ -447,6 +447,25 @@ SELECT round(stop, 6) + 0.0::DOUBLE AS stop, round(take, 6) + 0.0::DOUBLE AS tak
         r(F.col("stop")).alias("stop"), r(F.col("take")).alias("take"), "trades", r(F.col("sharpe"), 5).alias("sharpe"), r(F.col("kappa"), 5).alias("kappa"), r(F.col("win_rate")).alias("win_rate"), r(F.col("avg_ret"), 8).alias("avg_ret")
     )
 )
+
+def fold_sql(k: int, cells: str) -> str:
+    """Views of a basket's study: fold{k}, the positions by the cells' bounds, and sc{k}, their trades and Sharpe ratios."""
+    return f"""gr{k} AS ({cells}),
+fold{k} AS (SELECT u, v, u * sd AS stop, v * sd AS take, date, s, i, CASE WHEN dev < u * sd THEN 1 WHEN dev > v * sd THEN -1 ELSE 0 END AS p FROM dv, sd, gr{k} WHERE i = 1 UNION ALL
+  SELECT f.u, f.v, f.stop, f.take, n.date, n.s, n.i, CASE WHEN f.p = 0 THEN CASE WHEN dev < f.stop THEN 1 WHEN dev > f.take THEN -1 ELSE 0 END WHEN f.p = 1 AND dev >= 0 OR f.p = -1 AND dev <= 0 THEN 0 ELSE f.p END FROM fold{k} f JOIN dv n ON n.i = f.i + 1),
+rt{k} AS (SELECT u, v, stop, take, p, lag(p) OVER w * (s / nullif(lag(s) OVER w, 0) - 1) AS ret FROM fold{k} WINDOW w AS (PARTITION BY u, v ORDER BY date)),
+sc{k} AS (SELECT u, v, stop, take, count(*) FILTER (WHERE p <> 0) AS trades, avg(ret) / nullif(stddev_samp(ret) * sqrt(252), 0) AS sharpe FROM rt{k} GROUP BY 1, 2, 3, 4),
+best{k} AS (SELECT * FROM sc{k} WHERE trades > 0 AND sharpe IS NOT NULL ORDER BY round(sharpe, 10) DESC, u DESC, v LIMIT 1)"""
+
+
+query("basket_bounds", f"""WITH RECURSIVE {P2}, {DENSE}, {VEC}, sp AS (SELECT date, sum(ln(adj_close) * v) + 1000 AS s FROM filled JOIN v USING (ticker) GROUP BY 1), sd AS (SELECT stddev_samp(s) AS sd FROM sp),
+dv AS (SELECT date, s, s - avg(s) OVER () AS dev, row_number() OVER (ORDER BY date) AS i FROM sp), {fold_sql(0, "SELECT -i::DOUBLE AS u, j::DOUBLE AS v FROM (SELECT unnest(range(0, 3)) AS i), (SELECT unnest(range(0, 3)) AS j)")},
+{fold_sql(1, "SELECT DISTINCT greatest(-2.0, least(0.0, u + i * 0.5))::DOUBLE AS u, greatest(0.0, least(2.0, v + j * 0.5))::DOUBLE AS v FROM best0, (SELECT unnest(range(-1, 2)) AS i), (SELECT unnest(range(-1, 2)) AS j)")}
+SELECT round(stop, 6) + 0.0::DOUBLE AS stop, round(take, 6) + 0.0::DOUBLE AS take, trades, round(sharpe, 5) + 0.0::DOUBLE AS sharpe FROM best1""")(
+    lambda s, d: signals.basket_bounds(signals.spread((f := filled(s, d)), vector(f)).withColumn("spread", F.col("spread") + 1000), 2, rounds=1).select(
+        r(F.col("stop")).alias("stop"), r(F.col("take")).alias("take"), "trades", r(F.col("sharpe"), 5).alias("sharpe")
+    )
+)
 query("period_weight_grid", f"""{ONE}, {FREQ}, l AS (SELECT ticker, max_by(adj, date) FILTER (WHERE freq = 'daily') AS d, max_by(adj, date) FILTER (WHERE freq = 'weekly') AS w FROM fs GROUP BY 1),
 m AS (SELECT ticker, g, (g * d + (10 - g) * w) / 10 AS s FROM l, (SELECT unnest(range(1, 11)) AS g)), t AS (SELECT *, max(s) OVER (PARTITION BY g) AS top FROM m),
 f AS (SELECT ticker, g, greatest(0, 1 + CASE WHEN top <= 1 THEN s - 1 ELSE (s - 1) / (top - 1) END) AS f FROM t), k AS (SELECT ticker, g, f / sum(f) OVER (PARTITION BY g) AS k FROM f),
