@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
@@ -57,15 +59,52 @@ def isolation(returns: DataFrame, limit: float = 1.5) -> DataFrame:
     return by_ticker(features(returns.where("ret is not null")), lambda part: forest_flags(forest_scores(part), limit, part["ret"].to_numpy(float).std()))
 
 
-def kalman_ratios(part: pd.DataFrame) -> np.ndarray:
-    """Residuals in rolling deviations of 30 rows."""
-    resid = pd.Series(numerics.kalman_residuals(part["ret"].to_numpy(float)))
-    sd = resid.rolling(30, min_periods=10).std()
-    return (resid.abs() / sd.fillna(sd.mean())).fillna(0.0).to_numpy()
+#: Rows that a task filters at once, in whole tickers.
+ROWS = 100_000
+
+
+def whole_tickers(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work(rows of many whole tickers, in order of ticker and date) for all tickers, about ROWS rows at a time."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + len(batch)
+            if n >= ROWS:
+                part = pd.concat(held, ignore_index=True)
+                done = (part["ticker"] != part["ticker"].iloc[-1]).to_numpy()
+                if done.any():
+                    yield work(part[done].reset_index(drop=True))
+                held, n = [part[~done]], 0
+        part = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+        if len(part):
+            yield work(part)
+
+    return rows.repartition("ticker").sortWithinPartitions("ticker", "date").mapInPandas(run, schema)
+
+
+def kalman_ratios(part: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a column for each ticker) of the tickers with the same number of rows, and their residuals in rolling deviations of 30 rows."""
+    ticker, ret = part["ticker"].to_numpy(), part["ret"].to_numpy(float)
+    starts = np.flatnonzero(np.append(True, ticker[1:] != ticker[:-1]))
+    sizes = np.diff(np.append(starts, len(part)))
+    for n in np.unique(sizes):
+        at = starts[sizes == n] + np.arange(n)[:, None]
+        resid = pd.DataFrame(numerics.kalman_residuals(ret[at]))
+        sd = resid.rolling(30, min_periods=10).std()
+        yield at, (resid.abs() / sd.fillna(sd.mean())).fillna(0.0).to_numpy()
 
 
 def kalman(returns: DataFrame, limit: float = 7.0) -> DataFrame:
-    return by_ticker(returns.where("ret is not null"), lambda part: kalman_ratios(part) > limit)
+    def detect(part: pd.DataFrame) -> pd.DataFrame:
+        flag = np.zeros(len(part), bool)
+        for at, ratio in kalman_ratios(part):
+            flag[at] = ratio > limit
+        return part[["ticker", "date", "ret"]].assign(flag=flag)
+
+    rows = returns.where("ret is not null").select("ticker", "date", "ret")
+    return whole_tickers(rows, detect, "ticker string, date date, ret double, flag boolean")
 
 
 #: The limits that the threshold study tries, by detector.
@@ -79,20 +118,28 @@ def threshold_study(returns: DataFrame, method: str) -> DataFrame:
     if method == "z":
         return z_grid(returns, limits)
     ship(returns.sparkSession)
-    rows = returns.where("ret is not null")
+    rows = returns.where("ret is not null").select("ticker", "date", "ret")
+    schema = "ticker string, limit double, fraction double"
+
+    def filtered(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for at, ratio in kalman_ratios(part):
+            shares = np.array([(ratio > x).mean(0) for x in limits])
+            k = shares.argmin(0)
+            out.append(pd.DataFrame({"ticker": part["ticker"].to_numpy()[at[0]], "limit": np.array(limits)[k], "fraction": shares.min(0)}))
+        return pd.concat(out)
+
+    if method == "kalman":
+        return whole_tickers(rows, filtered, schema)
 
     def tried(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("date")
-        if method == "kalman":
-            ratio = kalman_ratios(part)
-            shares = [(ratio > x).mean() for x in limits]
-        else:
-            score, sd = forest_scores(part), part["ret"].to_numpy(float).std()
-            shares = [forest_flags(score, x, sd).mean() for x in limits]
+        score, sd = forest_scores(part), part["ret"].to_numpy(float).std()
+        shares = [forest_flags(score, x, sd).mean() for x in limits]
         k = int(np.argmin(shares))
         return pd.DataFrame({"ticker": [part["ticker"].iloc[0]], "limit": [limits[k]], "fraction": [float(shares[k])]})
 
-    return (features(rows) if method == "forest" else rows).groupBy("ticker").applyInPandas(tried, "ticker string, limit double, fraction double")
+    return features(rows).groupBy("ticker").applyInPandas(tried, schema)
 
 
 def study_score(flagged: DataFrame, kappa_weight: float = 0.8, stability: float = 0.2) -> DataFrame:
