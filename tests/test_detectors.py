@@ -36,3 +36,29 @@ def test_tickers_are_whole_however_the_rows_come(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert whole == parts and len(whole) == 326 and any(whole.values())
     assert set(study) == {f"T{i:02d}" for i in range(7)} and all(0 <= x <= 1 for x in study.values())
+
+
+@pytest.mark.parametrize("n, d, size", [(120, 3, 64), (40, 1, 256), (9000, 2, 32), (30, 2, 16)])
+def test_a_forest_grown_by_levels_is_that_of_one_node_after_another(n, d, size):
+    x = np.round(np.random.default_rng(n).normal(size=(n, d)), 1 if n == 30 else 9)
+    trees, made, least = 7, np.random.default_rng(42), min(size, n)
+    levels = int(np.ceil(np.log2(max(least, 2))))
+    samples = [made.choice(n, least, replace=False) for _ in range(trees)]
+    pick, place = made.random((2, trees, 2 << levels))
+    usual = lambda m: 0.0 if m < 2 else 1.0 if m == 2 else 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m
+
+    def depth(tree, row):
+        inside, node, k = x[samples[tree]], 1, 0
+        while True:
+            open_ = np.flatnonzero(inside.max(0) > inside.min(0)) if len(inside) else []
+            if k == levels or not len(open_):
+                return k + usual(len(inside))
+            c = open_[int(pick[tree, node] * len(open_))]
+            low, high = inside[:, c].min(), inside[:, c].max()
+            cut = low + (high - low) * place[tree, node]
+            right = row[c] >= cut
+            inside, node, k = inside[(inside[:, c] >= cut) == right], 2 * node + right, k + 1
+
+    some = np.arange(0, n, max(1, n // 40))
+    want = [0.5 - 2.0 ** (-sum(depth(t, x[i]) for t in range(trees)) / trees / usual(least)) for i in some]
+    assert numerics.isolation_scores(x, trees, size)[some] == pytest.approx(want, abs=1e-12)
