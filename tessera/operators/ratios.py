@@ -107,13 +107,15 @@ def solve(parts: RDD, n: int, cap: float, begin) -> tuple[RDD, float, float]:
     Minimises the goal under m y = 1 and 0 <= y <= cap * sum(y).
     """
     state = parts.persist(StorageLevel.MEMORY_AND_DISK)
-    lam, goal, gap = 0.0, None, np.inf
+    old, lam, goal, gap = None, 0.0, None, np.inf
     for _ in range(STEPS):
 
         def sums(x: Part) -> tuple:
             return x.a @ x.y, np.array([x.p @ x.y + x.w @ x.s, x.m @ x.y, x.w.sum(), (1 / x.s).sum(), (x.w / x.s).sum(), x.y.sum()])
 
         ay, (slack, my, wsum, turn, v, total) = reduced(state, sums, added)
+        if old is not None:
+            old.unpersist()
         if goal is None:
             goal = begin(ay)
             if goal.slack()[1]:  # multipliers that agree with those of the dates
@@ -123,15 +125,7 @@ def solve(parts: RDD, n: int, cap: float, begin) -> tuple[RDD, float, float]:
                 old.unpersist()
         force, ridge = goal.force(ay), goal.ridge
 
-        def residual(x: Part, force: np.ndarray = force, wsum: float = wsum, lam: float = lam) -> np.ndarray:
-            pull = x.a.T @ force - ridge * x.y
-            return np.array([np.abs(pull + x.p + cap * wsum - x.w + lam * x.m).max(), np.abs(pull).max()])
-
-        off, size = reduced(state, residual, np.maximum)
         own, count = goal.slack()
-        gap = goal.gap(lam, slack + own)
-        if gap <= GAP and off <= GAP * max(1.0, size) and abs(my - 1) <= GAP:
-            break
         aim = CENTRE * (slack + own) / (count + 2 * n)
         h, f = goal.newton(ay, aim)
 
@@ -140,12 +134,17 @@ def solve(parts: RDD, n: int, cap: float, begin) -> tuple[RDD, float, float]:
             v = x.w / x.s
             return r, 1 / (x.p / x.y + v + ridge), np.vstack([x.a, np.ones(len(x.y)), v])
 
-        def system(x: Part) -> tuple:
+        def system(x: Part, force: np.ndarray = force, wsum: float = wsum, lam: float = lam) -> tuple:
             r, inverse, u = right(x)
             both = np.stack([r, x.m], 1) * inverse[:, None]
-            return (u * inverse) @ u.T, u @ both, np.stack([r, x.m]) @ both
+            pull = x.a.T @ force - ridge * x.y
+            off = np.array([np.abs(pull + x.p + cap * wsum - x.w + lam * x.m).max(), np.abs(pull).max()])
+            return (u * inverse) @ u.T, u @ both, np.stack([r, x.m]) @ both, off
 
-        square, pulled, small = reduced(state, system, added)
+        square, pulled, small, (off, size) = reduced(state, system, lambda p, q: (*added(p[:3], q[:3]), np.maximum(p[3], q[3])))
+        gap = goal.gap(lam, slack + own)
+        if gap <= GAP and off <= GAP * max(1.0, size) and abs(my - 1) <= GAP:
+            break
         t = len(h)
         root = np.append(np.sqrt(h), [1.0, 1.0])
         left = root[:, None] * square * root
@@ -181,9 +180,7 @@ def solve(parts: RDD, n: int, cap: float, begin) -> tuple[RDD, float, float]:
 
         goal.go(ady, aim, primal, dual)
         lam += dual * dlam
-        old, state = state, state.map(go).persist(StorageLevel.MEMORY_AND_DISK)
-        state.count()
-        old.unpersist()
+        old, state = state, state.map(go).persist(StorageLevel.MEMORY_AND_DISK)  # made, and the old one let go, by the next sums
     return state, float(total), float(gap)
 
 
