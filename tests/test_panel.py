@@ -76,3 +76,34 @@ def test_nested_weights_without_pairs_are_those_of_pairs(returns, small, monkeyp
     want = of()
     assert len(got) == 10 or len(got) == 90
     assert {t for t in got} == set(want) and [got[t] for t in sorted(got)] == pytest.approx([want[t] for t in sorted(got)], abs=2e-3)
+
+
+def test_forest_of_edges_is_that_of_rounds(spark):
+    made = np.random.default_rng(6)
+    u, v = np.triu_indices(40, 1)
+    value = np.round(made.random(len(u)), 1)
+    kept = panel.forest_of(u, v, value)
+    rows = spark.createDataFrame([("", f"t{a:02d}", f"t{b:02d}", float(x)) for a, b, x in zip(u, v, value)], "g string, a string, b string, value double")
+    assert {(f"t{a:02d}", f"t{b:02d}") for a, b in zip(u[kept], v[kept])} == {(r["a"], r["b"]) for r in graph.spanning_tree(rows).collect()}
+
+
+@pytest.mark.parametrize("sums", [1 << 24, 40])
+def test_silhouettes_of_series_are_those_of_pairs(spark, returns, small, shrunk_pairs, monkeypatch, sums):
+    monkeypatch.setattr(panel, "SUMS", sums)
+    made = panel.of(returns)
+    rows = [(c, f"T{j:03d}", f"T{j % k:03d}") for c, k in ((0, 9), (3, 4), (5, 1), (6, 45)) for j in range(90 - 20 * (c == 3))]
+    labels = spark.createDataFrame(rows, "cell int, ticker string, cluster string")
+    pairs = shrunk_pairs.withColumn("value", (1 - F.col("value")) / 2)
+    of = lambda rows: {r["cell"]: r["s"] for r in rows.collect()}
+    got = of(panel.mean_silhouettes(spark, made, panel.units(made, panel.shrunk(made)), lambda c: (1 - c) / 2, labels))
+    assert got == pytest.approx(of(graph.mean_silhouettes(pairs, labels))) and len(got) == 4
+
+
+@pytest.mark.parametrize("nearby", [None, portfolio.NEARBY])
+def test_density_clusters_without_pairs_are_those_of_pairs(returns, small, monkeypatch, nearby):
+    of = lambda: {tuple(r) for r in portfolio.clusters(returns, "hdbscan", nearby).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(linalg, "products", None)
+        got = of()
+    monkeypatch.setattr(portfolio, "is_wide", lambda rows: False)
+    assert got == of() and len(got) == 90 and len({c for _, c in got}) > 2
