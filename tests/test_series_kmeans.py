@@ -48,6 +48,7 @@ def test_nothing_is_sketched(spark, monkeypatch):
     monkeypatch.setattr(kmeans, "distance_rows", None)
     returns = returns_of(spark, 80, 30)
     assert len(labels(portfolio.clusters(returns, "kmeans"))) == 80
+    assert sum(r["weight"] for r in portfolio.nested_clustering(returns, "kappa", floor=0.0).collect()) == pytest.approx(1)
 
 
 @pytest.mark.parametrize("days", [20, 70])
