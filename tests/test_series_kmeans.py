@@ -51,6 +51,19 @@ def test_nothing_is_sketched(spark, monkeypatch):
     assert sum(r["weight"] for r in portfolio.nested_clustering(returns, "kappa", floor=0.0).collect()) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("objective", ["kappa", "sk_mix"])
+def test_nested_weights_have_one_path(spark, monkeypatch, objective):
+    returns = returns_of(spark, 30, 60)  # more dates than tickers
+    monkeypatch.setattr(linalg, "products", None)
+    assert sum(r["weight"] for r in portfolio.nested_clustering(returns, objective, floor=0.0).collect()) == pytest.approx(1)
+
+
+def test_nested_weights_need_a_date_of_all(spark):
+    rows = [(f"T{j}", dt.date(2020, 1, 1 + i), 0.01 * i * (j + 1)) for i in range(12) for j in range(6) if i % 6 != j]
+    with pytest.raises(ValueError, match="date that all tickers have"):
+        portfolio.nested_clustering(spark.createDataFrame(rows, "ticker string, date date, ret double"), "sharpe").collect()
+
+
 @pytest.mark.parametrize("days", [20, 70])
 def test_shrinkage_by_the_lesser_square(spark, monkeypatch, days):
     monkeypatch.setattr(panel, "BLOCKS", 4)
